@@ -399,3 +399,177 @@ def progress_running(spark, sf_dir):
     return L.progress_running(b, "run_id", "seq", "batch_rows", "ok_rows", "batch_seconds",
                               "total_rows").select(
         "run_id", "seq", "processed", "inserted", "failed", "success_pct", "rows_per_sec", "eta_seconds")
+
+
+# ---- step 6: files (written from the tables into the shared scratch folder) -------------
+
+def _scratch(spark, name):
+    from sluice.session import scratch_path
+    return scratch_path(spark, name)
+
+
+def _write_chunks(df, out, stem, chunk_rows, key, header=True, fmt="csv"):
+    from sluice.sinks.chunked import write_chunks
+    ordered = CH.with_ordinal(df, [key])
+    return write_chunks(ordered, out, stem, DAY, chunk_rows, header=header, fmt=fmt)
+
+
+@register
+def split_csv_roundtrip(spark, sf_dir):
+    """Orders cut into chunk files of 4,998 rows, read back per file."""
+    from sluice.sources.csv import read_csv
+    out = _scratch(spark, "split")
+    o = I.load(spark, sf_dir, "orders")
+    _write_chunks(o, out, "orders", CHUNK_ROWS, "o_orderkey").collect()
+    r = read_csv(spark, f"{out}/*.csv", sep=",", escape='"', with_file=True, keep_rejects=False)
+    return (r.rows.groupBy(H.base_name(F.col("file_path")).alias("file_name"))
+            .agg(F.count(F.lit(1)).cast("bigint").alias("n_rows"),
+                 F.round(F.sum(F.col("o_totalprice").cast("double")), 2).alias("total_price"),
+                 F.min(F.col("o_orderkey").cast("bigint")).alias("first_key")))
+
+
+@register
+def csv_roundtrip(spark, sf_dir):
+    """Conversations (quotes, commas, newlines in text) written and read back."""
+    from sluice.sources.csv import read_csv
+    out = _scratch(spark, "conv")
+    c = I.load(spark, sf_dir, "conversations").withColumn("_k", F.col("conv_id") * 100000 + F.col("turn"))
+    _write_chunks(c.drop("_k").withColumn("_k", F.col("conv_id") * 100000 + F.col("turn")),
+                  out, "conversations", 49998, "_k").collect()
+    r = read_csv(spark, f"{out}/*.csv", sep=",", escape='"', multiline=True, na_tokens=None,
+                 keep_rejects=False)
+    return r.rows.select(F.col("conv_id").cast("bigint").alias("conv_id"),
+                         F.col("turn").cast("bigint").alias("turn"), "role",
+                         F.coalesce("text", F.lit("")).alias("text"))
+
+
+@register
+def csv_row_count(spark, sf_dir):
+    """Physical lines minus header vs logical rows of a CSV with quoted newlines."""
+    from sluice.sources.csv import physical_line_counts, read_csv
+    out = _scratch(spark, "rows")
+    c = I.load(spark, sf_dir, "conversations")
+    _write_chunks(c.withColumn("_k", F.col("conv_id") * 100000 + F.col("turn")).select(
+        "conv_id", "turn", "role", "text", "_k"), out, "conversations", 10 ** 9, "_k").collect()
+    phys = physical_line_counts(spark, f"{out}/*.csv")
+    logical = read_csv(spark, f"{out}/*.csv", sep=",", escape='"', multiline=True, with_file=True,
+                       keep_rejects=False).rows.groupBy("file_path").agg(
+        F.count(F.lit(1)).cast("bigint").alias("logical_rows"))
+    return phys.join(logical, "file_path").select(
+        H.base_name(F.col("file_path")).alias("file_name"), "physical_rows", "logical_rows")
+
+
+@register
+def headerless_csv(spark, sf_dir):
+    """A CSV without header read as Column_1..n."""
+    from sluice.sources.csv import read_csv
+    out = _scratch(spark, "nohdr")
+    _write_chunks(I.load(spark, sf_dir, "customer"), out, "customer", 49998, "c_custkey",
+                  header=False).collect()
+    return read_csv(spark, f"{out}/*.csv", sep=",", header=False, escape='"', keep_rejects=False).rows
+
+
+@register
+def csv_infer(spark, sf_dir):
+    """Physical type of every column of a CSV, one aggregate."""
+    from sluice.sources.csv import infer_csv_types, read_csv
+    out = _scratch(spark, "infer")
+    _write_chunks(I.load(spark, sf_dir, "customer"), out, "customer", 49998, "c_custkey").collect()
+    return infer_csv_types(read_csv(spark, f"{out}/*.csv", sep=",", escape='"', keep_rejects=False).rows)
+
+
+def _bad_lines_sql(d):
+    k = "o_orderkey"
+    s = lambda e: I.s(e, d)
+    base = f"{s(k)} || ',' || {s('o_custkey')} || ',' || o_orderstatus"
+    return f"""
+SELECT {k} AS id, CASE {k} % 5
+  WHEN 0 THEN {base}
+  WHEN 1 THEN {base} || ',' || o_orderpriority || ',' || {s('year(o_orderdate)')} || ',extra'
+  WHEN 2 THEN {base} || ',"' || o_orderpriority || ',x",' || {s('year(o_orderdate)')}
+  WHEN 3 THEN {base} || ',' || o_orderpriority || ','
+  ELSE {base} || ',' || o_orderpriority || ',' || {s('year(o_orderdate)')} END AS line
+FROM orders"""
+
+
+@register
+def csv_bad_lines(spark, sf_dir):
+    """Short rows padded, long rows flagged (from_csv over derived lines)."""
+    from sluice.sources.csv import parse_lines
+    lines = _sql(spark, sf_dir, _bad_lines_sql, ["orders"])
+    return parse_lines(lines, "line", 5).drop("line")
+
+
+def _na_sql(d):
+    return """
+SELECT o_orderkey AS id, CASE o_orderkey % 7 WHEN 0 THEN 'NA' WHEN 1 THEN 'N/A' WHEN 2 THEN '#N/A'
+  WHEN 3 THEN 'null' WHEN 4 THEN '-nan' WHEN 5 THEN 'NA ' ELSE o_orderpriority END AS raw FROM orders"""
+
+
+@register
+def csv_na_tokens(spark, sf_dir):
+    """S3: pandas NA tokens -> null (whole field only)."""
+    from sluice.sources.csv import na_to_null
+    d = _sql(spark, sf_dir, _na_sql, ["orders"])
+    return d.select("id", "raw", na_to_null(F.col("raw")).alias("value"))
+
+
+@register
+def detect_delimiter(spark, sf_dir):
+    """Delimiter of every file (customers of one nation per folder, one
+    separator per nation)."""
+    from sluice.sources.csv import DELIMITERS, detect_delimiters
+    out = _scratch(spark, "delim")
+    c = I.load(spark, sf_dir, "customer")
+    sep = F.element_at(F.array(*[F.lit(x) for x in DELIMITERS]), (F.col("c_nationkey") % 4 + 1).cast("int"))
+    line = F.concat_ws("\u0001", "c_custkey", "c_name", "c_acctbal", "c_mktsegment")
+    c.select(F.replace(line, F.lit("\u0001"), sep).alias("value"),
+             F.col("c_nationkey").alias("nk")).write.partitionBy("nk").text(out)
+    d = detect_delimiters(spark, out)
+    return (d.withColumn("n_nationkey", F.regexp_extract("file_path", r"nk=([0-9]+)", 1).cast("int"))
+            .groupBy("n_nationkey").agg(F.min("delimiter").alias("delimiter")))
+
+
+@register
+def union_files(spark, sf_dir):
+    """Two CSV families with different columns unioned by name."""
+    from sluice.sources.csv import read_csv, union_files as U
+    c = I.load(spark, sf_dir, "customer")
+    a_dir, b_dir = _scratch(spark, "ua"), _scratch(spark, "ub")
+    grp = F.col("c_mktsegment").isin("AUTOMOBILE", "BUILDING")
+    _write_chunks(c.where(grp).select("c_custkey", "c_name", "c_acctbal"), a_dir, "a", 49998,
+                  "c_custkey").collect()
+    _write_chunks(c.where(~grp).select("c_custkey", "c_name", "c_mktsegment"), b_dir, "b", 49998,
+                  "c_custkey").collect()
+    ra = read_csv(spark, f"{a_dir}/*.csv", sep=",", escape='"', keep_rejects=False).rows
+    rb = read_csv(spark, f"{b_dir}/*.csv", sep=",", escape='"', keep_rejects=False).rows
+    return U([ra, rb])
+
+
+@register
+def file_info(spark, sf_dir):
+    """Type, size, rows and chunk count of every chunk file of orders."""
+    from sluice.sources.csv import file_type_label, list_files, physical_line_counts
+    out = _scratch(spark, "info")
+    _write_chunks(I.load(spark, sf_dir, "orders"), out, "orders", CHUNK_ROWS, "o_orderkey").collect()
+    files = list_files(spark, out)
+    rows = physical_line_counts(spark, f"{out}/*.csv")
+    return (files.join(rows.drop("size_bytes"), files["path"] == rows["file_path"])
+            .select("file_name", file_type_label(F.col("extension")).alias("file_type"),
+                    F.col("size_bytes").cast("bigint").alias("size_bytes"),
+                    H.human_size(F.col("size_bytes")).alias("size_text"),
+                    F.col("physical_rows").alias("rows"),
+                    CH.chunk_count(F.col("physical_rows"), 1000).alias("chunks")))
+
+
+@register
+def log_files(spark, sf_dir):
+    """Run logs written as files, scanned back and listed newest first."""
+    from sluice.sinks.chunked import write_text_files
+    from sluice.sources.logs import read_logs
+    out = _scratch(spark, "logs")
+    write_text_files(_log_lines(spark, sf_dir), out).collect()
+    logs = read_logs(spark, out)
+    lst = L.log_list(logs.files, logs.lines)
+    return lst.select("file_name", "table_name", "status", "total_rows", "inserted_rows", "error_rows",
+                      "success_rate", "time_taken", "size_kb")
