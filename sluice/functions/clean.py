@@ -113,41 +113,50 @@ def _pieces(v: Column) -> dict[str, Column]:
             "ts": F.coalesce(ymd, dmy, mdy, iso), "plain": F.when(v.rlike(_PLAIN), _to_double(v))}
 
 
-def _assemble(p: dict[str, Column]) -> Column:
-    """Stage 3: first hit wins."""
+def _assemble_fields(p: dict[str, Column]) -> dict[str, Column]:
+    """Stage 3: first hit wins -> kind, num, ts, str."""
     kind = (F.when(p["is_null"], F.lit("null"))
             .when(p["num"].isNotNull(), F.lit("num"))
             .when(p["ts"].isNotNull(), F.lit("ts"))
             .when(p["plain"].isNotNull(), F.lit("num"))
             .otherwise(F.lit("str")))
-    return F.struct(
-        kind.alias("kind"),
-        F.when(kind == "num", F.coalesce(p["num"], p["plain"])).alias("num"),
-        F.when(kind == "ts", p["ts"]).alias("ts"),
-        F.when(kind == "str", F.left(p["v"], F.lit(MAX_TEXT_CHARS))).alias("str"),
-    )
+    return {"kind": kind,
+            "num": F.when(kind == "num", F.coalesce(p["num"], p["plain"])),
+            "ts": F.when(kind == "ts", p["ts"]),
+            "str": F.when(kind == "str", F.left(p["v"], F.lit(MAX_TEXT_CHARS)))}
+
+
+def _assemble(p: dict[str, Column]) -> Column:
+    return F.struct(*[c.alias(k) for k, c in _assemble_fields(p).items()])
 
 
 _PIECES = ["v", "is_null", "num", "ts", "plain"]
 
 
-def clean_columns(df: DataFrame, cols: dict[str, str]) -> DataFrame:
+def clean_columns(df: DataFrame, cols: dict[str, str], flat: bool = False) -> DataFrame:
     """C0 as a transform: for each ``out -> source`` text column adds ``out`` as
-    ``STRUCT<kind, num, ts, str>``.
-
-    Three projections of flat columns (strip; every rule's candidate; first hit) so
-    each regex runs once per value and the generated code stays small; Catalyst does
-    not merge them back because the intermediates are not cheap expressions.
+    ``STRUCT<kind, num, ts, str>`` (or, with ``flat=True``, the four columns
+    ``out__kind``, ``out__num``, ``out__ts``, ``out__str``).
+
+    Staged projections of flat columns (strip; every rule's candidate; first hit) so
+    each regex runs once per value and the generated code stays small. Catalyst does
+    not merge them back because the intermediates are not cheap expressions; the
+    struct is built last, from attributes, so consumers of single fields never
+    re-inline the rules.
     """
     from sluice.session import spread
     keep = [F.col(f"`{c}`") for c in df.columns]
     tmp = {out: f"__clean{i}_" for i, out in enumerate(cols)}
     s1 = spread(df).select(*keep, *[unicode_strip(F.col(f"`{src}`")).alias(tmp[out] + "v")
-                            for out, src in cols.items()])
+                                    for out, src in cols.items()])
     s2 = s1.select(*keep, *[c.alias(tmp[out] + k) for out in cols
                             for k, c in _pieces(F.col(tmp[out] + "v")).items()])
-    return s2.select(*keep, *[_assemble({k: F.col(tmp[out] + k) for k in _PIECES}).alias(out)
-                              for out in cols])
+    s3 = s2.select(*keep, *[c.alias(f"{out}__{k}") for out in cols
+                            for k, c in _assemble_fields({k: F.col(tmp[out] + k) for k in _PIECES}).items()])
+    if flat:
+        return s3
+    return s3.select(*keep, *[F.struct(*[F.col(f"`{out}__{k}`").alias(k) for k in ("kind", "num", "ts", "str")])
+                              .alias(out) for out in cols])
 
 
 def clean_text(c: Column | str) -> Column:

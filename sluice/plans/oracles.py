@@ -596,6 +596,7 @@ def oracles() -> dict[str, str]:
     try:
         from sluice.plans import oracles_files
         out.update(oracles_files.oracles())
+        out.update(oracles_files.more())
     except ImportError:
         pass
     return out

@@ -65,3 +65,18 @@ def oracles() -> dict[str, str]:
             f"round(b / 1024.0, 2) AS size_kb FROM ({log_results_sql()}) r JOIN (SELECT file_name, "
             f"sum(strlen(line) + 1) AS b FROM {_LOGS} GROUP BY file_name) s ON r.file_name = s.file_name"),
     }
+
+
+def more() -> dict[str, str]:
+    from sluice.plans.oracles import quarantine_accepted_sql
+    v = "VARCHAR"
+    return {
+        "workbook_scan": (
+            f"SELECT CAST(o_orderkey AS {v}) AS o_orderkey, CAST(o_custkey AS {v}) AS o_custkey, o_orderstatus, "
+            f"CAST(o_totalprice AS {v}) AS o_totalprice, CAST(o_orderdate AS {v}) AS o_orderdate, o_orderpriority "
+            f"FROM orders"),
+        "workbook_status": (
+            f"SELECT printf('orders_{DAY}_%04d.xlsx', chunk) AS file_name, CAST(count(*) AS BIGINT) AS n_rows, "
+            f"'ok' AS status FROM (SELECT {_ORD} AS chunk FROM orders) GROUP BY chunk"),
+        "streaming_import": quarantine_accepted_sql(),
+    }

@@ -573,3 +573,58 @@ def log_files(spark, sf_dir):
     lst = L.log_list(logs.files, logs.lines)
     return lst.select("file_name", "table_name", "status", "total_rows", "inserted_rows", "error_rows",
                       "success_rate", "time_taken", "size_kb")
+
+
+# ---- step 9: workbooks, encodings, streaming ------------------------------------------------
+
+@register
+def workbook_scan(spark, sf_dir):
+    """Orders cut into .xlsx chunk files, scanned back as a table."""
+    from sluice.sources.workbook import read_workbooks
+    out = _scratch(spark, "xlsx")
+    o = I.load(spark, sf_dir, "orders")
+    _write_chunks(o, out, "orders", CHUNK_ROWS, "o_orderkey", fmt="xlsx").collect()
+    return read_workbooks(spark, out).table
+
+
+@register
+def workbook_status(spark, sf_dir):
+    """Rows and status of every workbook chunk of orders."""
+    from sluice.sources.workbook import read_workbooks
+    out = _scratch(spark, "xlsxs")
+    _write_chunks(I.load(spark, sf_dir, "orders"), out, "orders", CHUNK_ROWS, "o_orderkey", fmt="xlsx").collect()
+    st = read_workbooks(spark, out).status
+    return st.select(H.base_name(F.col("file_path")).alias("file_name"), "n_rows", "status")
+
+
+@register
+def encoding_census(spark, sf_dir):
+    """Documents written as text files in utf-8, utf-8 with BOM, gb18030 and
+    latin-1 (by doc_id % 4), then the encoding of every file detected from a sample."""
+    from sluice.sinks.chunked import write_text_files
+    from sluice.sources.encoding import encoding_census as census
+    d = I.load(spark, sf_dir, "documents")
+    base = _scratch(spark, "enc")
+    for i, (enc, bom, errors) in enumerate([("utf-8", False, "strict"), ("utf-8", True, "strict"),
+                                            ("gb18030", False, "strict"), ("latin-1", False, "replace")]):
+        part = d.where(F.col("doc_id") % 4 == i).select(
+            F.format_string("docs_%s_%02d.txt", F.lit(enc.replace("-", "")), F.col("doc_id") % 8)
+            .alias("file_name"), F.col("doc_id").alias("line_no"), F.col("text").alias("line"))
+        write_text_files(part, f"{base}/{i}", encoding=enc, bom=bom, errors=errors).collect()
+    c = census(spark, base, glob="*.txt")
+    return c.select(H.base_name(F.col("file_path")).alias("file_name"), "encoding", "decoded_ok", "has_bom")
+
+
+@register
+def streaming_import(spark, sf_dir):
+    """Structured Streaming: dirty order files landing in a folder are fit-checked per
+    micro-batch; the accepted rows (same as quarantine_accepted)."""
+    from sluice.streaming.landing import start_landing_import
+    land, out, ck = _scratch(spark, "land"), _scratch(spark, "landout"), _scratch(spark, "landck")
+    d = _sql(spark, sf_dir, I.dirty_orders_sql, ["orders"])
+    _write_chunks(d, land, "dirty_orders", CHUNK_ROWS, "id").collect()
+    q = start_landing_import(spark, land, d.columns, I.QUARANTINE_TARGETS, out, ck,
+                             max_files_per_trigger=2)
+    q.awaitTermination()
+    return spark.read.parquet(f"{out}/accepted").select(
+        F.col("id").cast("bigint").alias("id"), "qty", "code", "price", "odate")

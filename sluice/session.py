@@ -32,6 +32,9 @@ def build_session(master: str | None = None, app: str = "sluice",
         # gb18030 / gbk / latin1 for the CSV reader and decode() (see sources.encoding)
         "spark.sql.legacy.javaCharsets": "true",
     }
+    if master and master.startswith("local"):
+        # local mode: the driver JVM is the whole cluster; its heap is the only knob
+        conf["spark.driver.memory"] = os.environ.get("SLUICE_DRIVER_MEMORY", "12g")
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra or {})
