@@ -159,6 +159,20 @@ def clean_columns(df: DataFrame, cols: dict[str, str], flat: bool = False) -> Da
                               .alias(out) for out in cols])
 
 
+def clean_pieces(df: DataFrame, cols: dict[str, str]) -> tuple[DataFrame, dict[str, dict[str, Column]]]:
+    """Stages 1-2 of ``clean_columns`` as flat columns, plus, per ``out``, the
+    ``kind/num/ts/str`` Columns assembled over them (cheap CASEs over attributes)."""
+    from sluice.session import spread
+    keep = [F.col(f"`{c}`") for c in df.columns]
+    tmp = {out: f"__clean{i}_" for i, out in enumerate(cols)}
+    s1 = spread(df).select(*keep, *[unicode_strip(F.col(f"`{src}`")).alias(tmp[out] + "v")
+                                    for out, src in cols.items()])
+    s2 = s1.select(*keep, *[c.alias(tmp[out] + k) for out in cols
+                            for k, c in _pieces(F.col(tmp[out] + "v")).items()])
+    fields = {out: _assemble_fields({k: F.col(tmp[out] + k) for k in _PIECES}) for out in cols}
+    return s2, fields
+
+
 def clean_text(c: Column | str) -> Column:
     """C0 on one text value as a single Column expression (convenient for a few
     columns; for many columns use ``clean_columns``, which stages the work)."""

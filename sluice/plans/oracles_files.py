@@ -79,4 +79,5 @@ def more() -> dict[str, str]:
             f"SELECT printf('orders_{DAY}_%04d.xlsx', chunk) AS file_name, CAST(count(*) AS BIGINT) AS n_rows, "
             f"'ok' AS status FROM (SELECT {_ORD} AS chunk FROM orders) GROUP BY chunk"),
         "streaming_import": quarantine_accepted_sql(),
+        "import_pipeline": quarantine_accepted_sql(),
     }

@@ -628,3 +628,16 @@ def streaming_import(spark, sf_dir):
     q.awaitTermination()
     return spark.read.parquet(f"{out}/accepted").select(
         F.col("id").cast("bigint").alias("id"), "qty", "code", "price", "odate")
+
+
+@register
+def import_pipeline(spark, sf_dir):
+    """Dirty orders as CSV files -> scan, names, profile, types (with overrides),
+    fit check, gate, write; the accepted rows read back from the written table."""
+    from sluice.plans.import_file import import_csv
+    land, out = _scratch(spark, "imp"), _scratch(spark, "impout")
+    d = _sql(spark, sf_dir, I.dirty_orders_sql, ["orders"])
+    _write_chunks(d, land, "dirty_orders", 49998, "id").collect()
+    res = import_csv(spark, f"{land}/*.csv", out, EPOCH, overrides=dict(I.QUARANTINE_TARGETS),
+                     enforce_gate=False, sep=",", escape='"')
+    return spark.read.parquet(res.accepted_path)
