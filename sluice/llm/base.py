@@ -44,6 +44,20 @@ def text_key(text="text") -> list:
     return [F.xxhash64(t).alias("tk1"), F.hash(t).alias("tk2")]
 
 
+def has_repeats(rows: DataFrame) -> bool:
+    """Whether some row of ``rows(doc_id, tk1, tk2)`` occurs twice, id and text alike."""
+    return not rows.groupBy("doc_id", "tk1", "tk2").count().where("count > 1").isEmpty()
+
+
+def one_row_each(docs: DataFrame, keys: DataFrame, repeats: bool, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Scan ``docs(doc_id, tk1, tk2, ...)`` again for the rows that ``keys(node, doc_id, tk1,
+    tk2, ...)`` name, one row for each node."""
+    small = sized(keys, rows).withColumnsRenamed({"doc_id": "_id", "tk1": "_k1", "tk2": "_k2"})
+    found = docs.join(small, docs["doc_id"].eqNullSafe(F.col("_id")) & (F.col("tk1") == F.col("_k1"))
+                      & (F.col("tk2") == F.col("_k2"))).drop("_id", "_k1", "_k2")
+    return found.dropDuplicates(["node"]) if repeats else found
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """``(node, comp)`` for every node of ``edges(a, b)``; comp is the smallest node reachable.
 

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sluice.llm import words as W
-from sluice.llm.base import components, same, sized, stage, text_key
+from sluice.llm.base import components, has_repeats, one_row_each, sized, stage, text_key
 
 #: words of a shingle
 K = 5
@@ -143,10 +143,10 @@ def jaccard_components(documents: DataFrame, k: int = K) -> DataFrame:
 
     # whole sets of the documents still in play, found again by their text
     alive = stage(base.join(sized(stage(posts.select("node").distinct(), "alive")), "node")
-                  .select("node", "tk1", "tk2"), "alive-keys")
-    texts = docs.select("text", "tk1", "tk2").join(sized(alive), ["tk1", "tk2"])
-    sets = stage(texts.select("node", "text").mapInArrow(_set_batches(k), "node long, grams array<long>")
-                 .dropDuplicates(["node"]), "whole-sets")
+                  .select("node", "doc_id", "tk1", "tk2"), "alive-keys")
+    texts = one_row_each(docs, alive, has_repeats(base))
+    sets = stage(texts.select("node", "text").mapInArrow(_set_batches(k), "node long, grams array<long>"),
+                 "whole-sets")
 
     # pivots, then whatever still lies in different components
     links = None

@@ -55,15 +55,18 @@ def mix(h: np.ndarray) -> np.ndarray:
 @dataclass
 class Chunk:
     """Words of consecutive documents: document ``d`` of the chunk (row ``row0 + d`` of
-    the column) has the words ``first[d]:first[d + 1]``."""
+    the column) has the words ``first[d]:first[d + 1]``. ``sizes`` are bytes; ``stems``, if asked
+    for, hash the first bytes of longer words and are 0 for others."""
 
     row0: int
     docs: int
     first: np.ndarray
     hashes: np.ndarray
+    sizes: np.ndarray
+    stems: np.ndarray | None = None
 
 
-def _string_buffers(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def string_buffers(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     if isinstance(col, pa.ChunkedArray):
         col = col.combine_chunks()
     col = col.fill_null("").cast(pa.large_string())
@@ -73,23 +76,25 @@ def _string_buffers(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, offsets
 
 
-def chunks(col: pa.Array, lower: bool = False) -> Iterator[Chunk]:
-    """Word hashes of a string column (null counts as empty text), chunk by chunk."""
-    raw, offsets = _string_buffers(col)
+def chunks(col: pa.Array, lower: bool = False, between: np.ndarray = _SEP, stem: int = 0) -> Iterator[Chunk]:
+    """Word hashes of a string column (null counts as empty text), chunk by chunk; ``between``
+    marks the bytes that are in no word."""
+    raw, offsets = string_buffers(col)
     n, d = len(offsets) - 1, 0
     while d < n:
         e = max(d + 1, int(np.searchsorted(offsets, offsets[d] + CHUNK, side="right")) - 1)
         off = offsets[d:e + 1] - offsets[d]
         buf = raw[offsets[d]:offsets[e]]
-        yield _hash_chunk(d, _LOWER[buf] if lower else buf, off)
+        yield _hash_chunk(d, _LOWER[buf] if lower else buf, off, between, stem)
         d = e
 
 
-def _hash_chunk(row0: int, buf: np.ndarray, off: np.ndarray) -> Chunk:
+def _hash_chunk(row0: int, buf: np.ndarray, off: np.ndarray, between: np.ndarray, stem: int) -> Chunk:
     n = len(buf)
     if n == 0:
-        return Chunk(row0, len(off) - 1, np.zeros(len(off), np.int64), np.zeros(0, np.uint64))
-    word = ~_SEP[buf]
+        none = np.zeros(0, np.uint64)
+        return Chunk(row0, len(off) - 1, np.zeros(len(off), np.int64), none, np.zeros(0, np.int64), none)
+    word = ~between[buf]
     edge = np.zeros(n + 1, dtype=bool)
     edge[off] = True
     begins = word & edge[:n]
@@ -100,9 +105,14 @@ def _hash_chunk(row0: int, buf: np.ndarray, off: np.ndarray) -> Chunk:
     up, down = _powers(n)
     acc = np.zeros(n + 1, dtype=np.uint64)
     np.cumsum(_TABLE[buf] * up, out=acc[1:])
+    sizes = ends - starts
     h = (acc[ends] - acc[starts]) * down[starts]
-    h = mix(h + (ends - starts).astype(np.uint64) * _U(0xD6E8FEB86659FD93))
-    return Chunk(row0, len(off) - 1, np.searchsorted(starts, off), h)
+    h = mix(h + sizes.astype(np.uint64) * _U(0xD6E8FEB86659FD93))
+    stems = None
+    if stem:
+        heads = mix((acc[np.minimum(starts + stem, n)] - acc[starts]) * down[starts] + _U(stem))
+        stems = np.where(sizes > stem, heads, _U(0))
+    return Chunk(row0, len(off) - 1, np.searchsorted(starts, off), h, sizes, stems)
 
 
 def grams(hashes: np.ndarray, k: int) -> np.ndarray:
