@@ -75,12 +75,12 @@ def _pairs(threshold: float, projections: int, first: int, recall: float):
         early, late = count_needed(first, recall=1 - (1 - recall) / 2), count_needed(projections, recall=1 - (1 - recall) / 2)
         if len(left) and len(right):
             dim = key[1]
-            x, y = (np.stack(f["v"].to_numpy()).astype(np.float64) for f in (left, right))
+            x, y = (np.stack(v.to_numpy()).astype(np.float64) for v in (left["v"], right["v2"]))
             nx, ny = (np.sqrt((m * m).sum(axis=1, keepdims=True)) for m in (x, y))
             ux, uy = x / nx, y / ny
             r = directions(dim, projections)
             px, py = ux @ r, uy @ r
-            idx, idy = left["node"].to_numpy(), right["node"].to_numpy()
+            idx, idy = left["node"].to_numpy(), right["node2"].to_numpy()
             for s in range(0, len(ux), 256):
                 counts = np.zeros((len(ux[s:s + 256]), len(uy)), dtype=np.uint8)
                 collisions(px[s:s + 256, :first], py[:, :first], half, counts)
@@ -119,8 +119,10 @@ def near_dedup(embeddings: DataFrame, threshold: float = COSINE, projections: in
            .select("label", "dim", "node", "v", "at", "blocks"))
     keys = ["label", "dim", "i", "j"]
     left = cut.select("label", "dim", F.col("at").alias("i"), F.explode(F.expr("sequence(at, blocks - 1)")).alias("j"), "node", "v")
-    right = cut.select("label", "dim", F.explode(F.expr("sequence(0, at)")).alias("i"), F.col("at").alias("j"), "node", "v")
-    pairs = stage(left.groupBy(*keys).cogroup(right.groupBy(*keys))
+    right = cut.select(F.col("label").alias("label2"), F.col("dim").alias("dim2"),
+                       F.explode(F.expr("sequence(0, at)")).alias("i2"), F.col("at").alias("j2"),
+                       F.col("node").alias("node2"), F.col("v").alias("v2"))
+    pairs = stage(left.groupBy(*keys).cogroup(right.groupBy("label2", "dim2", "i2", "j2"))
                   .applyInPandas(_pairs(threshold, projections, first, recall), "a long, b long"), "pairs")
 
     # links of a class: members of linked classes, and its own other members

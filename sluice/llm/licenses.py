@@ -110,11 +110,11 @@ def oracle(templates=None) -> str:
     lists = []
     for k, (words, _, _) in enumerate(templates):
         phrase = "[" + ", ".join(f"'{w}'" for w in words) + "]"
-        lists.append(f"list_filter(range(0, len(w) - {len(words)} + 1), i -> w[i + 1:i + {len(words)}] = {phrase}) AS s{k}")
+        lists.append(f"list_filter(range(0, len(w) - {len(words)} + 1), lambda i: w[i + 1:i + {len(words)}] = {phrase}) AS s{k}")
     base = " || ".join(f"s{k}" for k, t in enumerate(templates) if t[2])
     named = lambda only: "list_sort(list_distinct(list_filter([" + ", ".join(
         f"CASE WHEN len(s{k}) > 0 THEN '{label}' END" for k, (_, label, b) in enumerate(templates) if b or not only
-    ) + "], x -> x IS NOT NULL)))"
+    ) + "], lambda x: x IS NOT NULL)))"
     return f"""
         WITH t AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'),
                        '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),

@@ -135,11 +135,11 @@ def top_k_embeddings(embeddings: DataFrame, k: int = K, every: int = EVERY, scal
 
 def oracle(k: int = K, every: int = EVERY, scale: int = SCALE) -> str:
     return f"""
-        WITH v AS (SELECT vec_id, list_transform(embedding, c -> floor(c::DOUBLE * {scale})::BIGINT) AS v
+        WITH v AS (SELECT vec_id, list_transform(embedding, lambda c: floor(c::DOUBLE * {scale})::BIGINT) AS v
                    FROM embeddings WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
-                   AND len(list_filter(embedding, c -> c IS NULL OR NOT isfinite(c))) = 0),
+                   AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
         s AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
-                     list_sum(list_transform(list_zip(q.v, c.v), p -> p[1] * p[2]))::BIGINT AS score
+                     list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2]))::BIGINT AS score
               FROM v q, v c WHERE q.vec_id % {every} = 0 AND c.vec_id <> q.vec_id AND len(q.v) = len(c.v)),
         r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s)
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= {k}"""

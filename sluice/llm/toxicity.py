@@ -2,8 +2,9 @@
 
 Fit. A bounded sample of labelled rows outside the held-out fold (``EXAMPLES`` per class, the
 smallest hashes of doc_id) gives the examples. Terms are lower-case words between ASCII
-separators and the first five bytes of longer words; those whose document counts differ most
-between the sample's classes (chi-square) span the vector space, at most ``TERMS`` of them.
+separators and the first five bytes of longer words; those that mark toxic examples most clearly
+(chi-square over the sample's classes) span the vector space, at most ``TERMS`` of them. A third
+of the sample is kept out of all this to calibrate the votes.
 Document frequencies of these terms are counted over the whole corpus. The examples' vectors
 form an inverted index cut into blocks of ``LANES`` examples with the largest weight of each term
 per block. Sample, term and example bounds are parameters, so the index that is shipped to the
@@ -12,7 +13,7 @@ tasks has a fixed largest size.
 Search. Per batch of documents the block maxima give an upper bound for every block; a block is
 scored (exactly, in double precision) only for documents whose bound reaches their current
 k-th cosine. The k nearest vote with their cosines, each class weighted by how thinly it was
-sampled; a monotone curve fitted to leave-one-out votes of the examples turns the vote into a
+sampled; a monotone curve fitted to the votes of the examples kept out turns the vote into a
 probability, and the neighbours are returned as evidence.
 
 Defined cases: null text counts as empty. A text with none of the terms has no neighbours; its
@@ -40,8 +41,8 @@ NEIGHBOURS = 15
 STEM = 5
 FOLDS, HELD_OUT = 5, 0
 THRESHOLD = 0.5
-#: chi-square of one degree of freedom at p = 0.0005
-LEAST_CHI = 12.1
+#: chi-square of one degree of freedom at p = 0.00001, as very many terms are tried
+LEAST_CHI = 20.0
 
 #: bytes between words: ASCII other than letters and digits
 _BETWEEN = np.zeros(256, dtype=bool)
@@ -126,7 +127,7 @@ class BlockMaxIndex:
         size = np.sqrt((out * out).sum(axis=1, keepdims=True))
         return np.divide(out, size, out=out, where=size > 0)
 
-    def nearest(self, q: np.ndarray, leave: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    def nearest(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Example numbers (-1: none) and cosines of the k nearest rows of the index."""
         n, k = len(q), self.k
         best, who = np.full((n, k), 0.0), np.full((n, k), -1, dtype=np.int64)
@@ -138,8 +139,6 @@ class BlockMaxIndex:
                 continue
             sims = np.round(q[live] @ self.rows[lo:hi].T, 12)
             here = np.broadcast_to(np.arange(lo, hi), sims.shape).copy()
-            if leave is not None:
-                sims[here == leave[live][:, None]] = 0.0
             here[sims <= 0] = -1
             sims = np.concatenate([best[live], sims], axis=1)
             here = np.concatenate([who[live], here], axis=1)
@@ -155,18 +154,16 @@ class BlockMaxIndex:
         total = w.sum(axis=1)
         return np.divide((w * self.toxic[who]).sum(axis=1), total, out=np.full(len(who), np.nan), where=total > 0)
 
-    def calibrate(self) -> None:
-        """Monotone fit (pool adjacent violators) of toxicity to leave-one-out votes."""
-        v = np.concatenate([self.votes(*self.nearest(self.rows[i:i + 500], np.arange(i, min(i + 500, len(self.rows)))))
-                            for i in range(0, len(self.rows), 500)])
+    def calibrate(self, q: np.ndarray, toxic: np.ndarray, w: np.ndarray) -> None:
+        """Monotone fit (pool adjacent violators) of toxicity to the votes of other examples."""
+        v = self.votes(*self.nearest(q))
         none = np.isnan(v)
-        w = self.weight
         if none.any():
-            self.blank = float((w[none] * self.toxic[none]).sum() / w[none].sum())
+            self.blank = float((w[none] * toxic[none]).sum() / w[none].sum())
         order = np.flatnonzero(~none)[np.argsort(v[~none], kind="stable")]
         pools: list[list[float]] = []
         for i in order:
-            pools.append([v[i] * w[i], self.toxic[i] * w[i], w[i]])
+            pools.append([v[i] * w[i], toxic[i] * w[i], w[i]])
             while len(pools) > 1 and pools[-2][1] / pools[-2][2] >= pools[-1][1] / pools[-1][2]:
                 x = pools.pop()
                 pools[-1] = [p + q for p, q in zip(pools[-1], x)]
@@ -186,12 +183,14 @@ def fit(documents: DataFrame, labels: DataFrame, examples: int = EXAMPLES, terms
                     & ~in_fold(F.col("doc_id"), FOLDS, HELD_OUT)).distinct())
     mark = F.xxhash64("doc_id", F.lit(7))
     counts = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
+    known = known.withColumn("aside", F.pmod(F.xxhash64("doc_id", F.lit(8)), F.lit(3)) == 0)
     picks = [known.where(F.col("toxic") == c).orderBy(mark, "doc_id").limit(examples) for c in (0, 1)]
     picked = stage(picks[0].unionByName(picks[1]), "examples")
     sample = stage(documents.select("doc_id", "text").join(
         F.broadcast(picked), "doc_id").dropDuplicates(["doc_id", "toxic"]), "sample")
-    found = sample.mapInArrow(_term_batches, f"doc_id {_kind(documents)}, toxic int, terms array<long>")
-    n = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
+    used = sample.where("not aside")
+    found = used.select("doc_id", "toxic", "text").mapInArrow(_term_batches, f"doc_id {_kind(documents)}, toxic int, terms array<long>")
+    n = {r["toxic"]: r["count"] for r in used.groupBy("toxic").count().collect()}
     if not (n.get(0) and n.get(1)):
         total = sum(counts.values())
         return None, None, (counts.get(1, 0) / total if total else 0.0), None
@@ -201,7 +200,7 @@ def fit(documents: DataFrame, labels: DataFrame, examples: int = EXAMPLES, terms
     chi = ((F.col("a") * (n0 - F.col("b")) - F.col("b") * (n1 - F.col("a"))) ** 2 * (n1 + n0)
            / (n1 * n0 * (F.col("a") + F.col("b")) * (n1 + n0 - F.col("a") - F.col("b"))))
     top = (found.select("toxic", F.explode("terms").alias("term")).groupBy("term").agg(a.alias("a"), b.alias("b"))
-           .where(F.col("a") + F.col("b") < n1 + n0).withColumn("chi", chi).where(F.col("chi") >= LEAST_CHI)
+           .where((F.col("a") + F.col("b") < n1 + n0) & (F.col("a") * n0 > F.col("b") * n1)).withColumn("chi", chi).where(F.col("chi") >= LEAST_CHI)
            .orderBy(F.desc("chi"), "term").limit(terms).collect())
     vocabulary = np.array([r["term"] for r in top], dtype=np.int64).view(np.uint64)
     return vocabulary, sample, {c: counts[c] / n[c] for c in (0, 1)}, n
@@ -227,11 +226,14 @@ def score_toxicity(documents: DataFrame, labels: DataFrame, examples: int = EXAM
     idf = np.array([np.log((1 + total) / (1 + df.get(t, 0))) + 1 for t in range(len(vocabulary))])
     rows = sorted(sample.select("doc_id", "text").mapInArrow(_vector_batches(vocabulary), form).collect(),
                   key=lambda r: r["doc_id"])
-    label = {r["doc_id"]: r["toxic"] for r in sample.select("doc_id", "toxic").collect()}
-    toxic = np.array([label[r["doc_id"]] for r in rows])
-    index = BlockMaxIndex(idf, [r["doc_id"] for r in rows], toxic, [r["terms"] for r in rows],
-                          [r["tf"] for r in rows], np.where(toxic == 1, share[1], share[0]), neighbours)
-    index.calibrate()
+    label = {r["doc_id"]: (r["toxic"], r["aside"]) for r in sample.select("doc_id", "toxic", "aside").collect()}
+    inside, aside = ([r for r in rows if label[r["doc_id"]][1] == x] for x in (False, True))
+    toxic, kept = (np.array([label[r["doc_id"]][0] for r in part]) for part in (inside, aside))
+    weigh = lambda t: np.where(t == 1, share[1], share[0])
+    index = BlockMaxIndex(idf, [r["doc_id"] for r in inside], toxic, [r["terms"] for r in inside],
+                          [r["tf"] for r in inside], weigh(toxic), neighbours)
+    if len(kept):
+        index.calibrate(index.vectors([r["terms"] for r in aside], [r["tf"] for r in aside]), kept, weigh(kept))
 
     def run(batches):
         for batch in batches:
