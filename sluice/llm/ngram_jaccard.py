@@ -14,11 +14,12 @@ words is one shingle; no words, no set). Two documents link when
    its own second level (1, 2, 4, ... 16): every step lengthens its prefix and raises the
    number of shared prefix shingles asked for, and the level with the least estimated cost
    (postings read + candidates left to verify) wins.
-4. Every document is first verified against one pivot: the lowest document of the shingle
-   buckets they share. What links becomes components. Buckets that lie in one component are
-   closed; within the others only pairs of different components are counted and verified
-   (exactly, on whole sets), so a group of thousands of near copies costs a line, not a square,
-   and no link between components is lost.
+4. Every document is first verified against one pivot, the lowest document of the shingle
+   buckets they share most; buckets that now lie in one component are closed. Within the others
+   documents of different components are compared exactly: through shingles of at most ``HOT``
+   documents as pairs that share enough of them, and through more frequent shingles in blocks,
+   where matrix products count the overlaps and only a spanning forest of the links comes out.
+   A group of thousands of near copies thus never becomes pairs of rows.
 
 Defined cases: null or blank text: n_shingles 0, component_id = doc_id. Repeated rows are
 separate rows of one class. A null doc_id is ignored in the minimum. Only ``doc_id`` and
@@ -29,6 +30,7 @@ Sets are compared by 64-bit shingle hashes.
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -41,6 +43,11 @@ K = 5
 LEVELS = (1, 2, 4, 8, 16)
 #: cost of verifying one candidate, in postings read per shingle of the document
 VERIFY = 0.5
+#: postings of a shingle beyond which its documents are compared in blocks
+HOT = 24
+#: documents of a block, and shingles counted by one matrix product
+BLOCK = 512
+COLUMNS = 4096
 
 
 def need(n):
@@ -104,7 +111,7 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             .where(100 * hit >= 80 * (F.size("ga") + F.size("gb") - hit)).select("a", "b"))
 
 
-def jaccard_components(documents: DataFrame, k: int = K) -> DataFrame:
+def jaccard_components(documents: DataFrame, k: int = K, hot: int = HOT) -> DataFrame:
     """``doc_id, n_shingles, component_id, class_size`` for every row of ``documents``."""
     docs = documents.select("doc_id", "text", *text_key())
     kind = documents.schema["doc_id"].dataType.simpleString()
@@ -148,26 +155,19 @@ def jaccard_components(documents: DataFrame, k: int = K) -> DataFrame:
     sets = stage(texts.select("node", "text").mapInArrow(_set_batches(k), "node long, grams array<long>"),
                  "whole-sets")
 
-    # pivots, then whatever still lies in different components
-    links = None
-    label = stage(posts.select("node").distinct().withColumn("comp", F.col("node")), "labels")
-    for _ in range(2):
-        open_posts = _open(posts, label)
-        pivot = open_posts.groupBy("gram").agg(F.min(F.struct("comp", "node")).alias("p"))
-        met = (open_posts.join(pivot, "gram").where(F.col("comp") > F.col("p.comp"))
-               .groupBy("node", F.col("p.node").alias("pivot")).agg(F.count("*").alias("c")))
-        best = met.groupBy("node").agg(F.max(F.struct("c", "pivot")).alias("m"))
-        found = _verified(best.select(F.col("node").alias("a"), F.col("m.pivot").alias("b")), sets)
-        links = stage(found if links is None else links.unionByName(found), "links")
-        label = _relabel(posts, links)
-    open_posts = stage(_open(posts, label), "open")
-    x = open_posts.select("gram", *[F.col(c).alias(f"{c}1") for c in ("node", "n", "level", "comp")])
-    y = open_posts.select("gram", *[F.col(c).alias(f"{c}2") for c in ("node", "n", "level", "comp")])
-    rest = (x.join(y, "gram")
-            .where("comp1 < comp2 and 5 * n1 >= 4 * n2 and 5 * n2 >= 4 * n1")
-            .groupBy("node1", "node2").agg(F.count("*").alias("c"), F.min(F.least("level1", "level2")).alias("l"))
-            .where("c >= l").select(F.col("node1").alias("a"), F.col("node2").alias("b")))
-    links = links.unionByName(_verified(rest, sets))
+    # one pivot for each document, then whatever still lies in different components
+    pivot = posts.groupBy("gram").agg(F.min("node").alias("p"))
+    met = posts.join(pivot, "gram").where("node > p").groupBy("node", "p").agg(F.count("*").alias("c"))
+    best = met.groupBy("node").agg(F.max(F.struct("c", "p")).alias("m"))
+    links = stage(_verified(best.select(F.col("node").alias("a"), F.col("m.p").alias("b")), sets), "links")
+    label = stage(posts.select("node").distinct().join(components(links), "node", "left")
+                  .select("node", F.coalesce("comp", "node").alias("comp")), "labels")
+    open_posts = posts.join(sized(label), "node")
+    mixed = (open_posts.groupBy("gram").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"),
+                                            F.count("*").alias("df")).where("lo < hi").select("gram", "df"))
+    open_posts = stage(open_posts.join(mixed, "gram"), "open")
+    links = stage(links.unionByName(_rare_pairs(open_posts.where(F.col("df") <= hot), sets))
+                  .unionByName(_hot_links(open_posts.where(F.col("df") > hot), sets)), "links")
     comps = components(links)
 
     # every row: class, component, smallest id
@@ -182,17 +182,75 @@ def jaccard_components(documents: DataFrame, k: int = K) -> DataFrame:
     return out.unionByName(blank)
 
 
-def _relabel(posts: DataFrame, links: DataFrame) -> DataFrame:
-    nodes = posts.select("node").distinct()
-    return stage(nodes.join(components(links), "node", "left")
-                 .select("node", F.coalesce("comp", "node").alias("comp")), "labels")
-
-
-def _open(posts: DataFrame, label: DataFrame) -> DataFrame:
-    """Postings, with components, of shingles that lie in two components or more."""
-    p = posts.join(sized(label), "node")
-    mixed = p.groupBy("gram").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("gram")
-    return p.join(mixed, "gram")
+def _rare_pairs(posts: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links of documents in different components that share enough shingles with short lists.
+
+    Lists are bounded, so pairs grow with the postings. A pair that also shares a long list is
+    found by :func:`_hot_links`; any other has all its matches here."""
+    x = posts.select("gram", *[F.col(c).alias(f"{c}1") for c in ("node", "n", "level", "comp")])
+    y = posts.select("gram", *[F.col(c).alias(f"{c}2") for c in ("node", "n", "level", "comp")])
+    pairs = (x.join(y, "gram").where("comp1 < comp2 and 5 * n1 >= 4 * n2 and 5 * n2 >= 4 * n1")
+             .groupBy("node1", "node2").agg(F.count("*").alias("c"), F.min(F.least("level1", "level2")).alias("l"))
+             .where("c >= l"))
+    return _verified(pairs.select(F.col("node1").alias("a"), F.col("node2").alias("b")), sets)
+
+
+def _hot_links(posts: DataFrame, sets: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Links of documents that share shingles with long lists.
+
+    Such documents are gathered into clusters by stars over the lists; a cluster is cut into
+    blocks of documents, and each pair of blocks is one group that counts whole-set overlaps by
+    matrix products and returns a spanning forest of its links, a row a document at most."""
+    low = posts.groupBy("gram").agg(F.min("node").alias("b"))
+    stars = posts.join(low, "gram").select(F.col("node").alias("a"), "b").where("a <> b").distinct()
+    member = stage(components(stars), "clusters")
+    size = member.groupBy("comp").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("blocks"))
+    cut = stage(member.join(sized(stage(size, "cluster-sizes")), "comp")
+                .withColumn("at", F.pmod(F.xxhash64("node", F.lit(5)), "blocks").cast("int")), "cuts")
+    cut = sets.join(sized(cut), "node").select(F.col("comp").alias("cluster"), "at", "blocks", "node", "grams")
+    cut = stage(cut, "cluster-sets")
+    left = cut.select("cluster", F.col("at").alias("i"), F.explode(F.expr("sequence(at, blocks - 1)")).alias("j"),
+                      "node", "grams")
+    right = cut.where("at > 0").select(F.col("cluster").alias("cluster2"), F.explode(F.expr("sequence(0, at - 1)")).alias("i2"),
+                                       F.col("at").alias("j2"), F.col("node").alias("node2"), F.col("grams").alias("grams2"))
+    return (left.groupBy("cluster", "i", "j").cogroup(right.groupBy("cluster2", "i2", "j2"))
+            .applyInPandas(_block_links, "a long, b long"))
+
+
+def _block_links(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    """Spanning forest of the links between two blocks (or inside one: no right side)."""
+    parts = [left["grams"]] if right.empty else [left["grams"], right["grams2"]]
+    nodes = np.concatenate([left["node"], *([] if right.empty else [right["node2"]])]).astype(np.int64)
+    grams = [np.asarray(g, dtype=np.int64) for part in parts for g in part]
+    n = np.array([len(g) for g in grams])
+    owner = np.repeat(np.arange(len(grams)), n)
+    flat = np.concatenate(grams) if grams else np.zeros(0, np.int64)
+    _, gram, count = np.unique(flat, return_inverse=True, return_counts=True)
+    shared = count[gram] > 1
+    owner, gram = owner[shared], np.unique(gram[shared], return_inverse=True)[1]
+    width = int(gram.max()) + 1 if len(gram) else 0
+    order = np.argsort(gram, kind="stable")
+    owner, gram = owner[order], gram[order]
+    a = len(left)
+    lo = (0, a) if right.empty else (a, len(grams))
+    overlap = np.zeros((a, lo[1] - lo[0]), dtype=np.float32)
+    for start in range(0, width, COLUMNS):
+        x, y = np.searchsorted(gram, [start, start + COLUMNS])
+        dense = np.zeros((len(grams), min(COLUMNS, width - start)), dtype=np.float32)
+        dense[owner[x:y], gram[x:y] - start] = 1
+        overlap += dense[:a] @ dense[lo[0]:lo[1]].T
+    link = 100 * overlap >= 80 * (n[:a, None] + n[None, lo[0]:lo[1]] - overlap)
+    label = np.arange(len(grams))
+    while True:
+        before = label.copy()
+        low = np.where(link, label[None, lo[0]:lo[1]], len(grams)).min(axis=1, initial=len(grams))
+        label[:a] = np.minimum(label[:a], low)
+        low = np.where(link, label[:a, None], len(grams)).min(axis=0, initial=len(grams))
+        label[lo[0]:lo[1]] = np.minimum(label[lo[0]:lo[1]], low)
+        if (label == before).all():
+            break
+    moved = label != np.arange(len(grams))
+    return pd.DataFrame({"a": nodes[moved], "b": nodes[label[moved]]})
 
 
 def keep_one(documents: DataFrame, k: int = K) -> DataFrame:
