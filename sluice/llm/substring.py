@@ -11,8 +11,9 @@ each physical window lies in exactly one segment. Only minimizers seen twice or
 (a count over one hash in about 14 words). Per minimizer:
 
 * one distinct segment seen twice or more: everything under it repeats;
-* several distinct segments: their suffix automaton, with occurrence counts weighted by how
-  often each segment was seen, is built where the segments meet; streaming each segment through
+* several distinct segments: each is trimmed to the words it shares with another to the left and
+  right of the minimizer, and equal remains are added up; their suffix automaton, with occurrence
+  counts weighted by how often each was seen, is built where they meet; streaming each segment through
   it gives matching statistics (longest suffix at each word that occurs twice or more), and
   spans of ``window`` words or more are removed;
 * more than ``SHARD`` distinct segments (a passage copied into very many contexts): the group
@@ -49,6 +50,8 @@ GRAM = 8
 SHARD = 4000
 #: segment fingerprints a scan task remembers, so as to send each segment's words once
 SEEN = 200_000
+#: segments of one task of shards
+BUCKET = 5000
 
 
 def _minimizers(gram_hashes: np.ndarray, span: int) -> np.ndarray:
@@ -60,7 +63,7 @@ def _minimizers(gram_hashes: np.ndarray, span: int) -> np.ndarray:
 def _class_batches(window: int, gram: int):
     def run(batches):
         for batch in batches:
-            n, s1, s2, mins = [], [], [], []
+            n, s1, s2, mins, times = [], [], [], [], []
             for c in W.chunks(batch.column("text")):
                 g = W.grams(c.hashes, gram)
                 for d in range(c.docs):
@@ -70,11 +73,14 @@ def _class_batches(window: int, gram: int):
                     s1.append(x)
                     s2.append(y)
                     mine = g[a:b - gram + 1]
-                    mins.append(mine[np.unique(_minimizers(mine, window - gram + 1))] if b - a >= window else mine[:0])
+                    at = np.unique(_minimizers(mine, window - gram + 1)) if b - a >= window else slice(0)
+                    value, often = np.unique(mine[at], return_counts=True)
+                    mins.append(value)
+                    times.append(often.astype(np.int64))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("tk1"), batch.column("tk2"), pa.array(n, pa.int64()),
-                 pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), W.list_column(mins)],
-                names=["doc_id", "tk1", "tk2", "n", "s1", "s2", "mins"])
+                 pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), W.list_column(mins), W.list_column(times)],
+                names=["doc_id", "tk1", "tk2", "n", "s1", "s2", "mins", "times"])
     return run
 
 
@@ -111,6 +117,7 @@ def _segment_batches(window: int, gram: int):
                         out["node"].append(node)
                         out["start"].append(s)
                         out["size"].append(e + window - s)
+                        out["at"].append(int(at[s]) - s)
                         if sig in seen:
                             out["words"].append(None)
                         else:
@@ -124,7 +131,7 @@ def _segment_batches(window: int, gram: int):
 
 
 SEGMENT = [("m", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("node", pa.int64()),
-           ("start", pa.int32()), ("size", pa.int32()), ("words", pa.binary())]
+           ("start", pa.int32()), ("size", pa.int32()), ("at", pa.int32()), ("words", pa.binary())]
 
 
 class SuffixAutomaton:
@@ -195,16 +202,74 @@ class SuffixAutomaton:
         return found
 
 
-def _shard(pdf: pd.DataFrame, least: int) -> pd.DataFrame:
-    """Matching statistics of the segments of one minimizer."""
-    auto = SuffixAutomaton()
-    sequences = [np.frombuffer(b, dtype=np.uint32).tolist() for b in pdf["words"]]
-    for s, weight in zip(sequences, pdf["seen"]):
-        auto.add(s, int(weight))
-    auto.settle()
-    rows = [(m, f1, f2, a, b) for m, f1, f2, s in zip(pdf["m"], pdf["f1"], pdf["f2"], sequences)
-            for a, b in auto.spans(s, least)]
-    return pd.DataFrame(rows, columns=["m", "f1", "f2", "a", "b"])
+def _common(rows: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """For each row of words (its group first, cut at ``stop`` words): the longest beginning,
+    group excluded, that it shares with another row of its group. Sorting puts the row that
+    shares most next to it."""
+    n, width = rows.shape
+    order = np.argsort(np.ascontiguousarray(rows).view(f"V{4 * width}").ravel(), kind="stable")
+    line = rows[order]
+    differ = np.ones((n - 1, width + 1), dtype=bool)
+    differ[:, :width] = line[1:] != line[:-1]
+    same = differ.argmax(axis=1) - 2
+    best = np.full(n, -1)
+    best[:-1] = same
+    best[1:] = np.maximum(best[1:], same)
+    out = np.empty(n, dtype=np.int64)
+    out[order] = best
+    return np.minimum(out, stop)
+
+
+def _trim(m: np.ndarray, blobs: list, at: np.ndarray, seen: np.ndarray, gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """Words of each segment, as ``[a, b)``, outside which it cannot repeat: to the left and right
+    of its minimizer it must agree with some other segment of the minimizer."""
+    size = np.array([len(b) // 4 for b in blobs])
+    left, right = at, size - at - gram
+    owner = m.view(np.uint32).reshape(len(m), 2)
+    sides = []
+    for length, cut in ((left, lambda w, i: w[:i][::-1]), (right, lambda w, i: w[i + gram:])):
+        table = np.zeros((len(m), 2 + int(length.max(initial=0)) + 1), dtype=np.uint32)
+        table[:, :2] = owner
+        for k, (blob, i) in enumerate(zip(blobs, at)):
+            words = cut(np.frombuffer(blob, dtype=np.uint32), i)
+            table[k, 2:2 + len(words)] = words
+        # words after the end are zeros that may match zeros: the cut at the length undoes that
+        sides.append(np.where(seen > 1, length, np.maximum(_common(table, length), -1)))
+    near = (sides[0] >= 0) & (sides[1] >= 0)
+    return np.where(near, at - sides[0], 0), np.where(near, at + gram + sides[1], 0)
+
+
+def _shards(least: int, gram: int):
+    """Matching statistics of all segments of some minimizers, one automaton for each."""
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        m = pdf["m"].to_numpy()
+        blobs, seen = pdf["words"].tolist(), pdf["seen"].to_numpy()
+        a, b = _trim(m, blobs, pdf["at"].to_numpy().astype(np.int64), seen, gram)
+        groups: dict[int, dict[bytes, int]] = defaultdict(lambda: defaultdict(int))
+        cut: list[bytes | None] = []
+        for k in range(len(m)):
+            blob = blobs[k][4 * a[k]:4 * b[k]] if b[k] - a[k] >= least else None
+            cut.append(blob)
+            if blob is not None:
+                groups[m[k]][blob] += int(seen[k])
+        found: dict[tuple[int, bytes], list[tuple[int, int]]] = {}
+        for key, weights in groups.items():
+            if len(weights) == 1:
+                (blob, weight), = weights.items()
+                found[key, blob] = [(0, len(blob) // 4)] if weight > 1 else []
+                continue
+            auto = SuffixAutomaton()
+            sequences = {blob: np.frombuffer(blob, dtype=np.uint32).tolist() for blob in weights}
+            for blob, weight in weights.items():
+                auto.add(sequences[blob], weight)
+            auto.settle()
+            for blob, sequence in sequences.items():
+                found[key, blob] = auto.spans(sequence, least)
+        rows = [(m[k], f1, f2, int(a[k]) + x, int(a[k]) + y)
+                for k, (f1, f2) in enumerate(zip(pdf["f1"], pdf["f2"])) if cut[k] is not None
+                for x, y in found[m[k], cut[k]]]
+        return pd.DataFrame(rows, columns=["m", "f1", "f2", "a", "b"])
+    return run
 
 
 def _window_batches(window: int):
@@ -227,15 +292,17 @@ def repeated_spans(documents: DataFrame, window: int = WINDOW, gram: int = GRAM,
     docs = documents.select("doc_id", "text", *text_key())
     kind = documents.schema["doc_id"].dataType.simpleString()
     base = stage(docs.mapInArrow(_class_batches(window, gram),
-                                 f"doc_id {kind}, tk1 long, tk2 int, n long, s1 long, s2 long, mins array<long>")
+                                 f"doc_id {kind}, tk1 long, tk2 int, n long, s1 long, s2 long, "
+                                 "mins array<long>, times array<long>")
                  .where(F.col("n") >= window).withColumn("node", F.monotonically_increasing_id()), "sequences")
     classes = stage(base.groupBy("s1", "s2", "n").agg(F.min("node").alias("node"), F.count("*").alias("c")), "classes")
     many = classes.where("c > 1").select("s1", "s2", "n", F.col("node").alias("first"))
     spare = stage(base.select("s1", "s2", "n", "node").join(many, ["s1", "s2", "n"]).where("node <> first")
                   .select("node"), "spare")
-    posts = (base.select("node", "mins").join(sized(spare), "node", "left_anti")
-             .select("node", F.explode("mins").alias("m")))
-    seen = posts.groupBy("m").agg(F.count("*").alias("c")).where("c > 1").select("m")
+    posts = (base.select("node", "mins", "times").join(sized(spare), "node", "left_anti")
+             .select("node", F.explode(F.arrays_zip("mins", "times")).alias("z")).select("node", "z.mins", "z.times")
+             .withColumnRenamed("mins", "m"))
+    seen = posts.groupBy("m").agg(F.sum("times").alias("c")).where("c > 1").select("m")
     wanted = stage(posts.join(seen, "m").groupBy("node").agg(F.collect_set("m").alias("wanted")), "wanted")
 
     # segments of the repeated minimizers, from the documents' texts
@@ -243,7 +310,7 @@ def repeated_spans(documents: DataFrame, window: int = WINDOW, gram: int = GRAM,
     texts = one_row_each(docs, keys, has_repeats(base), 200_000)
     segments = stage(texts.select("node", "wanted", "text").mapInArrow(
         _segment_batches(window, gram),
-        "m long, f1 long, f2 long, node long, start int, size int, words binary"), "segments")
+        "m long, f1 long, f2 long, node long, start int, size int, at int, words binary"), "segments")
     distinct = segments.groupBy("m", "f1", "f2").agg(F.count("*").alias("seen"), F.max("size").alias("size"))
     distinct = stage(distinct, "distinct")
     groups = stage(distinct.groupBy("m").agg(F.count("*").alias("kinds"), F.sum("seen").alias("total"))
@@ -252,12 +319,14 @@ def repeated_spans(documents: DataFrame, window: int = WINDOW, gram: int = GRAM,
     lone = (distinct.join(groups.where("kinds = 1").select("m"), "m")
             .select("m", "f1", "f2", F.lit(0).alias("a"), F.col("size").alias("b")))
     texts_of = (segments.where("words is not null").groupBy("m", "f1", "f2")
-                .agg(F.first("words").alias("words")))
+                .agg(F.first("words").alias("words"), F.max("at").alias("at")))
     mixed = (texts_of.join(groups.where("kinds > 1").select("m", "kinds"), "m")
              .join(distinct.select("m", "f1", "f2", "seen"), ["m", "f1", "f2"]))
     mixed = stage(mixed, "mixed")
-    shards = (mixed.where(F.col("kinds") <= shard).groupBy("m")
-              .applyInPandas(lambda pdf: _shard(pdf, window), "m long, f1 long, f2 long, a int, b int"))
+    tame = mixed.where(F.col("kinds") <= shard)
+    buckets = max(1, -(-tame.count() // BUCKET))
+    shards = (tame.withColumn("bucket", F.pmod(F.xxhash64("m"), F.lit(buckets))).groupBy("bucket")
+              .applyInPandas(_shards(window, gram), "m long, f1 long, f2 long, a int, b int"))
     singles = stage(mixed.where(F.col("kinds") > shard).select("m", "f1", "f2", "words", "seen").mapInPandas(
         _window_batches(window), "m long, f1 long, f2 long, j int, w1 long, w2 long, seen long"), "windows")
     twice = (singles.groupBy("m", "w1", "w2").agg(F.sum("seen").alias("c")).where("c > 1").select("m", "w1", "w2"))
@@ -280,7 +349,7 @@ def repeated_spans(documents: DataFrame, window: int = WINDOW, gram: int = GRAM,
 def _kept(text: str | None, spans) -> tuple[int, int, bytes]:
     """Words, words removed, and the kept words joined by one space."""
     words = (text or "").encode().split()
-    if not spans:
+    if spans is None or len(spans) == 0:
         return len(words), 0, b" ".join(words)
     keep = np.ones(len(words), dtype=bool)
     for s in spans:
@@ -323,6 +392,8 @@ def substring_report(documents: DataFrame, window: int = WINDOW) -> DataFrame:
 def remove_repeats(documents: DataFrame, window: int = WINDOW) -> DataFrame:
     """``documents`` with the repeated spans cut out of ``text``: the words that stay are joined
     by one space; a text that loses nothing stays as it is. Every row is kept."""
-    both = _with_spans(documents, repeated_spans(documents, window))
-    return both.withColumn("text", F.when(F.col("_spans").isNull(), F.col("text"))
-                           .otherwise(F.pandas_udf(_kept_text, "string")("text", "_spans"))).select(*documents.columns)
+    rows = documents.select("doc_id", "text", F.struct(*documents.columns).alias("row"))
+    both = _with_spans(rows, repeated_spans(documents, window))
+    text = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(
+        F.pandas_udf(_kept_text, "string")("text", "_spans"))
+    return both.select(*[text.alias(c) if c == "text" else F.col("row")[c].alias(c) for c in documents.columns])
