@@ -2,7 +2,8 @@
 
 Sources (by code point, null last) weigh 5, 2, 1, repeating, and share the size of the whole
 corpus; no target passes ``MOST`` times its source's size, and what is cut off is shared again by
-weight. A source's rate (target / size) gives each of its documents a whole number of copies and
+weight. The few documents that hold over 1 / ``LARGE`` of their source are settled first, one
+after the other. For the rest, a source's rate (words owed / words left) gives each of its documents a whole number of copies and
 a fractional inclusion probability for one more.
 
 The flight phase moves these fractions through the null space of two constraints (tokens and
@@ -32,6 +33,8 @@ WEIGHTS = (5, 2, 1)
 MOST = 3
 #: documents that one flight task takes
 BLOCK = 20_000
+#: documents over 1 / LARGE of their source's size are decided before the flights
+LARGE = 200
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -116,6 +119,28 @@ def land(prob: np.ndarray, size: np.ndarray, miss: float) -> np.ndarray:
     return out
 
 
+def _settle(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Copies of a source's largest documents, one after the other: each takes the rate that the
+    words still owed ask for, rounded up or down by a hash, so that what is left can still be met."""
+    pdf = pdf.sort_values(["size", "mark", "rep"], ascending=[False, True, True], kind="stable")
+    owed, left = float(pdf["target"].iloc[0]), int(pdf["source_size"].iloc[0])
+    copies = []
+    for size, mark in zip(pdf["size"].tolist(), pdf["mark"].tolist()):
+        rate = min(float(MOST), max(0.0, owed / left)) if left else 0.0
+        low = min(int(rate), MOST)
+        left -= size
+        fits = [c for c in (low, low + 1) if c <= MOST and 0 <= owed - c * size <= MOST * left]
+        if len(fits) == 1:
+            c = fits[0]
+        elif fits:
+            c = low + ((mark * 0x9E3779B97F4A7C15 >> 11 & (1 << 53) - 1) / (1 << 53) < rate - low)
+        else:
+            c = min((low, min(low + 1, MOST)), key=lambda c: abs(owed - c * size - min(max(owed - c * size, 0), MOST * left)))
+        owed -= c * size
+        copies.append(c)
+    return pdf.assign(copies=copies)[["unit", "source_no", "size", "copies"]]
+
+
 def _flight(pdf: pd.DataFrame) -> pd.DataFrame:
     pdf = pdf.sort_values(["size", "mark", "rep"], ascending=[False, True, True], kind="stable")
     pdf["prob"] = fly(pdf["prob"].to_numpy(), pdf["size"].to_numpy())
@@ -140,13 +165,20 @@ def mix_plan(documents: DataFrame, block: int = BLOCK) -> DataFrame:
     units = stage(units.select("doc_id", "source", "size", "mark",
                                F.explode(F.sequence(F.lit(1), F.col("m"))).alias("rep")), "sizes")
     sources = stage(source_targets(units), "targets")
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    key = sources.select(F.col("source").alias("_s"), "source_no", "source_size", "units", "target",
-                         rate.alias("rate"))
-    rows = (units.join(sized(key), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
-            .withColumn("base", F.floor(F.col("rate") + 1e-12)))
-    rows = stage(rows.withColumn("prob", F.greatest(F.lit(0.0), F.col("rate") - F.col("base")))
-                 .withColumn("unit", F.monotonically_increasing_id()), "units")
+    key = sources.select(F.col("source").alias("_s"), "source_no", "source_size", "units", "target")
+    every = stage(units.join(sized(key), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
+                  .withColumn("unit", F.monotonically_increasing_id()), "every")
+    # a source's largest documents (at most LARGE of them) first; the rest makes up what they miss
+    large = F.col("size") * LARGE > F.col("source_size")
+    settled = stage(every.where(large).select("mark", "rep", "size", "source_no", "source_size", "target", "unit")
+                    .groupBy("source_no").applyInPandas(_settle, "unit long, source_no int, size long, copies int"), "large")
+    used = stage(settled.groupBy("source_no").agg(F.sum("size").alias("held"),
+                                                  F.sum(F.col("size") * F.col("copies")).alias("used")), "used")
+    rest = every.where(~large).join(sized(used), "source_no", "left").fillna(0, ["held", "used"])
+    rate = F.when(F.col("source_size") > F.col("held"), F.least(F.lit(float(MOST)), F.greatest(F.lit(0.0), (
+        F.col("target") - F.col("used")) / (F.col("source_size") - F.col("held"))))).otherwise(0.0)
+    rows = rest.withColumn("rate", rate).withColumn("base", F.floor(F.col("rate") + 1e-12))
+    rows = stage(rows.withColumn("prob", F.greatest(F.lit(0.0), F.col("rate") - F.col("base"))), "units")
 
     # flights: blocks of bounded size, then the undecided rest, until one block a source is left
     schema = "size long, mark long, rep long, source_no int, unit long, prob double"
@@ -177,9 +209,11 @@ def mix_plan(documents: DataFrame, block: int = BLOCK) -> DataFrame:
     more = rows.join(done.withColumnRenamed("prob", "x"), "unit", "left")
     copies = F.col("base") + F.when(F.col("x").isNotNull(), F.col("x").cast("int")).otherwise(
         (F.col("prob") >= 1 - 1e-9).cast("int"))
-    return (more.withColumn("copies", F.least(F.lit(MOST), copies).cast("int"))
-            .select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"),
-                    "source", "copies"))
+    names = ["doc_id", "size", "source_size", "target", "source", "copies"]
+    out = more.withColumn("copies", F.least(F.lit(MOST), copies).cast("int")).select(*names).unionByName(
+        every.where(large).join(settled.select("unit", "copies"), "unit").select(*names))
+    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"),
+                      "source", "copies")
 
 
 def mix_documents(documents: DataFrame, block: int = BLOCK) -> DataFrame:

@@ -382,6 +382,28 @@ def encode_documents(documents: DataFrame, model_path: str) -> DataFrame:
         f"doc_id {_kind(documents)}, ids array<int>, begins array<int>, ends array<int>")
 
 
+def encode_for_training(documents: DataFrame, model_path: str) -> DataFrame:
+    """``doc_id, source, n_tokens, ids, round_trip``: ids with the end id; whether they decode to
+    the text (they do, unless it holds U+2581)."""
+    blob = Path(model_path).read_bytes()
+
+    def run(batches):
+        model = _model(blob)
+        for batch in batches:
+            for part in _slices(batch):
+                ids, back = [], []
+                for text in part.column("text").to_pylist():
+                    parts = model.parts(text)
+                    ids.append(np.array([i for p in parts for i in p[3]] + [model.end], np.int32))
+                    back.append(model.decode_parts(parts) == (text or ""))
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("doc_id"), part.column("source"), pa.array([len(i) for i in ids], pa.int64()),
+                     _ints(ids), pa.array(back, pa.bool_())],
+                    names=["doc_id", "source", "n_tokens", "ids", "round_trip"])
+    return documents.select("doc_id", "source", "text").mapInArrow(
+        run, f"doc_id {_kind(documents)}, source string, n_tokens long, ids array<int>, round_trip boolean")
+
+
 def decode_documents(encoded: DataFrame, model_path: str) -> DataFrame:
     """``doc_id, text`` from ``doc_id, ids``; null ids decode to the empty text."""
     blob = Path(model_path).read_bytes()
