@@ -19,8 +19,8 @@ probability, and the neighbours are returned as evidence.
 Defined cases: null text counts as empty. A text with none of the terms has no neighbours; its
 score is the weighted share of toxic examples among those without terms (0 if there are none).
 Equal cosines (to 12 digits) prefer the example with the smaller doc_id. Null labels and ids do
-not train; without examples of both classes the score is the labels' toxic share (0 without
-labels). Repeated rows are scored alike. Only ``doc_id`` and ``text`` are read.
+not train; without examples of both classes, or without a term that tells them apart, the score
+is the labels' toxic share (0 without labels). Repeated rows are scored alike. Only ``doc_id`` and ``text`` are read.
 """
 
 from __future__ import annotations
@@ -177,7 +177,8 @@ class BlockMaxIndex:
 
 
 def fit(documents: DataFrame, labels: DataFrame, examples: int = EXAMPLES, terms: int = TERMS):
-    """Vocabulary and sample of the index: ``(vocabulary, sample rows, share, sample texts)``."""
+    """Vocabulary and sample of the index: ``(vocabulary, sample rows, rows that one of a class stands
+    for)``; without two classes or a term that marks one, ``(None, None, toxic share)``."""
     known = (labels.select("doc_id", F.col("toxic").cast("int").alias("toxic"))
              .where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()
                     & ~in_fold(F.col("doc_id"), FOLDS, HELD_OUT)).distinct())
@@ -191,9 +192,10 @@ def fit(documents: DataFrame, labels: DataFrame, examples: int = EXAMPLES, terms
     used = sample.where("not aside")
     found = used.select("doc_id", "toxic", "text").mapInArrow(_term_batches, f"doc_id {_kind(documents)}, toxic int, terms array<long>")
     n = {r["toxic"]: r["count"] for r in used.groupBy("toxic").count().collect()}
+    total = sum(counts.values())
+    share = counts.get(1, 0) / total if total else 0.0
     if not (n.get(0) and n.get(1)):
-        total = sum(counts.values())
-        return None, None, (counts.get(1, 0) / total if total else 0.0), None
+        return None, None, share
     a = F.sum(F.col("toxic")).cast("double")
     b = F.count("*") - a
     n1, n0 = float(n[1]), float(n[0])
@@ -203,7 +205,9 @@ def fit(documents: DataFrame, labels: DataFrame, examples: int = EXAMPLES, terms
            .where((F.col("a") + F.col("b") < n1 + n0) & (F.col("a") * n0 > F.col("b") * n1)).withColumn("chi", chi).where(F.col("chi") >= LEAST_CHI)
            .orderBy(F.desc("chi"), "term").limit(terms).collect())
     vocabulary = np.array([r["term"] for r in top], dtype=np.int64).view(np.uint64)
-    return vocabulary, sample, {c: counts[c] / n[c] for c in (0, 1)}, n
+    if not len(vocabulary):
+        return None, None, share
+    return vocabulary, sample, {c: counts[c] / n[c] for c in (0, 1)}
 
 
 def score_toxicity(documents: DataFrame, labels: DataFrame, examples: int = EXAMPLES, terms: int = TERMS,
@@ -213,7 +217,7 @@ def score_toxicity(documents: DataFrame, labels: DataFrame, examples: int = EXAM
     kind = _kind(documents)
     held = in_fold(F.col("doc_id"), FOLDS, HELD_OUT).alias("held_out")
     evidence = f"array<struct<doc_id: {kind}, toxic: int, cosine: double>>"
-    vocabulary, sample, share, _ = fit(documents, labels, examples, terms)
+    vocabulary, sample, share = fit(documents, labels, examples, terms)
     if vocabulary is None:
         return documents.select("doc_id", held, F.lit(float(share)).alias("score"),
                                 F.lit(int(share >= THRESHOLD)).alias("predicted"),
