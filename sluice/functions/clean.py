@@ -33,17 +33,15 @@ PLAIN_NUMBER_PATTERN = r"^-?\d+(\.\d+)?$"
 MAX_TEXT_CHARS = 65535
 # ---------------------------------------------------------------------------
 
-# Java needs (?U) for Unicode \d / \s (Python's default). Dates stay ASCII: a date
-# written with other digits cannot be parsed by the reference's date parser anyway.
+# Java needs (?U) for Unicode \\d / \\s (Python's default). The date patterns run as they stand: without
+# (?U) their digits are ASCII, and a date written with other digits cannot be parsed anyway.
 _U = "(?U)"
 _WS = r"[\s\x1c-\x1f]"  # Python's str.strip() also strips the four separator controls
 _STRIP = _U + rf"^{_WS}+|{_WS}+$"
-_PERCENT_NUM = _U + r"^(-?\d+(?:\.\d+)?)\s*%$"   # float() rejects a space after '-'
+# differs from PERCENT_PATTERN in function: groups the number, and allows no space after '-',
+# which float() rejects
+_PERCENT_NUM = _U + r"^(-?\d+(?:\.\d+)?)\s*%$"
 _CURRENCY = _U + CURRENCY_PATTERN
-_YMD = r"^([0-9]{4})[/\-.]([0-9]{1,2})[/\-.]([0-9]{1,2})$"
-_DMY = r"^([0-9]{1,2})[/\-.]([0-9]{1,2})[/\-.]([0-9]{4})$"
-_ISO = (r"^([0-9]{4})-([0-9]{2})-([0-9]{2})[T\s]([0-9]{2}):([0-9]{2}):([0-9]{2})"
-        r"(?:\.[0-9]+)?(?:Z|[+-][0-9]{2}:[0-9]{2})?$")
 _PLAIN = _U + PLAIN_NUMBER_PATTERN
 _DIGIT_SPAN = r"(?sU)\d(?:.*\d)?"
 _NUMBER_SPAN = r"(?U)^[0-9][0-9,]*(?:\.\d+)?$"
@@ -100,21 +98,27 @@ def _pieces(v: Column) -> dict[str, Column]:
     # yield a number here (the number would be commas only).
     digit_span = F.regexp_extract(v, _DIGIT_SPAN, 0)
     cur_ok = (digit_span != "") & digit_span.rlike(_NUMBER_SPAN) & v.rlike(_CURRENCY)
-    cur_num = _to_double(F.regexp_replace(_g(v, _CURRENCY, 2), ",", ""))
+    cur_text = F.regexp_replace(_g(v, _CURRENCY, 2), ",", "")
+    cur_num = _to_double(cur_text)
+    whole = _ascii_digits(cur_text)
+    big = F.when(cur_ok & ~whole.contains("."), whole.try_cast("decimal(38,0)"))
+    big = F.when(_g(v, _CURRENCY, 1) == "-", -big).otherwise(big)
     cur = F.when(cur_ok, F.when(_g(v, _CURRENCY, 1) == "-", -cur_num).otherwise(cur_num))
-    ymd = F.when(v.rlike(_YMD), _ts(_g(v, _YMD, 1), _g(v, _YMD, 2), _g(v, _YMD, 3)))
-    dmy_ok = v.rlike(_DMY)
-    dmy = F.when(dmy_ok, _ts(_g(v, _DMY, 3), _g(v, _DMY, 2), _g(v, _DMY, 1)))
-    mdy = F.when(dmy_ok, _ts(_g(v, _DMY, 3), _g(v, _DMY, 1), _g(v, _DMY, 2)))
-    iso_ok = v.rlike(_ISO) & (_g(v, _ISO, 6).try_cast("int") < 60)
-    iso = F.when(iso_ok, _ts(_g(v, _ISO, 1), _g(v, _ISO, 2), _g(v, _ISO, 3),
-                             _g(v, _ISO, 4), _g(v, _ISO, 5), _g(v, _ISO, 6)))
+    ymd = F.when(v.rlike(YMD_PATTERN), _ts(_g(v, YMD_PATTERN, 1), _g(v, YMD_PATTERN, 2), _g(v, YMD_PATTERN, 3)))
+    dmy_ok = v.rlike(DMY_PATTERN)
+    dmy = F.when(dmy_ok, _ts(_g(v, DMY_PATTERN, 3), _g(v, DMY_PATTERN, 2), _g(v, DMY_PATTERN, 1)))
+    mdy = F.when(dmy_ok, _ts(_g(v, DMY_PATTERN, 3), _g(v, DMY_PATTERN, 1), _g(v, DMY_PATTERN, 2)))
+    iso_ok = v.rlike(ISO_PATTERN) & (_g(v, ISO_PATTERN, 6).try_cast("int") < 60)
+    iso = F.when(iso_ok, _ts(_g(v, ISO_PATTERN, 1), _g(v, ISO_PATTERN, 2), _g(v, ISO_PATTERN, 3),
+                             _g(v, ISO_PATTERN, 4), _g(v, ISO_PATTERN, 5), _g(v, ISO_PATTERN, 6)))
     return {"v": v, "is_null": is_null_token(v), "num": F.coalesce(pct, cur),
+            "big": F.when(pct.isNull(), big),
             "ts": F.coalesce(ymd, dmy, mdy, iso), "plain": F.when(v.rlike(_PLAIN), _to_double(v))}
 
 
-def _assemble_fields(p: dict[str, Column]) -> dict[str, Column]:
-    """Stage 3: first hit wins -> kind, num, ts, str."""
+def _assemble_fields(p: dict[str, Column], cut: bool = True) -> dict[str, Column]:
+    """Stage 3: first hit wins -> kind, num, ts, str, and big: the digits of a whole number,
+    which a double may not hold. ``cut`` applies C8c (65,535 characters) to text."""
     kind = (F.when(p["is_null"], F.lit("null"))
             .when(p["num"].isNotNull(), F.lit("num"))
             .when(p["ts"].isNotNull(), F.lit("ts"))
@@ -123,20 +127,22 @@ def _assemble_fields(p: dict[str, Column]) -> dict[str, Column]:
     return {"kind": kind,
             "num": F.when(kind == "num", F.coalesce(p["num"], p["plain"])),
             "ts": F.when(kind == "ts", p["ts"]),
-            "str": F.when(kind == "str", F.left(p["v"], F.lit(MAX_TEXT_CHARS)))}
+            "str": F.when(kind == "str", F.left(p["v"], F.lit(MAX_TEXT_CHARS)) if cut else p["v"]),
+            "big": F.when(kind == "num", p["big"])}
 
 
 def _assemble(p: dict[str, Column]) -> Column:
-    return F.struct(*[c.alias(k) for k, c in _assemble_fields(p).items()])
+    f = _assemble_fields(p)
+    return F.struct(*[f[k].alias(k) for k in ("kind", "num", "ts", "str")])
 
 
-_PIECES = ["v", "is_null", "num", "ts", "plain"]
+_PIECES = ["v", "is_null", "num", "ts", "plain", "big"]
 
 
-def clean_columns(df: DataFrame, cols: dict[str, str], flat: bool = False) -> DataFrame:
+def clean_columns(df: DataFrame, cols: dict[str, str], flat: bool = False, cut: bool = True) -> DataFrame:
     """C0 as a transform: for each ``out -> source`` text column adds ``out`` as
     ``STRUCT<kind, num, ts, str>`` (or, with ``flat=True``, the four columns
-    ``out__kind``, ``out__num``, ``out__ts``, ``out__str``).
+    ``out__kind``, ``out__num``, ``out__ts``, ``out__str``, ``out__big``).
 
     Staged projections of flat columns (strip; every rule's candidate; first hit) so
     each regex runs once per value and the generated code stays small. Catalyst does
@@ -144,35 +150,20 @@ def clean_columns(df: DataFrame, cols: dict[str, str], flat: bool = False) -> Da
     struct is built last, from attributes, so consumers of single fields never
     re-inline the rules.
     """
-    from sluice.session import spread
     keep = [F.col(f"`{c}`") for c in df.columns]
     tmp = {out: f"__clean{i}_" for i, out in enumerate(cols)}
-    s1 = spread(df).select(*keep, *[unicode_strip(F.col(f"`{src}`")).alias(tmp[out] + "v")
+    s1 = df.select(*keep, *[unicode_strip(F.col(f"`{src}`")).alias(tmp[out] + "v")
                                     for out, src in cols.items()])
     s2 = s1.select(*keep, *[c.alias(tmp[out] + k) for out in cols
                             for k, c in _pieces(F.col(tmp[out] + "v")).items()])
     s3 = s2.select(*keep, *[c.alias(f"{out}__{k}") for out in cols
-                            for k, c in _assemble_fields({k: F.col(tmp[out] + k) for k in _PIECES}).items()])
+                            for k, c in _assemble_fields({k: F.col(tmp[out] + k) for k in _PIECES}, cut).items()])
     if flat:
         return s3
     return s3.select(*keep, *[F.struct(*[F.col(f"`{out}__{k}`").alias(k) for k in ("kind", "num", "ts", "str")])
                               .alias(out) for out in cols])
 
 
-def clean_pieces(df: DataFrame, cols: dict[str, str]) -> tuple[DataFrame, dict[str, dict[str, Column]]]:
-    """Stages 1-2 of ``clean_columns`` as flat columns, plus, per ``out``, the
-    ``kind/num/ts/str`` Columns assembled over them (cheap CASEs over attributes)."""
-    from sluice.session import spread
-    keep = [F.col(f"`{c}`") for c in df.columns]
-    tmp = {out: f"__clean{i}_" for i, out in enumerate(cols)}
-    s1 = spread(df).select(*keep, *[unicode_strip(F.col(f"`{src}`")).alias(tmp[out] + "v")
-                                    for out, src in cols.items()])
-    s2 = s1.select(*keep, *[c.alias(tmp[out] + k) for out in cols
-                            for k, c in _pieces(F.col(tmp[out] + "v")).items()])
-    fields = {out: _assemble_fields({k: F.col(tmp[out] + k) for k in _PIECES}) for out in cols}
-    return s2, fields
-
-
 def clean_text(c: Column | str) -> Column:
     """C0 on one text value as a single Column expression (convenient for a few
     columns; for many columns use ``clean_columns``, which stages the work)."""
@@ -186,21 +177,17 @@ def clean_number(c: Column | str) -> Column:
     return F.when(F.isnan(x) | (F.abs(x) == F.lit(float("inf"))), F.lit(None)).otherwise(x)
 
 
-def clean_column(df_field: T.StructField, c: Column | None = None) -> Column:
-    """Dispatch by Spark type: text -> clean_text struct; float -> C1; others (C2) as is."""
-    col = c if c is not None else F.col(f"`{df_field.name}`")
-    dt = df_field.dataType
-    if isinstance(dt, T.StringType):
-        return clean_text(col)
-    if isinstance(dt, (T.DoubleType, T.FloatType)):
-        return clean_number(col)
-    return col
-
-
-def cleaned_value_as_text(s: Column) -> Column:
-    """Render a clean struct back to one text value (for string targets, C9)."""
-    num_txt = F.when(s["num"] == F.floor(s["num"]),
-                     F.format_string("%.1f", s["num"])).otherwise(s["num"].cast("string"))
-    return (F.when(s["kind"] == "str", s["str"])
-            .when(s["kind"] == "num", num_txt)
-            .when(s["kind"] == "ts", F.date_format(s["ts"], "yyyy-MM-dd HH:mm:ss")))
+def python_float_text(x: Column) -> Column:
+    """``str(float)`` of a finite double: plain digits from 1e-4 up to 1e16, else an exponent."""
+    java = x.cast("string")
+    size = F.abs(x)
+    plain = F.regexp_replace(java.try_cast("decimal(38,18)").cast("string"), r"0+$", "")
+    plain = F.when(plain.endswith("."), F.concat(plain, F.lit("0"))).otherwise(plain)
+    mantissa = F.regexp_replace(F.substring_index(java, "E", 1), r"\.0$", "")
+    exponent = F.substring_index(java, "E", -1).try_cast("int")
+    sign = F.when(exponent < 0, "-").otherwise("+")
+    scientific = F.concat(mantissa, F.lit("e"), sign, F.lpad(F.abs(exponent).cast("string"),
+                                                             F.greatest(F.lit(2), F.length(F.abs(exponent).cast("string"))), F.lit("0")))
+    return (F.when((size < 1e16) & (x == F.floor(x)), F.format_string("%.1f", x))
+            .when((size >= 1e-4) & (size < 1e16), F.when(java.contains("E"), plain).otherwise(java))
+            .otherwise(scientific))

@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sluice.functions import sqltypes as st
-from sluice.session import spread
 
 PROFILE_SCHEMA = T.StructType([
     T.StructField("ordinal", T.IntegerType()),
@@ -134,8 +133,7 @@ def profile(df: DataFrame, columns: list[str] | None = None, slice_size: int = 2
                 digits[f"_fin_{i}"] = F.when(~F.isnan(x) & (F.abs(x) != F.lit(float("inf"))), x)
         src = df
         if digits:
-            src = spread(df)
-            src = src.select("*", *[v.alias(k) for k, v in digits.items()])
+            src = df.select("*", *[v.alias(k) for k, v in digits.items()])
             src = st.with_float_repr_digits(src, {k.replace("_fin_", "_digits_"): k for k in digits})
         one = src.agg(*aggs)
         parts.append(one.select(F.inline(F.array(*rows))))

@@ -44,7 +44,7 @@ def log_names(files: DataFrame) -> DataFrame:
     ok = fn.rlike(LOG_NAME_PATTERN)
     parsed = F.try_to_timestamp(F.regexp_extract(fn, LOG_NAME_PATTERN, 2), F.lit(LOG_TIME_FORMAT))
     return files.select(
-        "file_name",
+        "file_name", *(["file_path"] if "file_path" in files.columns else []),
         F.when(ok, F.regexp_extract(fn, LOG_NAME_PATTERN, 1))
         .otherwise(F.replace(fn, F.lit(".log"), F.lit(""))).alias("table_name"),
         F.when(ok, F.coalesce(F.to_timestamp_ntz(F.date_format(parsed, "yyyy-MM-dd HH:mm:ss")),
@@ -52,9 +52,14 @@ def log_names(files: DataFrame) -> DataFrame:
         .otherwise(F.col("mtime")).cast("timestamp_ntz").alias("log_time"))
 
 
+def _file_key(lines: DataFrame) -> str:
+    """Files are told apart by path where the scan gives it."""
+    return "file_path" if "file_path" in lines.columns else "file_name"
+
+
 def tail_lines(lines: DataFrame, n: int = TAIL_LINES) -> DataFrame:
     """O3: the last ``n`` lines of every file (per-file top-k, limit pushed map-side)."""
-    w = Window.partitionBy("file_name").orderBy(F.col("line_no").desc())
+    w = Window.partitionBy(_file_key(lines)).orderBy(F.col("line_no").desc())
     return lines.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n).drop("_rn")
 
 
@@ -71,21 +76,22 @@ def log_results(lines: DataFrame, files: DataFrame | None = None, n: int = TAIL_
            .when(line.contains(ABORT_MARKER), F.lit(2))
            .when(line.contains(DB_ERROR_MARKER), F.lit(3)))
     g = lambda i: F.regexp_extract(line, DONE_PATTERN, i)
+    key = _file_key(lines)
     hits = (tail_lines(lines, n).withColumn("_cls", cls).where(F.col("_cls").isNotNull())
-            .select("file_name", "line_no", "_cls",
+            .select(key, "line_no", "_cls",
                     g(1).try_cast("bigint").alias("inserted_rows"),
                     g(2).try_cast("bigint").alias("total_rows"),
                     g(3).try_cast("bigint").alias("error_rows"),
                     g(4).alias("time_taken")))
-    newest = (hits.groupBy("file_name")
+    newest = (hits.groupBy(key)
               .agg(F.max_by(F.struct("_cls", "inserted_rows", "total_rows", "error_rows",
                                      "time_taken"), F.col("line_no")).alias("r")))
-    keys = (files.select("file_name") if files is not None
-            else lines.select("file_name").distinct())
+    names = ["file_name"] if key == "file_name" else ["file_name", key]
+    keys = (files.select(*names) if files is not None else lines.select(*names).distinct())
     r = F.col("r")
     is_done = r["_cls"] == 1
-    return (keys.join(newest, "file_name", "left").select(
-        "file_name",
+    return (keys.join(newest, key, "left").select(
+        *names,
         F.coalesce(F.when(r["_cls"] == 1, F.lit(STATUS_DONE)).when(r["_cls"] == 2, F.lit(STATUS_ABORTED))
                    .when(r["_cls"] == 3, F.lit(STATUS_FAILED)), F.lit(STATUS_UNKNOWN)).alias("status"),
         F.when(is_done, r["total_rows"]).otherwise(F.lit(0)).cast("bigint").alias("total_rows"),
@@ -99,10 +105,11 @@ def log_results(lines: DataFrame, files: DataFrame | None = None, n: int = TAIL_
 def log_list(files: DataFrame, lines: DataFrame) -> DataFrame:
     """L3 + O1: names, results, size in KB (2 dp), newest first."""
     res = log_results(lines, files)
-    return (log_names(files).join(res, "file_name")
-            .join(files.select("file_name", "size_bytes", "mtime"), "file_name")
+    key = _file_key(lines)
+    return (log_names(files).join(res.drop("file_name") if key != "file_name" else res, key)
+            .join(files.select(key, "size_bytes", "mtime"), key)
             .withColumn("size_kb", F.round(F.col("size_bytes") / 1024.0, 2))
-            .drop("size_bytes")
+            .drop("size_bytes", "file_path")
             .orderBy(F.col("mtime").desc(), F.col("file_name")))
 
 

@@ -1,16 +1,21 @@
 """E1, the import path as one Spark plan:
-scan -> names (P1/P2) -> profile + infer types (one pass) -> user overrides (P6) ->
-fit check (Q1) -> error gate (F6) -> write accepted + rejects -> report (A10).
+scan -> names (P1/P2) -> clean, profile and infer types -> user overrides (P6) -> fit check (Q1),
+evaluated once and landed -> error gate (F6) -> write accepted + rejects -> report (A10).
 
-Only the profile rows (one per column) and the gate row reach the driver.
+Rows with too many fields join the rejects and the report. Only the profile rows (one per
+column) and the gate row reach the driver.
 """
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from sluice.functions.clean import clean_columns
 from sluice.operators import columns as C
 from sluice.operators import profile as P
 from sluice.operators import quality as QL
@@ -28,23 +33,61 @@ class ImportResult:
     rejected_path: str
 
 
+def _as_cleaned(df: DataFrame) -> DataFrame:
+    """Text columns as the type that cleaning gives every one of their values: whole numbers,
+    numbers, date-times, or else text (D14: types are inferred from clean values)."""
+    text = {f"__c{i}": f.name for i, f in enumerate(df.schema) if isinstance(f.dataType, T.StringType)}
+    flat = clean_columns(df, text, flat=True, cut=False)
+    kinds = flat.agg(*[agg for c in text for agg in (
+        F.count_if(F.col(f"{c}__kind") == "num").alias(f"{c}n"),
+        F.count_if((F.col(f"{c}__kind") == "num") & (F.col(f"{c}__num") != F.floor(f"{c}__num"))).alias(f"{c}f"),
+        F.count_if(F.col(f"{c}__kind") == "ts").alias(f"{c}t"),
+        F.count_if(F.col(f"{c}__kind") == "str").alias(f"{c}s"))]).first().asDict() if text else {}
+    at = {v: k for k, v in text.items()}
+
+    def typed(c: str):
+        k = at.get(c)
+        if k is None:
+            return F.col(f"`{c}`")
+        n, f, t, s = (kinds[k + x] or 0 for x in "nfts")
+        if n and not t and not s:
+            whole = F.coalesce(F.col(f"{k}__big"), F.col(f"{k}__num").try_cast("decimal(38,0)")).try_cast("long")
+            return (F.col(f"{k}__num") if f else whole).alias(c)
+        if t and not n and not s:
+            return F.col(f"{k}__ts").alias(c)
+        # mixed or plain text: kept as text, nulls by their tokens
+        return F.when(F.col(f"{k}__kind") != "null", F.col(f"`{c}`")).alias(c)
+    return flat.select(*[typed(c) for c in df.columns])
+
+
 def import_csv(spark: SparkSession, path: str, out_dir: str, epoch_seconds: int,
                overrides: dict[str, str] | None = None, enforce_gate: bool = True,
                **csv_options) -> ImportResult:
-    from pyspark.sql import functions as F
     r = read_csv(spark, path, **csv_options)
     df = C.drop_null_columns(r.rows)
-    prof = P.infer_sql_types(P.profile(df))
+    prof = P.infer_sql_types(P.profile(_as_cleaned(df)))
     mapping = C.apply_overrides(C.column_mapping(r.header, r.names, prof), overrides or {})
     types = {row["current"]: row["sql_type"] for row in mapping.collect() if row["current"] in df.columns}
-    checked = QL.check_types(df, types)
-    gate = QL.error_gate(checked.checked).first()
+    # rows of too many fields are rejects as well: their record, under the first column
+    long_error = F.array(F.struct(F.lit(df.columns[0]).alias("column"), F.lit("fields").alias("reason"),
+                                  F.col("record").alias("value")))
+    landed = f"{out_dir}/checked"
+    checked = QL.check_types(df, types).checked
+    empty = {f.name: F.lit(None).cast(f.dataType) for f in df.schema}
+    longs = r.rejects.select(F.struct(*[v.alias(k) for k, v in empty.items()]).alias("_raw"),
+                             F.lit(None).cast(checked.schema["_val"].dataType).alias("_val"),
+                             long_error.alias("errors"), F.lit(0).alias("_part"))
+    checked.unionByName(longs).write.mode("overwrite").parquet(landed)
+    done = QL.split_checked(spark.read.parquet(landed))
+    gate = QL.error_gate(done.checked).first()
     if enforce_gate:
         QL.enforce_gate(gate)
+    stem = r"[^/]*[*?\[{][^/]*$"  # a pattern names its folder
+    named = re.sub(stem, "", path).rstrip("/").split("/")[-1]
     ddl_row = create_table_sql(mapping.withColumnRenamed("current", "column_name"),
-                               F.lit(path.rstrip("/").split("/")[-1]), epoch_seconds).first()
+                               F.lit(named), epoch_seconds).first()
     acc, rej = f"{out_dir}/accepted", f"{out_dir}/rejected"
-    write_table(checked.accepted, acc, mode="overwrite")
-    write_table(checked.rejected, rej, mode="overwrite")
-    report = QL.import_report(checked.checked, ddl_row["table_name"])
+    write_table(done.accepted, acc, mode="overwrite")
+    write_table(done.rejected, rej, mode="overwrite")
+    report = QL.import_report(done.checked, ddl_row["table_name"])
     return ImportResult(ddl_row["table_name"], mapping, ddl_row["ddl"], report, acc, rej)

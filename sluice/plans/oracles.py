@@ -9,8 +9,9 @@ from __future__ import annotations
 
 import pyarrow.parquet as pq
 
+from sluice.functions.clean import CURRENCY_PATTERN, DMY_PATTERN, ISO_PATTERN, YMD_PATTERN
 from sluice.plans import inputs as I
-from sluice.plans.queries import CHUNK_ROWS, DAY, EPOCH, TYPED_TABLES
+from sluice.plans.queries import CHUNK_ROWS, CLEAN_RULES, DAY, EPOCH, TYPED_TABLES
 
 D = "duckdb"
 SCHEMA_DIR = "/root/testdata/sf0.001"
@@ -311,12 +312,9 @@ def coerce_numeric_sql() -> str:
 
 # ---- cleaning -----------------------------------------------------------------------------
 
-_CUR = r"^[^0-9]*?(-?)[\s]*([0-9,]+(\.[0-9]+)?)[\s]*[^0-9]*$"
-_PCT = r"^(-?[0-9]+(?:\.[0-9]+)?)\s*%$"
-_YMD = r"^([0-9]{4})[/\-.]([0-9]{1,2})[/\-.]([0-9]{1,2})$"
-_DMY = r"^([0-9]{1,2})[/\-.]([0-9]{1,2})[/\-.]([0-9]{4})$"
-_ISO = (r"^([0-9]{4})-([0-9]{2})-([0-9]{2})[T\s]([0-9]{2}):([0-9]{2}):([0-9]{2})"
-        r"(?:\.[0-9]+)?(?:Z|[+-][0-9]{2}:[0-9]{2})?$")
+# DuckDB's RE2 reads the marked patterns as they stand (its \\d and \\s are ASCII)
+_CUR, _YMD, _DMY, _ISO = CURRENCY_PATTERN, YMD_PATTERN, DMY_PATTERN, ISO_PATTERN
+_PCT = r"^(-?\d+(?:\.\d+)?)\s*%$"
 
 
 def _ts(y, m, d, hh="0", mi="0", ss="0") -> str:
@@ -350,9 +348,10 @@ def clean_cte(raw: str, prefix: str = "") -> str:
             f"ELSE left({v}, 65535) END AS {prefix}str")
 
 
-def clean_all_sql(shapes: list[int] | None = None) -> str:
-    where = f" WHERE id % 16 IN ({', '.join(map(str, shapes))})" if shapes else ""
-    return f"SELECT id, raw, {clean_cte('raw')} FROM ({I.dirty_values_sql(D)}){where}"
+def clean_all_sql(rule: str | None = None) -> str:
+    """Every dirty value cleaned; with ``rule``, the rows of the whole table that it fired on."""
+    every = f"SELECT id, raw, {clean_cte('raw')} FROM ({I.dirty_values_sql(D)})"
+    return f"SELECT * FROM ({every}) WHERE {rule}" if rule else every
 
 
 def clean_inf_sql() -> str:
@@ -568,12 +567,12 @@ def oracles() -> dict[str, str]:
         "drop_null_columns": drop_null_columns_sql(),
         "coerce_numeric": coerce_numeric_sql(),
         "clean_all": clean_all_sql(),
-        "clean_percent": clean_all_sql([0, 13, 14]),
-        "clean_currency": clean_all_sql([1, 2, 3, 9, 10]),
-        "clean_dates": clean_all_sql([4, 5, 6, 11, 12]),
-        "clean_iso": clean_all_sql([7]),
-        "clean_null_tokens": clean_all_sql([8]),
-        "clean_text_values": clean_all_sql([12, 15]),
+        "clean_percent": clean_all_sql(CLEAN_RULES["clean_percent"][0]),
+        "clean_currency": clean_all_sql(CLEAN_RULES["clean_currency"][0]),
+        "clean_dates": clean_all_sql(CLEAN_RULES["clean_dates"][0]),
+        "clean_iso": clean_all_sql(CLEAN_RULES["clean_iso"][0]),
+        "clean_null_tokens": clean_all_sql(CLEAN_RULES["clean_null_tokens"][0]),
+        "clean_text_values": clean_all_sql(CLEAN_RULES["clean_text_values"][0]),
         "clean_inf": clean_inf_sql(),
         "clean_long_text": clean_long_text_sql(),
         "human_size": human_size_sql(),

@@ -48,6 +48,8 @@ def checkpoint_root(spark: SparkSession) -> str:
     sc = spark.sparkContext
     d = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         d = tempfile.mkdtemp(prefix="sluice-ckpt-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(d)
@@ -76,15 +78,3 @@ def ensure_dir(path: str) -> None:
     p = local_path(path)
     if "://" not in p:
         os.makedirs(p, exist_ok=True)
-
-
-def spread(df, min_partitions: int | None = None):
-    """Round-robin ``df`` over the cluster's cores when its scan has fewer splits than
-    cores (e.g. one small file); a no-op for real inputs with many splits, so no
-    shuffle is added at scale. Used before CPU-heavy per-row work (regex cleaning,
-    digit counting)."""
-    sc = df.sparkSession.sparkContext
-    want = min_partitions or sc.defaultParallelism
-    if df.rdd.getNumPartitions() < want:
-        return df.repartition(want)
-    return df

@@ -1,7 +1,8 @@
 """Run-log scan (S17, S18): every ``*.log`` file as lines with file facts.
 
 Returns ``files (file_name, file_path, size_bytes, mtime)`` and
-``lines (file_name, line_no, line)``. Line numbers follow the file order: the
+``lines (file_name, file_path, line_no, line)``; a file is its path, since two folders may
+hold the same name. Line numbers follow the file order: the
 position is ``(split start, position in split)``, turned into a dense per-file number
 only where an order is needed (tail, progress sequence).
 """
@@ -31,15 +32,14 @@ def read_logs(spark: SparkSession, root: str, glob: str = "*.log", encoding: str
                    F.col("_metadata.file_block_start").alias("_b"),
                    F.monotonically_increasing_id().alias("_pos")))
     # Dense 1-based line numbers without a per-file sort: rows per (file, split) give
-    # split offsets (a table of one row per split, so the broadcast is bounded by the
-    # split count); a line's number is its split offset + its position in the split.
-    splits = (raw.groupBy("file_name", "_b")
+    # split offsets (one row per split; the planner picks the join by its size); a line's number is its split offset + its position in the split.
+    splits = (raw.groupBy("file_path", "_b")
               .agg(F.count(F.lit(1)).alias("_n"), F.min("_pos").alias("_p0")))
-    w = Window.partitionBy("file_name").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    splits = splits.select("file_name", "_b", "_p0",
+    w = Window.partitionBy("file_path").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.select("file_path", "_b", "_p0",
                            F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
-    lines = (raw.join(F.broadcast(splits), ["file_name", "_b"])
-             .select("file_name", (F.col("_off") + F.col("_pos") - F.col("_p0") + 1)
+    lines = (raw.join(splits, ["file_path", "_b"])
+             .select("file_name", "file_path", (F.col("_off") + F.col("_pos") - F.col("_p0") + 1)
                      .cast("bigint").alias("line_no"), "line"))
     files = raw.groupBy("file_name", "file_path").agg(F.first("size_bytes").alias("size_bytes"),
                                                       F.first("mtime").alias("mtime"))

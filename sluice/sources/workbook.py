@@ -126,5 +126,5 @@ def read_workbooks(spark: SparkSession, path: str, glob: str = "*.xlsx") -> Work
     names = make_unique(normalize_names(header))
     data = cells.join(F.broadcast(first.select("file_path", "first_row")), "file_path") \
         .where(F.col("row_no") > F.col("first_row"))
-    table = data.select(*[F.col("cells")[i].alias(n) for i, n in enumerate(names)])
+    table = data.select(*[F.get("cells", F.lit(i)).alias(n) for i, n in enumerate(names)])
     return Workbooks(cells, status, table, header)
