@@ -607,7 +607,8 @@ def workbook_status(spark, sf_dir):
 @register
 def encoding_census(spark, sf_dir):
     """Documents written as text files in utf-8, utf-8 with BOM, gb18030 and
-    latin-1 (by doc_id % 4), then the encoding of every file detected from a sample."""
+    latin-1 (a quarter of the documents each, 500 ids a file), then the encoding that every whole
+    file decodes with."""
     from sluice.sinks.chunked import write_text_files
     from sluice.sources.encoding import encoding_census as census
     d = I.load(spark, sf_dir, "documents")
@@ -615,7 +616,7 @@ def encoding_census(spark, sf_dir):
     for i, (enc, bom, errors) in enumerate([("utf-8", False, "strict"), ("utf-8", True, "strict"),
                                             ("gb18030", False, "strict"), ("latin-1", False, "replace")]):
         part = d.where(F.col("doc_id") % 4 == i).select(
-            F.format_string("docs_%s_%02d.txt", F.lit(enc.replace("-", "")), F.col("doc_id") % 8)
+            F.format_string("docs_%s_%06d.txt", F.lit(enc.replace("-", "")), F.expr("doc_id div 500"))
             .alias("file_name"), F.col("doc_id").alias("line_no"), F.col("text").alias("line"))
         write_text_files(part, f"{base}/{i}", encoding=enc, bom=bom, errors=errors).collect()
     c = census(spark, base, glob="*.txt")

@@ -1,14 +1,15 @@
 """Encoding census (S7-S10): which text encoding each file decodes with.
 
-The listing comes from ``binaryFile`` without its ``content`` column (Spark then
-does not read the files); a Pandas UDF opens each path through ``pyarrow.fs`` and
-reads only the first ``sample_bytes`` — never a whole file — and strict-decodes the
-candidates in order. The census drives per-encoding ``read.csv`` calls (S9).
+The listing comes from ``binaryFile`` without its ``content`` column (Spark then does not read
+the files); a Pandas UDF opens each path through ``pyarrow.fs`` and strict-decodes the whole file
+in blocks with all candidates at once, in bounded memory. The first candidate that decodes
+everything wins. The census drives per-encoding ``read.csv`` calls (S9) under a decode policy (S10).
 """
 
 from __future__ import annotations
 
 import codecs
+from collections.abc import Iterable
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -17,32 +18,61 @@ from pyspark.sql import functions as F
 # Sample sizes of the importer and the splitter, candidate order.
 IMPORTER_SAMPLE_BYTES = 50000
 SPLITTER_SAMPLE_BYTES = 100000
+BLOCK_BYTES = 1 << 20
 DEFAULT_CANDIDATES = ["utf-8", "gb18030", "latin1"]
 CENSUS_SCHEMA = "encoding string, decoded_ok boolean, has_bom boolean, has_cjk boolean"
 
 
-def detect_bytes(sample: bytes, candidates: list[str], errors: str = "strict") -> tuple[str, bool, bool, bool]:
-    """First candidate that decodes the sample (a cut multi-byte character at the end
-    of the sample is allowed); BOM -> utf-8-sig; plain ASCII -> utf-8."""
-    if sample.startswith(codecs.BOM_UTF8):
-        text = sample[3:].decode("utf-8", "replace")
-        return "utf-8-sig", True, True, any("一" <= ch <= "鿿" for ch in text)
-    for enc in candidates:
-        try:
-            dec = codecs.getincrementaldecoder(enc)(errors="strict")
-            text = dec.decode(sample, final=False)
-        except (UnicodeDecodeError, LookupError):
-            continue
-        return enc, True, False, any("一" <= ch <= "鿿" for ch in text)
+def detect_blocks(blocks: Iterable[bytes], candidates: list[str],
+                  errors: str = "strict") -> tuple[str, bool, bool, bool]:
+    """First candidate that decodes every block; BOM -> utf-8-sig; plain ASCII -> utf-8.
+    Returns ``(encoding, decoded_ok, has_bom, has_cjk)``."""
+    live: dict[str, codecs.IncrementalDecoder] = {}
+    cjk: dict[str, bool] = {}
+    bom, first = False, True
+
+    def feed(data: bytes, final: bool) -> None:
+        for enc in list(live):
+            try:
+                text = live[enc].decode(data, final)
+            except UnicodeDecodeError:
+                del live[enc]
+                continue
+            cjk[enc] = cjk.get(enc, False) or any("一" <= ch <= "鿿" for ch in text)
+
+    for data in blocks:
+        if first:
+            bom = data.startswith(codecs.BOM_UTF8)
+            for enc in (["utf-8-sig"] if bom else []) + candidates:
+                try:
+                    live[enc] = codecs.getincrementaldecoder(enc)(errors="strict")
+                except LookupError:
+                    continue
+            first = False
+        feed(data, False)
+    if first:
+        return (candidates[0], True, False, False) if candidates else ("", False, False, False)
+    feed(b"", True)
+    if live:
+        enc = next(iter(live))
+        return enc, True, bom, cjk.get(enc, False)
     if errors in ("replace", "ignore") and candidates:
-        return candidates[-1], False, False, False
-    return "", False, False, False
+        return candidates[0], False, bom, False
+    return "", False, bom, False
+
+
+def detect_bytes(data: bytes, candidates: list[str], errors: str = "strict") -> tuple[str, bool, bool, bool]:
+    """:func:`detect_blocks` of bytes at hand."""
+    return detect_blocks([data] if data else [], candidates, errors)
 
 
 def encoding_census(spark: SparkSession, path: str, glob: str = "*",
-                    sample_bytes: int = IMPORTER_SAMPLE_BYTES,
+                    sample_bytes: int | None = None,
                     candidates: list[str] | None = None, errors: str = "strict") -> DataFrame:
-    """``(file_path, size_bytes, encoding, decoded_ok, has_bom, has_cjk)`` per file."""
+    """``(file_path, size_bytes, encoding, decoded_ok, has_bom, has_cjk)`` per file.
+
+    ``sample_bytes`` (:data:`IMPORTER_SAMPLE_BYTES`, :data:`SPLITTER_SAMPLE_BYTES`) limits the pass
+    to each file's beginning, as the reference does; by default whole files decide. Files without a byte are not listed."""
     cands = list(dict.fromkeys(candidates or DEFAULT_CANDIDATES))   # U2: ordered distinct
 
     @F.pandas_udf(CENSUS_SCHEMA)
@@ -52,8 +82,8 @@ def encoding_census(spark: SparkSession, path: str, glob: str = "*",
         for p in paths:
             fs, local = _fs_for(p)
             with fs.open_input_stream(local) as fh:
-                sample = fh.read(sample_bytes)
-            out.append(detect_bytes(sample, cands, errors))
+                blocks = iter(lambda: fh.read(BLOCK_BYTES), b"") if sample_bytes is None else iter([fh.read(sample_bytes)])
+                out.append(detect_blocks(blocks, cands, errors))
         return pd.DataFrame(out, columns=["encoding", "decoded_ok", "has_bom", "has_cjk"])
 
     files = (spark.read.format("binaryFile").option("pathGlobFilter", glob)
@@ -62,14 +92,23 @@ def encoding_census(spark: SparkSession, path: str, glob: str = "*",
     return files.withColumn("_e", detect(F.col("file_path"))).select("file_path", "size_bytes", "_e.*")
 
 
-def read_csv_by_encoding(spark: SparkSession, census: DataFrame, **csv_options) -> DataFrame:
-    """One ``read_csv`` per detected encoding (the file list is metadata), unioned."""
+def read_csv_by_encoding(spark: SparkSession, census: DataFrame, errors: str = "strict",
+                         **csv_options) -> DataFrame:
+    """One ``read_csv`` per detected encoding (the file list is metadata), unioned.
+
+    S10: files that no candidate decodes are never left out silently. ``strict`` raises;
+    ``replace`` reads them with U+FFFD for bad bytes; ``ignore`` reads them without those."""
     from sluice.sources.csv import read_csv, union_files
-    groups: dict[str, list[str]] = {}
-    for r in census.where("decoded_ok").select("file_path", "encoding").collect():
-        groups.setdefault(r["encoding"], []).append(r["file_path"])
+    groups: dict[tuple[str, bool], list[str]] = {}
+    for r in census.select("file_path", "encoding", "decoded_ok").collect():
+        groups.setdefault((r["encoding"] or DEFAULT_CANDIDATES[0], r["decoded_ok"]), []).append(r["file_path"])
+    bad = [p for (_, ok), paths in groups.items() if not ok for p in paths]
+    if bad and errors == "strict":
+        raise ValueError(f"{len(bad)} files decode with no candidate, {bad[0]} among them")
     reads = []
-    for enc, paths in groups.items():
-        spark_enc = "utf-8" if enc == "utf-8-sig" else enc
-        reads.append(read_csv(spark, paths, encoding=spark_enc, with_file=True, **csv_options).rows)
+    for (enc, ok), paths in groups.items():
+        rows = read_csv(spark, paths, encoding="utf-8" if enc == "utf-8-sig" else enc, with_file=True, **csv_options).rows
+        if not ok and errors == "ignore":
+            rows = rows.select(*[F.replace(F.col(f"`{c}`"), F.lit("\ufffd"), F.lit("")).alias(c) for c in rows.columns])
+        reads.append(rows)
     return union_files(reads)

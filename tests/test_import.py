@@ -93,3 +93,20 @@ def test_fit_check_runs_each_rule_once(spark):
     out = check_types(df, {"a": "INT", "b": "DECIMAL(8,2)", "c": "VARCHAR(3)", "d": "DATE"})
     plan = out.accepted._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("RLIKE") + plan.count("regexp_extract") < 40 * 4
+
+
+def test_encoding_of_the_whole_file_decides(spark, tmp_path):
+    from sluice.sources.encoding import encoding_census, read_csv_by_encoding
+    files = {"late.csv": b"a,b\n" + b"1,x\n" * 20000 + "2,中文\n".encode("gb18030"), "bom.csv": "﻿a,b\n3,é\n".encode(),
+             "none.csv": b"a,b\n4,\xff\xfe\n"}
+    folder = tmp_path / "enc"
+    folder.mkdir()
+    for name, data in files.items():
+        (folder / name).write_bytes(data)
+    census = encoding_census(spark, str(folder), candidates=["utf-8", "gb18030"], errors="replace")
+    got = {r["file_path"].rsplit("/", 1)[1]: (r["encoding"], r["decoded_ok"]) for r in census.collect()}
+    assert got == {"late.csv": ("gb18030", True), "bom.csv": ("utf-8-sig", True), "none.csv": ("utf-8", False)}
+    with pytest.raises(ValueError, match="1 files"):
+        read_csv_by_encoding(spark, census, sep=",")
+    rows = read_csv_by_encoding(spark, census, errors="ignore", sep=",")
+    assert rows.where("b = '中文'").count() == 1 and rows.count() == 20003
