@@ -2,7 +2,8 @@
 
 Fit. A bounded sample of labelled rows outside the held-out fold (``EXAMPLES`` per class, the
 smallest hashes of doc_id) gives the examples. Terms are lower-case words between ASCII
-separators and the first five bytes of longer words; those that mark toxic examples most clearly
+separators and the first 4, 6 and 8 bytes of longer words, each also as "twice", "three times" and
+"five times or more"; those that mark toxic examples most clearly
 (chi-square over the sample's classes) span the vector space, at most ``TERMS`` of them. A third
 of the sample is kept out of all this to calibrate the votes.
 Document frequencies of these terms are counted over the whole corpus. The examples' vectors
@@ -38,11 +39,13 @@ EXAMPLES = 1500
 TERMS = 768
 LANES = 64
 NEIGHBOURS = 15
-STEM = 5
+STEMS = (4, 6, 8)
+#: a term met so often in a text counts as another term as well
+LEVELS = (2, 3, 5)
 FOLDS, HELD_OUT = 5, 0
 THRESHOLD = 0.5
-#: chi-square of one degree of freedom at p = 0.00001, as very many terms are tried
-LEAST_CHI = 20.0
+#: chi-square of one degree of freedom at p = 0.00000005, as very many terms are tried
+LEAST_CHI = 30.0
 
 #: bytes between words: ASCII other than letters and digits
 _BETWEEN = np.zeros(256, dtype=bool)
@@ -51,44 +54,54 @@ _BETWEEN[list(b"0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
 
 
 def _terms(col: pa.Array):
-    """Sorted distinct term hashes of each text, and how often each occurs."""
-    for c in W.chunks(col, lower=True, between=_BETWEEN, stem=STEM):
+    """Distinct term hashes of each text with their levels: 1, and every level reached."""
+    for c in W.chunks(col, lower=True, between=_BETWEEN, stems=STEMS):
         for d in range(c.docs):
             a, b = c.first[d], c.first[d + 1]
-            stems = c.stems[a:b]
-            yield np.unique(np.concatenate([c.hashes[a:b], stems[stems != 0]]), return_counts=True)
+            heads = np.concatenate([s[a:b] for s in c.stems])
+            term, n = np.unique(np.concatenate([c.hashes[a:b], heads[heads != 0]]), return_counts=True)
+            more = [term[n >= k] for k in LEVELS]
+            yield (np.concatenate([term, *more]),
+                   np.repeat([1, *LEVELS], [len(term), *map(len, more)]).astype(np.int64))
 
 
 def _term_batches(batches):
     for batch in batches:
-        got = [t.view(np.int64) for t, _ in _terms(batch.column("text"))]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), W.list_column(got)],
-                                         names=["doc_id", "toxic", "terms"])
+        got = list(_terms(batch.column("text")))
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("doc_id"), batch.column("toxic"), W.list_column([t for t, _ in got]),
+             W.list_column([k for _, k in got])], names=["doc_id", "toxic", "terms", "levels"])
 
 
-def _vector_batches(vocabulary: np.ndarray):
-    """Occurrences of the vocabulary's terms in each text: term numbers and counts."""
-    order = np.argsort(vocabulary)
-    known = vocabulary[order]
+def _vector_batches(vocabulary: list[tuple[int, int]]):
+    """Occurrences of the vocabulary's (term, level) entries in each text: entry numbers, and how
+    often (1 for higher levels)."""
+    known = np.unique(np.array([t for t, _ in vocabulary], dtype=np.int64).view(np.uint64))
+    entry = np.full((len(known), 1 + len(LEVELS)), -1)
+    for i, (t, level) in enumerate(vocabulary):
+        row = np.searchsorted(known, np.array([t], dtype=np.int64).view(np.uint64)[0])
+        entry[row, [1, *LEVELS].index(level)] = i
 
     def run(batches):
         for batch in batches:
             at, tf = [], []
-            for c in W.chunks(batch.column("text"), lower=True, between=_BETWEEN, stem=STEM):
-                hits = []
-                for h in (c.hashes, c.stems):
-                    if len(known) and len(h):
-                        pos = np.minimum(np.searchsorted(known, h), len(known) - 1)
-                        hit = np.flatnonzero(known[pos] == h)
-                        hits.append((hit, order[pos[hit]]))
-                where = np.concatenate([x for x, _ in hits]) if hits else np.zeros(0, np.int64)
-                term = np.concatenate([y for _, y in hits]) if hits else np.zeros(0, np.int64)
-                doc = np.searchsorted(c.first, where, side="right") - 1
-                keys, n = np.unique(doc * (len(known) + 1) + term, return_counts=True)
-                split = np.searchsorted(keys, np.arange(c.docs + 1) * (len(known) + 1))
+            for c in W.chunks(batch.column("text"), lower=True, between=_BETWEEN, stems=STEMS):
+                where, term = [], []
+                for h in (c.hashes, *c.stems):
+                    pos = np.minimum(np.searchsorted(known, h), len(known) - 1)
+                    hit = np.flatnonzero(known[pos] == h)
+                    where.append(hit)
+                    term.append(pos[hit])
+                doc = np.searchsorted(c.first, np.concatenate(where), side="right") - 1
+                keys, n = np.unique(doc * len(known) + np.concatenate(term), return_counts=True)
+                split = np.searchsorted(keys, np.arange(c.docs + 1) * len(known))
                 for d in range(c.docs):
-                    at.append(keys[split[d]:split[d + 1]] % (len(known) + 1))
-                    tf.append(n[split[d]:split[d + 1]])
+                    ids, often = keys[split[d]:split[d + 1]] % len(known), n[split[d]:split[d + 1]]
+                    found = [(entry[ids[often >= k], j], often[often >= k] if k == 1 else np.ones((often >= k).sum(), int))
+                             for j, k in enumerate((1, *LEVELS))]
+                    e, m = (np.concatenate(x) for x in zip(*found))
+                    at.append(e[e >= 0])
+                    tf.append(m[e >= 0])
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), _ints(at), _ints(tf)], names=["doc_id", "terms", "tf"])
     return run
@@ -190,7 +203,7 @@ def fit(documents: DataFrame, labels: DataFrame, examples: int = EXAMPLES, terms
     sample = stage(documents.select("doc_id", "text").join(
         F.broadcast(picked), "doc_id").dropDuplicates(["doc_id", "toxic"]), "sample")
     used = sample.where("not aside")
-    found = used.select("doc_id", "toxic", "text").mapInArrow(_term_batches, f"doc_id {_kind(documents)}, toxic int, terms array<long>")
+    found = used.select("doc_id", "toxic", "text").mapInArrow(_term_batches, f"doc_id {_kind(documents)}, toxic int, terms array<long>, levels array<long>")
     n = {r["toxic"]: r["count"] for r in used.groupBy("toxic").count().collect()}
     total = sum(counts.values())
     share = counts.get(1, 0) / total if total else 0.0
@@ -201,11 +214,12 @@ def fit(documents: DataFrame, labels: DataFrame, examples: int = EXAMPLES, terms
     n1, n0 = float(n[1]), float(n[0])
     chi = ((F.col("a") * (n0 - F.col("b")) - F.col("b") * (n1 - F.col("a"))) ** 2 * (n1 + n0)
            / (n1 * n0 * (F.col("a") + F.col("b")) * (n1 + n0 - F.col("a") - F.col("b"))))
-    top = (found.select("toxic", F.explode("terms").alias("term")).groupBy("term").agg(a.alias("a"), b.alias("b"))
+    top = (found.select("toxic", F.explode(F.arrays_zip("terms", "levels")).alias("z"))
+           .groupBy(F.col("z.terms").alias("term"), F.col("z.levels").alias("level")).agg(a.alias("a"), b.alias("b"))
            .where((F.col("a") + F.col("b") < n1 + n0) & (F.col("a") * n0 > F.col("b") * n1)).withColumn("chi", chi).where(F.col("chi") >= LEAST_CHI)
-           .orderBy(F.desc("chi"), "term").limit(terms).collect())
-    vocabulary = np.array([r["term"] for r in top], dtype=np.int64).view(np.uint64)
-    if not len(vocabulary):
+           .orderBy(F.desc("chi"), "term", "level").limit(terms).collect())
+    vocabulary = [(r["term"], r["level"]) for r in top]
+    if not vocabulary:
         return None, None, share
     return vocabulary, sample, {c: counts[c] / n[c] for c in (0, 1)}
 

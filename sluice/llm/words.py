@@ -55,15 +55,15 @@ def mix(h: np.ndarray) -> np.ndarray:
 @dataclass
 class Chunk:
     """Words of consecutive documents: document ``d`` of the chunk (row ``row0 + d`` of
-    the column) has the words ``first[d]:first[d + 1]``. ``sizes`` are bytes; ``stems``, if asked
-    for, hash the first bytes of longer words and are 0 for others."""
+    the column) has the words ``first[d]:first[d + 1]``. ``sizes`` are bytes; ``stems``, one
+    array for each length asked for, hash the first bytes of longer words and are 0 for others."""
 
     row0: int
     docs: int
     first: np.ndarray
     hashes: np.ndarray
     sizes: np.ndarray
-    stems: np.ndarray | None = None
+    stems: tuple[np.ndarray, ...] = ()
 
 
 def string_buffers(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -76,7 +76,8 @@ def string_buffers(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, offsets
 
 
-def chunks(col: pa.Array, lower: bool = False, between: np.ndarray = _SEP, stem: int = 0) -> Iterator[Chunk]:
+def chunks(col: pa.Array, lower: bool = False, between: np.ndarray = _SEP,
+           stems: tuple[int, ...] = ()) -> Iterator[Chunk]:
     """Word hashes of a string column (null counts as empty text), chunk by chunk; ``between``
     marks the bytes that are in no word."""
     raw, offsets = string_buffers(col)
@@ -85,15 +86,17 @@ def chunks(col: pa.Array, lower: bool = False, between: np.ndarray = _SEP, stem:
         e = max(d + 1, int(np.searchsorted(offsets, offsets[d] + CHUNK, side="right")) - 1)
         off = offsets[d:e + 1] - offsets[d]
         buf = raw[offsets[d]:offsets[e]]
-        yield _hash_chunk(d, _LOWER[buf] if lower else buf, off, between, stem)
+        yield _hash_chunk(d, _LOWER[buf] if lower else buf, off, between, stems)
         d = e
 
 
-def _hash_chunk(row0: int, buf: np.ndarray, off: np.ndarray, between: np.ndarray, stem: int) -> Chunk:
+def _hash_chunk(row0: int, buf: np.ndarray, off: np.ndarray, between: np.ndarray,
+                stems: tuple[int, ...]) -> Chunk:
     n = len(buf)
     if n == 0:
         none = np.zeros(0, np.uint64)
-        return Chunk(row0, len(off) - 1, np.zeros(len(off), np.int64), none, np.zeros(0, np.int64), none)
+        return Chunk(row0, len(off) - 1, np.zeros(len(off), np.int64), none, np.zeros(0, np.int64),
+                     (none,) * len(stems))
     word = ~between[buf]
     edge = np.zeros(n + 1, dtype=bool)
     edge[off] = True
@@ -108,11 +111,9 @@ def _hash_chunk(row0: int, buf: np.ndarray, off: np.ndarray, between: np.ndarray
     sizes = ends - starts
     h = (acc[ends] - acc[starts]) * down[starts]
     h = mix(h + sizes.astype(np.uint64) * _U(0xD6E8FEB86659FD93))
-    stems = None
-    if stem:
-        heads = mix((acc[np.minimum(starts + stem, n)] - acc[starts]) * down[starts] + _U(stem))
-        stems = np.where(sizes > stem, heads, _U(0))
-    return Chunk(row0, len(off) - 1, np.searchsorted(starts, off), h, sizes, stems)
+    heads = tuple(np.where(sizes > k, mix((acc[np.minimum(starts + k, n)] - acc[starts]) * down[starts] + _U(k)), _U(0))
+                  for k in stems)
+    return Chunk(row0, len(off) - 1, np.searchsorted(starts, off), h, sizes, heads)
 
 
 def grams(hashes: np.ndarray, k: int) -> np.ndarray:
