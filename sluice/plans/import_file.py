@@ -20,7 +20,7 @@ from sluice.operators import columns as C
 from sluice.operators import profile as P
 from sluice.operators import quality as QL
 from sluice.sinks.tables import create_table_sql, write_table
-from sluice.sources.csv import read_csv
+from sluice.sources.csv import read_csv, read_csv_set
 
 
 @dataclass
@@ -63,7 +63,7 @@ def _as_cleaned(df: DataFrame) -> DataFrame:
 def import_csv(spark: SparkSession, path: str, out_dir: str, epoch_seconds: int,
                overrides: dict[str, str] | None = None, enforce_gate: bool = True,
                **csv_options) -> ImportResult:
-    r = read_csv(spark, path, **csv_options)
+    r = (read_csv_set if csv_options.get("header", True) else read_csv)(spark, path, **csv_options)
     df = C.drop_null_columns(r.rows)
     prof = P.infer_sql_types(P.profile(_as_cleaned(df)))
     mapping = C.apply_overrides(C.column_mapping(r.header, r.names, prof), overrides or {})

@@ -110,3 +110,14 @@ def test_encoding_of_the_whole_file_decides(spark, tmp_path):
         read_csv_by_encoding(spark, census, sep=",")
     rows = read_csv_by_encoding(spark, census, errors="ignore", sep=",")
     assert rows.where("b = '中文'").count() == 1 and rows.count() == 20003
+
+
+def test_each_file_follows_its_own_header(spark, tmp_path):
+    from sluice.sources.csv import read_csv_set
+    land = _write(tmp_path / "in", "1.csv", "a,b\n1,2\n")
+    _write(tmp_path / "in", "2.csv", "b;a;c\n20;10;30\n")
+    r = read_csv_set(spark, land)
+    assert r.names == ["a", "b", "c"]
+    assert sorted(tuple(x) for x in r.rows.collect()) == [("1", "2", None), ("10", "20", "30")]
+    res = import_csv(spark, land, str(tmp_path / "out"), 1)
+    assert spark.read.parquet(res.accepted_path).count() == 2
