@@ -112,55 +112,32 @@ def with_float_repr_digits(df, cols: dict[str, str]):
 
     Java prints 1e-3 <= |x| < 1e7 plainly and the rest as ``d.dddEn``; Python prints
     1e-4 <= |x| < 1e16 plainly (always with a fraction, ``5.0``) and the rest as
-    ``d.ddde+nn``. Both give the same shortest digit string, so we take the digits and
-    the decimal exponent from Java's text and lay them out the Python way. The work is
-    staged over projections of flat columns (not structs, which the optimizer would
-    inline back) so every intermediate is computed once per row.
+    ``d.ddde+nn``. Both give the same shortest digit string: a plain text has its digits left
+    and right of the point; only a text with an exponent is laid out anew the Python way.
+    The text is staged as a flat column, so a number is printed once per row.
     """
     keep = [F.col(f"`{c}`") for c in df.columns]
     n = {out: f"__fd{i}" for i, out in enumerate(cols)}
-    st1 = []
-    for out, src in cols.items():
-        x, t = F.col(f"`{src}`"), n[out]
-        st1 += [x.cast("string").alias(t + "s")]
-    df1 = df.select(*keep, *st1)
-    st2 = []
+    df1 = df.select(*keep, *[F.col(f"`{src}`").cast("string").alias(n[out]) for out, src in cols.items()])
+    made = []
     for out in cols:
-        t = n[out]
-        js = F.col(t + "s")
-        mant = F.regexp_extract(js, r"^-?([0-9.]+)", 1)
-        st2 += [F.col(t + "s"),
-                F.when(js.contains("E"), F.regexp_extract(js, r"E(-?[0-9]+)$", 1).try_cast("int"))
-                .otherwise(F.lit(0)).alias(t + "x"),
-                F.split_part(mant, F.lit("."), F.lit(1)).alias(t + "i"),
-                F.split_part(mant, F.lit("."), F.lit(2)).alias(t + "f")]
-    df2 = df1.select(*keep, *st2)
-    st3 = []
-    for out in cols:
-        t = n[out]
-        ip, fp = F.col(t + "i"), F.col(t + "f")
-        lead0 = F.length(fp) - F.length(F.regexp_replace(fp, r"^0+", ""))
-        digits = F.regexp_replace(F.regexp_replace(F.concat(ip, fp), r"^0+", ""), r"0+$", "")
-        st3 += [F.col(t + "s"),
-                F.when(ip == "0", -(lead0 + 1)).otherwise(F.col(t + "x") + F.length(ip) - 1).alias(t + "e"),
-                F.greatest(F.length(digits), F.lit(1)).alias(t + "n")]
-    df3 = df2.select(*keep, *st3)
-    st4 = []
-    for out in cols:
-        t = n[out]
-        js, e, nd = F.col(t + "s"), F.col(t + "e"), F.col(t + "n")
-        z = js.isin("0.0", "-0.0")
+        js = F.col(n[out])
+        point = F.instr(js, ".")
+        neg = F.when(js.startswith("-"), F.lit(1)).otherwise(F.lit(0))
+        mantissa = F.substring_index(js, "E", 1)
+        e = F.substring_index(js, "E", -1).try_cast("int")
+        nd = F.when(mantissa.endswith(".0"), F.lit(1)).otherwise(F.length(mantissa) - 1 - neg)
         exp_len = F.greatest(F.lit(2), F.length(F.abs(e).cast("string"))) + 2
         plain = (e >= -4) & (e < 16)
-        int_d = (F.when(z, F.lit(1)).when(plain & (e >= 0), e + 1).when(plain, F.lit(1))
-                 .when(nd > 1, F.lit(1)).otherwise(1 + exp_len))
-        frac_d = (F.when(z, F.lit(1)).when(plain & (e >= 0), F.greatest(nd - (e + 1), F.lit(1)))
+        int_d = (F.when(plain & (e >= 0), e + 1).when(plain, F.lit(1))
+                 .when(nd > 1, F.lit(1)).otherwise(1 + exp_len)) + neg
+        frac_d = (F.when(plain & (e >= 0), F.greatest(nd - (e + 1), F.lit(1)))
                   .when(plain, (-e - 1) + nd).when(nd > 1, (nd - 1) + exp_len).otherwise(F.lit(0)))
-        neg = F.when(js.startswith("-"), F.lit(1)).otherwise(F.lit(0))
-        st4.append(F.when(js.isNotNull(), F.struct(
-            (int_d + neg).cast("int").alias("int_digits"),
-            frac_d.cast("int").alias("frac_digits"))).alias(out))
-    return df3.select(*keep, *st4)
+        spread_out = F.struct(int_d.cast("int").alias("int_digits"), frac_d.cast("int").alias("frac_digits"))
+        as_printed = F.struct((point - 1).cast("int").alias("int_digits"),
+                              (F.length(js) - point).cast("int").alias("frac_digits"))
+        made.append(F.when(js.isNotNull(), F.when(js.contains("E"), spread_out).otherwise(as_printed)).alias(out))
+    return df1.select(*keep, *made)
 
 
 def is_id_name(name: Column) -> Column:
