@@ -102,12 +102,17 @@ def _stats_for(i: int, f: T.StructField) -> tuple[list[Column], dict[str, Column
     return aggs, out
 
 
-def profile(df: DataFrame, columns: list[str] | None = None, slice_size: int = 200) -> DataFrame:
+def profile(df: DataFrame, columns: list[str] | None = None, slice_size: int = 200,
+            derived: bool = True) -> DataFrame:
     """Long-form profile: one row per column (see ``PROFILE_SCHEMA`` plus derived columns).
 
-    One scan per slice of ``slice_size`` columns (one slice for normal tables).
+    One scan per slice of ``slice_size`` columns (one slice for normal tables). With ``derived``
+    false the derived columns are left to :func:`with_derived`, for a union of many profiles.
     """
     fields = [f for f in df.schema.fields if columns is None or f.name in columns]
+    # one null column a field, shared by all rows: the plan is built by few driver calls
+    types = {sf.name: sf.dataType.simpleString() for sf in PROFILE_SCHEMA.fields}
+    nulls = {name: _null(t).alias(name) for name, t in types.items()}
     parts = []
     for start in range(0, max(len(fields), 1), slice_size):
         sl = list(enumerate(fields))[start:start + slice_size]
@@ -124,8 +129,8 @@ def profile(df: DataFrame, columns: list[str] | None = None, slice_size: int = 2
             }
             vals.update(out)
             rows.append(F.struct(*[
-                (vals[sf.name] if sf.name in vals else _null(sf.dataType.simpleString()))
-                .cast(sf.dataType).alias(sf.name) for sf in PROFILE_SCHEMA.fields]))
+                vals[sf.name].cast(types[sf.name]).alias(sf.name) if sf.name in vals else nulls[sf.name]
+                for sf in PROFILE_SCHEMA.fields]))
         digits = {}
         for i, f in sl:
             if column_kind(f.dataType) == "float":
@@ -138,7 +143,7 @@ def profile(df: DataFrame, columns: list[str] | None = None, slice_size: int = 2
         one = src.agg(*aggs)
         parts.append(one.select(F.inline(F.array(*rows))))
     long = reduce(DataFrame.unionByName, parts)
-    return with_derived(long)
+    return with_derived(long) if derived else long
 
 
 def with_derived(p: DataFrame) -> DataFrame:

@@ -117,8 +117,10 @@ def table_shape(spark, sf_dir):
 # ---- step 2: names and types ------------------------------------------------------------
 
 def _typed_profile(spark, sf_dir, tables):
-    return _union([P.infer_sql_types(P.profile(I.load(spark, sf_dir, t)))
-                   .withColumn("table_name", F.lit(t)) for t in tables])
+    # derived columns and types once over all tables' rows, not once a table
+    raw = _union([P.profile(I.load(spark, sf_dir, t), derived=False).withColumn("table_name", F.lit(t))
+                  for t in tables])
+    return P.infer_sql_types(P.with_derived(raw))
 
 
 @register
