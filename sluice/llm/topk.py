@@ -3,8 +3,7 @@
 Vectors become integers (floor of ``scale`` times each component). They are dealt into shards
 of about ``SHARD`` rows and the queries into blocks of ``QUERIES``; every (shard, block) pair is one
 group, so both sides grow without one task growing. A group sorts its shard once per dimension.
-For a query, lists are read in step from the end that raises the score; every row seen so far
-has a lower bound (what was read of it plus the worst each unread list still holds) and an upper
+For a query, lists are read in step from the end that raises the score; every row has a lower bound (what was read of it plus the worst each unread list still holds) and an upper
 bound (plus the value each unread list stands at). Reading stops when no row outside the k best
 lower bounds, and no unseen row, can reach the k-th of them; the rows that still can are scored
 to the end, and the k best of all shards are merged per query.
@@ -13,7 +12,7 @@ Defined cases: vectors that are null, or hold null or non-finite components, tak
 nothing; a null id neither. Vectors of another length than the query's are no candidates of it.
 Equal scores prefer the smaller id. Repeated ids are separate rows: a row is left out only for
 queries of its own id. With fewer than k candidates all are returned. Only ``vec_id`` and
-``embedding`` are read. Scores are exact as long as they fit 63 bits.
+``embedding`` are read. Scores are exact as long as they fit 53 bits.
 """
 
 from __future__ import annotations
@@ -30,8 +29,8 @@ EVERY = 50
 SCALE = 256
 SHARD = 4096
 QUERIES = 256
-#: list entries read in each step
-STEP = 128
+#: shares of the lists read before the bounds are compared again; after the last, all is read
+STEPS = (0.5, 0.8)
 
 
 def integer_vectors(embeddings: DataFrame, scale: int = SCALE) -> DataFrame:
@@ -47,48 +46,40 @@ class SortedLists:
 
     def __init__(self, ids: np.ndarray, rows: np.ndarray) -> None:
         self.ids, self.rows = ids, rows
-        self.order = np.argsort(rows, axis=0, kind="stable")
-        self.low, self.high = rows.min(axis=0), rows.max(axis=0)
-
-    def best(self, query_id: int, q: np.ndarray, k: int, step: int = STEP) -> tuple[np.ndarray, np.ndarray]:
+        self.values = rows.astype(np.float64)
+        order = np.argsort(rows, axis=0, kind="stable")
+        #: place of each row in each list, read from the bottom
+        self.place = np.empty(order.shape, dtype=np.int32)
+        np.put_along_axis(self.place, order, np.broadcast_to(np.arange(len(ids), dtype=np.int32)[:, None], order.shape), 0)
+        self.sorted = np.take_along_axis(self.values, order, axis=0)
+
+    def best(self, query_id: int, q: np.ndarray, k: int, steps=STEPS) -> tuple[np.ndarray, np.ndarray]:
         """Ids and scores of the k best rows other than the query's own."""
-        n, d = self.rows.shape
+        n = len(self.ids)
         other = self.ids != query_id
-        dims = np.flatnonzero(q)
-        if not len(dims):
-            pick = np.argsort(self.ids[other], kind="stable")[:k]
-            return self.ids[other][pick], np.zeros(len(pick), np.int64)
-        w = q[dims]
-        cols = self.rows[:, dims]
-        # list j descending in q_j * value: from the top for positive weights, else from the bottom
-        lists = np.where(w > 0, self.order[::-1][:, dims], self.order[:, dims])
-        worst = np.where(w > 0, self.low[dims], self.high[dims]) * w
-        got = np.zeros((n, len(dims)), dtype=bool)
-        known = np.zeros(n, dtype=np.int64)
-        depth = 0
-        while True:
-            block = lists[depth:depth + step]
-            at = np.broadcast_to(np.arange(len(dims)), block.shape)
-            values = cols[block, at] * w
-            got[block, at] = True
-            np.add.at(known, block.ravel(), values.ravel())
-            depth += step
-            if depth >= n:
-                alive = other
-                break
-            front = cols[lists[depth - 1], np.arange(len(dims))] * w
-            upper = known + np.where(got, 0, front).sum(axis=1)
-            lower = known + np.where(got, 0, worst).sum(axis=1)
-            seen = other & got.any(axis=1)
-            if seen.sum() < k:
+        w = q.astype(np.float64)
+        up = w > 0
+        # the value that a list can at worst still hold, for the lower bounds
+        worst = np.where(up, self.sorted[0], self.sorted[-1]) * w
+        alive = other
+        for share in steps:
+            depth = int(n * share)
+            if depth < max(1, 4 * k) or n <= 64:
                 continue
-            kth = np.partition(lower[seen], -k)[-k]
+            # what has been read of every list: its first rows from the end that raises the score
+            got = (self.place >= np.where(up, n - depth, 0)) & (self.place < np.where(up, n, depth))
+            known = np.where(got, self.values, 0.0) @ w
+            front = np.where(up, self.sorted[n - depth], self.sorted[depth - 1]) * w
+            read = got.astype(np.float64)
+            upper = known + front.sum() - read @ front
+            lower = known + worst.sum() - read @ worst
+            kth = np.partition(lower[other], -k)[-k] if other.sum() > k else -np.inf
+            # an unread row has the sum of the fronts as its upper bound, which the formula gives it
             alive = other & (upper >= kth)
-            # rows still in doubt, unseen ones included; few enough are scored to the end
             if alive.sum() <= max(4 * k, n // 16):
                 break
         left = np.flatnonzero(alive)
-        score = known[left] + (np.where(got[left], 0, cols[left]) * w).sum(axis=1)
+        score = self.rows[left] @ q
         pick = np.lexsort((self.ids[left], -score))[:k]
         return self.ids[left][pick], score[pick]
 
