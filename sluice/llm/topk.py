@@ -111,6 +111,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     left = vectors.select("vec_id", "v", deal(shards).alias("shard"), every(blocks).alias("block"))
     right = queries.select("vec_id", "v", deal(blocks).alias("block"), every(shards).alias("shard"))
+    # little data but much work a group: a task each, which a size-based merge would undo
+    left, right = (side.repartition(shards * blocks, "shard", "block") for side in (left, right))
     found = (left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block"))
              .applyInPandas(_group(k), f"query_id {kind}, vec_id {kind}, score long"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
