@@ -3,24 +3,26 @@
 Fit. A bounded sample of labelled rows outside the held-out fold (``EXAMPLES`` per class, the
 smallest hashes of doc_id) gives the examples. Terms are lower-case words between ASCII
 separators and the first 4, 6 and 8 bytes of longer words, each also as "twice", "three times" and
-"five times or more"; those that mark toxic examples most clearly
-(chi-square over the sample's classes) span the vector space, at most ``TERMS`` of them. A third
-of the sample is kept out of all this to calibrate the votes.
-Document frequencies of these terms are counted over the whole corpus. The examples' vectors
-form an inverted index cut into blocks of ``LANES`` examples with the largest weight of each term
-per block. Sample, term and example bounds are parameters, so the index that is shipped to the
-tasks has a fixed largest size.
-
-Search. Per batch of documents the block maxima give an upper bound for every block; a block is
-scored (exactly, in double precision) only for documents whose bound reaches their current
-k-th cosine. The k nearest vote with their cosines, each class weighted by how thinly it was
-sampled; a monotone curve fitted to the votes of the examples kept out turns the vote into a
-probability, and the neighbours are returned as evidence.
+"five times or more". Every term of the examples, of either class and however rare, is a dimension
+of the vector space; none is dropped. A dimension counts by its idf, taken from the document
+frequencies of the whole corpus, times ``FLOOR`` plus the size of its standardised log-odds between the
+classes, so words that tell the classes apart, toxic or clean, weigh more. A third of the sample
+is kept out of all this to calibrate the votes. Vectors have unit length over these dimensions
+(terms of no example would scale all cosines of a document alike). The examples' vectors form an
+inverted index: frequent terms as a dense matrix, the others as postings cut into blocks of
+``LANES`` examples with the largest weight of each term per block. The number of examples is a
+parameter; the index that is shipped to the tasks holds their postings and nothing of the corpus.
+
+Search. Per batch of documents the frequent terms' exact part and the block maxima of the others
+give an upper bound for every block; a block is scored (exactly, in double precision) only for
+documents whose bound reaches their current k-th cosine. The k nearest vote with their cosines,
+each class weighted by how thinly it was sampled; a monotone curve fitted to the votes of the
+examples kept out turns the vote into a probability, and the neighbours are returned as evidence.
 
 Defined cases: null text counts as empty. A text with none of the terms has no neighbours; its
 score is the weighted share of toxic examples among those without terms (0 if there are none).
 Equal cosines (to 12 digits) prefer the example with the smaller doc_id. Null labels and ids do
-not train; without examples of both classes, or without a term that tells them apart, the score
+not train; without examples of both classes, or without a term in them, the score
 is the labels' toxic share (0 without labels). Repeated rows are scored alike. Only ``doc_id`` and ``text`` are read.
 """
 
@@ -36,7 +38,6 @@ from sluice.llm.base import stage
 from sluice.llm.quality import in_fold
 
 EXAMPLES = 1500
-TERMS = 768
 LANES = 64
 NEIGHBOURS = 15
 STEMS = (4, 6, 8)
@@ -44,8 +45,14 @@ STEMS = (4, 6, 8)
 LEVELS = (2, 3, 5)
 FOLDS, HELD_OUT = 5, 0
 THRESHOLD = 0.5
-#: chi-square of one degree of freedom at p = 0.00000005, as very many terms are tried
-LEAST_CHI = 30.0
+#: weight of a term that says nothing about the classes, beside the size of its log-odds in standard errors
+FLOOR = 0.1
+#: terms of at least this share of the examples are held dense
+FREQUENT = 0.06
+#: blocks of a document that are scored before its bounds are tested
+AHEAD = 4
+#: block maxima that are looked at together
+ENTRIES = 1 << 17
 
 #: bytes between words: ASCII other than letters and digits
 _BETWEEN = np.zeros(256, dtype=bool)
@@ -53,121 +60,225 @@ _BETWEEN[:128] = True
 _BETWEEN[list(b"0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")] = False
 
 
-def _terms(col: pa.Array):
-    """Distinct term hashes of each text with their levels: 1, and every level reached."""
+def _occurring(col: pa.Array):
+    """``(documents, document, hash)`` of every term occurrence in consecutive texts."""
     for c in W.chunks(col, lower=True, between=_BETWEEN, stems=STEMS):
-        for d in range(c.docs):
-            a, b = c.first[d], c.first[d + 1]
-            heads = np.concatenate([s[a:b] for s in c.stems])
-            term, n = np.unique(np.concatenate([c.hashes[a:b], heads[heads != 0]]), return_counts=True)
-            more = [term[n >= k] for k in LEVELS]
-            yield (np.concatenate([term, *more]),
-                   np.repeat([1, *LEVELS], [len(term), *map(len, more)]).astype(np.int64))
+        at = np.searchsorted(c.first, np.arange(len(c.hashes)), side="right") - 1
+        doc = np.concatenate([at, *[at[h != 0] for h in c.stems]])
+        yield c.docs, doc, np.concatenate([c.hashes, *[h[h != 0] for h in c.stems]])
 
 
 def _term_batches(batches):
+    """Distinct term hashes of each text and how often they occur."""
     for batch in batches:
-        got = list(_terms(batch.column("text")))
+        terms, often = [], []
+        for docs, doc, h in _occurring(batch.column("text")):
+            order = np.argsort(doc, kind="stable")
+            split = np.searchsorted(doc[order], np.arange(1, docs))
+            for part in np.split(h[order], split):
+                t, n = np.unique(part, return_counts=True)
+                terms.append(t)
+                often.append(n)
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), batch.column("toxic"), W.list_column([t for t, _ in got]),
-             W.list_column([k for _, k in got])], names=["doc_id", "toxic", "terms", "levels"])
-
-
-def _vector_batches(vocabulary: list[tuple[int, int]]):
-    """Occurrences of the vocabulary's (term, level) entries in each text: entry numbers, and how
-    often (1 for higher levels)."""
-    known = np.unique(np.array([t for t, _ in vocabulary], dtype=np.int64).view(np.uint64))
-    entry = np.full((len(known), 1 + len(LEVELS)), -1)
-    for i, (t, level) in enumerate(vocabulary):
-        row = np.searchsorted(known, np.array([t], dtype=np.int64).view(np.uint64)[0])
-        entry[row, [1, *LEVELS].index(level)] = i
-
+            [batch.column("doc_id"), batch.column("toxic"), batch.column("aside"), W.list_column(terms),
+             W.list_column([n.astype(np.int64) for n in often])], names=["doc_id", "toxic", "aside", "terms", "often"])
+
+
+def _expand(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers of the ranges ``[begin, end)``, and the range each comes from."""
+    n = end - begin
+    of = np.repeat(np.arange(len(n)), n)
+    return np.arange(len(of)) + np.repeat(begin - (np.cumsum(n) - n), n), of
+
+
+class Vocabulary:
+    """Numbers of the (term, level) entries that some example has."""
+
+    def __init__(self, terms: np.ndarray, often: np.ndarray) -> None:
+        self.known = np.unique(terms)
+        self.entry = np.full((len(self.known), 1 + len(LEVELS)), -1, np.int32)
+        pos = np.searchsorted(self.known, terms)
+        for j, k in enumerate((1, *LEVELS)):
+            self.entry[pos[often >= k], j] = 0
+        met = self.entry == 0
+        self.size = int(met.sum())
+        self.entry[met] = np.arange(self.size)
+
+    def entries(self, doc: np.ndarray, term: np.ndarray, often: np.ndarray, docs: int):
+        """``(first, entries, tf)`` of the documents; ``term`` numbers ``known``. Higher levels have tf 1."""
+        at, e, tf = [], [], []
+        for j, k in enumerate((1, *LEVELS)):
+            got = self.entry[term, j]
+            hit = np.flatnonzero((often >= k) & (got >= 0))
+            at.append(doc[hit])
+            e.append(got[hit])
+            tf.append(often[hit] if k == 1 else np.ones(len(hit), np.int64))
+        at = np.concatenate(at)
+        order = np.argsort(at, kind="stable")
+        return (np.searchsorted(at[order], np.arange(docs + 1)), np.concatenate(e)[order].astype(np.int64),
+                np.concatenate(tf)[order])
+
+    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which hashes are known, and their numbers."""
+        pos = np.minimum(np.searchsorted(self.known, h), len(self.known) - 1)
+        hit = np.flatnonzero(self.known[pos] == h)
+        return hit, pos[hit]
+
+    def texts(self, col: pa.Array):
+        """:meth:`entries` of consecutive texts of a column."""
+        for docs, doc, h in _occurring(col):
+            hit, term = self.find(h)
+            keys, often = np.unique(doc[hit] * len(self.known) + term, return_counts=True)
+            yield self.entries(keys // len(self.known), keys % len(self.known), often, docs)
+
+
+def _df_batches(vocabulary: Vocabulary):
+    """One row a task: documents of its rows, and document frequencies of the entries met."""
     def run(batches):
+        df, docs = np.zeros(vocabulary.size, np.int64), 0
         for batch in batches:
-            at, tf = [], []
-            for c in W.chunks(batch.column("text"), lower=True, between=_BETWEEN, stems=STEMS):
-                where, term = [], []
-                for h in (c.hashes, *c.stems):
-                    pos = np.minimum(np.searchsorted(known, h), len(known) - 1)
-                    hit = np.flatnonzero(known[pos] == h)
-                    where.append(hit)
-                    term.append(pos[hit])
-                doc = np.searchsorted(c.first, np.concatenate(where), side="right") - 1
-                keys, n = np.unique(doc * len(known) + np.concatenate(term), return_counts=True)
-                split = np.searchsorted(keys, np.arange(c.docs + 1) * len(known))
-                for d in range(c.docs):
-                    ids, often = keys[split[d]:split[d + 1]] % len(known), n[split[d]:split[d + 1]]
-                    found = [(entry[ids[often >= k], j], often[often >= k] if k == 1 else np.ones((often >= k).sum(), int))
-                             for j, k in enumerate((1, *LEVELS))]
-                    e, m = (np.concatenate(x) for x in zip(*found))
-                    at.append(e[e >= 0])
-                    tf.append(m[e >= 0])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), _ints(at), _ints(tf)], names=["doc_id", "terms", "tf"])
+            docs += batch.num_rows
+            for _, e, _ in vocabulary.texts(batch.column("text")):
+                df += np.bincount(e, minlength=vocabulary.size)
+        met = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array([docs], pa.int64()), W.list_column([met]), W.list_column([df[met]])],
+                                         names=["docs", "terms", "df"])
     return run
 
 
-def _ints(parts: list[np.ndarray]) -> pa.Array:
-    return W.list_column([p.astype(np.int32) for p in parts], pa.int32())
+class Vectors:
+    """Sparse rows: row ``i`` has ``value[first[i]:first[i + 1]]`` at ``term[...]``."""
+
+    def __init__(self, first: np.ndarray, term: np.ndarray, value: np.ndarray, width: int) -> None:
+        self.first, self.term, self.value, self.width = first, term, value, width
+        self.row = np.repeat(np.arange(len(first) - 1), np.diff(first))
+
+    def __len__(self) -> int:
+        return len(self.first) - 1
+
+    def __getitem__(self, i: int) -> np.ndarray:
+        out = np.zeros(self.width)
+        out[self.term[self.first[i]:self.first[i + 1]]] = self.value[self.first[i]:self.first[i + 1]]
+        return out
+
+    def __matmul__(self, x: np.ndarray) -> np.ndarray:
+        return np.bincount(self.row, self.value * x[self.term], len(self))
+
+    def take(self, rows: np.ndarray) -> Vectors:
+        at, _ = _expand(self.first[rows], self.first[rows + 1])
+        first = np.concatenate([[0], np.cumsum(self.first[rows + 1] - self.first[rows])])
+        return Vectors(first, self.term[at], self.value[at], self.width)
 
 
 class BlockMaxIndex:
     """Example vectors in blocks, with per-block largest weights of every term."""
 
-    def __init__(self, idf: np.ndarray, ids: list, toxic: np.ndarray, terms: list, tf: list, weight: np.ndarray,
+    def __init__(self, worth: np.ndarray, ids: list, toxic: np.ndarray, terms: list, tf: list, weight: np.ndarray,
                  neighbours: int = NEIGHBOURS, lanes: int = LANES) -> None:
-        self.idf, self.k = idf, neighbours
+        self.worth, self.k, self.lanes = worth, neighbours, lanes
         vectors = self.vectors(terms, tf)
         # similar examples share blocks: order by heaviest term, then id
-        order = np.lexsort((np.arange(len(ids)), vectors.argmax(axis=1))) if len(ids) else np.zeros(0, np.int64)
+        heavy = np.zeros(len(ids), np.int64)
+        rising = np.lexsort((-vectors.term, vectors.value, vectors.row))
+        heavy[vectors.row[rising]] = vectors.term[rising]
+        order = np.lexsort((np.arange(len(ids)), heavy))
         self.ids = np.array([ids[i] for i in order], dtype=np.int64)
         self.toxic, self.weight = toxic[order].astype(float), weight[order]
-        self.rows = vectors[order]
-        self.lanes = lanes
-        self.blocks = [(b, min(b + lanes, len(order))) for b in range(0, len(order), lanes)]
-        self.top = np.array([self.rows[a:b].max(axis=0) for a, b in self.blocks]) \
-            if self.blocks else np.zeros((0, len(idf)))
+        self.rows = vectors.take(order)
+        self.blocks = -(-len(ids) // lanes)
+        self._post()
         self.blank = 0.0
         self.knots: tuple[np.ndarray, np.ndarray] | None = None
 
-    def vectors(self, terms: list, tf: list) -> np.ndarray:
-        """Unit vectors of (1 + log tf) * idf; zero where a text has none of the terms."""
-        out = np.zeros((len(terms), len(self.idf)))
-        for row, (t, n) in enumerate(zip(terms, tf)):
-            if len(t):
-                t = np.asarray(t, dtype=np.int64)
-                out[row, t] = (1 + np.log(np.asarray(n, dtype=float))) * self.idf[t]
-        size = np.sqrt((out * out).sum(axis=1, keepdims=True))
-        return np.divide(out, size, out=out, where=size > 0)
-
-    def nearest(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _post(self) -> None:
+        """Frequent terms as a dense matrix, the others as postings in segments of a term and block."""
+        rows, width = self.rows, len(self.worth)
+        df = np.bincount(rows.term, minlength=width)
+        often = np.flatnonzero(df >= max(1, FREQUENT * len(rows)))
+        self.place = np.full(width, -1, np.int32)
+        self.place[often] = np.arange(len(often))
+        at = self.place[rows.term]
+        self.dense = np.zeros((self.blocks * self.lanes, len(often)))
+        self.dense[rows.row[at >= 0], at[at >= 0]] = rows.value[at >= 0]
+        term, row, value = rows.term[at < 0], rows.row[at < 0], rows.value[at < 0]
+        order = np.lexsort((row, term))
+        term, self.post_row, self.post = term[order], row[order].astype(np.int32), value[order]
+        block = self.post_row // self.lanes
+        new = np.ones(len(term), dtype=bool)
+        new[1:] = (term[1:] != term[:-1]) | (block[1:] != block[:-1])
+        begin = np.flatnonzero(new)
+        self.cut = np.append(begin, len(term))
+        self.block = block[begin]
+        self.top = np.maximum.reduceat(self.post, begin) if len(begin) else np.zeros(0)
+        self.first = np.searchsorted(term[begin], np.arange(width + 1))
+
+    def vectors(self, terms: list, tf: list) -> Vectors:
+        """Unit vectors of (1 + log tf) * worth; no entries where a text has none of the terms."""
+        first = np.concatenate([[0], np.cumsum([len(t) for t in terms], dtype=np.int64)]).astype(np.int64)
+        flat = lambda parts: np.concatenate([np.zeros(0, np.int64), *parts]).astype(np.int64)
+        return self.unit(first, flat(terms), flat(tf))
+
+    def unit(self, first: np.ndarray, term: np.ndarray, tf: np.ndarray) -> Vectors:
+        out = Vectors(first, term, (1 + np.log(tf)) * self.worth[term], len(self.worth))
+        out.value = out.value / np.sqrt(np.bincount(out.row, out.value * out.value, len(out)))[out.row]
+        return out
+
+    def nearest(self, q: Vectors) -> tuple[np.ndarray, np.ndarray]:
         """Example numbers (-1: none) and cosines of the k nearest rows of the index."""
-        n, k = len(q), self.k
-        best, who = np.full((n, k), 0.0), np.full((n, k), -1, dtype=np.int64)
-        bounds = q @ self.top.T if len(self.blocks) else np.zeros((n, 0))
-        for b in np.argsort(-bounds.sum(axis=0), kind="stable"):
-            lo, hi = self.blocks[b]
-            live = np.flatnonzero((bounds[:, b] > 0) & (bounds[:, b] + 1e-9 >= best[:, -1]))
-            if not len(live):
-                continue
-            sims = np.round(q[live] @ self.rows[lo:hi].T, 12)
-            here = np.broadcast_to(np.arange(lo, hi), sims.shape).copy()
-            here[sims <= 0] = -1
-            sims = np.concatenate([best[live], sims], axis=1)
-            here = np.concatenate([who[live], here], axis=1)
-            rank = np.where(here >= 0, self.ids[here], np.iinfo(np.int64).max)
-            take = np.lexsort((rank, -sims), axis=1)[:, :k]
-            best[live] = np.take_along_axis(sims, take, axis=1)
-            who[live] = np.take_along_axis(here, take, axis=1)
+        who, best = np.full((len(q), self.k), -1, dtype=np.int64), np.zeros((len(q), self.k))
+        if not self.blocks:
+            return who, best
+        load = np.append(0, np.cumsum(self.first[q.term + 1] - self.first[q.term]))[q.first]
+        load += np.arange(len(q) + 1) * len(self.dense)
+        a = 0
+        while a < len(q):
+            b = max(a + 1, int(np.searchsorted(load, load[a] + ENTRIES, side="right")) - 1)
+            self._search(q.take(np.arange(a, b)), who[a:b], best[a:b])
+            a = b
         return who, best
 
+    def _search(self, q: Vectors, who: np.ndarray, best: np.ndarray) -> None:
+        n, blocks, width = len(q), self.blocks, len(self.dense)
+        at = self.place[q.term]
+        often, rest = at >= 0, at < 0
+        front = np.zeros((n, self.dense.shape[1]))
+        front[q.row[often], at[often]] = q.value[often]
+        sims = front @ self.dense.T
+        segment, of = _expand(self.first[q.term[rest]], self.first[q.term[rest] + 1])
+        row, value = q.row[rest][of], q.value[rest][of]
+        cell = row * blocks + self.block[segment]
+        bounds = (sims.reshape(n, blocks, self.lanes).max(axis=2)
+                  + np.bincount(cell, value * self.top[segment], n * blocks).reshape(n, blocks))
+        k = min(self.k, width)
+        # the few most promising blocks first, then all others whose bound reaches the k-th cosine
+        ahead = bounds >= np.partition(bounds, -min(AHEAD, blocks), axis=1)[:, -min(AHEAD, blocks), None]
+        done, least = np.zeros((n, blocks), dtype=bool), np.zeros(n)
+        for turn in (ahead, ~ahead):
+            live = turn & (bounds > 0) & (bounds + 1e-9 >= least[:, None])
+            part = np.flatnonzero(live.ravel()[cell])
+            post, of = _expand(self.cut[segment[part]], self.cut[segment[part] + 1])
+            part = part[of]
+            sims += np.bincount(row[part] * width + self.post_row[post], value[part] * self.post[post],
+                                n * width).reshape(n, width)
+            done |= live
+            shown = np.where(done[:, :, None], sims.reshape(n, blocks, self.lanes), 0.0).reshape(n, width)
+            least = np.partition(shown, width - k, axis=1)[:, width - k]
+        doc, example = np.nonzero((shown > 0) & (shown + 1e-9 >= least[:, None]))
+        cosine = np.round(shown[doc, example], 12)
+        order = np.lexsort((self.ids[example], -cosine, doc))
+        order = order[cosine[order] > 0]
+        doc, example, cosine = doc[order], example[order], cosine[order]
+        place = np.arange(len(doc)) - np.searchsorted(doc, doc)
+        near = place < self.k
+        who[doc[near], place[near]], best[doc[near], place[near]] = example[near], cosine[near]
+
     def votes(self, who: np.ndarray, cosine: np.ndarray) -> np.ndarray:
         """Cosine-weighted share of toxic neighbours; NaN without neighbours."""
         w = np.where(who >= 0, cosine * self.weight[who], 0.0)
         total = w.sum(axis=1)
         return np.divide((w * self.toxic[who]).sum(axis=1), total, out=np.full(len(who), np.nan), where=total > 0)
 
-    def calibrate(self, q: np.ndarray, toxic: np.ndarray, w: np.ndarray) -> None:
+    def calibrate(self, q: Vectors, toxic: np.ndarray, w: np.ndarray) -> None:
         """Monotone fit (pool adjacent violators) of toxicity to the votes of other examples."""
         v = self.votes(*self.nearest(q))
         none = np.isnan(v)
@@ -189,9 +300,10 @@ class BlockMaxIndex:
         return np.clip(np.where(np.isnan(votes), self.blank, curve), 0.0, 1.0)
 
 
-def fit(documents: DataFrame, labels: DataFrame, examples: int = EXAMPLES, terms: int = TERMS):
-    """Vocabulary and sample of the index: ``(vocabulary, sample rows, rows that one of a class stands
-    for)``; without two classes or a term that marks one, ``(None, None, toxic share)``."""
+def fit(documents: DataFrame, labels: DataFrame, examples: int = EXAMPLES):
+    """``(vocabulary, rows, share)``: entries of the examples, the sample's rows by doc_id as ``(doc_id, toxic,
+    aside, (first, entries, tf))`` arrays, rows that one of a class stands for; without two classes or a term
+    ``(None, None, toxic share)``."""
     known = (labels.select("doc_id", F.col("toxic").cast("int").alias("toxic"))
              .where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()
                     & ~in_fold(F.col("doc_id"), FOLDS, HELD_OUT)).distinct())
@@ -200,73 +312,84 @@ def fit(documents: DataFrame, labels: DataFrame, examples: int = EXAMPLES, terms
     known = known.withColumn("aside", F.pmod(F.xxhash64("doc_id", F.lit(8)), F.lit(3)) == 0)
     picks = [known.where(F.col("toxic") == c).orderBy(mark, "doc_id").limit(examples) for c in (0, 1)]
     picked = stage(picks[0].unionByName(picks[1]), "examples")
-    sample = stage(documents.select("doc_id", "text").join(
-        F.broadcast(picked), "doc_id").dropDuplicates(["doc_id", "toxic"]), "sample")
-    used = sample.where("not aside")
-    found = used.select("doc_id", "toxic", "text").mapInArrow(_term_batches, f"doc_id {_kind(documents)}, toxic int, terms array<long>, levels array<long>")
-    n = {r["toxic"]: r["count"] for r in used.groupBy("toxic").count().collect()}
+    sample = documents.select("doc_id", "text").join(F.broadcast(picked), "doc_id").dropDuplicates(["doc_id", "toxic"])
+    rows = sample.select("doc_id", "toxic", "aside", "text").mapInArrow(
+        _term_batches, f"doc_id {_kind(documents)}, toxic int, aside boolean, terms array<long>, often array<long>")
+    rows = rows.toArrow().sort_by([("doc_id", "ascending"), ("toxic", "ascending")]).combine_chunks()
+    doc_id, toxic, aside = (rows.column(c).to_numpy() for c in ("doc_id", "toxic", "aside"))
+    aside = aside.astype(bool)
     total = sum(counts.values())
     share = counts.get(1, 0) / total if total else 0.0
-    if not (n.get(0) and n.get(1)):
+    n = {c: int(((toxic == c) & ~aside).sum()) for c in (0, 1)}
+    if not (n[0] and n[1]):
         return None, None, share
-    a = F.sum(F.col("toxic")).cast("double")
-    b = F.count("*") - a
-    n1, n0 = float(n[1]), float(n[0])
-    chi = ((F.col("a") * (n0 - F.col("b")) - F.col("b") * (n1 - F.col("a"))) ** 2 * (n1 + n0)
-           / (n1 * n0 * (F.col("a") + F.col("b")) * (n1 + n0 - F.col("a") - F.col("b"))))
-    top = (found.select("toxic", F.explode(F.arrays_zip("terms", "levels")).alias("z"))
-           .groupBy(F.col("z.terms").alias("term"), F.col("z.levels").alias("level")).agg(a.alias("a"), b.alias("b"))
-           .where((F.col("a") + F.col("b") < n1 + n0) & (F.col("a") * n0 > F.col("b") * n1)).withColumn("chi", chi).where(F.col("chi") >= LEAST_CHI)
-           .orderBy(F.desc("chi"), "term", "level").limit(terms).collect())
-    vocabulary = [(r["term"], r["level"]) for r in top]
-    if not vocabulary:
+    lists = rows.column("terms").combine_chunks()
+    term = lists.flatten().to_numpy().view(np.uint64)
+    often = rows.column("often").combine_chunks().flatten().to_numpy()
+    doc = np.repeat(np.arange(len(doc_id)), lists.value_lengths().to_numpy())
+    inside = ~aside[doc]
+    vocabulary = Vocabulary(term[inside], often[inside])
+    if not vocabulary.size:
         return None, None, share
-    return vocabulary, sample, {c: counts[c] / n[c] for c in (0, 1)}
+    hit, pos = vocabulary.find(term)
+    return (vocabulary, (doc_id, toxic, aside, vocabulary.entries(doc[hit], pos, often[hit], len(doc_id))),
+            {c: counts[c] / n[c] for c in (0, 1)})
+
+
+def class_marks(rows: Vectors, toxic: np.ndarray) -> np.ndarray:
+    """Size of each term's log-odds between the classes, in standard errors."""
+    n1, n0 = float((toxic == 1).sum()), float((toxic == 0).sum())
+    a = np.bincount(rows.term[toxic[rows.row] == 1], minlength=rows.width) + 0.5
+    b = np.bincount(rows.term[toxic[rows.row] == 0], minlength=rows.width) + 0.5
+    odds = np.log(a / (n1 + 1 - a)) - np.log(b / (n0 + 1 - b))
+    return np.abs(odds) / np.sqrt(1 / a + 1 / (n1 + 1 - a) + 1 / b + 1 / (n0 + 1 - b))
 
 
-def score_toxicity(documents: DataFrame, labels: DataFrame, examples: int = EXAMPLES, terms: int = TERMS,
+def score_toxicity(documents: DataFrame, labels: DataFrame, examples: int = EXAMPLES,
                    neighbours: int = NEIGHBOURS) -> DataFrame:
     """``doc_id, held_out, score, predicted, evidence`` for every row; evidence lists the
     neighbours as ``struct<doc_id, toxic, cosine>``, nearest first."""
     kind = _kind(documents)
     held = in_fold(F.col("doc_id"), FOLDS, HELD_OUT).alias("held_out")
     evidence = f"array<struct<doc_id: {kind}, toxic: int, cosine: double>>"
-    vocabulary, sample, share = fit(documents, labels, examples, terms)
+    vocabulary, sample, share = fit(documents, labels, examples)
     if vocabulary is None:
         return documents.select("doc_id", held, F.lit(float(share)).alias("score"),
                                 F.lit(int(share >= THRESHOLD)).alias("predicted"),
                                 F.array().cast(evidence).alias("evidence"))
-    form = f"doc_id {kind}, terms array<int>, tf array<int>"
-    vectors = stage(documents.select("doc_id", "text").mapInArrow(_vector_batches(vocabulary), form), "vectors")
-    df = {r["t"]: r["n"] for r in vectors.select(F.explode("terms").alias("t")).groupBy("t").agg(
-        F.count("*").alias("n")).collect()}
-    total = vectors.count()
-    idf = np.array([np.log((1 + total) / (1 + df.get(t, 0))) + 1 for t in range(len(vocabulary))])
-    rows = sorted(sample.select("doc_id", "text").mapInArrow(_vector_batches(vocabulary), form).collect(),
-                  key=lambda r: r["doc_id"])
-    label = {r["doc_id"]: (r["toxic"], r["aside"]) for r in sample.select("doc_id", "toxic", "aside").collect()}
-    inside, aside = ([r for r in rows if label[r["doc_id"]][1] == x] for x in (False, True))
-    toxic, kept = (np.array([label[r["doc_id"]][0] for r in part]) for part in (inside, aside))
+    counted = stage(documents.select("text").mapInArrow(_df_batches(vocabulary), "docs long, terms array<long>, df array<long>"),
+                    "frequencies")
+    total = counted.agg(F.sum("docs")).first()[0] or 0
+    found = (counted.select(F.explode(F.arrays_zip("terms", "df")).alias("z")).groupBy(F.col("z.terms").alias("term"))
+             .agg(F.sum("z.df").alias("df")).toArrow())
+    df = np.zeros(vocabulary.size)
+    df[found.column("term").to_numpy()] = found.column("df").to_numpy()
+    doc_id, toxic, aside, (first, entry, tf) = sample
+    every = Vectors(first, entry, tf, vocabulary.size)
+    inside, kept = (every.take(np.flatnonzero(x)) for x in (~aside, aside))
+    worth = (np.log((1 + total) / (1 + df)) + 1) * (FLOOR + class_marks(inside, toxic[~aside]))
     weigh = lambda t: np.where(t == 1, share[1], share[0])
-    index = BlockMaxIndex(idf, [r["doc_id"] for r in inside], toxic, [r["terms"] for r in inside],
-                          [r["tf"] for r in inside], weigh(toxic), neighbours)
+    lists = lambda v, x: np.split(x, v.first[1:-1])
+    index = BlockMaxIndex(worth, doc_id[~aside].tolist(), toxic[~aside], lists(inside, inside.term),
+                          lists(inside, inside.value), weigh(toxic[~aside]), neighbours)
     if len(kept):
-        index.calibrate(index.vectors([r["terms"] for r in aside], [r["tf"] for r in aside]), kept, weigh(kept))
+        index.calibrate(index.unit(kept.first, kept.term, kept.value), toxic[aside], weigh(toxic[aside]))
 
     def run(batches):
         for batch in batches:
-            for i in range(0, batch.num_rows, 2000):
-                part = batch.slice(i, 2000)
-                q = index.vectors(part.column("terms").to_pylist(), part.column("tf").to_pylist())
-                who, cosine = index.nearest(q)
+            at = 0
+            for first, entry, tf in vocabulary.texts(batch.column("text")):
+                who, cosine = index.nearest(index.unit(first, entry, tf))
                 told = [[{"doc_id": int(index.ids[w]), "toxic": int(index.toxic[w]), "cosine": float(c)}
                          for w, c in zip(ws, cs) if w >= 0] for ws, cs in zip(who, cosine)]
+                ids = batch.column("doc_id").slice(at, len(who))
+                at += len(who)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(index.score(index.votes(who, cosine))),
-                     pa.array(told, pa.list_(pa.struct([("doc_id", part.column("doc_id").type), ("toxic", pa.int32()),
+                    [ids, pa.array(index.score(index.votes(who, cosine))),
+                     pa.array(told, pa.list_(pa.struct([("doc_id", ids.type), ("toxic", pa.int32()),
                                                         ("cosine", pa.float64())])))],
                     names=["doc_id", "score", "evidence"])
-    return (vectors.mapInArrow(run, f"doc_id {kind}, score double, evidence {evidence}")
+    return (documents.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double, evidence {evidence}")
             .select("doc_id", held, "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "evidence"))
 
 

@@ -365,3 +365,16 @@ def test_pipeline(spark, tmp_path):
         assert docs.columns == src.columns, name
     out = P.STAGES[-1][1](spark, docs, folder)
     assert out.count() == docs.count() and out.where("not round_trip").count() == 0
+
+
+def test_toxicity_knows_rare_and_clean_terms(spark):
+    """Marks of a few examples each, more of them than any fixed number of terms, and clean wording all count."""
+    from sluice.llm.toxicity import score_toxicity
+    fill = lambda i: " ".join(f"w{x}" for x in np.random.default_rng(i).integers(0, 30, 6))
+    rows = [(i, f"{fill(i)} {i % 150:03d}vile {i % 150:03d}hateful", 1) for i in range(1500)]
+    rows += [(i, f"{fill(i)} {i % 150:03d}kind {i % 150:03d}gentle", 0) for i in range(1500, 3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    out = score_toxicity(df.select("doc_id", "text"), df.select("doc_id", "toxic")).collect()
+    assert np.mean([r["predicted"] == (r["doc_id"] < 1500) for r in out]) > 0.99
+    assert all(len(r["evidence"]) == 15 for r in out)
+    assert {e["toxic"] for r in out if r["doc_id"] >= 1500 for e in r["evidence"][:1]} == {0}
