@@ -44,7 +44,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """``doc_id, source, n_tokens, ids, round_trip`` of every row of the mix."""
+    """``doc_id, source, n_tokens, ids, begins, ends, round_trip`` of every row of the mix."""
     return encode_for_training(docs, tokenizer_path("piece_bpe_32k.model"))
 
 

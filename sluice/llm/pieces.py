@@ -111,14 +111,18 @@ class PieceModel:
         if not self.byte:
             raise ValueError("the model needs byte pieces")
         #: segments met lately, and those met before them
-        self.table: dict[str, tuple] = {}
-        self.older: dict[str, tuple] = {}
+        self.table: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
         self.cores: dict[str, tuple[int, ...]] = {}
         self.most = table
         #: ids whose text is their name
         self.plain = [i not in self.byte_of and i not in self.control and i != self.unknown
                       for i in range(len(self.names))]
         self.shown = [n.replace(SPACE, " ") for n in self.names]
+        self.widths = np.array(self.width, np.int64)
+        #: bytes of each id; those of control ids are in no text
+        self.raw = [bytes([self.byte_of[i]]) if i in self.byte_of else b"\xff" if i in self.control
+                    else self.unknown_text.encode() if i == self.unknown else t.encode() for i, t in enumerate(self.shown)]
 
     # normalisation -----------------------------------------------------------------
 
@@ -223,8 +227,8 @@ class PieceModel:
                 self.cores[part] = found
         return found
 
-    def segment(self, segment: str) -> tuple:
-        """``(number of ids, ids as text, decoded text, ids)`` of a segment."""
+    def segment(self, segment: str) -> tuple[int, ...]:
+        """Ids of a segment."""
         found = self.older.get(segment)
         if found is None:
             ids: tuple[int, ...] = ()
@@ -234,7 +238,7 @@ class PieceModel:
                     ids += self._core(segment[start:i])
                     start = i
             ids += self._core(segment[start:])
-            found = (len(ids), " ".join([self.digits[i] for i in ids]), self._surface(ids), ids)
+            found = ids
         if len(segment) <= 64:
             if len(self.table) >= self.most:
                 self.older = self.table
@@ -242,10 +246,9 @@ class PieceModel:
             self.table[segment] = found
         return found
 
-    def parts(self, text: str | None) -> list[tuple]:
-        if not text:
-            return []
-        cut = self.cut(self.normalise(text))
+    def parts(self, normal: str) -> list[tuple[int, ...]]:
+        """Segments of a normalised text."""
+        cut = self.cut(normal)
         out = list(map(self.table.get, cut))
         if None in out:
             make = self.segment
@@ -253,21 +256,31 @@ class PieceModel:
         return out
 
     def encode(self, text: str | None, end: bool = True) -> list[int]:
-        ids = [i for p in self.parts(text) for i in p[3]]
+        ids = [i for p in self.parts(self.normalise(text or "")) for i in p]
         return ids + [self.end] if end else ids
 
+    def trace(self, text: str | None) -> tuple[list[int], np.ndarray, np.ndarray]:
+        """Ids with the end id, and the original byte spans ``[begin, end)`` of the pieces before it."""
+        normal, origin = self.aligned(text or "")
+        ids = [i for p in self.parts(normal) for i in p]
+        ends = np.cumsum(self.widths[ids]) if ids else np.zeros(0, np.int64)
+        begins = np.append(0, ends[:-1])[:len(ends)]
+        return [*ids, self.end], origin[begins], origin[ends]
+
     def spans(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """Original byte spans ``[begin, end)`` of the pieces (without an end id)."""
-        normal, origin = self.aligned(text or "")
-        table, size = self.table, self.width
-        ends = np.cumsum([size[i] for s in self.cut(normal) for i in (table.get(s) or self.segment(s))[3]],
-                         dtype=np.int64)
-        return origin[np.concatenate([[0], ends[:-1]]).astype(np.int64)][:len(ends)], origin[ends]
+        return self.trace(text)[1:]
 
     # decoding ----------------------------------------------------------------------
 
     def _surface(self, ids) -> str:
         """Text of ids with every U+2581 as a space; runs of byte pieces decode together."""
+        raw = self.raw
+        try:
+            # other pieces are whole characters, so this fails where a run of byte pieces does, or at a control id
+            return b"".join([raw[i] for i in ids]).decode()
+        except UnicodeDecodeError:
+            pass
         out, run = [], bytearray()
         plain, shown = self.plain, self.shown
         for i in ids:
@@ -290,20 +303,12 @@ class PieceModel:
 
     def decode(self, ids) -> str:
         first = next((i for i in ids if i not in self.control), None)
-        text = self._surface(ids)
+        text = self._surface(ids[:-1] if len(ids) and ids[-1] == self.end else ids)
         lead = first is not None and first not in self.byte_of and self.names[first].startswith(SPACE)
         if lead and self.squeeze:
             return text.lstrip(" ")
         return text[1:] if lead and self.dummy else text
 
-    def decode_parts(self, parts: list[tuple]) -> str:
-        """``decode`` of the ids of segments that :meth:`parts` returned; segments end between
-        characters, so their texts can be joined."""
-        text = "".join([p[2] for p in parts])
-        if not parts or not self.names[parts[0][3][0]].startswith(SPACE):
-            return text
-        return text.lstrip(" ") if self.squeeze else text[1:] if self.dummy else text
-
 
 def _loose(run: bytearray) -> str:
     """UTF-8 with U+FFFD for each byte that belongs to no character."""
@@ -333,10 +338,9 @@ def _encode_batches(blob: bytes):
         for batch in batches:
             for part in _slices(batch):
                 texts = part.column("text").to_pylist()
-                ids = [np.array(model.encode(t), np.int32) for t in texts]
-                spans = [model.spans(t) for t in texts]
+                ids, begins, ends = zip(*map(model.trace, texts))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), _ints(ids), _ints([s[0] for s in spans]), _ints([s[1] for s in spans])],
+                    [part.column("doc_id"), _ints(ids), _ints(begins), _ints(ends)],
                     names=["doc_id", "ids", "begins", "ends"])
     return run
 
@@ -344,18 +348,19 @@ def _encode_batches(blob: bytes):
 def _digest_batches(blob: bytes):
     def run(batches):
         model = _model(blob)
-        end = str(model.end)
+        digits, sha = model.digits, hashlib.sha256
         for batch in batches:
-            n, ids, back = [], [], []
+            n, line, spans, back = [], [], [], []
             for text in batch.column("text").to_pylist():
-                parts = model.parts(text)
-                n.append(sum([p[0] for p in parts]) + 1)
-                line = " ".join([*[p[1] for p in parts], end])
-                ids.append(hashlib.sha256(line.encode()).hexdigest())
-                back.append(hashlib.sha256(model.decode_parts(parts).encode()).hexdigest())
+                ids, begins, ends = model.trace(text)
+                n.append(len(ids))
+                line.append(sha(" ".join([digits[i] for i in ids]).encode()).hexdigest())
+                spans.append(sha(np.stack([begins, ends], axis=1).astype("<i8").tobytes()).hexdigest())
+                back.append(sha(model.decode(ids).encode()).hexdigest())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(back, pa.string())],
-                names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(line, pa.string()), pa.array(back, pa.string()),
+                 pa.array(spans, pa.string())],
+                names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "spans_sha256"])
     return run
 
 
@@ -383,25 +388,24 @@ def encode_documents(documents: DataFrame, model_path: str) -> DataFrame:
 
 
 def encode_for_training(documents: DataFrame, model_path: str) -> DataFrame:
-    """``doc_id, source, n_tokens, ids, round_trip``: ids with the end id; whether they decode to
-    the text (they do, unless it holds U+2581)."""
+    """``doc_id, source, n_tokens, ids, begins, ends, round_trip``: ids with the end id; byte spans of the
+    pieces before it; whether the ids decode to the text (they do, unless it holds U+2581)."""
     blob = Path(model_path).read_bytes()
 
     def run(batches):
         model = _model(blob)
         for batch in batches:
             for part in _slices(batch):
-                ids, back = [], []
-                for text in part.column("text").to_pylist():
-                    parts = model.parts(text)
-                    ids.append(np.array([i for p in parts for i in p[3]] + [model.end], np.int32))
-                    back.append(model.decode_parts(parts) == (text or ""))
+                texts = part.column("text").to_pylist()
+                ids, begins, ends = zip(*map(model.trace, texts))
+                back = [model.decode(i) == (t or "") for i, t in zip(ids, texts)]
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), part.column("source"), pa.array([len(i) for i in ids], pa.int64()),
-                     _ints(ids), pa.array(back, pa.bool_())],
-                    names=["doc_id", "source", "n_tokens", "ids", "round_trip"])
+                     _ints(ids), _ints(begins), _ints(ends), pa.array(back, pa.bool_())],
+                    names=["doc_id", "source", "n_tokens", "ids", "begins", "ends", "round_trip"])
     return documents.select("doc_id", "source", "text").mapInArrow(
-        run, f"doc_id {_kind(documents)}, source string, n_tokens long, ids array<int>, round_trip boolean")
+        run, f"doc_id {_kind(documents)}, source string, n_tokens long, ids array<int>, begins array<int>, "
+             "ends array<int>, round_trip boolean")
 
 
 def decode_documents(encoded: DataFrame, model_path: str) -> DataFrame:
@@ -418,7 +422,8 @@ def decode_documents(encoded: DataFrame, model_path: str) -> DataFrame:
 
 
 def encoding_digests(documents: DataFrame, model_path: str) -> DataFrame:
-    """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of every row, without materialising ids."""
+    """``doc_id, n_tokens, ids_sha256, decoded_sha256, spans_sha256`` of every row, without materialising ids
+    and spans; the last digest is of begin and end of each piece as little-endian 64-bit numbers."""
     return documents.select("doc_id", "text").mapInArrow(
         _digest_batches(Path(model_path).read_bytes()),
-        f"doc_id {_kind(documents)}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+        f"doc_id {_kind(documents)}, n_tokens long, ids_sha256 string, decoded_sha256 string, spans_sha256 string")

@@ -378,3 +378,47 @@ def test_toxicity_knows_rare_and_clean_terms(spark):
     assert np.mean([r["predicted"] == (r["doc_id"] < 1500) for r in out]) > 0.99
     assert all(len(r["evidence"]) == 15 for r in out)
     assert {e["toxic"] for r in out if r["doc_id"] >= 1500 for e in r["evidence"][:1]} == {0}
+
+
+def test_spans_of_every_row(docs):
+    """The registered query and the pipeline's stage give spans; they cover each text."""
+    from sluice.llm.pieces import encode_documents, encode_for_training, encoding_digests
+    from sluice.llm.queries import tokenizer_path
+    path = tokenizer_path("piece_bpe_32k.model")
+    want = Counter()
+    for r in encode_documents(docs, path).collect():
+        flat = np.stack([r["begins"], r["ends"]], axis=1).astype("<i8").tobytes()
+        want[(r["doc_id"], len(r["ids"]), hashlib.sha256(flat).hexdigest())] += 1
+    assert _multiset(encoding_digests(docs, path), "doc_id", "n_tokens", "spans_sha256") == want
+    texts = Counter((i, (t or "").encode()) for i, t in _texts())
+    rows = encode_for_training(docs, path).collect()
+    assert all(len(r["begins"]) == len(r["ends"]) == r["n_tokens"] - 1 for r in rows)
+    by_id = {r["doc_id"]: r for r in rows}
+    for (i, raw), n in texts.items():
+        if i is not None:
+            assert b"".join(raw[a:b] for a, b in zip(by_id[i]["begins"], by_id[i]["ends"])) == raw
+
+
+def test_compiled_charmap(tmp_path):
+    """A model with a compiled character map: ids, spans and decoded texts as the library has them."""
+    sentencepiece = pytest.importorskip("sentencepiece")
+    from sluice.llm.pieces import PieceModel
+    rng = np.random.default_rng(1)
+    words = ["alpha", "beta", "gamma", "delta", "fine", "office", "waffle", "cafe", "kilo", "mega"]
+    lines = [" ".join(words[i] for i in rng.integers(0, 10, 12)) for _ in range(400)]
+    (tmp_path / "train.txt").write_text("\n".join(lines))
+    sentencepiece.SentencePieceTrainer.train(
+        input=str(tmp_path / "train.txt"), model_prefix=str(tmp_path / "m"), vocab_size=330, model_type="bpe",
+        byte_fallback=True, normalization_rule_name="nmt_nfkc", minloglevel=2)
+    lib = sentencepiece.SentencePieceProcessor(model_file=str(tmp_path / "m.model"))
+    model = PieceModel((tmp_path / "m.model").read_bytes())
+    assert model.map.units and model.map.longest("ﬁx".encode(), 0) == (b"fi", 3)
+    assert model.map.longest("か\u3099x".encode(), 0) == ("が".encode(), 6)
+    for text in TEXTS_TO_MAP:
+        ids, begins, ends = model.trace(text)
+        assert ids == lib.encode(text, add_eos=True) and model.decode(ids) == lib.decode(ids)
+        pieces = lib.encode(text, return_type="proto").pieces
+        assert list(zip(begins.tolist(), ends.tolist())) == [(p.begin, p.end) for p in pieces]
+
+
+TEXTS_TO_MAP = ["oﬃce ﬁne ① ｗａｆｆｌｅ", "  a  b ", "", "㎏ and ㍿ kilo", "café 日本", "　alpha ​beta  ", "ａ\tｂ\n", "  ", "か\u3099"]
