@@ -113,6 +113,13 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 def jaccard_components(documents: DataFrame, k: int = K, hot: int = HOT) -> DataFrame:
     """``doc_id, n_shingles, component_id, class_size`` for every row of ``documents``."""
+    return component_rows(documents, k, hot).select("doc_id", F.col("n").alias("n_shingles"), "component_id", "class_size")
+
+
+def component_rows(documents: DataFrame, k: int = K, hot: int = HOT) -> DataFrame:
+    """``doc_id, tk1, tk2, n, comp, component_id, class_size`` for every row of ``documents``: its key
+    (:func:`text_key`), shingles, component (null without shingles; ids do not matter to it) and the
+    smallest id in it."""
     docs = documents.select("doc_id", "text", *text_key())
     kind = documents.schema["doc_id"].dataType.simpleString()
     base = docs.mapInArrow(_prefix_batches(k), f"doc_id {kind}, tk1 long, tk2 int, n long, s1 long, s2 long, "
@@ -173,12 +180,12 @@ def jaccard_components(documents: DataFrame, k: int = K, hot: int = HOT) -> Data
     # every row: class, component, smallest id
     tagged = classes.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     lows = tagged.groupBy("comp").agg(F.min("low").alias("component_id"))
-    named = tagged.join(lows, "comp").select("s1", "s2", "n", "component_id", "class_size")
-    rows = base.select("doc_id", "n", "s1", "s2")
+    named = tagged.join(lows, "comp").select("s1", "s2", "n", "comp", "component_id", "class_size")
+    rows = base.select("doc_id", "tk1", "tk2", "n", "s1", "s2")
     out = rows.where("n > 0").join(named, ["s1", "s2", "n"]).select(
-        "doc_id", F.col("n").alias("n_shingles"), "component_id", "class_size")
-    blank = rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"),
-                                       F.lit(1).cast("long").alias("class_size"))
+        "doc_id", "tk1", "tk2", "n", "comp", "component_id", "class_size")
+    blank = rows.where("n = 0").select("doc_id", "tk1", "tk2", "n", F.lit(None).cast("long").alias("comp"),
+                                       F.col("doc_id").alias("component_id"), F.lit(1).cast("long").alias("class_size"))
     return out.unionByName(blank)
 
 
@@ -254,15 +261,24 @@ def _block_links(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
 
 
 def keep_one(documents: DataFrame, k: int = K) -> DataFrame:
-    """``documents`` without all but one document of each group: the row with the smallest id
-    stays (of rows that share that id, one; a row without an id and without partners stays)."""
-    groups = jaccard_components(documents, k)
-    losers = stage(groups.where("doc_id <> component_id").select("doc_id").distinct(), "losers")
-    kept = documents.join(sized(losers), "doc_id", "left_anti")
-    # rows that repeat one id inside a group are copies of each other
-    twice = stage(groups.where("n_shingles > 0 and doc_id = component_id").groupBy("doc_id").count()
-                  .where("count > 1").select("doc_id"), "twice")
+    """``documents`` without all but one row of each component: of its smallest id (rows without
+    an id come last, then the smallest text key decides), and one of rows that are equal in id and
+    text. Rows of one id in different components, and rows without shingles, do not touch each other."""
+    rows = stage(component_rows(documents, k).where("n > 0").select("doc_id", "tk1", "tk2", "comp"), "members")
+    first = stage(rows.groupBy("comp").agg(
+        F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tk1", "tk2")).alias("first"),
+        F.count("*").alias("size")).where("size > 1").select("comp", "first"), "firsts")
+    stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & F.expr("tk1 = first.tk1 and tk2 = first.tk2")
+    # equal id and text means equal sets: all rows of a key are in one component
+    keys = stage(rows.join(sized(first), "comp").withColumn("stays", stays)
+                 .groupBy(F.col("doc_id").alias("_id"), F.col("tk1").alias("_k1"), F.col("tk2").alias("_k2"), "stays")
+                 .agg(F.count("*").alias("rows")).where("not stays or rows > 1"), "keys")
+    losers, twice = keys.where("not stays").drop("stays", "rows"), keys.where("stays").drop("stays", "rows")
+    at = [c.alias(n) for c, n in zip(text_key(), ("_t1", "_t2"))]
+    keyed = documents.select("*", *at)
+    here = F.col("doc_id").eqNullSafe(F.col("_id")) & F.expr("_t1 = _k1 and _t2 = _k2")
+    kept = keyed.join(sized(losers), here, "left_anti")
     if twice.isEmpty():
-        return kept
-    once = kept.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.join(twice, "doc_id", "left_anti").unionByName(once)
+        return kept.drop("_t1", "_t2")
+    once = kept.join(sized(twice), here, "left_semi").dropDuplicates(["doc_id", "_t1", "_t2"])
+    return kept.join(sized(twice), here, "left_anti").unionByName(once).drop("_t1", "_t2")

@@ -422,3 +422,16 @@ def test_compiled_charmap(tmp_path):
 
 
 TEXTS_TO_MAP = ["oﬃce ﬁne ① ｗａｆｆｌｅ", "  a  b ", "", "㎏ and ㍿ kilo", "café 日本", "　alpha ​beta  ", "ａ\tｂ\n", "  ", "か\u3099"]
+
+
+def test_keep_one_decides_by_row(spark):
+    """One id on different texts loses only its near copies; copies without an id go but for one."""
+    from sluice.llm.ngram_jaccard import keep_one
+    a, b, c, d = (" ".join(_prose(40 + i, 80)) for i in range(4))
+    rows = [(1, a), (5, a + " x"), (5, b), (7, c), (7, d), (7, d), (None, "null and alone here now"),
+            (None, " ".join(_prose(50, 60))), (None, " ".join(_prose(50, 60))), (None, c), (9, ""), (9, ""), (None, None)]
+    df = spark.createDataFrame([(*r, k) for k, r in enumerate(rows)], "doc_id long, text string, n int").repartition(3)
+    want = Counter([(1, a), (5, b), (7, c), (7, d), (None, "null and alone here now"), (None, " ".join(_prose(50, 60))),
+                    (9, ""), (9, ""), (None, None)])
+    kept = keep_one(df)
+    assert kept.columns == df.columns and _multiset(kept, "doc_id", "text") == want
