@@ -104,27 +104,39 @@ def _parse(batches):
 class Workbooks:
     cells: DataFrame     # (file_path, row_no, cells)
     status: DataFrame    # (file_path, n_rows, status)  S12
-    table: DataFrame     # data rows under the first file's normalised header
-    header: list[str]
+    table: DataFrame     # data rows, each file's cells under its own normalised header
+    header: list[str]    # the headers' real names, united
 
 
 def read_workbooks(spark: SparkSession, path: str, glob: str = "*.xlsx") -> Workbooks:
     files = (spark.read.format("binaryFile").option("pathGlobFilter", glob)
-             .option("recursiveFileLookup", True).load(path).select("path", "content"))
-    cells = files.mapInPandas(_parse, CELLS_SCHEMA)
-    first = (cells.groupBy("file_path").agg(F.min("row_no").alias("first_row"),
-                                            F.count(F.lit(1)).alias("n")))
-    hdr_rows = cells.join(first, "file_path").where(F.col("row_no") == F.col("first_row"))
-    status = (first.join(hdr_rows.select("file_path", "cells"), "file_path", "left")
-              .select("file_path", (F.col("n") - 1).cast("bigint").alias("n_rows"),
-                      F.when(F.col("n") <= 1, F.lit("empty"))
-                      .when(F.size(F.filter("cells", lambda x: F.trim(F.coalesce(x, F.lit(""))) != "")) == 0,
+             .option("recursiveFileLookup", True).load(path))
+    cells = files.select("path", "content").mapInPandas(_parse, CELLS_SCHEMA)
+    first = cells.groupBy("file_path").agg(F.min(F.struct("row_no", "cells")).alias("head"), F.count(F.lit(1)).alias("n"),
+                                           F.max(F.size("cells")).alias("width"))
+    # the listing decides which files there are: a workbook without a row has no cells
+    status = (files.select(F.col("path").alias("file_path")).join(first, "file_path", "left")
+              .select("file_path", F.greatest(F.coalesce("n", F.lit(0)) - 1, F.lit(0)).cast("bigint").alias("n_rows"),
+                      F.when(F.coalesce("n", F.lit(0)) <= 1, F.lit("empty"))
+                      .when(F.size(F.filter("head.cells", lambda x: F.trim(F.coalesce(x, F.lit(""))) != "")) == 0,
                             F.lit("blank header"))
                       .otherwise(F.lit("ok")).alias("status")))
-    head = hdr_rows.orderBy("file_path").select("cells").limit(1).collect()
-    header = [h if h is not None else "" for h in head[0]["cells"]] if head else []
-    names = make_unique(normalize_names(header))
-    data = cells.join(F.broadcast(first.select("file_path", "first_row")), "file_path") \
-        .where(F.col("row_no") > F.col("first_row"))
-    table = data.select(*[F.get("cells", F.lit(i)).alias(n) for i, n in enumerate(names)])
-    return Workbooks(cells, status, table, header)
+    # as wide as the file's widest row, so that no cell lies beyond its header
+    first = first.select("file_path", F.col("head.row_no").alias("first_row"), F.concat(
+        F.transform("head.cells", lambda x: F.coalesce(x, F.lit(""))),
+        F.array_repeat(F.lit(""), F.col("width") - F.size("head.cells"))).alias("header"))
+    kinds = first.groupBy("header").agg(F.min("file_path").alias("at")).orderBy("at").collect()
+    named = [(list(k["header"]), make_unique(normalize_names(list(k["header"])))) for k in kinds]
+    real: dict[str, str] = {}
+    for header, names in named:
+        for n, h in zip(names, header):
+            real.setdefault(n, h)
+    if not named:
+        return Workbooks(cells, status, cells.select(), [])
+    # a row per distinct header: where it has each of the united columns
+    where = spark.createDataFrame([(h, [n.index(c) if c in n else None for c in real]) for h, n in named],
+                                  "header array<string>, place array<int>")
+    placed = first.join(F.broadcast(where), "header").select("file_path", "first_row", "place")
+    data = cells.join(F.broadcast(placed), "file_path").where(F.col("row_no") > F.col("first_row"))
+    table = data.select(*[F.get("cells", F.get("place", F.lit(i))).alias(n) for i, n in enumerate(real)])
+    return Workbooks(cells, status, table, list(real.values()))

@@ -49,3 +49,28 @@ def test_xlsx_chunks_roundtrip(spark):
     rows = read_workbooks(spark, out).table
     got = sorted((int(r.k), r.v) for r in rows.collect())
     assert got == [(i, f"r{i}") for i in range(2 * N + 1)]
+
+
+def test_workbooks_follow_their_own_headers(spark):
+    from sluice.sources.workbook import read_workbooks
+    out = scratch_path(spark, "t-xlsx-heads")
+    write = lambda rows, names, stem: write_chunks(
+        with_ordinal(spark.createDataFrame(rows, names), [names.split(" ")[0]], partitions=1), out, stem, "20240105", N,
+        fmt="xlsx").collect()
+    write([("1", "2")], "a string, b string", "x1")
+    write([("20", "10", "30")], "b string, a string, c string", "x2")
+    import io
+    import zipfile
+    from pathlib import Path
+    folder = Path(out.removeprefix("file:"))
+    old = sorted(folder.glob("*.xlsx"))[0].read_bytes()
+    blank = io.BytesIO()
+    with zipfile.ZipFile(io.BytesIO(old)) as z, zipfile.ZipFile(blank, "w") as w:
+        for n in z.namelist():
+            empty = b'<worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><sheetData/></worksheet>'
+            w.writestr(n, empty if n.startswith("xl/worksheets/") else z.read(n))
+    (folder / "x3.xlsx").write_bytes(blank.getvalue())
+    r = read_workbooks(spark, out)
+    assert r.header == ["a", "b", "c"]
+    assert sorted(tuple(x) for x in r.table.collect()) == [("1", "2", None), ("10", "20", "30")]
+    assert sorted((x.n_rows, x.status) for x in r.status.collect()) == [(0, "empty"), (1, "ok"), (1, "ok")]
