@@ -78,6 +78,11 @@ def more() -> dict[str, str]:
         "workbook_status": (
             f"SELECT printf('orders_{DAY}_%04d.xlsx', chunk) AS file_name, CAST(count(*) AS BIGINT) AS n_rows, "
             f"'ok' AS status FROM (SELECT {_ORD} AS chunk FROM orders) GROUP BY chunk"),
+        "csv_by_encoding": (
+            f"SELECT doc_id, CASE WHEN doc_id % 10 = 3 THEN 'long' ELSE 'ok' END AS status, "
+            f"CASE WHEN doc_id % 10 <> 3 THEN coalesce(replace(source, ',', ' '), 'none') END AS source, "
+            f"CASE WHEN doc_id % 10 <> 3 THEN CAST(n_chars AS {v}) || CASE doc_id % 3 WHEN 0 THEN ' 日é' "
+            f"WHEN 1 THEN ' 中文' ELSE ' é' END END AS word FROM documents WHERE doc_id IS NOT NULL"),
         "streaming_import": quarantine_accepted_sql(),
         "import_pipeline": quarantine_accepted_sql(),
     }

@@ -625,6 +625,34 @@ def encoding_census(spark, sf_dir):
     return c.select(H.base_name(F.col("file_path")).alias("file_name"), "encoding", "decoded_ok", "has_bom")
 
 
+@register
+def csv_by_encoding(spark, sf_dir):
+    """Documents as CSV files in utf-8, gb18030 and latin-1, every other file with its columns in
+    another order, each tenth row with a field too many; read back per encoding, long rows from the rejects."""
+    from sluice.sinks.chunked import write_text_files
+    from sluice.sources.encoding import encoding_census as census, read_csv_set_by_encoding
+    d = I.load(spark, sf_dir, "documents")
+    base = _scratch(spark, "encset")
+    turned = F.expr("doc_id div 5000 % 2 = 1")
+    source = F.coalesce(F.replace("source", F.lit(","), F.lit(" ")), F.lit("none"))
+    for i, (enc, mark) in enumerate([("utf-8", " 日é"), ("gb18030", " 中文"), ("latin-1", " é")]):
+        word = F.concat(F.col("n_chars").cast("string"), F.lit(mark))
+        part = d.where(F.col("doc_id") % 3 == i).select(
+            F.format_string("docs_%06d.csv", F.expr("doc_id div 5000")).alias("file_name"), F.col("doc_id").alias("line_no"),
+            turned.alias("turned"), F.concat_ws(
+                ",", F.col("doc_id").cast("string"), F.when(turned, word).otherwise(source),
+                F.when(turned, source).otherwise(word), F.when(F.col("doc_id") % 10 == 3, F.lit("extra"))).alias("line"))
+        heads = part.select("file_name", "turned").distinct().select(
+            "file_name", F.lit(-1).cast("long").alias("line_no"),
+            F.when(F.col("turned"), F.lit("doc_id,word,source")).otherwise(F.lit("doc_id,source,word")).alias("line"))
+        write_text_files(part.drop("turned").unionByName(heads), f"{base}/{i}", encoding=enc).collect()
+    r = read_csv_set_by_encoding(spark, census(spark, base, glob="*.csv"))
+    none = F.lit(None).cast("string")
+    return r.rows.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.lit("ok").alias("status"), "source", "word").unionByName(
+        r.rejects.select(F.col("fields")[0].cast("bigint").alias("doc_id"), F.lit("long").alias("status"),
+                         none.alias("source"), none.alias("word")))
+
+
 @register
 def streaming_import(spark, sf_dir):
     """Structured Streaming: dirty order files landing in a folder are fit-checked per

@@ -94,21 +94,34 @@ def encoding_census(spark: SparkSession, path: str, glob: str = "*",
 
 def read_csv_by_encoding(spark: SparkSession, census: DataFrame, errors: str = "strict",
                          **csv_options) -> DataFrame:
-    """One ``read_csv`` per detected encoding (the file list is metadata), unioned.
+    """Accepted rows of :func:`read_csv_set_by_encoding`, which has the rejects too."""
+    return read_csv_set_by_encoding(spark, census, errors, **csv_options).rows
+
+
+def read_csv_set_by_encoding(spark: SparkSession, census: DataFrame, errors: str = "strict", **csv_options):
+    """One ``read_csv_set`` per detected encoding (the file list is metadata), united: every file
+    follows its own header and delimiter, and rows with too many fields are in ``rejects``.
 
     S10: files that no candidate decodes are never left out silently. ``strict`` raises;
     ``replace`` reads them with U+FFFD for bad bytes; ``ignore`` reads them without those."""
-    from sluice.sources.csv import read_csv, union_files
+    from sluice.sources.csv import CsvRead, read_csv_set, union_files
     groups: dict[tuple[str, bool], list[str]] = {}
-    for r in census.select("file_path", "encoding", "decoded_ok").collect():
+    for r in census.select("file_path", "encoding", "decoded_ok").orderBy("file_path").collect():
         groups.setdefault((r["encoding"] or DEFAULT_CANDIDATES[0], r["decoded_ok"]), []).append(r["file_path"])
     bad = [p for (_, ok), paths in groups.items() if not ok for p in paths]
     if bad and errors == "strict":
         raise ValueError(f"{len(bad)} files decode with no candidate, {bad[0]} among them")
+    strip = lambda c: F.replace(c, F.lit("\ufffd"), F.lit(""))
     reads = []
     for (enc, ok), paths in groups.items():
-        rows = read_csv(spark, paths, encoding="utf-8" if enc == "utf-8-sig" else enc, with_file=True, **csv_options).rows
+        r = read_csv_set(spark, paths, encoding="utf-8" if enc == "utf-8-sig" else enc, with_file=True, **csv_options)
         if not ok and errors == "ignore":
-            rows = rows.select(*[F.replace(F.col(f"`{c}`"), F.lit("\ufffd"), F.lit("")).alias(c) for c in rows.columns])
-        reads.append(rows)
-    return union_files(reads)
+            r.rows = r.rows.select(*[strip(F.col(f"`{c}`")).alias(c) for c in r.rows.columns])
+            r.rejects = r.rejects.withColumn("record", strip(F.col("record"))).withColumn("fields", F.transform("fields", strip))
+        reads.append(r)
+    rejects = reads[0].rejects
+    for r in reads[1:]:
+        rejects = rejects.unionByName(r.rejects)
+    named = dict(pair for r in reversed(reads) for pair in zip(r.names, r.header))
+    names = list(dict.fromkeys(n for r in reads for n in r.names))
+    return CsvRead(union_files([r.rows for r in reads]), rejects, [named[n] for n in names], names)

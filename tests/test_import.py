@@ -121,3 +121,16 @@ def test_each_file_follows_its_own_header(spark, tmp_path):
     assert sorted(tuple(x) for x in r.rows.collect()) == [("1", "2", None), ("10", "20", "30")]
     res = import_csv(spark, land, str(tmp_path / "out"), 1)
     assert spark.read.parquet(res.accepted_path).count() == 2
+
+
+def test_encodings_keep_own_headers_and_long_rows(spark, tmp_path):
+    from sluice.sources.encoding import encoding_census, read_csv_set_by_encoding
+    folder = tmp_path / "mixed"
+    folder.mkdir()
+    for name, text, enc in (("1.csv", "a,b\n1,é\n2,é,x\n", "utf-8"), ("2.csv", "b;a\né;3\n", "utf-8"),
+                            ("3.csv", "a,b,c\n4,中文,5\n", "gb18030"), ("4.csv", "b,a\n中文,6\n中文,7,8\n", "gb18030")):
+        (folder / name).write_bytes(text.encode(enc))
+    r = read_csv_set_by_encoding(spark, encoding_census(spark, str(folder)))
+    assert sorted((x.a, x.b, x.c) for x in r.rows.collect()) == [
+        ("1", "é", None), ("3", "é", None), ("4", "中文", "5"), ("6", "中文", None)]
+    assert sorted((x.record, x.n_fields) for x in r.rejects.collect()) == [("2,é,x", 3), ("中文,7,8", 3)]
