@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sluice.llm import licenses, token_counts, topk
+from sluice.llm import collocations, licenses, token_counts, topk
 from sluice.llm.base import load
+from sluice.llm.conversations import repair_conversations
 from sluice.llm.embedding_dedup import near_dedup
+from sluice.llm.hnsw import nearest_embeddings
 from sluice.llm.mixing import mix_plan
 from sluice.llm.ngram_jaccard import jaccard_components
 from sluice.llm.pieces import encoding_digests
@@ -58,6 +60,18 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str, model: str | None = Non
     return encoding_digests(load(spark, sf_dir, "documents"), model or tokenizer_path("piece_bpe_32k.model"))
 
 
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(load(spark, sf_dir, "documents"))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_conversations(load(spark, sf_dir, "conversations"))
+
+
+def op13_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_embeddings(load(spark, sf_dir, "embeddings"))
+
+
 def tokenizer_path(name: str) -> str:
     import public_tokenizers
     return public_tokenizers.path(name)
@@ -67,9 +81,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_ngram_jaccard_join, op2_embedding_near_dedup, op3_token_counts, op4_quality_classifier,
         op5_substring_dedup, op6_source_mixing, op7_license_scan, op8_toxicity, op9_exact_top_k,
-        op10_sentencepiece)}
+        op10_sentencepiece, op11_phrase_collocations, op12_conversation_repair, op13_nearest_neighbours)}
 
 
 def oracle_sql() -> dict[str, str]:
     return {"op3_token_counts": token_counts.oracle(), "op7_license_scan": licenses.oracle(),
-            "op9_exact_top_k": topk.oracle()}
+            "op9_exact_top_k": topk.oracle(), "op11_phrase_collocations": collocations.oracle()}
