@@ -43,8 +43,8 @@ TOP = 2000
 #: text characters for which one more hash partition is dealt (about 8 million runs)
 PART_CHARS = 16_000_000
 #: bytes of whole documents that are counted at a time, and counters a task holds before it hands them on
-CHUNK = 6 << 20
-HELD = 3_000_000
+CHUNK = 2 << 20
+HELD = 1_500_000
 #: bound on the Bloom filter of all survivors, its bits a survivor, and its probes
 FILTER_BYTES = 32 << 20
 FILTER_BITS = 10
