@@ -29,8 +29,6 @@ def build_session(master: str | None = None, app: str = "sluice",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
-        # gb18030 / gbk / latin1 for the CSV reader and decode() (see sources.encoding)
-        "spark.sql.legacy.javaCharsets": "true",
     }
     if master and master.startswith("local"):
         # local mode: the driver JVM is the whole cluster; its heap is the only knob

@@ -3,7 +3,7 @@
 The listing comes from ``binaryFile`` without its ``content`` column (Spark then does not read
 the files); a Pandas UDF opens each path through ``pyarrow.fs`` and strict-decodes the whole file
 in blocks with all candidates at once, in bounded memory. The first candidate that decodes
-everything wins. The census drives per-encoding ``read.csv`` calls (S9) under a decode policy (S10).
+everything wins. The census says how a set of files is decoded (S9), under a decode policy (S10).
 """
 
 from __future__ import annotations
@@ -98,30 +98,23 @@ def read_csv_by_encoding(spark: SparkSession, census: DataFrame, errors: str = "
     return read_csv_set_by_encoding(spark, census, errors, **csv_options).rows
 
 
-def read_csv_set_by_encoding(spark: SparkSession, census: DataFrame, errors: str = "strict", **csv_options):
-    """One ``read_csv_set`` per detected encoding (the file list is metadata), united: every file
-    follows its own header and delimiter, and rows with too many fields are in ``rejects``.
+def read_csv_set_by_encoding(spark: SparkSession, census: DataFrame, errors: str = "strict",
+                             paths: str | list[str] | None = None, **csv_options):
+    """The files of a census (:func:`encoding_census` or ``evidence.encoding_evidence``) in one read, each
+    decoded as the census says and by its own header and delimiter; rows with too many fields are in ``rejects``.
+    ``paths`` (a folder, say) names the files; without it their list is taken from the census.
 
     S10: files that no candidate decodes are never left out silently. ``strict`` raises;
     ``replace`` reads them with U+FFFD for bad bytes; ``ignore`` reads them without those."""
-    from sluice.sources.csv import CsvRead, read_csv_set, union_files
-    groups: dict[tuple[str, bool], list[str]] = {}
-    for r in census.select("file_path", "encoding", "decoded_ok").orderBy("file_path").collect():
-        groups.setdefault((r["encoding"] or DEFAULT_CANDIDATES[0], r["decoded_ok"]), []).append(r["file_path"])
-    bad = [p for (_, ok), paths in groups.items() if not ok for p in paths]
-    if bad and errors == "strict":
-        raise ValueError(f"{len(bad)} files decode with no candidate, {bad[0]} among them")
-    strip = lambda c: F.replace(c, F.lit("\ufffd"), F.lit(""))
-    reads = []
-    for (enc, ok), paths in groups.items():
-        r = read_csv_set(spark, paths, encoding="utf-8" if enc == "utf-8-sig" else enc, with_file=True, **csv_options)
-        if not ok and errors == "ignore":
-            r.rows = r.rows.select(*[strip(F.col(f"`{c}`")).alias(c) for c in r.rows.columns])
-            r.rejects = r.rejects.withColumn("record", strip(F.col("record"))).withColumn("fields", F.transform("fields", strip))
-        reads.append(r)
-    rejects = reads[0].rejects
-    for r in reads[1:]:
-        rejects = rejects.unionByName(r.rejects)
-    named = dict(pair for r in reversed(reads) for pair in zip(r.names, r.header))
-    names = list(dict.fromkeys(n for r in reads for n in r.names))
-    return CsvRead(union_files([r.rows for r in reads]), rejects, [named[n] for n in names], names)
+    from sluice.sources.records import read_records
+    files = census.select("file_path", F.when(F.col("encoding") == "", None).otherwise(F.col("encoding")).alias("encoding"), "decoded_ok")
+    if errors == "strict":
+        bad = files.where(~F.col("decoded_ok")).agg(F.count("*").alias("n"), F.min("file_path").alias("path")).first()
+        if bad["n"]:
+            raise ValueError(f"{bad['n']} files decode with no candidate, {bad['path']} among them")
+    if paths is None:
+        paths = sorted(r["file_path"] for r in files.select("file_path").collect())
+    named = files.select("file_path", F.coalesce("encoding", F.lit(DEFAULT_CANDIDATES[0])).alias("encoding"))
+    r = read_records(spark, paths, encoding=named, errors=errors, with_source=True, **csv_options)
+    r.rows = r.rows.drop("record_no", "ordinal")
+    return r
