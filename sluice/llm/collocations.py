@@ -9,7 +9,7 @@ Where they meet they merge into a Misra-Gries summary whose capacity exceeds the
 by the threshold: each reduction takes the (capacity + 1)-th largest count off all counters, so all
 reductions together take less than the threshold off any, and every run at or above it survives (a hash
 collision only adds survivors). Survivors are written as one Bloom filter segment a partition,
-``FILTER_BYTES`` in all at most; past that bound the filter lets more through and loses nothing.
+``FILTER_BYTES`` in all (or a byte a segment) at most; past that bound the filter lets more through and loses nothing.
 
 Second pass: words become dictionary numbers chunk by chunk (compared by their bytes), runs that the
 filter lets through are counted by these numbers, and the counts meet by language and text: exact.
@@ -40,8 +40,8 @@ from sluice.session import scratch_path
 THRESHOLD = 10
 LONGEST = 3
 TOP = 2000
-#: text characters for which one more hash partition is dealt (about 8 million runs)
-PART_CHARS = 16_000_000
+#: text characters for which one more hash partition is dealt (about 2 million runs)
+PART_CHARS = 4_000_000
 #: bytes of whole documents that are counted at a time, and counters a task holds before it hands them on
 CHUNK = 2 << 20
 HELD = 1_500_000
