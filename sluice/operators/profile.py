@@ -37,7 +37,16 @@ PROFILE_SCHEMA = T.StructType([
     T.StructField("has_quotes", T.BooleanType()),
     T.StructField("has_backslash", T.BooleanType()),
     T.StructField("n_kinds", T.IntegerType()),
+    T.StructField("n_integer", T.LongType()),
+    T.StructField("n_float", T.LongType()),
+    T.StructField("n_boolean", T.LongType()),
+    T.StructField("n_datetime", T.LongType()),
+    T.StructField("n_string", T.LongType()),
+    T.StructField("min_whole", T.DecimalType(38, 0)),
+    T.StructField("max_whole", T.DecimalType(38, 0)),
 ])
+#: kinds of a cell's value; their counts in a column are its kind sketch
+CELL_KINDS = ("integer", "float", "boolean", "datetime", "string")
 
 _INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 _FRACTIONAL = (T.FloatType, T.DoubleType)
@@ -62,7 +71,7 @@ def _null(t: str) -> Column:
     return F.lit(None).cast(t)
 
 
-def _stats_for(i: int, f: T.StructField) -> tuple[list[Column], dict[str, Column]]:
+def _stats_for(i: int, f: T.StructField, cells: bool = False) -> tuple[list[Column], dict[str, Column]]:
     """Aggregate expressions for one column and how to read them back."""
     c = F.col(f"`{f.name}`")
     kind = column_kind(f.dataType)
@@ -76,6 +85,10 @@ def _stats_for(i: int, f: T.StructField) -> tuple[list[Column], dict[str, Column
                  F.bool_and(finite % 1 == 0).alias(p + "int")]
         out.update(min_value=F.col(p + "min"), max_value=F.col(p + "max"),
                    is_integral=F.col(p + "int"))
+        if kind == "integer":
+            # in the column's own type: a double would round beyond 2^53
+            aggs += [F.min(c).alias(p + "lo"), F.max(c).alias(p + "hi")]
+            out.update(min_whole=F.col(p + "lo"), max_whole=F.col(p + "hi"))
         if kind == "float":
             d = F.col(f"_digits_{i}")       # staged by profile() before the aggregate
             aggs += [F.bool_or(F.abs(x) == F.lit(float("inf"))).alias(p + "inf"),
@@ -92,6 +105,13 @@ def _stats_for(i: int, f: T.StructField) -> tuple[list[Column], dict[str, Column
         out.update(max_len=F.col(p + "ml"), sum_len=F.col(p + "sl"),
                    has_backtick=F.col(p + "bt"), has_quotes=F.col(p + "q"),
                    has_backslash=F.col(p + "bs"))
+        if cells:
+            v = F.col(f"_kind_{i}")         # staged by profile() before the aggregate
+            aggs += [F.count_if(v == k).alias(f"{p}k_{k}") for k in CELL_KINDS]
+            n = {k: F.col(f"{p}k_{k}") for k in CELL_KINDS}
+            many = sum(((n[k] > 0).cast("int") for k in CELL_KINDS[1:]), (n[CELL_KINDS[0]] > 0).cast("int"))
+            out.update({f"n_{k}": n[k] for k in CELL_KINDS}, n_kinds=many,
+                       kind=F.when((many > 1) & (n["string"] > 0), F.lit("mixed")).otherwise(F.lit("string")))
     elif kind == "datetime":
         if isinstance(f.dataType, T.DateType):
             aggs += [F.lit(False).alias(p + "ht")]
@@ -103,9 +123,13 @@ def _stats_for(i: int, f: T.StructField) -> tuple[list[Column], dict[str, Column
 
 
 def profile(df: DataFrame, columns: list[str] | None = None, slice_size: int = 200,
-            derived: bool = True) -> DataFrame:
+            derived: bool = True, cells: list[str] | None = None) -> DataFrame:
     """Long-form profile: one row per column (see ``PROFILE_SCHEMA`` plus derived columns).
 
+    ``cells`` names text columns that hold values of any kind (cells of a sheet, fields of a file):
+    their values are counted by kind in the same pass, counts that add up over partitions like every
+    other statistic, and a column of several kinds with text among them is of kind ``mixed`` (T3).
+
     One scan per slice of ``slice_size`` columns (one slice for normal tables). With ``derived``
     false the derived columns are left to :func:`with_derived`, for a union of many profiles.
     """
@@ -119,7 +143,7 @@ def profile(df: DataFrame, columns: list[str] | None = None, slice_size: int = 2
         aggs = [F.count(F.lit(1)).alias("n_rows_")]
         rows = []
         for i, f in sl:
-            a, out = _stats_for(i, f)
+            a, out = _stats_for(i, f, f.name in (cells or ()))
             aggs += a
             vals = {
                 "ordinal": F.lit(i + 1), "column_name": F.lit(f.name),
@@ -137,8 +161,12 @@ def profile(df: DataFrame, columns: list[str] | None = None, slice_size: int = 2
                 x = F.col(f"`{f.name}`").cast("double")
                 digits[f"_fin_{i}"] = F.when(~F.isnan(x) & (F.abs(x) != F.lit(float("inf"))), x)
         src = df
+        kinds = {f"_kind_{i}": text_kind(F.col(f"`{f.name}`")) for i, f in sl
+                 if f.name in (cells or ()) and column_kind(f.dataType) == "string"}
+        if kinds:
+            src = src.withColumns(kinds)
         if digits:
-            src = df.select("*", *[v.alias(k) for k, v in digits.items()])
+            src = src.select("*", *[v.alias(k) for k, v in digits.items()])
             src = st.with_float_repr_digits(src, {k.replace("_fin_", "_digits_"): k for k in digits})
         one = src.agg(*aggs)
         parts.append(one.select(F.inline(F.array(*rows))))
@@ -169,7 +197,7 @@ def infer_sql_types(p: DataFrame) -> DataFrame:
         F.when(F.col("null_count") >= F.col("n_rows"), F.lit(st.DEFAULT_TYPE))           # T1
         .when(st.is_id_name(F.col("column_name")), F.lit(st.ID_TYPE))                    # T2
         .when((k == "mixed"), st.mixed_type(F.col("max_len")))                             # T3
-        .when(k == "integer", st.int_ladder(F.col("min_value"), F.col("max_value")))      # T4
+        .when(k == "integer", st.int_ladder(F.col("min_whole"), F.col("max_whole")))      # T4
         .when((k == "float") & F.col("has_inf"), F.lit("DOUBLE"))                         # T6
         .when((k == "float") & F.col("int_digits").isNotNull(),
               st.decimal_type(F.col("int_digits"), F.col("frac_digits")))                 # T5
@@ -221,8 +249,8 @@ DATE_TEXT_PATTERN = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}([ T][0-9]{2}:[0-9]{2}(:[0-9]{2
 
 
 def text_kind(c: Column) -> Column:
-    """A4 kind of one text value: integer / float / boolean / datetime / string."""
-    return (F.when(c.rlike(INT_TEXT_PATTERN), F.lit("integer"))
+    """A4 kind of one text value: integer / float / boolean / datetime / string (null: no kind)."""
+    return (F.when(c.isNull(), F.lit(None).cast("string")).when(c.rlike(INT_TEXT_PATTERN), F.lit("integer"))
             .when(c.rlike(NUMERIC_TEXT_PATTERN) | F.lower(F.trim(c)).isin(INF_NAN_TEXT),
                   F.lit("float"))
             .when(F.lower(c).isin(BOOL_TEXT), F.lit("boolean"))

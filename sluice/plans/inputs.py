@@ -122,6 +122,26 @@ SELECT {k} AS event_id, {s('user_id', d)} AS user_id_txt, {s('value', d)} AS val
 FROM events"""
 
 
+def mixed_cells_sql(d: str) -> str:
+    """Documents and events as cells: columns of one kind, of several kinds with and without text among them,
+    with nulls, and of texts far beyond 255 characters."""
+    k = "doc_id"
+    null = "CAST(NULL AS " + ("STRING" if d == "spark" else "VARCHAR") + ")"
+    return f"""
+SELECT {s(k, d)} AS whole_cell,
+  CASE {k} % 2 WHEN 0 THEN {s('n_chars', d)} ELSE {s('n_chars', d)} || '.5' END AS number_cell,
+  CASE {k} % 3 WHEN 0 THEN {s('n_chars', d)} WHEN 1 THEN text ELSE {null} END AS text_or_number_cell,
+  CASE {k} % 5 WHEN 0 THEN {s('n_chars', d)} WHEN 1 THEN '2024-01-0' || {s(f'{k} % 9 + 1', d)} WHEN 2 THEN 'true'
+       WHEN 3 THEN '1e' || {s(f'{k} % 7', d)} ELSE substr(lang, 1, 2) || {s(f'{k} % 100', d)} END AS any_cell,
+  CASE WHEN {k} % 4 = 0 THEN '2024-02-0' || {s(f'{k} % 9 + 1', d)} ELSE {s('n_chars', d)} END AS date_or_number_cell,
+  lang AS text_cell, {null} AS empty_cell,
+  CASE WHEN {k} % 2 = 0 THEN 'x' ELSE {s('n_chars', d)} END AS row_id
+FROM documents"""
+
+
+MIXED_CELLS = ["whole_cell", "number_cell", "text_or_number_cell", "any_cell", "date_or_number_cell", "text_cell", "empty_cell", "row_id"]
+
+
 def doc_headers_sql(d: str) -> str:
     """Every document's first line read as a header: ``(doc_id, ordinal, name)``."""
     if d == "spark":

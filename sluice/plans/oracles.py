@@ -231,6 +231,25 @@ def profile_mixed_kinds_sql() -> str:
             f"min(value) AS example FROM ({long}) GROUP BY 1, 2")
 
 
+def mixed_types_sql() -> str:
+    src = f"({I.mixed_cells_sql(D)})"
+    parts = []
+    for c in I.MIXED_CELLS:
+        n = {k: f"count(*) FILTER (WHERE {c} IS NOT NULL AND {_text_kind(c)} = '{k}')"
+             for k in ("integer", "float", "boolean", "datetime", "string")}
+        parts.append(f"SELECT {_q(c)} AS column_name, " + ", ".join(f"{v} AS n_{k}" for k, v in n.items())
+                     + f", count({c}) AS n_values, max(length({c})) AS max_len FROM {src}")
+    kinds = " + ".join(f"(n_{k} > 0)::INT" for k in ("integer", "float", "boolean", "datetime", "string"))
+    is_id = "column_name = 'id' OR right(column_name, 3) = '_id'"
+    return f"""
+SELECT column_name, CASE WHEN k > 1 AND n_string > 0 THEN 'mixed' ELSE 'string' END AS kind, k AS n_kinds,
+  n_integer, n_float, n_boolean, n_datetime, n_string, CAST(max_len AS BIGINT) AS max_len,
+  CASE WHEN n_values = 0 THEN 'VARCHAR(255)' WHEN {is_id} THEN 'BIGINT'
+       WHEN k > 1 AND n_string > 0 THEN 'VARCHAR(' || CAST(least((max_len * 3) // 2, 65535) AS VARCHAR) || ')'
+       ELSE {_text_type('max_len')} END AS sql_type
+FROM (SELECT *, {kinds} AS k FROM ({_union(parts)}))"""
+
+
 def numeric_share_sql() -> str:
     src = f"({I.events_as_text_sql(D)})"
     parts = []
@@ -554,6 +573,7 @@ def oracles() -> dict[str, str]:
         "profile_strings": profile_strings_sql(),
         "profile_special_chars": profile_special_chars_sql(),
         "profile_mixed_kinds": profile_mixed_kinds_sql(),
+        "mixed_types": mixed_types_sql(),
         "numeric_share": numeric_share_sql(),
         "duplicate_names": duplicate_names_sql(),
         "table_shape": table_shape_sql(),

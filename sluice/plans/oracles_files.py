@@ -83,6 +83,14 @@ def more() -> dict[str, str]:
             f"CASE WHEN doc_id % 10 <> 3 THEN coalesce(replace(source, ',', ' '), 'none') END AS source, "
             f"CASE WHEN doc_id % 10 <> 3 THEN CAST(n_chars AS {v}) || CASE doc_id % 3 WHEN 0 THEN ' 日é' "
             f"WHEN 1 THEN ' 中文' ELSE ' é' END END AS word FROM documents WHERE doc_id IS NOT NULL"),
+        "encoding_evidence": (
+            "SELECT DISTINCT printf('docs_%s_%06d.txt', name, doc_id // 500) AS file_name, encoding, TRUE AS decoded_ok, "
+            "name = 'bom' AS has_bom, TRUE AS sure FROM documents JOIN (VALUES (0, 'utf8', 'utf-8'), (1, 'bom', 'utf-8-sig'), "
+            "(2, 'gb18030', 'gb18030'), (3, 'latin1', 'latin1')) k(i, name, encoding) ON i = doc_id % 4"),
+        "source_order_chunks": (
+            f"SELECT conv_id, turn, printf('conversations_{DAY}_%04d.csv', (ordinal - 1) // 300 + 1) AS file_name, "
+            f"(ordinal - 1) % 300 + 1 AS record_no, ordinal, CAST((ordinal - 1) // 1000 + 1 AS INTEGER) AS chunk "
+            f"FROM (SELECT conv_id, turn, row_number() OVER (ORDER BY conv_id * 100000 + turn) AS ordinal FROM conversations)"),
         "streaming_import": quarantine_accepted_sql(),
         "import_pipeline": quarantine_accepted_sql(),
     }

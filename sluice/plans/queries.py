@@ -151,6 +151,15 @@ def date_or_datetime(spark, sf_dir):
             .select("table_name", "column_name", "has_time", "sql_type"))
 
 
+@register
+def mixed_types(spark, sf_dir):
+    """Columns of cells, how many values each kind has, and the type that mixed kinds get."""
+    df = _sql(spark, sf_dir, I.mixed_cells_sql, ["documents"])
+    p = P.infer_sql_types(P.profile(df, cells=I.MIXED_CELLS))
+    return p.select("column_name", "kind", "n_kinds", "n_integer", "n_float", "n_boolean", "n_datetime", "n_string",
+                    "max_len", "sql_type")
+
+
 # Dirty headers given to the orders table (P1 input; the data stays the whole table).
 ORDERS_DIRTY_HEADER = [" Order ID ", "customer-id", "status", "Total Price ($)", "2024 date", "status"]
 
@@ -439,14 +448,13 @@ def split_csv_roundtrip(spark, sf_dir):
 
 @register
 def csv_roundtrip(spark, sf_dir):
-    """Conversations (quotes, commas, newlines in text) written and read back."""
-    from sluice.sources.csv import read_csv
+    """Conversations (quotes, commas, newlines in text) written and read back in blocks."""
+    from sluice.sources.records import read_records
     out = _scratch(spark, "conv")
     c = I.load(spark, sf_dir, "conversations").withColumn("_k", F.col("conv_id") * 100000 + F.col("turn"))
     _write_chunks(c.drop("_k").withColumn("_k", F.col("conv_id") * 100000 + F.col("turn")),
                   out, "conversations", 49998, "_k").collect()
-    r = read_csv(spark, f"{out}/*.csv", sep=",", escape='"', multiline=True, na_tokens=None,
-                 keep_rejects=False)
+    r = read_records(spark, out, sep=",", escape='"', na_tokens=None)
     return r.rows.select(F.col("conv_id").cast("bigint").alias("conv_id"),
                          F.col("turn").cast("bigint").alias("turn"), "role",
                          F.coalesce("text", F.lit("")).alias("text"))
@@ -454,20 +462,30 @@ def csv_roundtrip(spark, sf_dir):
 
 @register
 def csv_row_count(spark, sf_dir):
-    """Physical lines minus header vs logical rows of a CSV with quoted newlines."""
-    from sluice.sources.csv import physical_line_counts, read_csv
+    """Physical lines minus header vs logical rows of a CSV with quoted newlines, counted by blocks."""
+    from sluice.sources.records import count_rows
     out = _scratch(spark, "rows")
     c = I.load(spark, sf_dir, "conversations")
     _write_chunks(c.withColumn("_k", F.col("conv_id") * 100000 + F.col("turn")).select(
         "conv_id", "turn", "role", "text", "_k"), out, "conversations", 10 ** 9, "_k").collect()
-    phys = physical_line_counts(spark, f"{out}/*.csv")
-    logical = read_csv(spark, f"{out}/*.csv", sep=",", escape='"', multiline=True, with_file=True,
-                       keep_rejects=False).rows.groupBy("file_path").agg(
-        F.count(F.lit(1)).cast("bigint").alias("logical_rows"))
-    return phys.join(logical, "file_path").select(
+    return count_rows(spark, out, sep=",", escape='"').select(
         H.base_name(F.col("file_path")).alias("file_name"), "physical_rows", "logical_rows")
 
 
+@register
+def source_order_chunks(spark, sf_dir):
+    """CSV files with quoted newlines read in source order and numbered over all files, cut into chunks
+    of 1,000 rows; place and chunk of every row."""
+    from sluice.sources.records import read_records
+    out = _scratch(spark, "order")
+    c = I.load(spark, sf_dir, "conversations")
+    _write_chunks(c.withColumn("_k", F.col("conv_id") * 100000 + F.col("turn")), out, "conversations", 300, "_k").collect()
+    rows = read_records(spark, out, sep=",", escape='"', na_tokens=None, with_source=True).rows
+    return rows.select(F.col("conv_id").cast("bigint").alias("conv_id"), F.col("turn").cast("bigint").alias("turn"),
+                       H.base_name(F.col("file_path")).alias("file_name"), (F.col("record_no") - 1).alias("record_no"), "ordinal",
+                       CH.chunk_id(F.col("ordinal"), 1000).alias("chunk"))
+
+
 @register
 def headerless_csv(spark, sf_dir):
     """A CSV without header read as Column_1..n."""
@@ -625,12 +643,36 @@ def encoding_census(spark, sf_dir):
     return c.select(H.base_name(F.col("file_path")).alias("file_name"), "encoding", "decoded_ok", "has_bom")
 
 
+@register
+def encoding_evidence(spark, sf_dir):
+    """Documents as text files of four encodings, Chinese numerals in the gb18030 ones and accents in the
+    Latin-1 ones; the encoding that the bytes of every file speak for, under the 0.7 rule."""
+    from sluice.sinks.chunked import write_text_files
+    from sluice.sources.evidence import LEAST_CONFIDENCE, encoding_evidence as evidence
+    d = I.load(spark, sf_dir, "documents").where("doc_id is not null")
+    base = _scratch(spark, "evidence")
+    numerals = F.translate(F.col("n_chars").cast("string"), "0123456789", "零一二三四五六七八九")
+    kinds = [("utf8", "utf-8", False, F.lit(" é日")), ("bom", "utf-8", True, F.lit(" é日")),
+             ("gb18030", "gb18030", False, F.concat(F.lit(" 第"), numerals, F.lit("号"))), ("latin1", "latin-1", False, F.lit(" é là"))]
+    for i, (name, enc, bom, mark) in enumerate(kinds):
+        # French and Spanish texts in the Latin-1 files, all languages elsewhere; accents become '?' in gb18030 files
+        body = F.regexp_replace(F.coalesce("text", F.lit("")), "[^\\x00-\\x7F]", "?") if name == "gb18030" else F.coalesce("text", F.lit(""))
+        part = d.where(F.col("doc_id") % 4 == i).select(
+            F.format_string("docs_%s_%06d.txt", F.lit(name), F.expr("doc_id div 500")).alias("file_name"),
+            F.col("doc_id").alias("line_no"), F.concat(body, mark).alias("line"))
+        write_text_files(part, f"{base}/{i}", encoding=enc, bom=bom, errors="replace").collect()
+    e = evidence(spark, base)
+    return e.select(H.base_name(F.col("file_path")).alias("file_name"), "encoding", "decoded_ok", "has_bom",
+                    (F.col("confidence") >= LEAST_CONFIDENCE).alias("sure"))
+
+
 @register
 def csv_by_encoding(spark, sf_dir):
     """Documents as CSV files in utf-8, gb18030 and latin-1, every other file with its columns in
     another order, each tenth row with a field too many; read back per encoding, long rows from the rejects."""
     from sluice.sinks.chunked import write_text_files
-    from sluice.sources.encoding import encoding_census as census, read_csv_set_by_encoding
+    from sluice.sources.encoding import read_csv_set_by_encoding
+    from sluice.sources.evidence import encoding_evidence as evidence
     d = I.load(spark, sf_dir, "documents")
     base = _scratch(spark, "encset")
     turned = F.expr("doc_id div 5000 % 2 = 1")
@@ -646,7 +688,7 @@ def csv_by_encoding(spark, sf_dir):
             "file_name", F.lit(-1).cast("long").alias("line_no"),
             F.when(F.col("turned"), F.lit("doc_id,word,source")).otherwise(F.lit("doc_id,source,word")).alias("line"))
         write_text_files(part.drop("turned").unionByName(heads), f"{base}/{i}", encoding=enc).collect()
-    r = read_csv_set_by_encoding(spark, census(spark, base, glob="*.csv"))
+    r = read_csv_set_by_encoding(spark, evidence(spark, base), paths=base)
     none = F.lit(None).cast("string")
     return r.rows.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.lit("ok").alias("status"), "source", "word").unionByName(
         r.rejects.select(F.col("fields")[0].cast("bigint").alias("doc_id"), F.lit("long").alias("status"),
