@@ -63,6 +63,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/sluice-{name}-{uuid.uuid4().hex[:12]}"
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """``path`` with the scheme of the cluster's default file system, if it names none: executors that open
+    it themselves must not take it for a folder of their own."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(p).toString()
+
+
 def local_path(path: str) -> str:
     """Strip a ``file:`` scheme so Python-side writers (pyarrow.fs) can use the path."""
     if path.startswith("file://"):

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sluice.operators.chunks import CHUNK_NAME_FORMAT, chunk_id
+from sluice.session import qualified
 
 MANIFEST_SCHEMA = "chunk int, file_name string, n_rows long"
 BOM = "﻿"
@@ -102,7 +103,7 @@ def write_chunks(df: DataFrame, out_dir: str, stem: str, day: str, chunk_rows: i
                         *[F.col(f"`{c}`").cast("string").alias(c) for c in data_cols])
               .repartition(n_parts, "_chunk").sortWithinPartitions("_chunk", "_ord"))
     ext = fmt
-    out_dir = out_dir.rstrip("/")
+    out_dir = qualified(spark, out_dir).rstrip("/")
 
     def writer(batches):
         from pyspark import TaskContext
@@ -163,14 +164,12 @@ def write_chunks(df: DataFrame, out_dir: str, stem: str, day: str, chunk_rows: i
     return staged.mapInPandas(writer, MANIFEST_SCHEMA)
 
 
-def prepare_output(out_dir: str, clear_old: bool = False) -> str:
-    """K6: create the output folder; optionally remove the files already in it."""
+def prepare_output(spark, out_dir: str, clear_old: bool = False) -> str:
+    """K6: create the output folder; optionally remove the files already in it (an error if that fails)."""
+    out_dir = qualified(spark, out_dir)
     fs, root = _fs_for(out_dir)
     if clear_old:
-        try:
-            fs.delete_dir_contents(root, missing_dir_ok=True)
-        except Exception:
-            pass
+        fs.delete_dir_contents(root, missing_dir_ok=True)
     fs.create_dir(root, recursive=True)
     return out_dir
 
@@ -190,7 +189,7 @@ def write_text_files(df: DataFrame, out_dir: str, file_col: str = "file_name",
     staged = (df.select(F.col(file_col).alias("_f"), F.col(order_col).alias("_o"),
                         F.col(text_col).cast("string").alias("_t"))
               .repartition(n_parts, "_f").sortWithinPartitions("_f", "_o"))
-    out_dir = out_dir.rstrip("/")
+    out_dir = qualified(spark, out_dir).rstrip("/")
 
     def writer(batches):
         from pyspark import TaskContext
