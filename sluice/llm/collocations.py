@@ -43,8 +43,10 @@ TOP = 2000
 #: text characters for which one more hash partition is dealt (about 2 million runs)
 PART_CHARS = 4_000_000
 #: bytes of whole documents that are counted at a time, and counters a task holds before it hands them on
-CHUNK = 2 << 20
-HELD = 1_500_000
+CHUNK = 1 << 20
+HELD = 700_000
+#: rows handed to the JVM at a time
+HANDED = 1 << 16
 #: bound on the Bloom filter of all survivors, its bits a survivor, and its probes
 FILTER_BYTES = 32 << 20
 FILTER_BITS = 10
@@ -92,11 +94,14 @@ def count_runs(batch: pa.RecordBatch, longest: int = LONGEST) -> Iterator[Counte
     """Counts of all runs of ``batch(lang, text)``, chunk by chunk of whole documents."""
     langs = batch.column("lang").fill_null("und").dictionary_encode()
     lang_of_doc = langs.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-    raw, off = string_buffers(batch.column("text"))
-    d, n = 0, len(off) - 1
+    size = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False)
+    end = np.cumsum(size, dtype=np.int64)
+    d, n = 0, len(end)
     while d < n:
-        e = max(d + 1, int(np.searchsorted(off, off[d] + CHUNK, side="right")) - 1)
-        found = _count_chunk(raw[off[d]:off[e]], off[d:e + 1] - off[d], lang_of_doc[d:e], langs.dictionary, longest)
+        e = max(d + 1, int(np.searchsorted(end, end[d] - size[d] + CHUNK, side="right")))
+        # only the chunk's own texts are copied
+        raw, off = string_buffers(batch.column("text").slice(d, e - d))
+        found = _count_chunk(raw[off[0]:off[-1]], off - off[0], lang_of_doc[d:e], langs.dictionary, longest)
         if found:
             yield found
         d = e
@@ -283,12 +288,14 @@ def _exact(path: str, parts: int, longest: int):
                 total = np.bincount(found.runs[0].lang, weights=found.runs[0].counts, minlength=len(langs)).astype(np.int64)
                 yield _rows(langs, pa.nulls(len(langs), pa.large_string()), 0, total)
                 for h, r in zip(found.hashes(), found.runs):
-                    stays = np.flatnonzero(survivors.passes(h))
-                    # each word is followed by one space: no word holds one
-                    text = words.take(pa.array(r.words[0][stays]))
-                    if r.n > 1:
-                        text = pc.binary_join_element_wise(text, *(words.take(pa.array(w[stays])) for w in r.words[1:]), pa.scalar(" ", pa.large_string()))
-                    yield _rows(langs.take(pa.array(r.lang[stays])), text, r.n, r.counts[stays])
+                    passed = np.flatnonzero(survivors.passes(h))
+                    for at in range(0, len(passed), HANDED):
+                        stays = passed[at:at + HANDED]
+                        # one space between words: no word holds one
+                        text = words.take(pa.array(r.words[0][stays]))
+                        if r.n > 1:
+                            text = pc.binary_join_element_wise(text, *(words.take(pa.array(w[stays])) for w in r.words[1:]), pa.scalar(" ", pa.large_string()))
+                        yield _rows(langs.take(pa.array(r.lang[stays])), text, r.n, r.counts[stays])
     return run
 
 
