@@ -9,7 +9,7 @@ Where they meet they merge into a Misra-Gries summary whose capacity exceeds the
 by the threshold: each reduction takes the (capacity + 1)-th largest count off all counters, so all
 reductions together take less than the threshold off any, and every run at or above it survives (a hash
 collision only adds survivors). Survivors are written as one Bloom filter segment a partition,
-``FILTER_BYTES`` in all (or a byte a segment) at most; past that bound the filter lets more through and loses nothing.
+of bounded size in all (:mod:`sluice.llm.bloom`); past that bound the filter lets more through and loses nothing.
 
 Second pass: words become dictionary numbers chunk by chunk (compared by their bytes), runs that the
 filter lets through are counted by these numbers, and the counts meet by language and text: exact.
@@ -33,6 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sluice.llm import bloom
 from sluice.llm.base import sized, stage
 from sluice.llm.words import mix, string_buffers
 from sluice.session import scratch_path
@@ -47,10 +48,6 @@ CHUNK = 1 << 20
 HELD = 700_000
 #: rows handed to the JVM at a time
 HANDED = 1 << 16
-#: bound on the Bloom filter of all survivors, its bits a survivor, and its probes
-FILTER_BYTES = 32 << 20
-FILTER_BITS = 10
-_PROBES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], dtype=np.uint64)
 _PLACE = np.random.default_rng(11).integers(1, 2 ** 63, 5, dtype=np.uint64) | np.uint64(1)
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -184,10 +181,9 @@ def merge_summaries(parts: Iterable[tuple[np.ndarray, np.ndarray]], capacity: in
 
 def _hand_on(hashes: np.ndarray, counts: np.ndarray, parts: int) -> pa.RecordBatch:
     """One row for each hash partition met: its mass, keys and counts."""
-    part = ((hashes >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
+    part, keys = bloom.split(hashes, parts)
     order = np.argsort(part, kind="stable")
-    part = part[order]
-    keys, counts = (hashes[order] & np.uint64(0xFFFFFFFF)).astype(np.uint32), counts[order]
+    part, keys, counts = part[order], keys[order].astype(np.uint32), counts[order]
     first = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(part) else np.zeros(0, np.int64)
     cuts = list(zip(first, np.append(first[1:], len(part))))
     return pa.RecordBatch.from_arrays(
@@ -217,71 +213,22 @@ def _summaries(parts: int, longest: int):
     return run
 
 
-def _places(keys: np.ndarray, bits: np.ndarray) -> Iterator[np.ndarray]:
-    """Where each probe of 32-bit keys falls among ``bits`` bits (one number, or one a key)."""
-    wide = keys.astype(np.uint64) + np.uint64(1)
-    for p in _PROBES:
-        yield ((wide * p) >> np.uint64(20)) % bits
-
-
-def _segment(threshold: int, limit: int):
+def _segment(threshold: int, parts: int):
     """Merge the summaries of a partition; its survivors as a Bloom filter segment."""
     def run(key, rows: pd.DataFrame) -> pd.DataFrame:
         mass = int(rows["mass"].sum())
         pairs = ((np.frombuffer(k, np.uint32), np.frombuffer(c, np.uint32)) for k, c in zip(rows["ks"], rows["cs"]))
         keys, _, error = merge_summaries(pairs, mass // threshold + 1)
-        bits = np.zeros(8 * max(1, min(limit, -(-len(keys) * FILTER_BITS // 8))), dtype=bool)
-        for place in _places(keys, np.uint64(len(bits))):
-            bits[place.astype(np.int64)] = True
-        return pd.DataFrame({"part": [key[0]], "bits": [np.packbits(bits).tobytes()], "survivors": [len(keys)],
+        return pd.DataFrame({"part": [key[0]], "bits": [bloom.segment(keys, parts)], "survivors": [len(keys)],
                              "mass": [mass], "error": [error]})
     return run
 
 
 # ---- second pass: exact counts -------------------------------------------------------
 
-class Filter:
-    """The Bloom filter segments of all partitions, read once a worker."""
-
-    _kept: dict[str, "Filter"] = {}
-
-    def __init__(self, table: pa.Table, parts: int) -> None:
-        table = table.combine_chunks()
-        part = table.column("part").to_numpy()
-        segments = table.column("bits").combine_chunks().cast(pa.large_binary()) if len(part) else pa.array([], pa.large_binary())
-        sizes = np.zeros(parts, dtype=np.int64)
-        begin = np.zeros(parts, dtype=np.int64)
-        _, off, data = segments.buffers()
-        offsets = np.frombuffer(off, np.int64)[segments.offset:segments.offset + len(part) + 1] if len(part) else np.zeros(1, np.int64)
-        sizes[part], begin[part] = np.diff(offsets), offsets[:-1]
-        self.begin, self.bits, self.parts = begin, sizes * 8, parts
-        self.data = np.frombuffer(data, np.uint8) if len(part) else np.zeros(1, np.uint8)
-
-    @classmethod
-    def at(cls, path: str, parts: int) -> "Filter":
-        if path not in cls._kept:
-            import pyarrow.parquet as pq
-            from sluice.sinks.chunked import _fs_for
-            fs, root = _fs_for(path)
-            cls._kept.clear()
-            cls._kept[path] = cls(pq.read_table(root, columns=["part", "bits"], filesystem=fs), parts)
-        return cls._kept[path]
-
-    def passes(self, hashes: np.ndarray) -> np.ndarray:
-        part = ((hashes >> np.uint64(32)) % np.uint64(self.parts)).astype(np.int64)
-        bits, begin = self.bits[part], self.begin[part]
-        found = bits > 0
-        keys = hashes & np.uint64(0xFFFFFFFF)
-        for place in _places(keys, np.maximum(bits, 1).astype(np.uint64)):
-            place = place.astype(np.int64)
-            # np.packbits sets the highest bit of a byte first
-            found &= (self.data[np.where(found, begin + (place >> 3), 0)] >> (7 - (place & 7)).astype(np.uint8)) & 1 > 0
-        return found
-
-
 def _exact(path: str, parts: int, longest: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        survivors = Filter.at(path, parts)
+        survivors = bloom.Filter.at(path, parts)
         for batch in batches:
             for found in count_runs(batch, longest):
                 words, langs = found.vocabulary.cast(pa.large_string()), found.langs.cast(pa.large_string())
@@ -312,11 +259,10 @@ def frequent_runs(documents: DataFrame, threshold: int = THRESHOLD, longest: int
     docs = documents.select("lang", "text")
     chars = docs.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     parts = int(chars // part_chars) + 1
-    limit = max(1, FILTER_BYTES // parts)
     met = docs.mapInArrow(_summaries(parts, longest), "part long, mass long, ks binary, cs binary")
     path = scratch_path(docs.sparkSession, "survivors")
     met.groupBy("part").applyInPandas(
-        _segment(threshold, limit), "part long, bits binary, survivors long, mass long, error long").write.parquet(path)
+        _segment(threshold, parts), "part long, bits binary, survivors long, mass long, error long").write.parquet(path)
     counted = docs.mapInArrow(_exact(path, parts, longest), "lang string, phrase string, words int, c long")
     return (counted.groupBy("lang", "phrase", "words").agg(F.sum("c").alias("a"))
             .where((F.col("words") == 0) | (F.col("a") >= threshold)))

@@ -26,14 +26,14 @@ one window loses every word, and one member stands for it in everything else.
 Defined cases: null, empty or short texts lose nothing (null: n_words 0, the digest is of the
 empty text). Repeated rows repeat each other, whatever their ids. Only ``doc_id`` and ``text``
 are read by :func:`repeated_spans` and :func:`substring_report`; :func:`remove_repeats` keeps all
-columns. An empty table gives no rows. Words are compared by 64-bit hashes (32-bit ones per
-word inside a shard, under a 64-bit minimizer).
+columns. An empty table gives no rows. Words are compared by 64-bit hashes throughout. Texts of any
+length are whole; ids play no part.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pandas as pd
@@ -42,7 +42,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sluice.llm import words as W
-from sluice.llm.base import has_repeats, one_row_each, sized, stage, text_key
+from sluice.llm.base import sized, stage, text_key
+from sluice.llm.bloom import Filter, filter_of
 
 WINDOW = 35
 GRAM = 8
@@ -78,43 +79,49 @@ def _class_batches(window: int, gram: int):
                     mins.append(value)
                     times.append(often.astype(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("tk1"), batch.column("tk2"), pa.array(n, pa.int64()),
+                [batch.column("tk1"), batch.column("tk2"), pa.array(n, pa.int64()),
                  pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), W.list_column(mins), W.list_column(times)],
-                names=["doc_id", "tk1", "tk2", "n", "s1", "s2", "mins", "times"])
+                names=["tk1", "tk2", "n", "s1", "s2", "mins", "times"])
     return run
 
 
-def _segment_batches(window: int, gram: int):
+def _segment_batches(window: int, gram: int, path: str, parts: int):
+    """Segments of the minimizers that a Bloom filter lets through; any too many count once and drop out."""
     def run(batches):
+        repeated = Filter.at(path, parts)
         seen: set[bytes] = set()
+        copies: Counter = Counter()
         for batch in batches:
-            wanted = batch.column("wanted")
-            nodes = batch.column("node").to_pylist()
+            tk1, tk2 = batch.column("tk1").to_pylist(), batch.column("tk2").to_pylist()
             out = defaultdict(list)
-            row = 0
+            row = -1
             for c in W.chunks(batch.column("text")):
                 g = W.grams(c.hashes, gram)
-                low = c.hashes.astype(np.uint32)
                 for d in range(c.docs):
                     a, b = c.first[d], c.first[d + 1]
-                    want = wanted[row].values.to_numpy(zero_copy_only=False).view(np.uint64)
-                    node = nodes[row]
                     row += 1
                     if b - a < window:
                         continue
+                    # two copies make every count 2; more of one text add nothing to it
+                    if len(copies) >= SEEN:
+                        copies.clear()
+                    copies[tk1[row], tk2[row]] += 1
+                    if copies[tk1[row], tk2[row]] > 2:
+                        continue
                     mine = g[a:b - gram + 1]
                     at = _minimizers(mine, window - gram + 1)
                     first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
                     last = np.r_[first[1:], len(at)] - 1
-                    hit = np.flatnonzero(np.isin(mine[at[first]], want))
+                    hit = np.flatnonzero(repeated.passes(mine[at[first]]))
                     for i in hit:
                         s, e = int(first[i]), int(last[i])
-                        blob = low[a + s:a + e + window].tobytes()
+                        blob = c.hashes[a + s:a + e + window].tobytes()
                         sig = hashlib.blake2b(blob, digest_size=16).digest()
                         out["m"].append(W.signed(int(mine[at[s]])))
                         out["f1"].append(int.from_bytes(sig[:8], "little", signed=True))
                         out["f2"].append(int.from_bytes(sig[8:], "little", signed=True))
-                        out["node"].append(node)
+                        out["tk1"].append(tk1[row])
+                        out["tk2"].append(tk2[row])
                         out["start"].append(s)
                         out["size"].append(e + window - s)
                         out["at"].append(int(at[s]) - s)
@@ -130,7 +137,7 @@ def _segment_batches(window: int, gram: int):
     return run
 
 
-SEGMENT = [("m", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("node", pa.int64()),
+SEGMENT = [("m", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("tk1", pa.int64()), ("tk2", pa.int32()),
            ("start", pa.int32()), ("size", pa.int32()), ("at", pa.int32()), ("words", pa.binary())]
 
 
@@ -207,11 +214,11 @@ def _common(rows: np.ndarray, stop: np.ndarray) -> np.ndarray:
     group excluded, that it shares with another row of its group. Sorting puts the row that
     shares most next to it."""
     n, width = rows.shape
-    order = np.argsort(np.ascontiguousarray(rows).view(f"V{4 * width}").ravel(), kind="stable")
+    order = np.argsort(np.ascontiguousarray(rows).view(f"V{8 * width}").ravel(), kind="stable")
     line = rows[order]
     differ = np.ones((n - 1, width + 1), dtype=bool)
     differ[:, :width] = line[1:] != line[:-1]
-    same = differ.argmax(axis=1) - 2
+    same = differ.argmax(axis=1) - 1
     best = np.full(n, -1)
     best[:-1] = same
     best[1:] = np.maximum(best[1:], same)
@@ -223,16 +230,16 @@ def _common(rows: np.ndarray, stop: np.ndarray) -> np.ndarray:
 def _trim(m: np.ndarray, blobs: list, at: np.ndarray, seen: np.ndarray, gram: int) -> tuple[np.ndarray, np.ndarray]:
     """Words of each segment, as ``[a, b)``, outside which it cannot repeat: to the left and right
     of its minimizer it must agree with some other segment of the minimizer."""
-    size = np.array([len(b) // 4 for b in blobs])
+    size = np.array([len(b) // 8 for b in blobs])
     left, right = at, size - at - gram
-    owner = m.view(np.uint32).reshape(len(m), 2)
+    owner = m.view(np.uint64)
     sides = []
     for length, cut in ((left, lambda w, i: w[:i][::-1]), (right, lambda w, i: w[i + gram:])):
-        table = np.zeros((len(m), 2 + int(length.max(initial=0)) + 1), dtype=np.uint32)
-        table[:, :2] = owner
+        table = np.zeros((len(m), 1 + int(length.max(initial=0)) + 1), dtype=np.uint64)
+        table[:, 0] = owner
         for k, (blob, i) in enumerate(zip(blobs, at)):
-            words = cut(np.frombuffer(blob, dtype=np.uint32), i)
-            table[k, 2:2 + len(words)] = words
+            words = cut(np.frombuffer(blob, dtype=np.uint64), i)
+            table[k, 1:1 + len(words)] = words
         # words after the end are zeros that may match zeros: the cut at the length undoes that
         sides.append(np.where(seen > 1, length, np.maximum(_common(table, length), -1)))
     near = (sides[0] >= 0) & (sides[1] >= 0)
@@ -248,7 +255,7 @@ def _shards(least: int, gram: int):
         groups: dict[int, dict[bytes, int]] = defaultdict(lambda: defaultdict(int))
         cut: list[bytes | None] = []
         for k in range(len(m)):
-            blob = blobs[k][4 * a[k]:4 * b[k]] if b[k] - a[k] >= least else None
+            blob = blobs[k][8 * a[k]:8 * b[k]] if b[k] - a[k] >= least else None
             cut.append(blob)
             if blob is not None:
                 groups[m[k]][blob] += int(seen[k])
@@ -256,10 +263,10 @@ def _shards(least: int, gram: int):
         for key, weights in groups.items():
             if len(weights) == 1:
                 (blob, weight), = weights.items()
-                found[key, blob] = [(0, len(blob) // 4)] if weight > 1 else []
+                found[key, blob] = [(0, len(blob) // 8)] if weight > 1 else []
                 continue
             auto = SuffixAutomaton()
-            sequences = {blob: np.frombuffer(blob, dtype=np.uint32).tolist() for blob in weights}
+            sequences = {blob: np.frombuffer(blob, dtype=np.uint64).tolist() for blob in weights}
             for blob, weight in weights.items():
                 auto.add(sequences[blob], weight)
             auto.settle()
@@ -279,8 +286,8 @@ def _window_batches(window: int):
             rows = [(m, f1, f2, j, int.from_bytes(h[:8], "little", signed=True),
                      int.from_bytes(h[8:], "little", signed=True), seen)
                     for m, f1, f2, words, seen in zip(pdf["m"], pdf["f1"], pdf["f2"], pdf["words"], pdf["seen"])
-                    for j in range(len(words) // 4 - window + 1)
-                    for h in (hashlib.blake2b(words[4 * j:4 * (j + window)], digest_size=16).digest(),)]
+                    for j in range(len(words) // 8 - window + 1)
+                    for h in (hashlib.blake2b(words[8 * j:8 * (j + window)], digest_size=16).digest(),)]
             yield pd.DataFrame(rows, columns=["m", "f1", "f2", "j", "w1", "w2", "seen"])
     return run
 
@@ -288,29 +295,25 @@ def _window_batches(window: int):
 def repeated_spans(documents: DataFrame, window: int = WINDOW, gram: int = GRAM, shard: int = SHARD) -> DataFrame:
     """``tk1, tk2, spans``: for each text that loses words, its spans ``[a, b)`` in words.
 
-    ``tk1, tk2`` is :func:`sluice.llm.base.text_key`; texts without repeats have no row."""
-    docs = documents.select("doc_id", "text", *text_key())
-    kind = documents.schema["doc_id"].dataType.simpleString()
+    ``tk1, tk2`` is :func:`sluice.llm.base.text_key`; texts without repeats have no row. Texts are read twice
+    where they lie and never shuffled: a Bloom filter tells the second reading which minimizers repeat."""
+    docs = documents.select("text", *text_key())
     base = stage(docs.mapInArrow(_class_batches(window, gram),
-                                 f"doc_id {kind}, tk1 long, tk2 int, n long, s1 long, s2 long, "
-                                 "mins array<long>, times array<long>")
+                                 "tk1 long, tk2 int, n long, s1 long, s2 long, mins array<long>, times array<long>")
                  .where(F.col("n") >= window).withColumn("node", F.monotonically_increasing_id()), "sequences")
     classes = stage(base.groupBy("s1", "s2", "n").agg(F.min("node").alias("node"), F.count("*").alias("c")), "classes")
     many = classes.where("c > 1").select("s1", "s2", "n", F.col("node").alias("first"))
     spare = stage(base.select("s1", "s2", "n", "node").join(many, ["s1", "s2", "n"]).where("node <> first")
                   .select("node"), "spare")
     posts = (base.select("node", "mins", "times").join(sized(spare), "node", "left_anti")
-             .select("node", F.explode(F.arrays_zip("mins", "times")).alias("z")).select("node", "z.mins", "z.times")
-             .withColumnRenamed("mins", "m"))
-    seen = posts.groupBy("m").agg(F.sum("times").alias("c")).where("c > 1").select("m")
-    wanted = stage(posts.join(seen, "m").groupBy("node").agg(F.collect_set("m").alias("wanted")), "wanted")
-
-    # segments of the repeated minimizers, from the documents' texts
-    keys = stage(base.select("node", "doc_id", "tk1", "tk2").join(wanted, "node"), "keys")
-    texts = one_row_each(docs, keys, has_repeats(base), 200_000)
-    segments = stage(texts.select("node", "wanted", "text").mapInArrow(
-        _segment_batches(window, gram),
-        "m long, f1 long, f2 long, node long, start int, size int, at int, words binary"), "segments")
+             .select(F.explode(F.arrays_zip("mins", "times")).alias("z")).select("z.mins", "z.times"))
+    twice = stage(posts.groupBy(F.col("mins").alias("m")).agg(F.sum("times").alias("c")).where("c > 1").select("m"), "twice")
+
+    # segments of the repeated minimizers, from the texts where they are
+    path, parts = filter_of(twice, "minimizers")
+    segments = stage(docs.mapInArrow(
+        _segment_batches(window, gram, path, parts),
+        "m long, f1 long, f2 long, tk1 long, tk2 int, start int, size int, at int, words binary"), "segments")
     distinct = segments.groupBy("m", "f1", "f2").agg(F.count("*").alias("seen"), F.max("size").alias("size"))
     distinct = stage(distinct, "distinct")
     groups = stage(distinct.groupBy("m").agg(F.count("*").alias("kinds"), F.sum("seen").alias("total"))
@@ -334,16 +337,12 @@ def repeated_spans(documents: DataFrame, window: int = WINDOW, gram: int = GRAM,
            .select("m", "f1", "f2", F.col("j").alias("a"), (F.col("j") + window).alias("b")))
     found = stage(lone.unionByName(shards).unionByName(hot), "found")
 
-    spans = (segments.select("m", "f1", "f2", "node", "start").join(found, ["m", "f1", "f2"])
-             .groupBy("node").agg(F.collect_set(F.struct((F.col("start") + F.col("a")).alias("a"),
-                                                         (F.col("start") + F.col("b")).alias("b"))).alias("spans")))
-    copied = (classes.where("c > 1")
-              .select("node", F.array(F.struct(F.lit(0).alias("a"), F.col("n").cast("int").alias("b"))).alias("all")))
-    per_class = (spans.join(copied, "node", "full").select("node", F.coalesce("all", "spans").alias("spans")))
-    # every text of the class
-    rows = base.select("tk1", "tk2", "s1", "s2", "n").distinct()
-    return (rows.join(classes.select("s1", "s2", "n", "node"), ["s1", "s2", "n"]).join(per_class, "node")
-            .select("tk1", "tk2", "spans"))
+    spans = (segments.select("m", "f1", "f2", "tk1", "tk2", "start").join(found, ["m", "f1", "f2"])
+             .groupBy("tk1", "tk2").agg(F.collect_set(F.struct((F.col("start") + F.col("a")).alias("a"),
+                                                               (F.col("start") + F.col("b")).alias("b"))).alias("spans")))
+    copied = (base.select("tk1", "tk2", "s1", "s2", "n").join(sized(stage(many, "copied")), ["s1", "s2", "n"])
+              .select("tk1", "tk2", F.array(F.struct(F.lit(0).alias("a"), F.col("n").cast("int").alias("b"))).alias("all")).distinct())
+    return (spans.join(copied, ["tk1", "tk2"], "full").select("tk1", "tk2", F.coalesce("all", "spans").alias("spans")))
 
 
 def _kept(text: str | None, spans) -> tuple[int, int, bytes]:

@@ -67,10 +67,10 @@ def test_equals_plain_counting(spark):
 
 
 def test_a_tight_filter_loses_nothing(spark, monkeypatch):
-    from sluice.llm import collocations as C
+    from sluice.llm import bloom, collocations as C
     rows = some_rows(2, 150)
     df = spark.createDataFrame(rows, "text string, lang string")
-    monkeypatch.setattr(C, "FILTER_BYTES", 64)
+    monkeypatch.setattr(bloom, "FILTER_BYTES", 64)
     assert collected(C.collocations(df)) == plain(rows)
 
 
