@@ -83,6 +83,12 @@ def more() -> dict[str, str]:
             f"CASE WHEN doc_id % 10 <> 3 THEN coalesce(replace(source, ',', ' '), 'none') END AS source, "
             f"CASE WHEN doc_id % 10 <> 3 THEN CAST(n_chars AS {v}) || CASE doc_id % 3 WHEN 0 THEN ' 日é' "
             f"WHEN 1 THEN ' 中文' ELSE ' é' END END AS word FROM documents WHERE doc_id IS NOT NULL"),
+        "workbook_chunks": (
+            f"SELECT chunk, printf('orders_{DAY}_%04d.csv', chunk) AS file_name, CAST(count(*) AS BIGINT) AS n_rows, "
+            f"min(o_orderkey) AS first_key, max(o_orderkey) AS last_key, CAST(2 AS BIGINT) AS first_record, "
+            f"round(sum(o_totalprice), 2) AS total_price, (SELECT count(*) FROM orders) AS run_rows, "
+            f"(SELECT CAST(ceil(count(*) / 1000.0) AS BIGINT) FROM orders) AS run_files FROM (SELECT *, "
+            f"CAST((row_number() OVER (ORDER BY o_orderkey) - 1) // 1000 + 1 AS INTEGER) AS chunk FROM orders) GROUP BY chunk"),
         "encoding_evidence": (
             "SELECT DISTINCT printf('docs_%s_%06d.txt', name, doc_id // 500) AS file_name, encoding, TRUE AS decoded_ok, "
             "name = 'bom' AS has_bom, TRUE AS sure FROM documents JOIN (VALUES (0, 'utf8', 'utf-8'), (1, 'bom', 'utf-8-sig'), "

@@ -624,6 +624,27 @@ def workbook_status(spark, sf_dir):
     return st.select(H.base_name(F.col("file_path")).alias("file_name"), "n_rows", "status")
 
 
+@register
+def workbook_chunks(spark, sf_dir):
+    """K5/K6/K9: workbooks of orders cut into committed CSV chunks of 1,000 rows in the order of their sheets; what
+    each chunk file holds when it is read back, beside the manifest and the run's record."""
+    from sluice.sinks.chunked import prepare_output
+    from sluice.sinks.committed import run_records, save_chunks
+    from sluice.sources.records import read_records
+    from sluice.sources.workbook import read_workbooks
+    books, out, runs = _scratch(spark, "books"), _scratch(spark, "bookchunks"), _scratch(spark, "bookruns")
+    _write_chunks(I.load(spark, sf_dir, "orders"), books, "orders", CHUNK_ROWS, "o_orderkey", fmt="xlsx").collect()
+    rows = read_workbooks(spark, books, with_source=True).table.drop("file_path", "row_no")
+    m = save_chunks(rows, prepare_output(spark, out, clear_old=True), "orders", DAY, 1000, runs=runs, source=books)
+    back = read_records(spark, f"{out}/*.csv", sep=",", escape='"', with_source=True).rows
+    held = back.groupBy(H.base_name(F.col("file_path")).alias("file_name")).agg(
+        F.min(F.col("o_orderkey").cast("long")).alias("first_key"), F.max(F.col("o_orderkey").cast("long")).alias("last_key"),
+        F.min("record_no").alias("first_record"), F.round(F.sum(F.col("o_totalprice").cast("double")), 2).alias("total_price"))
+    run = run_records(spark, runs).select("run", F.col("n_rows").alias("run_rows"), F.col("n_files").alias("run_files"))
+    return (m.join(held, "file_name").join(run, "run")
+            .select("chunk", "file_name", "n_rows", "first_key", "last_key", "first_record", "total_price", "run_rows", "run_files"))
+
+
 @register
 def encoding_census(spark, sf_dir):
     """Documents written as text files in utf-8, utf-8 with BOM, gb18030 and

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluice.sources.encoding import DEFAULT_CANDIDATES
-from sluice.sources.records import _runs, _staged, source_lines
+from sluice.sources.records import _runs, staged, source_lines
 
 # Below this confidence a guess is not followed; the orders in which encodings are tried,
 # after the detected one (automatic, splitter) or the one the user chose.
@@ -118,7 +118,7 @@ def encoding_evidence(spark: SparkSession, paths: str | list[str], sample_bytes:
 
     ``sample_bytes`` (``IMPORTER_SAMPLE_BYTES``, ``SPLITTER_SAMPLE_BYTES``) looks at the lines that begin
     within a file's first so many bytes; by default whole files count, and only then is a byte order mark seen."""
-    sums = _staged(source_lines(spark, paths, with_size=True).drop("nth").mapInArrow(_sum_blocks(sample_bytes), _SUMS), "evidence")
+    sums = staged(source_lines(spark, paths, with_size=True).drop("nth").mapInArrow(_sum_blocks(sample_bytes), _SUMS), "evidence")
     if sample_bytes is not None:
         sums = sums.withColumn("size", F.col("n_bytes"))
     total = sums.groupBy("file_path").agg(
@@ -142,5 +142,5 @@ def encoding_evidence(spark: SparkSession, paths: str | list[str], sample_bytes:
     named = known.withColumn("guess", guess).withColumn(
         "encoding", F.when(F.col("guess.confidence") >= least, F.col("guess.encoding")).otherwise(fallback))
     ok = (F.when(F.col("encoding").startswith("utf-8"), F.col("utf8")).when(F.col("encoding") == "gb18030", F.col("gb")).otherwise(F.lit(True)))
-    return _staged(named.select("file_path", "encoding", F.round("guess.confidence", 6).alias("confidence"), ok.alias("decoded_ok"),
+    return staged(named.select("file_path", "encoding", F.round("guess.confidence", 6).alias("confidence"), ok.alias("decoded_ok"),
                                 "has_bom", "has_cjk"), "encodings")

@@ -120,15 +120,16 @@ def decode_lines(raw: pa.Array, encoding: str, errors: str) -> pa.Array:
     return pa.array([b.decode(encoding, errors) for b in raw.to_pylist()], pa.large_string())
 
 
-def _staged(df: DataFrame, name: str) -> DataFrame:
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """Write to the shared scratch folder and read back."""
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small(staged: DataFrame) -> DataFrame:
+def small(written: DataFrame) -> DataFrame:
     """A broadcast hint for a written table, once its rows are counted."""
-    return F.broadcast(staged) if staged.count() <= SMALL_ROWS else staged
+    return F.broadcast(written) if written.count() <= SMALL_ROWS else written
 
 
 def _in_order(lines: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
@@ -253,7 +254,7 @@ def blocks(lines: DataFrame, quote: str = '"', escape: str = "\\", errors: str =
     and whether a record crosses into or out of it."""
     if errors not in POLICIES:
         raise ValueError(f"errors must be one of {POLICIES}")
-    sums = _staged(lines.mapInArrow(_sum_up(quote, escape, errors), _SUMS), "blocks")
+    sums = staged(lines.mapInArrow(_sum_up(quote, escape, errors), _SUMS), "blocks")
     w = Window.partitionBy("file_path").orderBy("block")
     before = w.rowsBetween(Window.unboundedPreceding, -1)
     # a block keeps the state, turns it round, or ends in the same state whatever it starts in; the state
@@ -270,7 +271,7 @@ def blocks(lines: DataFrame, quote: str = '"', escape: str = "\\", errors: str =
     # records that start in a block: one ends that came in, one starts that leaves
     began = F.col("ended") - F.when(F.col("inside") & ~F.col("none_ends"), 1).otherwise(0) + F.when(F.col("leaves") & ~F.col("none_ends"), 1).otherwise(0)
     known = known.withColumn("none_ends", F.col("inside") & (F.col("ended") == 0)).withColumn("n_records", began)
-    return _staged(known.select(
+    return staged(known.select(
         "file_path", "block", "sep", "n_lines", "inside", "n_records",
         F.coalesce(F.sum("n_records").over(before), F.lit(0)).alias("base"),
         (F.col("inside") | F.col("leaves")).alias("crosses"), "head"), "block-states")
@@ -391,7 +392,7 @@ def records(lines: DataFrame, known: DataFrame, quote: str = '"', escape: str =
     if crossing.isEmpty():
         return whole
     touched = _in_order(lines, crossing, keys).where(F.col("crosses"))
-    parts = _staged(cut(touched).where(F.col("part") != _WHOLE), "record-parts")
+    parts = staged(cut(touched).where(F.col("part") != _WHOLE), "record-parts")
     order = F.struct("block", F.when(F.col("part") == _HEAD, 0).when(F.col("part") == _MIDDLE, 1).otherwise(2).alias("o"))
     w = Window.partitionBy("file_path").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     joined = (parts.withColumn("order", order).withColumn("nth", F.count_if(F.col("part") == _TAIL).over(w))
@@ -408,7 +409,7 @@ def with_source_ordinal(found: DataFrame, known: DataFrame, skip: int = 1) -> Da
     sizes = known.groupBy("file_path").agg(F.greatest(F.sum("n_records") - skip, F.lit(0)).alias("n"))
     # one row a file
     first = Window.orderBy("file_path").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = _staged(sizes.select("file_path", F.coalesce(F.sum("n").over(first), F.lit(0)).alias("file_offset")), "file-offsets")
+    offsets = staged(sizes.select("file_path", F.coalesce(F.sum("n").over(first), F.lit(0)).alias("file_offset")), "file-offsets")
     return (found.where(F.col("record_no") > skip).join(small(offsets), "file_path")
             .withColumn("ordinal", F.col("file_offset") + F.col("record_no") - skip).drop("file_offset"))
 
@@ -444,7 +445,7 @@ def read_records(spark: SparkSession, paths: str | list[str], sep: str | None =
     if sep is None:
         files = _with_delimiters(spark, paths, files, encoding)
     elif files is not None:
-        files = _staged(files.withColumn("sep", F.lit(sep)), "files")
+        files = staged(files.withColumn("sep", F.lit(sep)), "files")
     lines = source_lines(spark, paths, files, encoding if isinstance(encoding, str) else "utf-8", sep or ",")
     known = blocks(lines, quote, escape, errors)
     found = records(lines, known, quote, escape, errors)
@@ -454,7 +455,7 @@ def read_records(spark: SparkSession, paths: str | list[str], sep: str | None =
     # the distinct headers (without headers: widths), by the first file that has each
     heads = known.where(F.col("head").isNotNull()).select("file_path", "sep", F.col("head").alias("record"))
     heads = heads.mapInArrow(_fields(quote, escape), "file_path string, sep string, record string, fields array<string>")
-    heads = _staged(heads.select("file_path", (F.col("fields") if header else F.array(F.size("fields").cast("string"))).alias("title")), "heads")
+    heads = staged(heads.select("file_path", (F.col("fields") if header else F.array(F.size("fields").cast("string"))).alias("title")), "heads")
     kinds = [r["title"] for r in heads.groupBy("title").agg(F.min("file_path").alias("first")).orderBy("first").collect()]
     titles = kinds if header else [[f"{HEADERLESS_PREFIX}{i + 1}" for i in range(int(k[0]))] for k in kinds]
     named = [make_unique(normalize_names(t)) for t in titles]
@@ -466,7 +467,7 @@ def read_records(spark: SparkSession, paths: str | list[str], sep: str | None =
     rows = rows.mapInArrow(_fields(quote, escape), f"{shape}, fields array<string>")
     if len(kinds) > 1:
         number = F.array_position(F.array(*[F.array(*[F.lit(x) for x in k]) for k in kinds]), F.col("title")).cast("int") - 1
-        rows = rows.join(small(_staged(heads.select("file_path", number.alias("kind")), "file-kinds")), "file_path")
+        rows = rows.join(small(staged(heads.select("file_path", number.alias("kind")), "file-kinds")), "file_path")
     else:
         rows = rows.withColumn("kind", F.lit(0))
     by_kind = lambda values: F.element_at(F.array(*[F.lit(v) for v in values]), F.col("kind") + 1)
@@ -487,13 +488,13 @@ def read_records(spark: SparkSession, paths: str | list[str], sep: str | None =
 
 def _with_delimiters(spark: SparkSession, paths, files: DataFrame | None, encoding) -> DataFrame:
     """``files`` with the delimiter that the first lines of each file show."""
-    base = source_lines(spark, paths, None if files is None else _staged(files.withColumn("sep", F.lit(",")), "files"),
+    base = source_lines(spark, paths, None if files is None else staged(files.withColumn("sep", F.lit(",")), "files"),
                         encoding if isinstance(encoding, str) else "utf-8")
     first = base.where(F.col("block") == 0).mapInArrow(
         _first_lines(DELIMITER_SAMPLE_LINES), "file_path string, encoding string, first_lines array<string>")
     text = F.array_join(F.filter("first_lines", lambda x: F.trim(x) != ""), "")
     counts = [F.length(text) - F.length(F.replace(text, F.lit(d), F.lit(""))) for d in DELIMITERS]
-    return _staged(first.withColumn("sep", delimiter_from_counts(counts)).select("file_path", "encoding", "sep"), "files")
+    return staged(first.withColumn("sep", delimiter_from_counts(counts)).select("file_path", "encoding", "sep"), "files")
 
 
 def _first_lines(n: int):

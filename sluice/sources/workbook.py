@@ -2,7 +2,7 @@
 
 ``binaryFile`` hands each workbook to ``mapInPandas``, which reads the first sheet
 with the standard library (``zipfile`` + ``xml.etree.iterparse``) and streams rows out
-in batches; cells come out as text (no per-workbook type guessing, D11). A workbook is
+in batches, once; cells come out as text (no per-workbook type guessing, D11), date cells as dates. A workbook is
 a zip archive that needs random access, so one file is read whole by one task — an
 ``.xlsx`` sheet is capped at 1,048,576 rows, which bounds that task.
 """
@@ -14,20 +14,26 @@ import posixpath
 import re
 import zipfile
 from dataclasses import dataclass
+from datetime import datetime, time, timedelta
 from xml.etree import ElementTree as ET
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sluice.operators.columns import make_unique, normalize_names
 
-CELLS_SCHEMA = "file_path string, row_no long, cells array<string>"
+CELLS_SCHEMA = "file_path string, row_no long, nth long, cells array<string>"
 _NS = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 _RNS = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
 _REF = re.compile(r"^([A-Z]+)(\d+)$")
 BATCH_ROWS = 5000
 
+# Number formats of the file format that show dates or times, and what in a format's
+# code is not a date part (quoted text, escaped, padding and repeated characters, colours and conditions).
+DATE_FORMATS = {*range(14, 23), *range(27, 37), *range(45, 48), *range(50, 59)}
+_NO_DATE_PART = re.compile(r'"[^"]*"|\\.|_.|\*.|\[[^\]]*\]')
+
 
 def _col_index(letters: str) -> int:
     n = 0
@@ -52,9 +58,45 @@ def _first_sheet(z: zipfile.ZipFile) -> str:
     return "xl/worksheets/sheet1.xml"
 
 
+def _date_styles(z: zipfile.ZipFile) -> set[int]:
+    """Cell style numbers whose number format shows a date or a time."""
+    if "xl/styles.xml" not in z.namelist():
+        return set()
+    root = ET.fromstring(z.read("xl/styles.xml"))
+    own = {int(f.get("numFmtId")): f.get("formatCode", "") for f in root.iter(f"{_NS}numFmt")}
+
+    def shows_date(number: int) -> bool:
+        if number not in own:
+            return number in DATE_FORMATS
+        return re.search("[ymdhs]", _NO_DATE_PART.sub("", own[number].split(";")[0]), re.I) is not None
+    styles = root.find(f"{_NS}cellXfs")
+    return {i for i, x in enumerate(styles if styles is not None else ()) if shows_date(int(x.get("numFmtId", 0)))}
+
+
+def _first_day(z: zipfile.ZipFile) -> datetime:
+    """Day 0 of the workbook's serial numbers."""
+    props = ET.fromstring(z.read("xl/workbook.xml")).find(f"{_NS}workbookPr")
+    return datetime(1904, 1, 1) if props is not None and props.get("date1904") in ("1", "true") else datetime(1899, 12, 30)
+
+
+def date_text(serial: str, first_day: datetime) -> str:
+    """A serial number as a date, with a time if it has one, or as a time alone; what is no date stays as it is."""
+    try:
+        days = float(serial)
+        # the format counts a 29 February 1900: days before it lie one later
+        shift = 1 if days < 60 and first_day.year == 1899 else 0
+        at = first_day + timedelta(days=int(days) + shift, seconds=round((days - int(days)) * 86400, 3))
+    except (ValueError, OverflowError):
+        return serial
+    if days < 1:
+        return at.strftime("%H:%M:%S")
+    return at.strftime("%Y-%m-%d") if at.time() == time.min else at.isoformat(" ", "milliseconds" if at.microsecond else "seconds")
+
+
 def iter_sheet_rows(content: bytes):
-    """(row number, [cell text or None]) of the first sheet, blank rows skipped."""
+    """(row number, [cell text or None]) of the first sheet, blank rows skipped; date cells come as dates."""
     z = zipfile.ZipFile(io.BytesIO(content))
+    dates, first_day = _date_styles(z), _first_day(z)
     shared = []
     if "xl/sharedStrings.xml" in z.namelist():
         for _, el in ET.iterparse(z.open("xl/sharedStrings.xml")):
@@ -80,6 +122,8 @@ def iter_sheet_rows(content: bytes):
                     val = "True" if v.text == "1" else "False"
                 else:
                     val = v.text if v is not None else None
+                    if val is not None and t in (None, "n") and int(c.get("s", 0)) in dates:
+                        val = date_text(val, first_day)
                 vals[idx] = val
             el.clear()
             if any(x not in (None, "") for x in vals.values()):
@@ -88,31 +132,36 @@ def iter_sheet_rows(content: bytes):
 
 
 def _parse(batches):
+    columns = ["file_path", "row_no", "nth", "cells"]
     for pdf in batches:
         for path, content in zip(pdf["path"], pdf["content"]):
             out = []
-            for r, cells in iter_sheet_rows(content):
-                out.append((path, r, cells))
+            for nth, (r, cells) in enumerate(iter_sheet_rows(content)):
+                out.append((path, r, nth, cells))
                 if len(out) >= BATCH_ROWS:
-                    yield pd.DataFrame(out, columns=["file_path", "row_no", "cells"])
+                    yield pd.DataFrame(out, columns=columns)
                     out = []
             if out:
-                yield pd.DataFrame(out, columns=["file_path", "row_no", "cells"])
+                yield pd.DataFrame(out, columns=columns)
 
 
 @dataclass
 class Workbooks:
-    cells: DataFrame     # (file_path, row_no, cells)
+    cells: DataFrame     # (file_path, row_no, nth, cells), parsed once (written)
     status: DataFrame    # (file_path, n_rows, status)  S12
     table: DataFrame     # data rows, each file's cells under its own normalised header
     header: list[str]    # the headers' real names, united
 
 
-def read_workbooks(spark: SparkSession, path: str, glob: str = "*.xlsx") -> Workbooks:
+def read_workbooks(spark: SparkSession, path: str, glob: str = "*.xlsx", with_source: bool = False) -> Workbooks:
+    """All workbooks under ``path``. ``with_source`` adds ``file_path, row_no, ordinal`` to the table's rows:
+    ``ordinal`` counts the data rows of all workbooks by path, each in its sheet's order, from the places that
+    the parser met them at (no sort of the rows)."""
+    from sluice.sources.records import small, staged
     files = (spark.read.format("binaryFile").option("pathGlobFilter", glob)
              .option("recursiveFileLookup", True).load(path))
-    cells = files.select("path", "content").mapInPandas(_parse, CELLS_SCHEMA)
-    first = cells.groupBy("file_path").agg(F.min(F.struct("row_no", "cells")).alias("head"), F.count(F.lit(1)).alias("n"),
+    cells = staged(files.select("path", "content").mapInPandas(_parse, CELLS_SCHEMA), "cells")
+    first = cells.groupBy("file_path").agg(F.min_by(F.struct("row_no", "cells"), "nth").alias("head"), F.count(F.lit(1)).alias("n"),
                                            F.max(F.size("cells")).alias("width"))
     # the listing decides which files there are: a workbook without a row has no cells
     status = (files.select(F.col("path").alias("file_path")).join(first, "file_path", "left")
@@ -122,7 +171,7 @@ def read_workbooks(spark: SparkSession, path: str, glob: str = "*.xlsx") -> Work
                             F.lit("blank header"))
                       .otherwise(F.lit("ok")).alias("status")))
     # as wide as the file's widest row, so that no cell lies beyond its header
-    first = first.select("file_path", F.col("head.row_no").alias("first_row"), F.concat(
+    first = first.select("file_path", "n", F.concat(
         F.transform("head.cells", lambda x: F.coalesce(x, F.lit(""))),
         F.array_repeat(F.lit(""), F.col("width") - F.size("head.cells"))).alias("header"))
     kinds = first.groupBy("header").agg(F.min("file_path").alias("at")).orderBy("at").collect()
@@ -136,7 +185,11 @@ def read_workbooks(spark: SparkSession, path: str, glob: str = "*.xlsx") -> Work
     # a row per distinct header: where it has each of the united columns
     where = spark.createDataFrame([(h, [n.index(c) if c in n else None for c in real]) for h, n in named],
                                   "header array<string>, place array<int>")
-    placed = first.join(F.broadcast(where), "header").select("file_path", "first_row", "place")
-    data = cells.join(F.broadcast(placed), "file_path").where(F.col("row_no") > F.col("first_row"))
-    table = data.select(*[F.get("cells", F.get("place", F.lit(i))).alias(n) for i, n in enumerate(real)])
+    before = Window.orderBy("file_path").rowsBetween(Window.unboundedPreceding, -1)
+    # a row per workbook
+    placed = staged(first.join(F.broadcast(where), "header").select(
+        "file_path", "place", F.coalesce(F.sum(F.col("n") - 1).over(before), F.lit(0)).alias("offset")), "workbooks")
+    data = cells.where("nth > 0").join(small(placed), "file_path").withColumn("ordinal", F.col("offset") + F.col("nth"))
+    table = data.select(*[F.get("cells", F.get("place", F.lit(i))).alias(n) for i, n in enumerate(real)],
+                        *(["file_path", "row_no", "ordinal"] if with_source else []))
     return Workbooks(cells, status, table, list(real.values()))
