@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from sluice.functions.humanize import py_fixed
 from sluice.operators.quality import success_pct
+from sluice.session import staged
 
 # ---------------------------------------------------------------------------
 # Log line texts and status words written/read by the reference.
@@ -128,43 +129,74 @@ def batch_throughput(lines: DataFrame) -> DataFrame:
                     g(6).try_cast("double").alias("speed")))
 
 
+#: stretch of sequence numbers that one task scans; what went before it comes to it as carried state
+STRETCH = 100_000
+
+
+def _stretched(rows: DataFrame, key: str, seq: str, stretch: int) -> DataFrame:
+    """``rows`` with ``_at``, the stretch of its key's sequence that each is in (written: both passes read it)."""
+    return staged(rows.withColumn("_at", F.floor(F.col(seq) / F.lit(stretch)).cast("long")), "stretches")
+
+
 def speed_moving_avg(progress: DataFrame, key: str = "file_name", seq: str = "seq",
-                     speed: str = "speed") -> DataFrame:
+                     speed: str = "speed", stretch: int = STRETCH) -> DataFrame:
     """Mean of the last 10 speeds; mean of the last 3 vs the earlier ones in that
-    window; ``slowdown`` when more than 6 are in the window and recent < 85 % of earlier."""
-    w = Window.partitionBy(key).orderBy(seq)
+    window; ``slowdown`` when more than 6 are in the window and recent < 85 % of earlier.
+
+    A log is cut into stretches that are scanned in parallel: each begins with the last nine rows before it,
+    which the last nine stretches of its log together hold (a table of nine rows a stretch)."""
+    cut = _stretched(progress, key, seq, stretch)
+    carried_rows = SPEED_WINDOW - 1
+    last = F.row_number().over(Window.partitionBy(key, "_at").orderBy(F.col(seq).desc()))
+    ends = (cut.select(key, "_at", seq, speed).withColumn("_rn", last).where(F.col("_rn") <= carried_rows)
+            .groupBy(key, "_at").agg(F.array_sort(F.collect_list(F.struct(seq, speed))).alias("_end")))
+    before = Window.partitionBy(key).orderBy("_at").rowsBetween(-carried_rows, -1)
+    carried = (ends.select(key, "_at", F.slice(F.concat(F.array_repeat(F.lit(None).cast(ends.schema["_end"].dataType.elementType), carried_rows),
+                                                        F.flatten(F.collect_list("_end").over(before))), -carried_rows, carried_rows).alias("_c"))
+               .select(key, "_at", F.explode(F.filter("_c", lambda x: x.isNotNull())).alias("_c"))
+               .select(key, "_at", F.col("_c")[seq].alias(seq), F.col("_c")[speed].alias(speed), F.lit(True).alias("_carried")))
+    w = Window.partitionBy(key, "_at").orderBy(seq)
     s = F.col(speed)
     last10 = w.rowsBetween(-(SPEED_WINDOW - 1), 0)
     recent = F.avg(s).over(w.rowsBetween(-(RECENT_WINDOW - 1), 0))
     earlier = F.avg(s).over(w.rowsBetween(-(SPEED_WINDOW - 1), -RECENT_WINDOW))
     n = F.count(s).over(last10)
-    return (progress
+    return (cut.withColumn("_carried", F.lit(False)).unionByName(carried, allowMissingColumns=True)
             .withColumn("avg_speed_10", F.round(F.avg(s).over(last10), 4))
             .withColumn("recent_avg", F.round(recent, 4))
             .withColumn("earlier_avg", F.round(F.when(n > SLOWDOWN_MIN_HISTORY, earlier)
                                                .otherwise(recent), 4))
-            .withColumn("slowdown", (n > SLOWDOWN_MIN_HISTORY) & (recent < earlier * SLOWDOWN_RATIO)))
+            .withColumn("slowdown", (n > SLOWDOWN_MIN_HISTORY) & (recent < earlier * SLOWDOWN_RATIO))
+            .where(~F.col("_carried")).drop("_carried", "_at"))
 
 
 def progress_running(batches: DataFrame, key: str, seq: str, rows: str, ok: str,
-                     seconds: str, total: str) -> DataFrame:
+                     seconds: str, total: str, stretch: int = STRETCH) -> DataFrame:
     """Running processed / inserted / failed rows, success %, rows per second and
-    the ETA in seconds, from per-batch records."""
-    w = Window.partitionBy(key).orderBy(seq).rowsBetween(Window.unboundedPreceding, 0)
-    processed = F.sum(rows).over(w)
-    inserted = F.sum(ok).over(w)
-    elapsed = F.sum(seconds).over(w)
-    speed = F.try_divide(processed.cast("double"), elapsed)
-    return (batches
+    the ETA in seconds, from per-batch records.
+
+    A run is cut into stretches that are scanned in parallel, each from the sums of those before it (a table
+    of one row a stretch)."""
+    cut = _stretched(batches, key, seq, stretch)
+    sums = cut.groupBy(key, "_at").agg(F.sum(rows).alias("_r"), F.sum(ok).alias("_o"), F.sum(seconds).alias("_s"))
+    before = Window.partitionBy(key).orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select(key, "_at", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}0") for c in ("_r", "_o", "_s")])
+    w = Window.partitionBy(key, "_at").orderBy(seq).rowsBetween(Window.unboundedPreceding, 0)
+    processed = F.col("_r0") + F.sum(rows).over(w)
+    inserted = F.col("_o0") + F.sum(ok).over(w)
+    return (cut.join(offsets, [key, "_at"])
             .withColumn("processed", processed.cast("bigint"))
             .withColumn("inserted", inserted.cast("bigint"))
-            .withColumn("failed", (processed - inserted).cast("bigint"))
+            .withColumn("_el", F.col("_s0") + F.sum(seconds).over(w))
+            .withColumn("failed", (F.col("processed") - F.col("inserted")).cast("bigint"))
             .withColumn("success_pct", F.round(F.coalesce(
-                F.try_divide(inserted * 100.0, processed), F.lit(0.0)), 1))
-            .withColumn("elapsed", F.round(elapsed, 3))
-            .withColumn("rows_per_sec", F.round(F.coalesce(speed, F.lit(0.0)), 1))
+                F.try_divide(F.col("inserted") * 100.0, F.col("processed")), F.lit(0.0)), 1))
+            .withColumn("elapsed", F.round("_el", 3))
+            .withColumn("_v", F.try_divide(F.col("processed").cast("double"), F.col("_el")))
+            .withColumn("rows_per_sec", F.round(F.coalesce("_v", F.lit(0.0)), 1))
             .withColumn("eta_seconds", F.round(F.coalesce(
-                F.try_divide((F.col(total) - processed).cast("double"), speed), F.lit(0.0)), 0)))
+                F.try_divide((F.col(total) - F.col("processed")).cast("double"), F.col("_v")), F.lit(0.0)), 0))
+            .drop("_at", "_r0", "_o0", "_s0", "_el", "_v"))
 
 
 def progress_line(done: Column, total: Column, ok: Column, bad: Column, batch: Column,

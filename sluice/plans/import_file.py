@@ -1,17 +1,19 @@
 """E1, the import path as one Spark plan:
 scan -> names (P1/P2) -> clean, profile and infer types -> user overrides (P6) -> fit check (Q1),
-evaluated once and landed -> error gate (F6) -> write accepted + rejects -> report (A10).
+evaluated once, landed and counted by the landing write -> error gate (F6) -> write accepted + rejects ->
+report (A10, A11) -> run record (K9).
 
 Rows with too many fields join the rejects and the report. Only the profile rows (one per
-column) and the gate row reach the driver.
+column) and the measured counts reach the driver.
 """
 
 from __future__ import annotations
 
 import re
+import time
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -19,7 +21,7 @@ from sluice.functions.clean import clean_columns
 from sluice.operators import columns as C
 from sluice.operators import profile as P
 from sluice.operators import quality as QL
-from sluice.sinks.tables import create_table_sql, write_table
+from sluice.sinks.tables import append_run_record, create_table_sql, run_record, write_table
 from sluice.sources.csv import read_csv, read_csv_set
 
 
@@ -31,6 +33,7 @@ class ImportResult:
     report: DataFrame
     accepted_path: str
     rejected_path: str
+    runs_path: str
 
 
 def _as_cleaned(df: DataFrame) -> DataFrame:
@@ -77,9 +80,13 @@ def import_csv(spark: SparkSession, path: str, out_dir: str, epoch_seconds: int,
     longs = r.rejects.select(F.struct(*[v.alias(k) for k, v in empty.items()]).alias("_raw"),
                              F.lit(None).cast(checked.schema["_val"].dataType).alias("_val"),
                              long_error.alias("errors"), F.lit(0).alias("_part"))
-    checked.unionByName(longs).write.mode("overwrite").parquet(landed)
+    # counted while it is written: gate, report and run record read nothing again
+    measured = Observation("import")
+    began = time.monotonic()
+    QL.observe_checked(checked.unionByName(longs), measured).write.mode("overwrite").parquet(landed)
+    elapsed = time.monotonic() - began
     done = QL.split_checked(spark.read.parquet(landed))
-    gate = QL.error_gate(done.checked).first()
+    gate = QL.gate_of(measured.get)
     if enforce_gate:
         QL.enforce_gate(gate)
     stem = r"[^/]*[*?\[{][^/]*$"  # a pattern names its folder
@@ -89,5 +96,8 @@ def import_csv(spark: SparkSession, path: str, out_dir: str, epoch_seconds: int,
     acc, rej = f"{out_dir}/accepted", f"{out_dir}/rejected"
     write_table(done.accepted, acc, mode="overwrite")
     write_table(done.rejected, rej, mode="overwrite")
-    report = QL.import_report(done.checked, ddl_row["table_name"])
-    return ImportResult(ddl_row["table_name"], mapping, ddl_row["ddl"], report, acc, rej)
+    report = QL.report_of(spark, measured.get, ddl_row["table_name"], elapsed)
+    runs = f"{out_dir}/runs"
+    append_run_record(run_record(spark, path, ddl_row["table_name"], report, len(types), types,
+                                 f"{gate['n_rejected']} of {gate['n_rows']} rows rejected"), runs)
+    return ImportResult(ddl_row["table_name"], mapping, ddl_row["ddl"], report, acc, rej, runs)

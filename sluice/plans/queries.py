@@ -591,12 +591,12 @@ def file_info(spark, sf_dir):
 
 @register
 def log_files(spark, sf_dir):
-    """Run logs written as files, scanned back and listed newest first."""
+    """Run logs written as files and listed newest first, their last 50 lines read by seeking."""
     from sluice.sinks.chunked import write_text_files
-    from sluice.sources.logs import read_logs
+    from sluice.sources.logs import read_log_tails
     out = _scratch(spark, "logs")
     write_text_files(_log_lines(spark, sf_dir), out).collect()
-    logs = read_logs(spark, out)
+    logs = read_log_tails(spark, out, L.TAIL_LINES)
     lst = L.log_list(logs.files, logs.lines)
     return lst.select("file_name", "table_name", "status", "total_rows", "inserted_rows", "error_rows",
                       "success_rate", "time_taken", "size_kb")

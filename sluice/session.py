@@ -63,6 +63,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/sluice-{name}-{uuid.uuid4().hex[:12]}"
 
 
+def staged(df, name: str):
+    """Write to the shared scratch folder and read back: later passes read rows, not the work that made them."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def qualified(spark: SparkSession, path: str) -> str:
     """``path`` with the scheme of the cluster's default file system, if it names none: executors that open
     it themselves must not take it for a folder of their own."""

@@ -21,7 +21,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluice.sources.encoding import DEFAULT_CANDIDATES
-from sluice.sources.records import _runs, staged, source_lines
+from sluice.session import staged
+from sluice.sources.records import _runs, source_lines
 
 # Below this confidence a guess is not followed; the orders in which encodings are tried,
 # after the detected one (automatic, splitter) or the one the user chose.

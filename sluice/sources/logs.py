@@ -11,9 +11,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from sluice.functions.humanize import base_name
+
 
 @dataclass
 class Logs:
@@ -46,6 +49,50 @@ def read_logs(spark: SparkSession, root: str, glob: str = "*.log", encoding: str
     return Logs(files, lines)
 
 
+TAIL_BLOCK = 1 << 16
+
+
+def _last_lines(fh, size: int, n: int, block: int) -> bytes:
+    """The end of a file from before its ``n``-th last line on, read backwards in byte ranges."""
+    parts, at, newlines = [], size, 0
+    while at > 0 and newlines <= n:
+        begin = max(0, at - block)
+        fh.seek(begin)
+        parts.append(fh.read(at - begin))
+        newlines += parts[-1].count(b"\n")
+        at = begin
+    return b"".join(reversed(parts))
+
+
+def _tail_batches(n: int, encoding: str, block: int):
+    def run(frames):
+        from sluice.sinks.chunked import _fs_for
+        for pdf in frames:
+            rows = []
+            for path, name, size in zip(pdf["file_path"], pdf["file_name"], pdf["size_bytes"]):
+                fs, local = _fs_for(path)
+                with fs.open_input_file(local) as fh:
+                    data = _last_lines(fh, size, n, block)
+                lines = data.removesuffix(b"\n").split(b"\n")[-n:] if data else []
+                rows += [(name, path, i - len(lines), line.removesuffix(b"\r").decode(encoding, "replace"))
+                         for i, line in enumerate(lines)]
+            yield pd.DataFrame(rows, columns=["file_name", "file_path", "line_no", "line"])
+    return run
+
+
+def read_log_tails(spark: SparkSession, root: str, n: int, glob: str = "*.log", encoding: str = "utf-8",
+                   block: int = TAIL_BLOCK) -> Logs:
+    """The last ``n`` lines of every log and nothing before them: files are listed without their content, and
+    tasks seek back from each file's end in byte ranges until the lines are there. ``line_no`` counts from the
+    end (-1 is the last line). The encoding must not hold the newline byte within a character."""
+    files = (spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", True).load(root)
+             .select(base_name(F.col("path")).alias("file_name"), F.col("path").alias("file_path"), F.col("length").alias("size_bytes"),
+                     F.col("modificationTime").cast("timestamp_ntz").alias("mtime")))
+    lines = files.select("file_path", "file_name", "size_bytes").mapInPandas(
+        _tail_batches(n, encoding, block), "file_name string, file_path string, line_no long, line string")
+    return Logs(files, lines)
+
+
 def read_log_content(logs: Logs, file_name: str) -> DataFrame:
     """One log's lines in order."""
     return logs.lines.where(F.col("file_name") == file_name).orderBy("line_no")

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sluice.operators.columns import make_unique, normalize_names
-from sluice.session import scratch_path
+from sluice.session import staged
 from sluice.sources.csv import (DELIMITER_SAMPLE_LINES, HEADERLESS_PREFIX, PANDAS_NA_TOKENS, CsvRead,
                                 delimiter_from_counts, DELIMITERS, na_to_null)
 
@@ -120,13 +120,6 @@ def decode_lines(raw: pa.Array, encoding: str, errors: str) -> pa.Array:
     return pa.array([b.decode(encoding, errors) for b in raw.to_pylist()], pa.large_string())
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write to the shared scratch folder and read back."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def small(written: DataFrame) -> DataFrame:
     """A broadcast hint for a written table, once its rows are counted."""
     return F.broadcast(written) if written.count() <= SMALL_ROWS else written

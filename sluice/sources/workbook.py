@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sluice.operators.columns import make_unique, normalize_names
+from sluice.session import staged
 
 CELLS_SCHEMA = "file_path string, row_no long, nth long, cells array<string>"
 _NS = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
@@ -157,7 +158,7 @@ def read_workbooks(spark: SparkSession, path: str, glob: str = "*.xlsx", with_so
     """All workbooks under ``path``. ``with_source`` adds ``file_path, row_no, ordinal`` to the table's rows:
     ``ordinal`` counts the data rows of all workbooks by path, each in its sheet's order, from the places that
     the parser met them at (no sort of the rows)."""
-    from sluice.sources.records import small, staged
+    from sluice.sources.records import small
     files = (spark.read.format("binaryFile").option("pathGlobFilter", glob)
              .option("recursiveFileLookup", True).load(path))
     cells = staged(files.select("path", "content").mapInPandas(_parse, CELLS_SCHEMA), "cells")
