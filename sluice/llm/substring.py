@@ -342,7 +342,25 @@ def repeated_spans(documents: DataFrame, window: int = WINDOW, gram: int = GRAM,
                                                                (F.col("start") + F.col("b")).alias("b"))).alias("spans")))
     copied = (base.select("tk1", "tk2", "s1", "s2", "n").join(sized(stage(many, "copied")), ["s1", "s2", "n"])
               .select("tk1", "tk2", F.array(F.struct(F.lit(0).alias("a"), F.col("n").cast("int").alias("b"))).alias("all")).distinct())
-    return (spans.join(copied, ["tk1", "tk2"], "full").select("tk1", "tk2", F.coalesce("all", "spans").alias("spans")))
+    return (spans.join(copied, ["tk1", "tk2"], "full").select("tk1", "tk2", F.coalesce("all", "spans").alias("spans"))
+            .mapInArrow(_merge_batches, "tk1 long, tk2 int, spans array<struct<a: int, b: int>>"))
+
+
+def _merge_batches(batches):
+    """Overlapping and touching spans of a text as one: the segments of neighbouring minimizers overlap."""
+    for batch in batches:
+        out = []
+        for spans in batch.column("spans").to_pylist():
+            merged: list[dict] = []
+            for s in sorted(spans, key=lambda s: s["a"]):
+                if merged and s["a"] <= merged[-1]["b"]:
+                    merged[-1]["b"] = max(merged[-1]["b"], s["b"])
+                else:
+                    merged.append(dict(s))
+            out.append(merged)
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("tk1"), batch.column("tk2"), pa.array(out, pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])))],
+            names=["tk1", "tk2", "spans"])
 
 
 def _kept(text: str | None, spans) -> tuple[int, int, bytes]:
