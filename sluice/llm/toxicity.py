@@ -11,7 +11,8 @@ is kept out of all this to calibrate the votes. Vectors have unit length over th
 (terms of no example would scale all cosines of a document alike). The examples' vectors form an
 inverted index: frequent terms as a dense matrix, the others as postings cut into blocks of
 ``LANES`` examples with the largest weight of each term per block. The number of examples is a
-parameter; the index that is shipped to the tasks holds their postings and nothing of the corpus.
+parameter; the index holds their postings and nothing of the corpus. One task builds it from the staged
+sample and writes it to the shared folder, where each worker loads it once.
 
 Search. Per batch of documents the frequent terms' exact part and the block maxima of the others
 give an upper bound for every block; a block is scored (exactly, in double precision) only for
@@ -23,11 +24,16 @@ Defined cases: null text counts as empty. A text with none of the terms has no n
 score is the weighted share of toxic examples among those without terms (0 if there are none).
 Equal cosines (to 12 digits) prefer the example with the smaller doc_id. Null labels and ids do
 not train; without examples of both classes, or without a term in them, the score
-is the labels' toxic share (0 without labels). Repeated rows are scored alike. Only ``doc_id`` and ``text`` are read.
+is the labels' toxic share (0 without labels). Repeated rows are scored alike; of several texts of one labelled
+id the smallest trains. Texts of any length are whole. Only ``doc_id`` and ``text`` are read, so other columns may
+have any name. ``evidence.cosine`` is the cosine over the examples' terms: words of no example are not part of its
+norms, which lifts all cosines of a document by one factor and leaves their order and the votes as they are.
 """
 
 from __future__ import annotations
 
+import pickle
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -36,6 +42,7 @@ from pyspark.sql import functions as F
 from sluice.llm import words as W
 from sluice.llm.base import stage
 from sluice.llm.quality import in_fold
+from sluice.session import scratch_path
 
 EXAMPLES = 1500
 LANES = 64
@@ -132,9 +139,10 @@ class Vocabulary:
             yield self.entries(keys // len(self.known), keys % len(self.known), often, docs)
 
 
-def _df_batches(vocabulary: Vocabulary):
+def _df_batches(vocabulary_at: str):
     """One row a task: documents of its rows, and document frequencies of the entries met."""
     def run(batches):
+        vocabulary = _load(vocabulary_at)
         df, docs = np.zeros(vocabulary.size, np.int64), 0
         for batch in batches:
             docs += batch.num_rows
@@ -300,10 +308,87 @@ class BlockMaxIndex:
         return np.clip(np.where(np.isnan(votes), self.blank, curve), 0.0, 1.0)
 
 
-def fit(documents: DataFrame, labels: DataFrame, examples: int = EXAMPLES):
-    """``(vocabulary, rows, share)``: entries of the examples, the sample's rows by doc_id as ``(doc_id, toxic,
-    aside, (first, entries, tf))`` arrays, rows that one of a class stands for; without two classes or a term
-    ``(None, None, toxic share)``."""
+def _in_one_task(spark, work, name: str) -> str:
+    """Path of a one-row table ``(blob, words, toxic, clean)`` that ``work()`` makes in one task: the sample is
+    bounded, and neither it nor the index passes through the driver."""
+    path = scratch_path(spark, f"llm-{name}")
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                blob, words, toxic, clean = work()
+                yield pa.RecordBatch.from_arrays([pa.array([blob], pa.binary()), pa.array([words], pa.int64()), pa.array([toxic], pa.int64()),
+                                                  pa.array([clean], pa.int64())], names=["blob", "words", "toxic", "clean"])
+    spark.range(0, 1, 1, 1).mapInArrow(run, "blob binary, words long, toxic long, clean long").write.parquet(path)
+    return path
+
+
+def _table(path: str, columns: list[str] | None = None) -> pa.Table:
+    import pyarrow.parquet as pq
+    from sluice.sinks.chunked import _fs_for
+    fs, root = _fs_for(path)
+    return pq.read_table(root, columns=columns, filesystem=fs)
+
+
+_kept: dict[str, object] = {}
+
+
+def _load(path: str):
+    """What a task made at ``path``, unpickled once a worker."""
+    if path not in _kept:
+        _kept.clear()
+        _kept[path] = pickle.loads(_table(path, ["blob"]).column("blob")[0].as_py())
+    return _kept[path]
+
+
+def _sample(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The staged sample by doc_id and class: ids, classes, kept aside; and document, term, count of its terms."""
+    rows = _table(path).sort_by([("doc_id", "ascending"), ("toxic", "ascending")]).combine_chunks()
+    doc_id, toxic, aside = (rows.column(c).to_numpy() for c in ("doc_id", "toxic", "aside"))
+    lists = rows.column("terms").combine_chunks()
+    term = lists.flatten().to_numpy().view(np.uint64)
+    often = rows.column("often").combine_chunks().flatten().to_numpy()
+    doc = np.repeat(np.arange(len(doc_id)), lists.value_lengths().to_numpy().astype(np.int64))
+    return doc_id, toxic, aside.astype(bool), doc, term, often
+
+
+def _make_vocabulary(sample: str):
+    def work():
+        _, toxic, aside, doc, term, often = _sample(sample)
+        inside = ~aside[doc]
+        vocabulary = Vocabulary(term[inside], often[inside])
+        return pickle.dumps(vocabulary), vocabulary.size, int(((toxic == 1) & ~aside).sum()), int(((toxic == 0) & ~aside).sum())
+    return work
+
+
+def _make_index(sample: str, vocabulary_at: str, frequencies: str, total: int, share: dict[int, float], neighbours: int):
+    def work():
+        vocabulary = _load(vocabulary_at)
+        doc_id, toxic, aside, doc, term, often = _sample(sample)
+        hit, pos = vocabulary.find(term)
+        first, entry, tf = vocabulary.entries(doc[hit], pos, often[hit], len(doc_id))
+        found = _table(frequencies)
+        df = np.zeros(vocabulary.size)
+        df[found.column("term").to_numpy()] = found.column("df").to_numpy()
+        every = Vectors(first, entry, tf, vocabulary.size)
+        inside, kept = (every.take(np.flatnonzero(x)) for x in (~aside, aside))
+        worth = (np.log((1 + total) / (1 + df)) + 1) * (FLOOR + class_marks(inside, toxic[~aside]))
+        weigh = lambda t: np.where(t == 1, share[1], share[0])
+        lists = lambda v, x: np.split(x, v.first[1:-1])
+        index = BlockMaxIndex(worth, doc_id[~aside].tolist(), toxic[~aside], lists(inside, inside.term),
+                              lists(inside, inside.value), weigh(toxic[~aside]), neighbours)
+        if len(kept):
+            index.calibrate(index.unit(kept.first, kept.term, kept.value), toxic[aside], weigh(toxic[aside]))
+        return pickle.dumps((vocabulary, index)), vocabulary.size, 0, 0
+    return work
+
+
+def fit(documents: DataFrame, labels: DataFrame, examples: int = EXAMPLES, neighbours: int = NEIGHBOURS):
+    """``(path, toxic share)``: where the fitted ``(vocabulary, index)`` lies in the shared folder, None without
+    examples of both classes or without a term in them.
+
+    Of several texts of a labelled id the smallest (by code points) is its example, null only if all are."""
+    spark = documents.sparkSession
     known = (labels.select("doc_id", F.col("toxic").cast("int").alias("toxic"))
              .where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()
                     & ~in_fold(F.col("doc_id"), FOLDS, HELD_OUT)).distinct())
@@ -312,28 +397,24 @@ def fit(documents: DataFrame, labels: DataFrame, examples: int = EXAMPLES):
     known = known.withColumn("aside", F.pmod(F.xxhash64("doc_id", F.lit(8)), F.lit(3)) == 0)
     picks = [known.where(F.col("toxic") == c).orderBy(mark, "doc_id").limit(examples) for c in (0, 1)]
     picked = stage(picks[0].unionByName(picks[1]), "examples")
-    sample = documents.select("doc_id", "text").join(F.broadcast(picked), "doc_id").dropDuplicates(["doc_id", "toxic"])
-    rows = sample.select("doc_id", "toxic", "aside", "text").mapInArrow(
-        _term_batches, f"doc_id {_kind(documents)}, toxic int, aside boolean, terms array<long>, often array<long>")
-    rows = rows.toArrow().sort_by([("doc_id", "ascending"), ("toxic", "ascending")]).combine_chunks()
-    doc_id, toxic, aside = (rows.column(c).to_numpy() for c in ("doc_id", "toxic", "aside"))
-    aside = aside.astype(bool)
+    sample = (documents.select("doc_id", "text").join(F.broadcast(picked), "doc_id").groupBy("doc_id", "toxic", "aside")
+              .agg(F.min("text").alias("text")))
+    sample_at = scratch_path(spark, "llm-example-terms")
+    sample.mapInArrow(_term_batches, f"doc_id {_kind(documents)}, toxic int, aside boolean, terms array<long>, often array<long>").write.parquet(sample_at)
+    vocabulary_at = _in_one_task(spark, _make_vocabulary(sample_at), "vocabulary")
+    size = spark.read.parquet(vocabulary_at).select("words", "toxic", "clean").first()
     total = sum(counts.values())
     share = counts.get(1, 0) / total if total else 0.0
-    n = {c: int(((toxic == c) & ~aside).sum()) for c in (0, 1)}
-    if not (n[0] and n[1]):
-        return None, None, share
-    lists = rows.column("terms").combine_chunks()
-    term = lists.flatten().to_numpy().view(np.uint64)
-    often = rows.column("often").combine_chunks().flatten().to_numpy()
-    doc = np.repeat(np.arange(len(doc_id)), lists.value_lengths().to_numpy())
-    inside = ~aside[doc]
-    vocabulary = Vocabulary(term[inside], often[inside])
-    if not vocabulary.size:
-        return None, None, share
-    hit, pos = vocabulary.find(term)
-    return (vocabulary, (doc_id, toxic, aside, vocabulary.entries(doc[hit], pos, often[hit], len(doc_id))),
-            {c: counts[c] / n[c] for c in (0, 1)})
+    if not (size["words"] and size["toxic"] and size["clean"]):
+        return None, share
+    counted = stage(documents.select("text").mapInArrow(_df_batches(vocabulary_at), "docs long, terms array<long>, df array<long>"),
+                    "frequencies")
+    rows = counted.agg(F.sum("docs")).first()[0] or 0
+    found = scratch_path(spark, "llm-entry-frequencies")
+    (counted.select(F.explode(F.arrays_zip("terms", "df")).alias("z")).groupBy(F.col("z.terms").alias("term"))
+     .agg(F.sum("z.df").alias("df")).write.parquet(found))
+    stands_for = {0: counts[0] / size["clean"], 1: counts[1] / size["toxic"]}
+    return _in_one_task(spark, _make_index(sample_at, vocabulary_at, found, rows, stands_for, neighbours), "index"), share
 
 
 def class_marks(rows: Vectors, toxic: np.ndarray) -> np.ndarray:
@@ -352,30 +433,14 @@ def score_toxicity(documents: DataFrame, labels: DataFrame, examples: int = EXAM
     kind = _kind(documents)
     held = in_fold(F.col("doc_id"), FOLDS, HELD_OUT).alias("held_out")
     evidence = f"array<struct<doc_id: {kind}, toxic: int, cosine: double>>"
-    vocabulary, sample, share = fit(documents, labels, examples)
-    if vocabulary is None:
+    path, share = fit(documents, labels, examples, neighbours)
+    if path is None:
         return documents.select("doc_id", held, F.lit(float(share)).alias("score"),
                                 F.lit(int(share >= THRESHOLD)).alias("predicted"),
                                 F.array().cast(evidence).alias("evidence"))
-    counted = stage(documents.select("text").mapInArrow(_df_batches(vocabulary), "docs long, terms array<long>, df array<long>"),
-                    "frequencies")
-    total = counted.agg(F.sum("docs")).first()[0] or 0
-    found = (counted.select(F.explode(F.arrays_zip("terms", "df")).alias("z")).groupBy(F.col("z.terms").alias("term"))
-             .agg(F.sum("z.df").alias("df")).toArrow())
-    df = np.zeros(vocabulary.size)
-    df[found.column("term").to_numpy()] = found.column("df").to_numpy()
-    doc_id, toxic, aside, (first, entry, tf) = sample
-    every = Vectors(first, entry, tf, vocabulary.size)
-    inside, kept = (every.take(np.flatnonzero(x)) for x in (~aside, aside))
-    worth = (np.log((1 + total) / (1 + df)) + 1) * (FLOOR + class_marks(inside, toxic[~aside]))
-    weigh = lambda t: np.where(t == 1, share[1], share[0])
-    lists = lambda v, x: np.split(x, v.first[1:-1])
-    index = BlockMaxIndex(worth, doc_id[~aside].tolist(), toxic[~aside], lists(inside, inside.term),
-                          lists(inside, inside.value), weigh(toxic[~aside]), neighbours)
-    if len(kept):
-        index.calibrate(index.unit(kept.first, kept.term, kept.value), toxic[aside], weigh(toxic[aside]))
 
     def run(batches):
+        vocabulary, index = _load(path)
         for batch in batches:
             at = 0
             for first, entry, tf in vocabulary.texts(batch.column("text")):
