@@ -16,7 +16,8 @@ Its last documents are landed together, on the choice nearest to the source's to
 
 Every choice comes from hashes of (doc_id, text) and the data, so reruns agree. Defined cases: null
 and empty texts have size 0 and take no words (they join the count constraint only); a source
-without words has target 0. Rows that repeat a doc_id are separate units. Only ``doc_id``,
+without words has target 0. Rows that repeat a doc_id are separate units, each with its own text's copies; equal
+sizes and hashes tie to the earlier repeat. Texts of any length count whole, and extra columns may have any name. Only ``doc_id``,
 ``text`` and ``source`` are read by :func:`mix_plan`. An empty table gives no rows.
 """
 
@@ -66,10 +67,12 @@ def source_targets(sizes: DataFrame) -> DataFrame:
     return s.withColumn("target", F.least(F.col("weight") * F.lit(level), (MOST * F.col("source_size")).cast("double")))
 
 
-def fly(prob: np.ndarray, size: np.ndarray, eps: float = 1e-9) -> np.ndarray:
-    """Flight phase over one block: probabilities after it, all but two or so at 0 or 1."""
+def fly(prob: np.ndarray, size: np.ndarray, mark: np.ndarray | None = None, eps: float = 1e-9) -> np.ndarray:
+    """Flight phase over one block: probabilities after it, all but two or so at 0 or 1. ``mark`` are the
+    documents' hashes, from which moves are drawn (their places if none are given)."""
     p = prob.tolist()
     s = size.tolist()
+    h = list(range(len(p))) if mark is None else mark.tolist()
     held: list[int] = []
     for i in range(len(p)):
         if not eps < p[i] < 1 - eps:
@@ -90,7 +93,7 @@ def fly(prob: np.ndarray, size: np.ndarray, eps: float = 1e-9) -> np.ndarray:
             elif v < 0:
                 up, down = min(up, p[k] / -v), min(down, (1 - p[k]) / -v)
         # the end that keeps expectations is drawn with odds down : up, by a hash of the three
-        draw = ((a * 2654435761 ^ b * 40503 ^ c * 97) * 0x9E3779B97F4A7C15 >> 11 & (1 << 53) - 1) / (1 << 53)
+        draw = ((h[a] ^ h[b] * 40503 ^ h[c] * 97) * 0x9E3779B97F4A7C15 >> 11 & (1 << 53) - 1) / (1 << 53)
         step = up if draw * (up + down) < down else -down
         rest = []
         for k, v in zip(held, u):
@@ -143,14 +146,14 @@ def _settle(pdf: pd.DataFrame) -> pd.DataFrame:
 
 def _flight(pdf: pd.DataFrame) -> pd.DataFrame:
     pdf = pdf.sort_values(["size", "mark", "rep"], ascending=[False, True, True], kind="stable")
-    pdf["prob"] = fly(pdf["prob"].to_numpy(), pdf["size"].to_numpy())
+    pdf["prob"] = fly(pdf["prob"].to_numpy(), pdf["size"].to_numpy(), pdf["mark"].to_numpy())
     return pdf.drop(columns=["block"])
 
 
 def _landing(pdf: pd.DataFrame) -> pd.DataFrame:
     pdf = pdf.sort_values(["size", "mark", "rep"], ascending=[False, True, True], kind="stable")
     prob, size = pdf["prob"].to_numpy(), pdf["size"].to_numpy()
-    after = fly(prob, size)
+    after = fly(prob, size, pdf["mark"].to_numpy())
     owed = float((prob * size).sum()) - float((np.where(after == 1, 1.0, 0.0) * size).sum())
     pdf["prob"] = land(after, size, owed + float(pdf["owed"].iloc[0]))
     return pdf.drop(columns=["block", "owed"])
@@ -158,9 +161,18 @@ def _landing(pdf: pd.DataFrame) -> pd.DataFrame:
 
 def mix_plan(documents: DataFrame, block: int = BLOCK) -> DataFrame:
     """``doc_id, size, source_size, target, taken, source, copies`` for every row."""
+    return _plan(documents, block).drop("mark", "rep")
+
+
+def _mark():
+    """A hash of (doc_id, text): with the source it names a row, up to rows equal in all three."""
+    return F.xxhash64("doc_id", "text", F.lit(20240105))
+
+
+def _plan(documents: DataFrame, block: int = BLOCK) -> DataFrame:
+    """:func:`mix_plan` with each row's ``mark``, and ``rep`` from 1 among rows of equal id, text and source."""
     # identical rows are counted and dealt out again under running numbers: no order, no hot key
-    units = (documents.select("doc_id", "source", word_count().alias("size"),
-                              F.xxhash64("doc_id", "text", F.lit(20240105)).alias("mark"))
+    units = (documents.select("doc_id", "source", word_count().alias("size"), _mark().alias("mark"))
              .groupBy("doc_id", "source", "size", "mark").agg(F.count("*").alias("m")))
     units = stage(units.select("doc_id", "source", "size", "mark",
                                F.explode(F.sequence(F.lit(1), F.col("m"))).alias("rep")), "sizes")
@@ -209,33 +221,30 @@ def mix_plan(documents: DataFrame, block: int = BLOCK) -> DataFrame:
     more = rows.join(done.withColumnRenamed("prob", "x"), "unit", "left")
     copies = F.col("base") + F.when(F.col("x").isNotNull(), F.col("x").cast("int")).otherwise(
         (F.col("prob") >= 1 - 1e-9).cast("int"))
-    names = ["doc_id", "size", "source_size", "target", "source", "copies"]
+    names = ["doc_id", "size", "source_size", "target", "source", "copies", "mark", "rep"]
     out = more.withColumn("copies", F.least(F.lit(MOST), copies).cast("int")).select(*names).unionByName(
         every.where(large).join(settled.select("unit", "copies"), "unit").select(*names))
     return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"),
-                      "source", "copies")
+                      "source", "copies", "mark", "rep")
 
 
 def mix_documents(documents: DataFrame, block: int = BLOCK) -> DataFrame:
     """``documents`` as the mix takes them: each row as often as its copies say, all columns kept.
 
-    Rows that share doc_id, source and size are told apart by a running number, so each of their
-    plans is used once."""
-    plan = stage(mix_plan(documents, block), "plan")
-    names = ["doc_id", "source", "size"]
-    if plan.groupBy(*names).count().where("count > 1").isEmpty():
-        numbered = lambda d: d.withColumn("_n", F.lit(1))
-    else:
-        numbered = lambda d: d.withColumn("_n", F.row_number().over(
-            Window.partitionBy(*names).orderBy("_order")))
-    takes = numbered(plan.withColumn("_order", F.col("copies"))).where("copies > 0").select(
-        F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"),
-        F.col("_n").alias("_m"), F.col("copies").alias("_copies"))
+    A row finds its plan by a hash of id and text, so several texts of one id keep their own. Rows of equal id,
+    text and source are numbered by their other columns: each of their plans is used once, in any layout."""
+    plan = stage(_plan(documents, block), "plan")
+    takes = plan.where("copies > 0").select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("mark").alias("_mark"),
+                                            F.col("rep").alias("_rep"), F.col("copies").alias("_copies"))
     docs = documents.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(documents.columns)],
-                            F.col("doc_id"), F.col("source"), word_count().alias("size"))
-    docs = numbered(docs.withColumn("_order", F.xxhash64(*[c for c in docs.columns if c[0] == "c"][:1])))
+                            F.col("doc_id"), F.col("source"), _mark().alias("mark"))
+    if plan.where("rep > 1").isEmpty():
+        docs = docs.withColumn("_n", F.lit(1))
+    else:
+        order = F.xxhash64(*[f"c{i}" for i in range(len(documents.columns))])
+        docs = docs.withColumn("_n", F.row_number().over(Window.partitionBy("doc_id", "source", "mark").orderBy(order)))
     met = docs.join(sized(stage(takes, "takes")), docs["doc_id"].eqNullSafe(F.col("_id"))
                     & docs["source"].eqNullSafe(F.col("_source"))
-                    & (docs["size"] == F.col("_size")) & (F.col("_n") == F.col("_m")))
+                    & (docs["mark"] == F.col("_mark")) & (F.col("_n") == F.col("_rep")))
     return (met.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
             .select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(documents.columns)]))
