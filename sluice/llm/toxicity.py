@@ -33,6 +33,7 @@ norms, which lifts all cosines of a document by one factor and leaves their orde
 from __future__ import annotations
 
 import pickle
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -42,7 +43,7 @@ from pyspark.sql import functions as F
 from sluice.llm import words as W
 from sluice.llm.base import stage
 from sluice.llm.quality import in_fold
-from sluice.session import scratch_path
+from sluice.session import qualified, scratch_path
 
 EXAMPLES = 1500
 LANES = 64
@@ -210,15 +211,15 @@ class BlockMaxIndex:
         self.dense[rows.row[at >= 0], at[at >= 0]] = rows.value[at >= 0]
         term, row, value = rows.term[at < 0], rows.row[at < 0], rows.value[at < 0]
         order = np.lexsort((row, term))
-        term, self.post_row, self.post = term[order], row[order].astype(np.int32), value[order]
+        term, self.post_row, self.post = term[order], row[order].astype(np.int16 if len(rows) < 1 << 15 else np.int32), value[order]
         block = self.post_row // self.lanes
         new = np.ones(len(term), dtype=bool)
         new[1:] = (term[1:] != term[:-1]) | (block[1:] != block[:-1])
         begin = np.flatnonzero(new)
-        self.cut = np.append(begin, len(term))
-        self.block = block[begin]
+        self.cut = np.append(begin, len(term)).astype(np.int32)
+        self.block = block[begin].astype(np.int32)
         self.top = np.maximum.reduceat(self.post, begin) if len(begin) else np.zeros(0)
-        self.first = np.searchsorted(term[begin], np.arange(width + 1))
+        self.first = np.searchsorted(term[begin], np.arange(width + 1)).astype(np.int32)
 
     def vectors(self, terms: list, tf: list) -> Vectors:
         """Unit vectors of (1 + log tf) * worth; no entries where a text has none of the terms."""
@@ -308,19 +309,25 @@ class BlockMaxIndex:
         return np.clip(np.where(np.isnan(votes), self.blank, curve), 0.0, 1.0)
 
 
-def _in_one_task(spark, work, name: str) -> str:
-    """Path of a one-row table ``(blob, words, toxic, clean)`` that ``work()`` makes in one task: the sample is
-    bounded, and neither it nor the index passes through the driver."""
-    path = scratch_path(spark, f"llm-{name}")
+def _in_one_task(spark, work, name: str) -> tuple[str, int, int, int]:
+    """A file in the shared folder that holds what ``work()`` makes in one task, and three numbers about it: the
+    sample is bounded, and neither it nor the index passes through the driver or the JVM. The file gets its name
+    when it is complete, so a second attempt does no harm."""
+    path = qualified(spark, scratch_path(spark, f"llm-{name}"))
 
     def run(batches):
+        from sluice.sinks.chunked import _fs_for
         for batch in batches:
             if batch.num_rows:
-                blob, words, toxic, clean = work()
-                yield pa.RecordBatch.from_arrays([pa.array([blob], pa.binary()), pa.array([words], pa.int64()), pa.array([toxic], pa.int64()),
-                                                  pa.array([clean], pa.int64())], names=["blob", "words", "toxic", "clean"])
-    spark.range(0, 1, 1, 1).mapInArrow(run, "blob binary, words long, toxic long, clean long").write.parquet(path)
-    return path
+                made, *numbers = work()
+                fs, place = _fs_for(path)
+                fs.create_dir(place.rsplit("/", 1)[0], recursive=True)
+                part = f"{place}.{uuid.uuid4().hex}.tmp"
+                with fs.open_output_stream(part) as out:
+                    pickle.dump(made, out, protocol=5)
+                fs.move(part, place)
+                yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()) for n in numbers], names=["a", "b", "c"])
+    return path, *spark.range(0, 1, 1, 1).mapInArrow(run, "a long, b long, c long").first()
 
 
 def _table(path: str, columns: list[str] | None = None) -> pa.Table:
@@ -337,7 +344,10 @@ def _load(path: str):
     """What a task made at ``path``, unpickled once a worker."""
     if path not in _kept:
         _kept.clear()
-        _kept[path] = pickle.loads(_table(path, ["blob"]).column("blob")[0].as_py())
+        from sluice.sinks.chunked import _fs_for
+        fs, place = _fs_for(path)
+        with fs.open_input_file(place) as fh:
+            _kept[path] = pickle.loads(fh.read_buffer())
     return _kept[path]
 
 
@@ -357,7 +367,7 @@ def _make_vocabulary(sample: str):
         _, toxic, aside, doc, term, often = _sample(sample)
         inside = ~aside[doc]
         vocabulary = Vocabulary(term[inside], often[inside])
-        return pickle.dumps(vocabulary), vocabulary.size, int(((toxic == 1) & ~aside).sum()), int(((toxic == 0) & ~aside).sum())
+        return vocabulary, vocabulary.size, int(((toxic == 1) & ~aside).sum()), int(((toxic == 0) & ~aside).sum())
     return work
 
 
@@ -372,6 +382,7 @@ def _make_index(sample: str, vocabulary_at: str, frequencies: str, total: int, s
         df[found.column("term").to_numpy()] = found.column("df").to_numpy()
         every = Vectors(first, entry, tf, vocabulary.size)
         inside, kept = (every.take(np.flatnonzero(x)) for x in (~aside, aside))
+        del every, first, entry, tf, doc, term, often, hit, pos
         worth = (np.log((1 + total) / (1 + df)) + 1) * (FLOOR + class_marks(inside, toxic[~aside]))
         weigh = lambda t: np.where(t == 1, share[1], share[0])
         lists = lambda v, x: np.split(x, v.first[1:-1])
@@ -379,7 +390,8 @@ def _make_index(sample: str, vocabulary_at: str, frequencies: str, total: int, s
                               lists(inside, inside.value), weigh(toxic[~aside]), neighbours)
         if len(kept):
             index.calibrate(index.unit(kept.first, kept.term, kept.value), toxic[aside], weigh(toxic[aside]))
-        return pickle.dumps((vocabulary, index)), vocabulary.size, 0, 0
+        index.rows = None       # the postings say it all
+        return (vocabulary, index), vocabulary.size, 0, 0
     return work
 
 
@@ -401,11 +413,10 @@ def fit(documents: DataFrame, labels: DataFrame, examples: int = EXAMPLES, neigh
               .agg(F.min("text").alias("text")))
     sample_at = scratch_path(spark, "llm-example-terms")
     sample.mapInArrow(_term_batches, f"doc_id {_kind(documents)}, toxic int, aside boolean, terms array<long>, often array<long>").write.parquet(sample_at)
-    vocabulary_at = _in_one_task(spark, _make_vocabulary(sample_at), "vocabulary")
-    size = spark.read.parquet(vocabulary_at).select("words", "toxic", "clean").first()
+    vocabulary_at, words, toxic, clean = _in_one_task(spark, _make_vocabulary(sample_at), "vocabulary")
     total = sum(counts.values())
     share = counts.get(1, 0) / total if total else 0.0
-    if not (size["words"] and size["toxic"] and size["clean"]):
+    if not (words and toxic and clean):
         return None, share
     counted = stage(documents.select("text").mapInArrow(_df_batches(vocabulary_at), "docs long, terms array<long>, df array<long>"),
                     "frequencies")
@@ -413,8 +424,8 @@ def fit(documents: DataFrame, labels: DataFrame, examples: int = EXAMPLES, neigh
     found = scratch_path(spark, "llm-entry-frequencies")
     (counted.select(F.explode(F.arrays_zip("terms", "df")).alias("z")).groupBy(F.col("z.terms").alias("term"))
      .agg(F.sum("z.df").alias("df")).write.parquet(found))
-    stands_for = {0: counts[0] / size["clean"], 1: counts[1] / size["toxic"]}
-    return _in_one_task(spark, _make_index(sample_at, vocabulary_at, found, rows, stands_for, neighbours), "index"), share
+    stands_for = {0: counts[0] / clean, 1: counts[1] / toxic}
+    return _in_one_task(spark, _make_index(sample_at, vocabulary_at, found, rows, stands_for, neighbours), "index")[0], share
 
 
 def class_marks(rows: Vectors, toxic: np.ndarray) -> np.ndarray:
