@@ -79,6 +79,17 @@ def test_landing_routes_long_rows_and_repeats_nothing(spark, tmp_path):
     assert (count("accepted"), count("rejected"), count("long_rows")) == (1, 1, 1)
 
 
+def test_landing_finds_columns_by_name(spark, tmp_path):
+    from sluice.streaming.landing import start_landing_import
+    land = _write(tmp_path / "in", "a.csv", "id,code\n1,x\n")
+    _write(tmp_path / "in", "b.csv", 'code,id,more\n"y\nz",2,ignored\n')
+    _write(tmp_path / "in", "c.csv", "id\n3\n")
+    out = str(tmp_path / "out")
+    start_landing_import(spark, land, ["id", "code"], {"id": "INT"}, out, str(tmp_path / "ck"), max_files_per_trigger=2).awaitTermination()
+    got = spark.read.parquet(f"{out}/accepted").select("id", "code").collect()
+    assert sorted((r["id"], r["code"]) for r in got) == [(1, "x"), (2, "y\nz"), (3, None)]
+
+
 def test_logs_of_equal_name_in_two_folders(spark, tmp_path):
     from sluice.sources.logs import read_logs
     for d in ("a", "b"):
