@@ -97,22 +97,30 @@ def normalize_names_df(names: DataFrame, group_cols: list[str], ordinal: str = "
             .drop("clean"))
 
 
+#: what the free-suffix search appends; names that differ only in this tail can meet, others cannot
+_SUFFIXES = r"(_[0-9]+)+$"
+
+
 def unique_names_df(names: DataFrame, group_cols: list[str], ordinal: str = "ordinal",
                     name: str = "normalized", case_insensitive: bool = True) -> DataFrame:
     """P2 over a long table of headers: adds ``unique_name``.
 
-    The free-suffix search is sequential within one header, so each header (one file's
-    column list: metadata, bounded by that file's column count) is handled by one
-    ``applyInPandas`` call; headers are spread over tasks by the group key.
+    The search for a free suffix is a fold over names in order with the taken names as state. A name and its
+    suffixed forms share what stands before their suffixes, so each header splits into families that never meet,
+    and each family folds on its own: in native expressions, as many groups as there are distinct stems.
     """
-    schema = T.StructType(names.schema.fields + [T.StructField("unique_name", T.StringType())])
-
-    def per_header(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(ordinal, kind="stable")
-        pdf["unique_name"] = make_unique([str(x) for x in pdf[name]], case_insensitive)
-        return pdf
-
-    return names.groupBy(*group_cols).applyInPandas(per_header, schema)
+    low = (lambda c: f"lower({c})") if case_insensitive else (lambda c: c)
+    families = (names.withColumn("_stem", F.regexp_replace(F.expr(low(f"`{name}`")), _SUFFIXES, ""))
+                .groupBy(*group_cols, "_stem").agg(F.array_sort(F.collect_list(F.struct(
+                    F.col(ordinal).alias("o"), F.struct(*names.columns).alias("row"), F.col(name).alias("n")))).alias("_all")))
+    first_free = (f"element_at(filter(sequence(1, size(acc.taken) + 1), "
+                  f"k -> NOT array_contains(acc.taken, concat({low('x.n')}, '_', cast(k AS string)))), 1)")
+    fold = f"""aggregate(_all, named_struct('taken', cast(array() AS array<string>), 'made', cast(array() AS array<string>)),
+        (acc, x) -> transform(array(if(array_contains(acc.taken, {low('x.n')}), concat(x.n, '_', cast({first_free} AS string)), x.n)),
+                              c -> named_struct('taken', array_append(acc.taken, {low('c')}), 'made', array_append(acc.made, c)))[0],
+        acc -> acc.made)"""
+    return (families.withColumn("_made", F.expr(fold)).select(F.explode(F.arrays_zip("_all", "_made")).alias("_z"))
+            .select("_z._all.row.*", F.col("_z._made").alias("unique_name")))
 
 
 # ---- table-level column operators ------------------------------------------------

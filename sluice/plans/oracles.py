@@ -291,6 +291,20 @@ def normalize_names_sql() -> str:
             f"FROM ({I.doc_headers_sql(D)})))")
 
 
+def unique_names_sql() -> str:
+    return f"""
+WITH RECURSIVE h AS (SELECT doc_id, ordinal, normalized, regexp_replace(lower(normalized), '(_[0-9]+)+$', '') AS stem
+                     FROM ({normalize_names_sql()})),
+r AS (SELECT doc_id, 0 AS i, list(ordinal ORDER BY ordinal) AS os, list(normalized ORDER BY ordinal) AS ns,
+             []::VARCHAR[] AS taken, []::VARCHAR[] AS made FROM h GROUP BY doc_id, stem
+      UNION ALL
+      SELECT doc_id, i + 1, os, ns, list_append(taken, lower(c)), list_append(made, c)
+      FROM (SELECT *, CASE WHEN NOT list_contains(taken, lower(ns[i + 1])) THEN ns[i + 1] ELSE ns[i + 1] || '_' ||
+                CAST(list_filter(range(1, len(taken) + 2), lambda k: NOT list_contains(taken, lower(ns[i + 1]) || '_' || k))[1] AS VARCHAR)
+              END AS c FROM r WHERE i < len(ns)))
+SELECT doc_id, unnest(os) AS ordinal, unnest(ns) AS normalized, unnest(made) AS unique_name FROM r WHERE i = len(ns)"""
+
+
 # Expected P1/P2 names for the dirty orders header (worked out by hand from the rules).
 _ORDERS_DIRTY = [(" Order ID ", "Order_ID", "o_orderkey"), ("customer-id", "customer_id", "o_custkey"),
                  ("status", "status", "o_orderstatus"), ("Total Price ($)", "Total_Price____", "o_totalprice"),
@@ -584,6 +598,7 @@ def oracles() -> dict[str, str]:
         "column_mapping": column_mapping_sql(),
         "create_table_ddl": create_table_ddl_sql(),
         "normalize_names": normalize_names_sql(),
+        "unique_names": unique_names_sql(),
         "drop_null_columns": drop_null_columns_sql(),
         "coerce_numeric": coerce_numeric_sql(),
         "clean_all": clean_all_sql(),

@@ -53,3 +53,19 @@ def test_many_headers_match_single(spark):
 def test_clean_name_rules():
     assert clean_name("  9lives ") == "col_9lives"
     assert clean_name("   ") == "column"
+
+
+def test_unique_names_of_many_headers_equal_the_sequential_rule(spark):
+    """Random headers whose names meet by case, by suffix and by suffixes of suffixes."""
+    import random
+
+    from sluice.operators.columns import make_unique, unique_names_df
+    rng = random.Random(6)
+    stems = ["a", "A", "b", "a_1", "A_1", "a_1_1", "_1", "", "é", "É", "a_01", "x_y", "b_2", "B_2"]
+    rows = [(h if h % 9 else None, o, rng.choice(stems), "x") for h in range(60) for o in range(rng.randrange(1, 25))]
+    df = spark.createDataFrame(rows, "doc_id long, ordinal int, normalized string, unique_stem string").repartition(4)
+    got = {(r["doc_id"], r["ordinal"], r["normalized"]): r["unique_name"] for r in
+           unique_names_df(df.where("doc_id is not null"), ["doc_id"]).collect()}
+    for h in {r[0] for r in rows if r[0] is not None}:
+        mine = sorted((o, n) for d, o, n, _ in rows if d == h)
+        assert [got[h, o, n] for o, n in mine] == make_unique([n for _, n in mine])
