@@ -374,3 +374,48 @@ def repair_conversations(conversations: DataFrame) -> DataFrame:
     return joined.select("conv_id", *[zero(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")],
                          F.coalesce("audit", F.lit("")).alias("audit"),
                          F.coalesce("repaired_sha256", F.lit(nothing)).alias("repaired_sha256"))
+
+
+def oracle() -> str:
+    """The cheapest edits by plain dynamic programming over rows, all ties kept until the end."""
+    space = r"\x20\x09-\x0D"
+    crc = ("xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(k, ''), lambda x: ascii(x)::BIGINT)), "
+           "lambda c, b: list_reduce([xor(c, b), 1, 1, 1, 1, 1, 1, 1, 1], lambda x, i: xor(x >> 1, 3988292384::BIGINT * (x & 1)))), 4294967295::BIGINT)")
+    counts = ", ".join(f"count(*) FILTER (WHERE fault = '{f}') AS {n}" for f, n in (("b", "blank"), ("d", "duplicate"), ("t", "truncated")))
+    zeros = ", ".join(f"coalesce({c}, 0)::BIGINT AS {c}" for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost"))
+    add = "CASE WHEN {out} IS NULL THEN {line} ELSE {out} || chr(10) || {line} END"
+    return rf"""
+        WITH RECURSIVE c AS (SELECT conv_id, turn, coalesce(conv_id::VARCHAR, ' ') AS ck, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+                                    coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k FROM conversations),
+        m AS (SELECT *, {crc} % 20 AS kind FROM c),
+        d AS (SELECT turn, ck, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+                     CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+                     unnest(CASE WHEN kind = 3 THEN [1, 2] ELSE [1] END) AS copy FROM m WHERE kind <> 0),
+        o AS (SELECT *, row_number() OVER (PARTITION BY ck ORDER BY turn NULLS FIRST, role, text, copy) AS i,
+                     row_number() OVER (PARTITION BY ck, role, text ORDER BY turn NULLS FIRST, copy) AS nth FROM d),
+        f AS MATERIALIZED (SELECT ck, i, turn, role, text, left(role, 1) AS ini, CASE WHEN NOT regexp_matches(text, '[^{space}]') THEN 'b' WHEN nth > 1 THEN 'd'
+                     WHEN NOT regexp_matches(text, '[.!?][{space}]*$') THEN 't' ELSE '' END AS fault FROM o),
+        e(s, emit, name, s2) AS (VALUES (0, 'u', 'user', 2), (1, 'u', 'user', 2), (2, 'a', 'assistant', 3), (3, 'u', 'user', 2)),
+        n(s, s3, price, letters, lines) AS (VALUES (0, 0, 0, '', NULL), (1, 1, 0, '', NULL), (2, 2, 0, '', NULL), (3, 3, 0, '', NULL),
+             (0, 2, 5, 'I', 'user:'), (1, 2, 5, 'I', 'user:'), (2, 3, 5, 'I', 'assistant:'), (3, 2, 5, 'I', 'user:'),
+             (0, 3, 10, 'II', 'user:' || chr(10) || 'assistant:'), (1, 3, 10, 'II', 'user:' || chr(10) || 'assistant:')),
+        r AS (SELECT ck, 0::BIGINT AS i, s3 AS s, price AS cost, letters AS audit, lines AS made FROM (SELECT DISTINCT ck FROM f), n WHERE n.s = 0
+              UNION ALL
+              SELECT * FROM (
+                SELECT DISTINCT x.ck, x.i, n.s3 AS s, x.cost + n.price AS cost, x.audit || n.letters AS audit,
+                       CASE WHEN n.lines IS NULL THEN x.made ELSE {add.format(out="x.made", line="n.lines")} END AS made
+                FROM (SELECT r.ck, f.i, CASE op WHEN 'D' THEN r.s WHEN 'S' THEN 1 ELSE e.s2 END AS s,
+                             r.cost + CASE op WHEN 'D' THEN 2 WHEN 'R' THEN 1 ELSE 0 END + CASE WHEN op <> 'D' AND fault = 't' THEN 5 ELSE 0 END AS cost,
+                             r.audit || CASE op WHEN 'S' THEN 'K' ELSE op END AS audit,
+                             CASE WHEN op = 'D' THEN r.made ELSE {add.format(out="r.made", line="(CASE WHEN op = 'R' THEN e.name ELSE f.role END || ':' || f.text)")} END AS made
+                      FROM r JOIN f ON f.ck = r.ck AND f.i = r.i + 1 JOIN e ON e.s = r.s, (VALUES ('D'), ('K'), ('S'), ('R')) t(op)
+                      WHERE op = 'D' OR (fault NOT IN ('b', 'd') AND (op = 'R' OR (op = 'S' AND ini = 's' AND r.s = 0) OR (op = 'K' AND ini = e.emit)))) x
+                JOIN n ON n.s = x.s)
+              QUALIFY rank() OVER (PARTITION BY ck, s ORDER BY cost) = 1),
+        z AS (SELECT r.* FROM r JOIN (SELECT ck, max(i) AS i FROM f GROUP BY ck) USING (ck, i) WHERE s IN (0, 3)
+              QUALIFY row_number() OVER (PARTITION BY ck ORDER BY cost, audit) = 1),
+        p AS (SELECT ck, ini || lead(ini) OVER (PARTITION BY ck ORDER BY i) AS pair FROM f),
+        g AS (SELECT ck, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, {counts} FROM f GROUP BY ck),
+        l AS (SELECT ck, count(*) AS illegal FROM p WHERE pair IS NOT NULL AND pair NOT IN ('su', 'ua', 'au') GROUP BY ck)
+        SELECT a.conv_id, {zeros}, coalesce(audit, '') AS audit, sha256(coalesce(made, '')) AS repaired_sha256
+        FROM (SELECT DISTINCT conv_id, ck FROM c) a LEFT JOIN g USING (ck) LEFT JOIN l USING (ck) LEFT JOIN z USING (ck)"""

@@ -6,9 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sluice.llm import collocations, licenses, token_counts, topk
+from sluice.llm import collocations, conversations, licenses, token_counts, topk
 from sluice.llm.base import load
-from sluice.llm.conversations import repair_conversations
 from sluice.llm.embedding_dedup import near_dedup
 from sluice.llm.hnsw import nearest_embeddings
 from sluice.llm.mixing import mix_plan
@@ -65,7 +64,7 @@ def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repair_conversations(load(spark, sf_dir, "conversations"))
+    return conversations.repair_conversations(load(spark, sf_dir, "conversations"))
 
 
 def op13_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,4 +85,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {"op3_token_counts": token_counts.oracle(), "op7_license_scan": licenses.oracle(),
-            "op9_exact_top_k": topk.oracle(), "op11_phrase_collocations": collocations.oracle()}
+            "op9_exact_top_k": topk.oracle(), "op11_phrase_collocations": collocations.oracle(),
+            "op12_conversation_repair": conversations.oracle()}
