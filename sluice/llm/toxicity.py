@@ -60,7 +60,7 @@ FREQUENT = 0.06
 #: blocks of a document that are scored before its bounds are tested
 AHEAD = 4
 #: block maxima that are looked at together
-ENTRIES = 1 << 17
+ENTRIES = 1 << 19
 
 #: bytes between words: ASCII other than letters and digits
 _BETWEEN = np.zeros(256, dtype=bool)
