@@ -23,18 +23,31 @@ CHUNK_NAME_FORMAT = "%s_%s_%04d.%s"      # stem, yyyymmdd, chunk number, extensi
 _POS_BITS = 33                            # monotonically_increasing_id: partition << 33 | pos
 
 
+#: size of a range by the planner's estimate, and the most ranges that an estimate alone asks for
+PARTITION_BYTES = 256 << 20
+MOST_PARTITIONS = 400_000
+
+
+def estimated_bytes(df: DataFrame) -> int:
+    """The planner's estimate of a frame's size (of its files, for a plain scan)."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+
+
 def with_ordinal(df: DataFrame, order_by: list[str | Column], name: str = "ordinal",
                  partitions: int | None = None) -> DataFrame:
-    """Adds a 1-based global ``ordinal`` following ``order_by`` (ties in any order).
+    """Adds a 1-based global ``ordinal`` following ``order_by`` (ties keep the scan's order).
 
-    ``partitions`` defaults to the shuffle partition setting; every partition is a
-    contiguous key range, so no task ever holds more than its range.
+    ``partitions`` defaults to what the plan's size asks for at ``PARTITION_BYTES`` each, and to the shuffle
+    partition setting at least; every partition is a contiguous key range. The place in the scan is the last
+    key, so rows of one key are split as well.
     """
     spark = df.sparkSession
     checkpoint_root(spark)
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys = [F.col(c) if isinstance(c, str) else c for c in order_by]
-    ranged = (df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
+    n = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")),
+                          min(MOST_PARTITIONS, -(-estimated_bytes(df) // PARTITION_BYTES)))
+    ranged = (df.withColumn("_tie", F.monotonically_increasing_id()).repartitionByRange(n, *keys, F.col("_tie"))
+              .sortWithinPartitions(*keys, "_tie").drop("_tie")
               .withColumn("_mid", F.monotonically_increasing_id())
               .checkpoint(eager=True))
     part = F.shiftright(F.col("_mid"), _POS_BITS)

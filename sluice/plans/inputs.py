@@ -122,6 +122,18 @@ SELECT {k} AS event_id, {s('user_id', d)} AS user_id_txt, {s('value', d)} AS val
 FROM events"""
 
 
+def type_edges_sql(d: str) -> str:
+    """Events with the columns that the last type rules are for: nothing, infinities, booleans, lists, dates."""
+    k = "event_id"
+    inf = "CAST('Infinity' AS DOUBLE)"
+    return f"""
+SELECT CAST(NULL AS DOUBLE) AS nothing, CASE WHEN {k} % 997 = 5 THEN {inf} WHEN {k} % 7 = 0 THEN NULL ELSE value END AS spiky,
+  value > 50 AS high, {'array(value, value)' if d == 'spark' else '[value, value]'} AS pair,
+  CASE WHEN {k} % 5 = 0 THEN NULL ELSE CAST(ts AS DATE) END AS day, ts AS moment,
+  CAST(user_id AS BIGINT) * 4611686018427 AS wide, {k} - 40000 AS signed_no, event_type AS Session_ID
+FROM events"""
+
+
 def mixed_cells_sql(d: str) -> str:
     """Documents and events as cells: columns of one kind, of several kinds with and without text among them,
     with nulls, and of texts far beyond 255 characters."""

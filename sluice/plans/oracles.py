@@ -231,6 +231,28 @@ def profile_mixed_kinds_sql() -> str:
             f"min(value) AS example FROM ({long}) GROUP BY 1, 2")
 
 
+def type_edges_sql() -> str:
+    src = f"({I.type_edges_sql(D)})"
+    kinds = [("nothing", "float"), ("spiky", "float"), ("high", "boolean"), ("pair", "other"), ("day", "datetime"), ("moment", "datetime"),
+             ("wide", "integer"), ("signed_no", "integer"), ("Session_ID", "string")]
+    parts = []
+    for i, (c, k) in enumerate(kinds):
+        whole = [f"CAST({f}({c}) AS DECIMAL(38, 0))" if k == "integer" else "CAST(NULL AS DECIMAL(38, 0))" for f in ("min", "max")]
+        source = f"(SELECT CAST(day AS TIMESTAMP) AS day FROM {src})" if c == "day" else src
+        parts.append(_type_row("events", source, i + 1, c, c, k, f", {_q(k)} AS kind, count(*) - count({c}) AS null_count, "
+                               f"{whole[0]} AS min_whole, {whole[1]} AS max_whole"))
+    return f"SELECT ordinal, column_name, kind, null_count, min_whole, max_whole, sql_type FROM ({_union(parts)})"
+
+
+def fit_typed_sql() -> str:
+    return ("SELECT event_id, ts, user_id, CAST((abs(round(value, 2)) >= 100)::INT + (user_id NOT BETWEEN 0 AND 255)::INT AS INTEGER) "
+            "AS n_errors FROM events")
+
+
+def log_content_sql() -> str:
+    return (f"SELECT file_name, CAST(line_no AS BIGINT) AS line_no, line FROM {_LOGS} WHERE file_name = (SELECT min(file_name) FROM {_LOGS})")
+
+
 def mixed_types_sql() -> str:
     src = f"({I.mixed_cells_sql(D)})"
     parts = []
@@ -588,6 +610,9 @@ def oracles() -> dict[str, str]:
         "profile_special_chars": profile_special_chars_sql(),
         "profile_mixed_kinds": profile_mixed_kinds_sql(),
         "mixed_types": mixed_types_sql(),
+        "type_edges": type_edges_sql(),
+        "fit_typed": fit_typed_sql(),
+        "log_content": log_content_sql(),
         "numeric_share": numeric_share_sql(),
         "duplicate_names": duplicate_names_sql(),
         "table_shape": table_shape_sql(),

@@ -29,10 +29,12 @@ def oracles() -> dict[str, str]:
         "headerless_csv": (
             f"SELECT CAST(c_custkey AS {v}) AS Column_1, c_name AS Column_2, CAST(c_nationkey AS {v}) AS Column_3, "
             f"CAST(c_acctbal AS {v}) AS Column_4, c_mktsegment AS Column_5 FROM customer"),
-        "csv_infer": (
-            "SELECT * FROM (VALUES ('c_custkey', 'int64'), ('c_name', 'object'), ('c_nationkey', 'int64'), "
-            "('c_acctbal', 'float64'), ('c_mktsegment', 'object')) t(column_name, inferred_type) "
-            "WHERE (SELECT count(*) FROM customer) > 0"),
+        "csv_infer": " UNION ALL ".join(
+            f"SELECT '{c}' AS column_name, CASE WHEN count({t}) = 0 THEN 'float64' "
+            f"WHEN count(*) FILTER (WHERE regexp_matches({t}, '^\\s*[+-]?[0-9]+\\s*$')) = count({t}) THEN 'int64' "
+            f"WHEN count(TRY_CAST({t} AS DOUBLE)) = count({t}) THEN 'float64' "
+            f"WHEN count(*) FILTER (WHERE lower({t}) IN ('true', 'false')) = count({t}) THEN 'bool' ELSE 'object' END AS inferred_type FROM customer"
+            for c in ("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment") for t in (f"CAST({c} AS VARCHAR)",)),
         "csv_bad_lines": (
             f"SELECT id, CASE id % 5 WHEN 0 THEN 'short' WHEN 1 THEN 'long' ELSE 'ok' END AS status, "
             f"CASE WHEN id % 5 <> 1 THEN CAST(o_orderkey AS {v}) END AS f1, "

@@ -151,6 +151,27 @@ def date_or_datetime(spark, sf_dir):
             .select("table_name", "column_name", "has_time", "sql_type"))
 
 
+@register
+def type_edges(spark, sf_dir):
+    """Columns of nothing, with infinities, of booleans, lists, dates and wide numbers; kind and type."""
+    df = _sql(spark, sf_dir, I.type_edges_sql, ["events"])
+    typed = P.infer_sql_types(P.profile(df)).select("column_name", "null_count", "min_whole", "max_whole", "sql_type")
+    return P.dtypes_frame(df).select("ordinal", "column_name", "kind").join(typed, "column_name")
+
+
+@register
+def fit_typed(spark, sf_dir):
+    """Events of real types checked against target types: date-times and numbers pass unchanged, values
+    that do not fit are rejects."""
+    e = I.load(spark, sf_dir, "events").select("event_id", "ts", "value", "user_id")
+    out = QL.check_types(e, {"ts": "DATETIME", "value": "DECIMAL(4,2)", "user_id": "TINYINT UNSIGNED"})
+    accepted = out.accepted.select("event_id", F.col("ts").cast("timestamp_ntz").alias("ts"), F.col("user_id").cast("long").alias("user_id"),
+                                   F.lit(0).alias("n_errors"))
+    rejected = out.rejected.select("event_id", F.col("ts").cast("timestamp_ntz").alias("ts"), F.col("user_id").cast("long").alias("user_id"),
+                                   F.size("errors").alias("n_errors"))
+    return accepted.unionByName(rejected)
+
+
 @register
 def mixed_types(spark, sf_dir):
     """Columns of cells, how many values each kind has, and the type that mixed kinds get."""
@@ -602,6 +623,18 @@ def log_files(spark, sf_dir):
                       "success_rate", "time_taken", "size_kb")
 
 
+@register
+def log_content(spark, sf_dir):
+    """Run logs written as files; the lines of the first one by name, in order."""
+    from sluice.sinks.chunked import write_text_files
+    from sluice.sources.logs import read_log_content, read_logs
+    out = _scratch(spark, "logtext")
+    write_text_files(_log_lines(spark, sf_dir), out).write.parquet(_scratch(spark, "logtext-manifest"))
+    logs = read_logs(spark, out)
+    first = logs.files.agg(F.min("file_name")).first()[0]
+    return read_log_content(logs, first).select("file_name", "line_no", "line")
+
+
 # ---- step 9: workbooks, encodings, streaming ------------------------------------------------
 
 @register
