@@ -9,8 +9,8 @@ that all rare words agree on is verified against the template's whole key phrase
 
 Words are maximal runs of characters other than ASCII non-alphanumerics, with A-Z lower-cased.
 Defined cases: null and empty texts have no words, no places, empty label lists and score 0.
-Everything is computed within a row, so repeated rows and ties need no rule; only ``doc_id`` and
-``text`` are read. A template whose words occur nowhere keeps the first half of its words as rare
+Everything is computed within a row, so repeated rows and ties need no rule, texts of any length are whole, and
+an empty table gives no rows; only ``doc_id`` and ``text`` are read. A template whose words occur nowhere keeps the first half of its words as rare
 ones. ``score`` is 1 - 0.5 ^ (number of labels).
 """
 

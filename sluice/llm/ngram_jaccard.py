@@ -24,6 +24,7 @@ words is one shingle; no words, no set). Two documents link when
 Defined cases: null or blank text: n_shingles 0, component_id = doc_id. Repeated rows are
 separate rows of one class. A null doc_id is ignored in the minimum. Only ``doc_id`` and
 ``text`` are read, so extra columns of any name do no harm. An empty table gives no rows.
+Texts of any length are whole, ties go to the smallest id.
 Sets are compared by 64-bit shingle hashes.
 """
 

@@ -13,7 +13,8 @@
    recorded alignment turns into original byte spans.
 
 Defined cases: null and empty texts have no pieces, only the end id if asked for; they decode
-to the empty text. Repeated rows give repeated results. Only ``doc_id`` and ``text`` are read.
+to the empty text. Repeated rows give repeated results; an empty table gives no rows; texts of any length are
+encoded whole. Only ``doc_id`` and ``text`` are read, so other columns may have any name.
 The model (a file of fixed size) is read once on the driver and shipped with the task.
 """
 

@@ -10,7 +10,7 @@ a histogram of training scores turns it into a probability.
 
 Defined cases: null text counts as empty; an empty text has the vector of zero lengths and gets
 a score like any other. Rows that repeat a doc_id all train and are all scored. Null labels and
-ids do not train. With no labelled row of some class every score is the share of label 1 (0.5
+ids do not train, and an empty table gives no rows. Texts of any length count whole; equal scores need no rule. With no labelled row of some class every score is the share of label 1 (0.5
 without labels). Only ``doc_id`` and ``text`` are read; labels must have unique ids or agree -
 each label row trains once per document row it matches.
 """

@@ -11,7 +11,8 @@ into it.
 Defined cases: an empty file has no documents; two separators in a row are a document of 0
 tokens; ids after the last separator are a last document with ``ended`` false. A file whose size
 is no multiple of the id width is refused. ``write_token_files`` turns null and empty texts into
-documents of 0 tokens; repeated rows are separate documents.
+documents of 0 tokens; repeated rows are separate documents. An empty table gives no rows; a text of any length is
+counted whole, over as many blocks as it takes; only ``doc_id`` and ``text`` are read, whatever else there is.
 """
 
 from __future__ import annotations

@@ -24,7 +24,7 @@ Defined cases: null text counts as empty. A text with none of the terms has no n
 score is the weighted share of toxic examples among those without terms (0 if there are none).
 Equal cosines (to 12 digits) prefer the example with the smaller doc_id. Null labels and ids do
 not train; without examples of both classes, or without a term in them, the score
-is the labels' toxic share (0 without labels). Repeated rows are scored alike; of several texts of one labelled
+is the labels' toxic share (0 without labels). Repeated rows are scored alike, an empty table gives no rows; of several texts of one labelled
 id the smallest trains. Texts of any length are whole. Only ``doc_id`` and ``text`` are read, so other columns may
 have any name. ``evidence.cosine`` is the cosine over the examples' terms: words of no example are not part of its
 norms, which lifts all cosines of a document by one factor and leaves their order and the votes as they are.
