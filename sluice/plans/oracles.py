@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import pyarrow.parquet as pq
 
-from sluice.functions.clean import CURRENCY_PATTERN, DMY_PATTERN, ISO_PATTERN, YMD_PATTERN
 from sluice.plans import inputs as I
 from sluice.plans.queries import CHUNK_ROWS, CLEAN_RULES, DAY, EPOCH, TYPED_TABLES
 
@@ -368,7 +367,11 @@ def coerce_numeric_sql() -> str:
 # ---- cleaning -----------------------------------------------------------------------------
 
 # DuckDB's RE2 reads the marked patterns as they stand (its \\d and \\s are ASCII)
-_CUR, _YMD, _DMY, _ISO = CURRENCY_PATTERN, YMD_PATTERN, DMY_PATTERN, ISO_PATTERN
+# The cleaning rules' patterns, stated here on their own.
+_CUR = r"^[^\d]*?(-?)[\s]*([0-9,]+(\.\d+)?)[\s]*[^\d]*$"
+_YMD = r"^(\d{4})[/\-.](\d{1,2})[/\-.](\d{1,2})$"
+_DMY = r"^(\d{1,2})[/\-.](\d{1,2})[/\-.](\d{4})$"
+_ISO = r"^(\d{4})-(\d{2})-(\d{2})[T\s](\d{2}):(\d{2}):(\d{2})(?:\.\d+)?(?:Z|[+-]\d{2}:\d{2})?$"
 _PCT = r"^(-?\d+(?:\.\d+)?)\s*%$"
 
 

@@ -447,6 +447,11 @@ def _scratch(spark, name):
     return scratch_path(spark, name)
 
 
+def _run(df):
+    """Run a writer for its files; its manifest stays where it is."""
+    df.write.format("noop").mode("overwrite").save()
+
+
 def _write_chunks(df, out, stem, chunk_rows, key, header=True, fmt="csv"):
     from sluice.sinks.chunked import write_chunks
     ordered = CH.with_ordinal(df, [key])
@@ -459,7 +464,7 @@ def split_csv_roundtrip(spark, sf_dir):
     from sluice.sources.csv import read_csv
     out = _scratch(spark, "split")
     o = I.load(spark, sf_dir, "orders")
-    _write_chunks(o, out, "orders", CHUNK_ROWS, "o_orderkey").collect()
+    _run(_write_chunks(o, out, "orders", CHUNK_ROWS, "o_orderkey"))
     r = read_csv(spark, f"{out}/*.csv", sep=",", escape='"', with_file=True, keep_rejects=False)
     return (r.rows.groupBy(H.base_name(F.col("file_path")).alias("file_name"))
             .agg(F.count(F.lit(1)).cast("bigint").alias("n_rows"),
@@ -473,8 +478,8 @@ def csv_roundtrip(spark, sf_dir):
     from sluice.sources.records import read_records
     out = _scratch(spark, "conv")
     c = I.load(spark, sf_dir, "conversations").withColumn("_k", F.col("conv_id") * 100000 + F.col("turn"))
-    _write_chunks(c.drop("_k").withColumn("_k", F.col("conv_id") * 100000 + F.col("turn")),
-                  out, "conversations", 49998, "_k").collect()
+    _run(_write_chunks(c.drop("_k").withColumn("_k", F.col("conv_id") * 100000 + F.col("turn")),
+                  out, "conversations", 49998, "_k"))
     r = read_records(spark, out, sep=",", escape='"', na_tokens=None)
     return r.rows.select(F.col("conv_id").cast("bigint").alias("conv_id"),
                          F.col("turn").cast("bigint").alias("turn"), "role",
@@ -487,8 +492,8 @@ def csv_row_count(spark, sf_dir):
     from sluice.sources.records import count_rows
     out = _scratch(spark, "rows")
     c = I.load(spark, sf_dir, "conversations")
-    _write_chunks(c.withColumn("_k", F.col("conv_id") * 100000 + F.col("turn")).select(
-        "conv_id", "turn", "role", "text", "_k"), out, "conversations", 10 ** 9, "_k").collect()
+    _run(_write_chunks(c.withColumn("_k", F.col("conv_id") * 100000 + F.col("turn")).select(
+        "conv_id", "turn", "role", "text", "_k"), out, "conversations", 10 ** 9, "_k"))
     return count_rows(spark, out, sep=",", escape='"').select(
         H.base_name(F.col("file_path")).alias("file_name"), "physical_rows", "logical_rows")
 
@@ -500,7 +505,7 @@ def source_order_chunks(spark, sf_dir):
     from sluice.sources.records import read_records
     out = _scratch(spark, "order")
     c = I.load(spark, sf_dir, "conversations")
-    _write_chunks(c.withColumn("_k", F.col("conv_id") * 100000 + F.col("turn")), out, "conversations", 300, "_k").collect()
+    _run(_write_chunks(c.withColumn("_k", F.col("conv_id") * 100000 + F.col("turn")), out, "conversations", 300, "_k"))
     rows = read_records(spark, out, sep=",", escape='"', na_tokens=None, with_source=True).rows
     return rows.select(F.col("conv_id").cast("bigint").alias("conv_id"), F.col("turn").cast("bigint").alias("turn"),
                        H.base_name(F.col("file_path")).alias("file_name"), (F.col("record_no") - 1).alias("record_no"), "ordinal",
@@ -512,8 +517,8 @@ def headerless_csv(spark, sf_dir):
     """A CSV without header read as Column_1..n."""
     from sluice.sources.csv import read_csv
     out = _scratch(spark, "nohdr")
-    _write_chunks(I.load(spark, sf_dir, "customer"), out, "customer", 49998, "c_custkey",
-                  header=False).collect()
+    _run(_write_chunks(I.load(spark, sf_dir, "customer"), out, "customer", 49998, "c_custkey",
+                  header=False))
     return read_csv(spark, f"{out}/*.csv", sep=",", header=False, escape='"', keep_rejects=False).rows
 
 
@@ -522,7 +527,7 @@ def csv_infer(spark, sf_dir):
     """Physical type of every column of a CSV, one aggregate."""
     from sluice.sources.csv import infer_csv_types, read_csv
     out = _scratch(spark, "infer")
-    _write_chunks(I.load(spark, sf_dir, "customer"), out, "customer", 49998, "c_custkey").collect()
+    _run(_write_chunks(I.load(spark, sf_dir, "customer"), out, "customer", 49998, "c_custkey"))
     return infer_csv_types(read_csv(spark, f"{out}/*.csv", sep=",", escape='"', keep_rejects=False).rows)
 
 
@@ -585,10 +590,10 @@ def union_files(spark, sf_dir):
     c = I.load(spark, sf_dir, "customer")
     a_dir, b_dir = _scratch(spark, "ua"), _scratch(spark, "ub")
     grp = F.col("c_mktsegment").isin("AUTOMOBILE", "BUILDING")
-    _write_chunks(c.where(grp).select("c_custkey", "c_name", "c_acctbal"), a_dir, "a", 49998,
-                  "c_custkey").collect()
-    _write_chunks(c.where(~grp).select("c_custkey", "c_name", "c_mktsegment"), b_dir, "b", 49998,
-                  "c_custkey").collect()
+    _run(_write_chunks(c.where(grp).select("c_custkey", "c_name", "c_acctbal"), a_dir, "a", 49998,
+                  "c_custkey"))
+    _run(_write_chunks(c.where(~grp).select("c_custkey", "c_name", "c_mktsegment"), b_dir, "b", 49998,
+                  "c_custkey"))
     ra = read_csv(spark, f"{a_dir}/*.csv", sep=",", escape='"', keep_rejects=False).rows
     rb = read_csv(spark, f"{b_dir}/*.csv", sep=",", escape='"', keep_rejects=False).rows
     return U([ra, rb])
@@ -599,7 +604,7 @@ def file_info(spark, sf_dir):
     """Type, size, rows and chunk count of every chunk file of orders."""
     from sluice.sources.csv import file_type_label, list_files, physical_line_counts
     out = _scratch(spark, "info")
-    _write_chunks(I.load(spark, sf_dir, "orders"), out, "orders", CHUNK_ROWS, "o_orderkey").collect()
+    _run(_write_chunks(I.load(spark, sf_dir, "orders"), out, "orders", CHUNK_ROWS, "o_orderkey"))
     files = list_files(spark, out)
     rows = physical_line_counts(spark, f"{out}/*.csv")
     return (files.join(rows.drop("size_bytes"), files["path"] == rows["file_path"])
@@ -616,7 +621,7 @@ def log_files(spark, sf_dir):
     from sluice.sinks.chunked import write_text_files
     from sluice.sources.logs import read_log_tails
     out = _scratch(spark, "logs")
-    write_text_files(_log_lines(spark, sf_dir), out).collect()
+    _run(write_text_files(_log_lines(spark, sf_dir), out))
     logs = read_log_tails(spark, out, L.TAIL_LINES)
     lst = L.log_list(logs.files, logs.lines)
     return lst.select("file_name", "table_name", "status", "total_rows", "inserted_rows", "error_rows",
@@ -629,7 +634,7 @@ def log_content(spark, sf_dir):
     from sluice.sinks.chunked import write_text_files
     from sluice.sources.logs import read_log_content, read_logs
     out = _scratch(spark, "logtext")
-    write_text_files(_log_lines(spark, sf_dir), out).write.parquet(_scratch(spark, "logtext-manifest"))
+    _run(write_text_files(_log_lines(spark, sf_dir), out))
     logs = read_logs(spark, out)
     first = logs.files.agg(F.min("file_name")).first()[0]
     return read_log_content(logs, first).select("file_name", "line_no", "line")
@@ -643,7 +648,7 @@ def workbook_scan(spark, sf_dir):
     from sluice.sources.workbook import read_workbooks
     out = _scratch(spark, "xlsx")
     o = I.load(spark, sf_dir, "orders")
-    _write_chunks(o, out, "orders", CHUNK_ROWS, "o_orderkey", fmt="xlsx").collect()
+    _run(_write_chunks(o, out, "orders", CHUNK_ROWS, "o_orderkey", fmt="xlsx"))
     return read_workbooks(spark, out).table
 
 
@@ -652,7 +657,7 @@ def workbook_status(spark, sf_dir):
     """Rows and status of every workbook chunk of orders."""
     from sluice.sources.workbook import read_workbooks
     out = _scratch(spark, "xlsxs")
-    _write_chunks(I.load(spark, sf_dir, "orders"), out, "orders", CHUNK_ROWS, "o_orderkey", fmt="xlsx").collect()
+    _run(_write_chunks(I.load(spark, sf_dir, "orders"), out, "orders", CHUNK_ROWS, "o_orderkey", fmt="xlsx"))
     st = read_workbooks(spark, out).status
     return st.select(H.base_name(F.col("file_path")).alias("file_name"), "n_rows", "status")
 
@@ -666,7 +671,7 @@ def workbook_chunks(spark, sf_dir):
     from sluice.sources.records import read_records
     from sluice.sources.workbook import read_workbooks
     books, out, runs = _scratch(spark, "books"), _scratch(spark, "bookchunks"), _scratch(spark, "bookruns")
-    _write_chunks(I.load(spark, sf_dir, "orders"), books, "orders", CHUNK_ROWS, "o_orderkey", fmt="xlsx").collect()
+    _run(_write_chunks(I.load(spark, sf_dir, "orders"), books, "orders", CHUNK_ROWS, "o_orderkey", fmt="xlsx"))
     rows = read_workbooks(spark, books, with_source=True).table.drop("file_path", "row_no")
     m = save_chunks(rows, prepare_output(spark, out, clear_old=True), "orders", DAY, 1000, runs=runs, source=books)
     back = read_records(spark, f"{out}/*.csv", sep=",", escape='"', with_source=True).rows
@@ -692,7 +697,7 @@ def encoding_census(spark, sf_dir):
         part = d.where(F.col("doc_id") % 4 == i).select(
             F.format_string("docs_%s_%06d.txt", F.lit(enc.replace("-", "")), F.expr("doc_id div 500"))
             .alias("file_name"), F.col("doc_id").alias("line_no"), F.col("text").alias("line"))
-        write_text_files(part, f"{base}/{i}", encoding=enc, bom=bom, errors=errors).collect()
+        _run(write_text_files(part, f"{base}/{i}", encoding=enc, bom=bom, errors=errors))
     c = census(spark, base, glob="*.txt")
     return c.select(H.base_name(F.col("file_path")).alias("file_name"), "encoding", "decoded_ok", "has_bom")
 
@@ -714,7 +719,7 @@ def encoding_evidence(spark, sf_dir):
         part = d.where(F.col("doc_id") % 4 == i).select(
             F.format_string("docs_%s_%06d.txt", F.lit(name), F.expr("doc_id div 500")).alias("file_name"),
             F.col("doc_id").alias("line_no"), F.concat(body, mark).alias("line"))
-        write_text_files(part, f"{base}/{i}", encoding=enc, bom=bom, errors="replace").collect()
+        _run(write_text_files(part, f"{base}/{i}", encoding=enc, bom=bom, errors="replace"))
     e = evidence(spark, base)
     return e.select(H.base_name(F.col("file_path")).alias("file_name"), "encoding", "decoded_ok", "has_bom",
                     (F.col("confidence") >= LEAST_CONFIDENCE).alias("sure"))
@@ -741,7 +746,7 @@ def csv_by_encoding(spark, sf_dir):
         heads = part.select("file_name", "turned").distinct().select(
             "file_name", F.lit(-1).cast("long").alias("line_no"),
             F.when(F.col("turned"), F.lit("doc_id,word,source")).otherwise(F.lit("doc_id,source,word")).alias("line"))
-        write_text_files(part.drop("turned").unionByName(heads), f"{base}/{i}", encoding=enc).collect()
+        _run(write_text_files(part.drop("turned").unionByName(heads), f"{base}/{i}", encoding=enc))
     r = read_csv_set_by_encoding(spark, evidence(spark, base), paths=base)
     none = F.lit(None).cast("string")
     return r.rows.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.lit("ok").alias("status"), "source", "word").unionByName(
@@ -756,7 +761,7 @@ def streaming_import(spark, sf_dir):
     from sluice.streaming.landing import start_landing_import
     land, out, ck = _scratch(spark, "land"), _scratch(spark, "landout"), _scratch(spark, "landck")
     d = _sql(spark, sf_dir, I.dirty_orders_sql, ["orders"])
-    _write_chunks(d, land, "dirty_orders", CHUNK_ROWS, "id").collect()
+    _run(_write_chunks(d, land, "dirty_orders", CHUNK_ROWS, "id"))
     q = start_landing_import(spark, land, d.columns, I.QUARANTINE_TARGETS, out, ck,
                              max_files_per_trigger=2)
     q.awaitTermination()
@@ -771,7 +776,7 @@ def import_pipeline(spark, sf_dir):
     from sluice.plans.import_file import import_csv
     land, out = _scratch(spark, "imp"), _scratch(spark, "impout")
     d = _sql(spark, sf_dir, I.dirty_orders_sql, ["orders"])
-    _write_chunks(d, land, "dirty_orders", 49998, "id").collect()
+    _run(_write_chunks(d, land, "dirty_orders", 49998, "id"))
     res = import_csv(spark, f"{land}/*.csv", out, EPOCH, overrides=dict(I.QUARANTINE_TARGETS),
                      enforce_gate=False, sep=",", escape='"')
     return spark.read.parquet(res.accepted_path)
