@@ -399,26 +399,60 @@ def test_spans_of_every_row(docs):
             assert b"".join(raw[a:b] for a, b in zip(by_id[i]["begins"], by_id[i]["ends"])) == raw
 
 
-def test_compiled_charmap(tmp_path):
+def _compiled_map(rules):
+    """A character map as models hold it: a double-array trie of the keys' bytes, then the replacements."""
+    texts, at, values = b"", {}, {}
+    for key, text in rules.items():
+        if text not in at:
+            at[text] = len(texts)
+            texts += text.encode() + b"\0"
+        values[key.encode()] = at[text]
+    units, used = {0: 0}, {0}
+
+    def place(keys, node, depth):
+        """Units of the children of ``node``: the keys share their first ``depth`` bytes."""
+        labels = sorted({k[depth] if len(k) > depth else 0 for k in keys})
+        base = next(x for x in range(1, 1 << 20) if all(x ^ c not in used for c in labels))
+        used.update(base ^ c for c in labels)
+        units[node] |= (node ^ base) << 10
+        for c in labels:
+            below = [k for k in keys if len(k) > depth and k[depth] == c]
+            if c:
+                units[base ^ c] = c
+                place(below, base ^ c, depth + 1)
+            else:
+                units[node] |= 1 << 8
+                units[base] = values[next(k for k in keys if len(k) == depth)] | 1 << 31
+    place(list(values), 0, 0)
+    table = np.zeros((max(units) // 256 + 1) * 256, dtype="<u4")
+    for i, u in units.items():
+        table[i] = u
+    trie = table.tobytes()
+    return len(trie).to_bytes(4, "little") + trie + texts
+
+
+def test_compiled_charmap():
     """A model with a compiled character map: ids, spans and decoded texts as the library has them."""
     sentencepiece = pytest.importorskip("sentencepiece")
+    from sentencepiece import sentencepiece_model_pb2
     from sluice.llm.pieces import PieceModel
-    rng = np.random.default_rng(1)
-    words = ["alpha", "beta", "gamma", "delta", "fine", "office", "waffle", "cafe", "kilo", "mega"]
-    lines = [" ".join(words[i] for i in rng.integers(0, 10, 12)) for _ in range(400)]
-    (tmp_path / "train.txt").write_text("\n".join(lines))
-    sentencepiece.SentencePieceTrainer.train(
-        input=str(tmp_path / "train.txt"), model_prefix=str(tmp_path / "m"), vocab_size=330, model_type="bpe",
-        byte_fallback=True, normalization_rule_name="nmt_nfkc", minloglevel=2)
-    lib = sentencepiece.SentencePieceProcessor(model_file=str(tmp_path / "m.model"))
-    model = PieceModel((tmp_path / "m.model").read_bytes())
-    assert model.map.units and model.map.longest("ﬁx".encode(), 0) == (b"fi", 3)
-    assert model.map.longest("か\u3099x".encode(), 0) == ("が".encode(), 6)
-    for text in TEXTS_TO_MAP:
-        ids, begins, ends = model.trace(text)
-        assert ids == lib.encode(text, add_eos=True) and model.decode(ids) == lib.decode(ids)
-        pieces = lib.encode(text, return_type="proto").pieces
-        assert list(zip(begins.tolist(), ends.tolist())) == [(p.begin, p.end) for p in pieces]
+    from sluice.llm.queries import tokenizer_path
+    with open(tokenizer_path("piece_bpe_32k.model"), "rb") as fh:
+        proto = sentencepiece_model_pb2.ModelProto.FromString(fh.read())
+    rules = {"ﬁ": "fi", "ﬃ": "ffi", "①": "1", "㎏": "kg", "㍿": "株式会社", "か\u3099": "が", "\u3000": " ", "\u200b": " ", "\t": " ", "\n": " "}
+    rules |= {chr(0xFF41 + i): chr(97 + i) for i in range(26)}
+    proto.normalizer_spec.precompiled_charsmap = _compiled_map(rules)
+    for squeeze in (False, True):
+        proto.normalizer_spec.remove_extra_whitespaces = squeeze
+        lib = sentencepiece.SentencePieceProcessor(model_proto=proto.SerializeToString())
+        model = PieceModel(proto.SerializeToString())
+        assert model.map.units and model.map.longest("ﬁx".encode(), 0) == (b"fi", 3)
+        assert model.map.longest("か\u3099x".encode(), 0) == ("が".encode(), 6)
+        for text in TEXTS_TO_MAP:
+            ids, begins, ends = model.trace(text)
+            assert ids == lib.encode(text, add_eos=True) and model.decode(ids) == lib.decode(ids)
+            pieces = lib.encode(text, return_type="proto").pieces
+            assert list(zip(begins.tolist(), ends.tolist())) == [(p.begin, p.end) for p in pieces]
 
 
 TEXTS_TO_MAP = ["oﬃce ﬁne ① ｗａｆｆｌｅ", "  a  b ", "", "㎏ and ㍿ kilo", "café 日本", "　alpha ​beta  ", "ａ\tｂ\n", "  ", "か\u3099"]
