@@ -41,6 +41,8 @@ from sluice.session import scratch_path
 THRESHOLD = 10
 LONGEST = 3
 TOP = 2000
+#: parts in which a language's candidates are ranked before the last ranking, of TOP rows a part at most
+SALTS = 128
 #: text characters for which one more hash partition is dealt (about 2 million runs)
 PART_CHARS = 4_000_000
 #: bytes of whole documents that are counted at a time, and counters a task holds before it hands them on
@@ -294,10 +296,13 @@ def collocations(documents: DataFrame, threshold: int = THRESHOLD, top: int = TO
     left = (scored.join(inside, ["lang", "phrase"], "left")
             .where((F.col("words") == 3) | F.col("longer").isNull() | (100 * F.col("longer") < 50 * F.col("a")))
             .select("lang", "phrase", "a", "low.l", "low.r", "low.score"))
-    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase"))
-    best = left.withColumn("rank", place.cast("long")).where(F.col("rank") <= top)
+    # a language's candidates are ranked in SALTS parts first, so no task gets them all
+    order = [F.desc("score"), F.desc("a"), "phrase"]
+    salted = left.withColumn("salt", F.pmod(F.xxhash64("phrase"), F.lit(SALTS)))
+    some = salted.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "salt").orderBy(*order))).where(F.col("rank") <= top)
+    best = some.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("rank") <= top)
     total = runs.where("words = 0").select("lang", F.col("a").alias("n"))
-    return best.join(total, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+    return best.join(sized(total), "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
 
 
 def oracle(threshold: int = THRESHOLD, top: int = TOP) -> str:
