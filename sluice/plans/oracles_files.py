@@ -85,6 +85,11 @@ def more() -> dict[str, str]:
             f"CASE WHEN doc_id % 10 <> 3 THEN coalesce(replace(source, ',', ' '), 'none') END AS source, "
             f"CASE WHEN doc_id % 10 <> 3 THEN CAST(n_chars AS {v}) || CASE doc_id % 3 WHEN 0 THEN ' 日é' "
             f"WHEN 1 THEN ' 中文' ELSE ' é' END END AS word FROM documents WHERE doc_id IS NOT NULL"),
+        "workbook_states": " UNION ALL ".join(
+            f"SELECT printf('{t}_{DAY}_%04d.xlsx', chunk) AS file_name, CAST({rows} AS BIGINT) AS n_rows, {state} AS status "
+            f"FROM (SELECT CAST((row_number() OVER (ORDER BY {key}) - 1) // {CHUNK_ROWS} + 1 AS INTEGER) AS chunk FROM {t}) GROUP BY chunk"
+            for t, key, rows, state in (("orders", "o_orderkey", "count(*)", "'ok'"), ("customer", "c_custkey", "count(*)", "'blank header'"),
+                                        ("supplier", "s_suppkey", "0", "'empty'"))),
         "workbook_chunks": (
             f"SELECT chunk, printf('orders_{DAY}_%04d.csv', chunk) AS file_name, CAST(count(*) AS BIGINT) AS n_rows, "
             f"min(o_orderkey) AS first_key, max(o_orderkey) AS last_key, CAST(2 AS BIGINT) AS first_record, "

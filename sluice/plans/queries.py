@@ -662,6 +662,21 @@ def workbook_status(spark, sf_dir):
     return st.select(H.base_name(F.col("file_path")).alias("file_name"), "n_rows", "status")
 
 
+@register
+def workbook_states(spark, sf_dir):
+    """Workbooks with rows (orders), with a blank header (customers under blank names) and with nothing below
+    their header (suppliers whose values are all gone): rows and state of each."""
+    from sluice.sources.workbook import read_workbooks
+    out = _scratch(spark, "states")
+    c, sup = I.load(spark, sf_dir, "customer"), I.load(spark, sf_dir, "supplier")
+    gone = sup.select("s_suppkey", *[F.lit(None).cast("string").alias(n) for n in ("name", "phone")])
+    _run(_write_chunks(I.load(spark, sf_dir, "orders"), f"{out}/a", "orders", CHUNK_ROWS, "o_orderkey", fmt="xlsx"))
+    _run(_write_chunks(c.select(F.col("c_custkey").alias(" "), F.col("c_name").alias("  ")), f"{out}/b", "customer", CHUNK_ROWS, F.col("` `"), fmt="xlsx"))
+    from sluice.sinks.chunked import write_chunks
+    _run(write_chunks(CH.with_ordinal(gone, ["s_suppkey"]).drop("s_suppkey"), f"{out}/c", "supplier", DAY, CHUNK_ROWS, fmt="xlsx"))
+    return read_workbooks(spark, out).status.select(H.base_name(F.col("file_path")).alias("file_name"), "n_rows", "status")
+
+
 @register
 def workbook_chunks(spark, sf_dir):
     """K5/K6/K9: workbooks of orders cut into committed CSV chunks of 1,000 rows in the order of their sheets; what
