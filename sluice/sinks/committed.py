@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
 from sluice.operators.chunks import CHUNK_NAME_FORMAT, chunk_id
-from sluice.session import qualified
+from sluice.session import qualified, staged
 from sluice.sinks.chunked import BOM, _fs_for
 
 FORMAT = "sluice_chunk_files"
@@ -139,9 +139,13 @@ def manifest_name(run: str) -> str:
 
 def save_chunks(df: DataFrame, out_dir: str, stem: str, day: str, chunk_rows: int, ordinal: str = "ordinal",
                 bom: bool = True, header: bool = True, encoding: str = "utf-8", runs: str | None = None,
-                source: str = "", target: str | None = None, partitions: int | None = None) -> DataFrame:
+                source: str = "", target: str | None = None, partitions: int | None = None,
+                in_place: bool = False) -> DataFrame:
     """K4/K5: ``df`` (with a 1-based ``ordinal``) as committed chunk files; the manifest ``(run, chunk, file_name,
-    n_rows, n_bytes)``. With ``runs`` the commit adds one run record there (K9), see :func:`run_records`."""
+    n_rows, n_bytes)``. With ``runs`` the commit adds one run record there (K9), see :func:`run_records`.
+
+    ``in_place`` is for frames whose partitions hold consecutive ordinals and that are cheap to read again, as
+    ``with_ordinal`` gives them: only rows of chunks that lie in two partitions are shuffled then."""
     spark = df.sparkSession
     spark.dataSource.register(ChunkFiles)
     out_dir = qualified(spark, out_dir)
@@ -150,16 +154,37 @@ def save_chunks(df: DataFrame, out_dir: str, stem: str, day: str, chunk_rows: in
     chunk = chunk_id(F.col(ordinal), chunk_rows).alias("_chunk")
     text = [F.col(f"`{c}`").cast("string").alias(c) for c in df.columns if c != ordinal]
     # sorted with the ordinal, which is then dropped: a projection keeps the order
-    staged = (df.select(chunk, F.col(ordinal).alias("_ord"), *text).repartition(n, "_chunk")
-              .sortWithinPartitions("_chunk", "_ord").drop("_ord"))
+    rows = df.select(chunk, F.col(ordinal).alias("_ord"), *text)
+    apart = lambda d: d.repartition(n, "_chunk").sortWithinPartitions("_chunk", "_ord")
+    split = _split_chunks(df, ordinal, chunk_rows) if in_place else None
+    if split is None:
+        placed = apart(rows)
+    else:
+        marked = rows.join(F.broadcast(split), "_chunk", "left")
+        placed = (marked.where("_split is null").drop("_split").sortWithinPartitions("_chunk", "_ord")
+                  .unionByName(apart(marked.where("_split").drop("_split"))))
+    placed = placed.drop("_ord")
     options = {"path": out_dir, "stem": stem, "day": day, "run": run, "bom": str(bom).lower(), "header": str(header).lower(),
                "encoding": encoding, "source": source, "target": target or out_dir}
     if runs:
         options["runs"] = qualified(spark, runs)
-    staged.write.format(FORMAT).options(**options).mode("append").save()
+    placed.write.format(FORMAT).options(**options).mode("append").save()
     return spark.read.schema(MANIFEST).json(f"{out_dir}/{manifest_name(run)}")
 
 
+def _split_chunks(df: DataFrame, ordinal: str, chunk_rows: int) -> DataFrame | None:
+    """``_chunk, _split`` (true) of the chunks that lie in several partitions, at most two a partition; None if
+    some partition's ordinals are not consecutive."""
+    o = F.col(ordinal)
+    parts = staged(df.groupBy(F.spark_partition_id().alias("part")).agg(F.min(o).alias("lo"), F.max(o).alias("hi"), F.count("*").alias("n")), "parts")
+    if not parts.where("hi - lo + 1 <> n").isEmpty():
+        return None
+    last = parts.agg(F.max("hi")).first()[0]
+    begins = parts.where((F.col("lo") - 1) % chunk_rows != 0).select(chunk_id(F.col("lo"), chunk_rows).alias("_chunk"))
+    ends = parts.where((F.col("hi") % chunk_rows != 0) & (F.col("hi") != F.lit(last))).select(chunk_id(F.col("hi"), chunk_rows).alias("_chunk"))
+    return begins.unionByName(ends).distinct().withColumn("_split", F.lit(True))
+
+
 def run_records(spark, runs: str) -> DataFrame:
     """K9: the records of all committed runs."""
     return spark.read.schema(RUNS).json(f"{qualified(spark, runs)}/run_*.json")

@@ -31,6 +31,30 @@ def test_files_manifest_and_record(spark, tmp_path, rows, chunks):
     assert [(r["n_rows"], r["n_files"], r["columns"], r["source"]) for r in record] == [(rows, chunks, ["id", "t"], "here.csv")]
 
 
+@pytest.mark.parametrize("chunk,parts", [(7, 3), (10, 4), (3, 2), (1000, 5), (25, 4)])
+def test_only_split_chunks_are_shuffled(spark, tmp_path, chunk, parts):
+    from sluice.sinks.committed import _split_chunks
+    df = with_ordinal(spark.range(100).select((F.col("id") % 10).alias("k"), "id"), ["k"], partitions=parts)
+    order = [r["id"] for r in df.orderBy("ordinal").collect()]
+    split = {r["_chunk"] for r in _split_chunks(df, "ordinal", chunk).collect()}
+    held = df.select(F.spark_partition_id().alias("p"), "ordinal").collect()
+    where = {}
+    for r in held:
+        where.setdefault((r["ordinal"] - 1) // chunk + 1, set()).add(r["p"])
+    assert split == {c for c, p in where.items() if len(p) > 1}
+    out = str(tmp_path / "out")
+    m = save_chunks(df, out, "data", "20240105", chunk, bom=False, in_place=True).orderBy("chunk").collect()
+    got = [int(line.split(",")[1]) for r in m for line in open(f"{out}/{r['file_name']}").read().splitlines()[1:]]
+    assert got == order and [r["n_rows"] for r in m] == [min(chunk, 100 - chunk * i) for i in range(-(-100 // chunk))]
+
+
+def test_partitions_that_are_not_consecutive_are_shuffled(spark, tmp_path):
+    out = str(tmp_path / "out")
+    df = with_ordinal(spark.range(50).select("id"), ["id"]).repartition(3)
+    m = save_chunks(df, out, "data", "20240105", 8, in_place=True).collect()
+    assert sorted(r["n_rows"] for r in m) == [2, 8, 8, 8, 8, 8, 8]
+
+
 def test_a_failing_job_leaves_nothing(spark, tmp_path):
     out, runs = str(tmp_path / "out"), str(tmp_path / "runs")
     bad = F.when(F.col("id") == 90, F.raise_error(F.lit("no"))).otherwise(F.lit("x"))
