@@ -49,8 +49,8 @@ WINDOW = 35
 GRAM = 8
 #: distinct segments that one automaton may hold
 SHARD = 4000
-#: segment fingerprints a scan task remembers, so as to send each segment's words once
-SEEN = 200_000
+#: segment fingerprints (and texts) a scan task remembers, so as to send each segment's words once
+SEEN = 60_000
 #: segments of one task of shards
 BUCKET = 5000
 
@@ -93,9 +93,10 @@ def _segment_batches(window: int, gram: int, path: str, parts: int):
         copies: Counter = Counter()
         for batch in batches:
             tk1, tk2 = batch.column("tk1").to_pylist(), batch.column("tk2").to_pylist()
-            out = defaultdict(list)
             row = -1
             for c in W.chunks(batch.column("text")):
+                # handed on chunk by chunk, so that a task never holds the segments of more than one
+                out = defaultdict(list)
                 g = W.grams(c.hashes, gram)
                 for d in range(c.docs):
                     a, b = c.first[d], c.first[d + 1]
@@ -105,8 +106,9 @@ def _segment_batches(window: int, gram: int, path: str, parts: int):
                     # two copies make every count 2; more of one text add nothing to it
                     if len(copies) >= SEEN:
                         copies.clear()
-                    copies[tk1[row], tk2[row]] += 1
-                    if copies[tk1[row], tk2[row]] > 2:
+                    text = tk1[row] << 32 | tk2[row] & 0xFFFFFFFF
+                    copies[text] += 1
+                    if copies[text] > 2:
                         continue
                     mine = g[a:b - gram + 1]
                     at = _minimizers(mine, window - gram + 1)
@@ -132,8 +134,8 @@ def _segment_batches(window: int, gram: int, path: str, parts: int):
                             if len(seen) >= SEEN:
                                 seen.clear()
                             seen.add(sig)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(out[k], t) for k, t in SEGMENT], names=[k for k, _ in SEGMENT])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(out[k], t) for k, t in SEGMENT], names=[k for k, _ in SEGMENT])
     return run
 
 
@@ -376,13 +378,16 @@ def _kept(text: str | None, spans) -> tuple[int, int, bytes]:
 
 
 def _report_batches(batches):
-    for batch in batches:
-        got = [_kept(t, s) for t, s in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist())]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array([g[0] for g in got], pa.int64()),
-             pa.array([g[1] for g in got], pa.int64()),
-             pa.array([hashlib.sha256(g[2]).hexdigest() for g in got], pa.string())],
-            names=["doc_id", "n_words", "n_removed", "kept_sha256"])
+    for whole in batches:
+        # a few texts at a time: their words are objects here
+        for at in range(0, max(whole.num_rows, 1), 500):
+            batch = whole.slice(at, 500)
+            got = [_kept(t, s) for t, s in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist())]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), pa.array([g[0] for g in got], pa.int64()),
+                 pa.array([g[1] for g in got], pa.int64()),
+                 pa.array([hashlib.sha256(g[2]).hexdigest() for g in got], pa.string())],
+                names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
 
 def _kept_text(text: pd.Series, spans: pd.Series) -> pd.Series:
