@@ -30,6 +30,8 @@ from sluice.llm.base import sized, stage
 #: share of the pooled diagonal in each class covariance
 SHRINK = 0.05
 THRESHOLD = 0.7
+#: texts whose statistics are taken at a time
+SLICE = 1000
 #: folds of crc32(doc_id): rows with this remainder never train
 FOLDS, HELD_OUT = 4, 2
 
@@ -77,7 +79,7 @@ def document_statistics(col: pa.Array) -> np.ndarray:
 
 
 def _statistics_batches(batches):
-    for batch in batches:
+    for batch in (b.slice(a, SLICE) for b in batches for a in range(0, b.num_rows, SLICE)):
         rows = document_statistics(batch.column("text"))
         values = pa.ListArray.from_arrays(
             pa.array(np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1]), pa.array(rows.ravel()))
@@ -213,12 +215,9 @@ def keep_good(documents: DataFrame, labels: DataFrame) -> DataFrame:
         _statistics_batches, f"doc_id {kind}, x array<double>"), "statistics")
     model = fit(x, labels)
 
-    @F.pandas_udf("double")
-    def good(text):
-        return _series(model.score(document_statistics(pa.array(text, pa.string()))))
+    @F.arrow_udf("double")
+    def good(text: pa.Array) -> pa.Array:
+        # texts stay in their buffer, a slice of them at a time has its statistics
+        scores = [model.score(document_statistics(text.slice(a, SLICE))) for a in range(0, len(text), SLICE)]
+        return pa.array(np.concatenate(scores) if scores else np.zeros(0))
     return documents.where(good("text") >= THRESHOLD)
-
-
-def _series(values: np.ndarray):
-    import pandas as pd
-    return pd.Series(values)
