@@ -8,7 +8,7 @@ partitions of about ``PART_CHARS`` characters of text; a task's counts for one p
 Where they meet they merge into a Misra-Gries summary whose capacity exceeds the partition's mass divided
 by the threshold: each reduction takes the (capacity + 1)-th largest count off all counters, so all
 reductions together take less than the threshold off any, and every run at or above it survives (a hash
-collision only adds survivors). Survivors are written as one Bloom filter segment a partition,
+collision only adds survivors); counters that the error cannot lift to the threshold are let go. Survivors are written as one Bloom filter segment a partition,
 of bounded size in all (:mod:`sluice.llm.bloom`); past that bound the filter lets more through and loses nothing.
 
 Second pass: words become dictionary numbers chunk by chunk (compared by their bytes), runs that the
@@ -220,7 +220,9 @@ def _segment(threshold: int, parts: int):
     def run(key, rows: pd.DataFrame) -> pd.DataFrame:
         mass = int(rows["mass"].sum())
         pairs = ((np.frombuffer(k, np.uint32), np.frombuffer(c, np.uint32)) for k, c in zip(rows["ks"], rows["cs"]))
-        keys, _, error = merge_summaries(pairs, mass // threshold + 1)
+        keys, counts, error = merge_summaries(pairs, mass // threshold + 1)
+        # a run occurs at most as often as its counter and the error together say
+        keys = keys[counts + error >= threshold]
         return pd.DataFrame({"part": [key[0]], "bits": [bloom.segment(keys, parts)], "survivors": [len(keys)],
                              "mass": [mass], "error": [error]})
     return run
