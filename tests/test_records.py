@@ -125,6 +125,16 @@ def test_delimiters_headerless_and_empty(spark, tmp_path):
     assert r.names == [] and r.rows.count() == 0
 
 
+@pytest.mark.parametrize("encoding", ["gb18030", "latin1", "utf-8", "big5"])
+def test_the_plain_reader_takes_any_encoding(spark, tmp_path, encoding):
+    from sluice.sources.csv import read_csv, read_csv_set
+    word = "é" if encoding == "latin1" else "中文"
+    (tmp_path / "a.csv").write_bytes(f"id,w\n1,{word}\n2,{word},more\n".encode(encoding))
+    for read in (read_csv, read_csv_set):
+        r = read(spark, str(tmp_path), encoding=encoding)
+        assert [tuple(x) for x in r.rows.collect()] == [("1", word)] and r.rejects.count() == 1
+
+
 def test_encodings_that_cannot_be_cut():
     assert check_encoding("GB2312") == "gb2312"
     for name in ("utf-16", "utf-32", "iso2022_jp", "hz", "utf-7"):
