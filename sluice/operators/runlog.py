@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sluice.functions.humanize import py_fixed
+from sluice.operators.chunks import MOST_PARTITIONS, PARTITION_BYTES, estimated_bytes
 from sluice.operators.quality import success_pct
 from sluice.session import staged
 
@@ -32,6 +33,8 @@ PROGRESS_PATTERN = (r"已导入 (\d+)/(\d+) 行 \(成功: (\d+), 失败: (\d+)\)
 PROGRESS_FORMAT = "已导入 %d/%d 行 (成功: %d, 失败: %d) | 批次大小: %d | 速度: %s行/秒"
 DONE_FORMAT = "数据导入完成: 成功导入 %d/%d 行数据, 失败: %d, 用时: %s, 平均速度: %s行/秒"
 TAIL_LINES = 50
+#: the planner's sizes from here on say that it knows none
+UNKNOWN_BYTES = 1 << 50
 SPEED_WINDOW = 10
 RECENT_WINDOW = 3
 SLOWDOWN_RATIO = 0.85
@@ -78,20 +81,22 @@ def log_results(lines: DataFrame, files: DataFrame | None = None, n: int = TAIL_
            .when(line.contains(DB_ERROR_MARKER), F.lit(3)))
     g = lambda i: F.regexp_extract(line, DONE_PATTERN, i)
     key = _file_key(lines)
-    hits = (tail_lines(lines, n).withColumn("_cls", cls).where(F.col("_cls").isNotNull())
-            .select(key, "line_no", "_cls",
-                    g(1).try_cast("bigint").alias("inserted_rows"),
-                    g(2).try_cast("bigint").alias("total_rows"),
-                    g(3).try_cast("bigint").alias("error_rows"),
-                    g(4).alias("time_taken")))
-    newest = (hits.groupBy(key)
-              .agg(F.max_by(F.struct("_cls", "inserted_rows", "total_rows", "error_rows",
-                                     "time_taken"), F.col("line_no")).alias("r")))
     names = ["file_name"] if key == "file_name" else ["file_name", key]
-    keys = (files.select(*names) if files is not None else lines.select(*names).distinct())
+    found = F.when(cls.isNotNull(), F.struct(cls.alias("_cls"), g(1).try_cast("bigint").alias("inserted_rows"), g(2).try_cast("bigint").alias("total_rows"),
+                                             g(3).try_cast("bigint").alias("error_rows"), g(4).alias("time_taken")))
+    # sorted without their text, by parts whose number follows the input: a task's share does not grow with it
+    slim = lines.select(*names, "line_no", found.alias("_found"))
+    size = estimated_bytes(slim)
+    known = size if size < UNKNOWN_BYTES else 0
+    parts = max(int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(MOST_PARTITIONS, -(-known // PARTITION_BYTES)))
+    # every file with a line is in its tail, so the names come from it too; a line without a file has no result
+    newest = (tail_lines(slim.repartition(parts, key), n).groupBy(*names)
+              .agg(F.max_by("_found", F.when(F.col("_found").isNotNull(), F.col("line_no"))).alias("r"))
+              .withColumn("r", F.when(F.col(key).isNotNull(), F.col("r"))))
     r = F.col("r")
     is_done = r["_cls"] == 1
-    return (keys.join(newest, key, "left").select(
+    results = newest if files is None else files.select(*names).join(newest.select(key, "r"), key, "left")
+    return (results.select(
         *names,
         F.coalesce(F.when(r["_cls"] == 1, F.lit(STATUS_DONE)).when(r["_cls"] == 2, F.lit(STATUS_ABORTED))
                    .when(r["_cls"] == 3, F.lit(STATUS_FAILED)), F.lit(STATUS_UNKNOWN)).alias("status"),

@@ -182,15 +182,23 @@ SELECT o_custkey AS run_id, o_orderkey AS batch_key,
 FROM orders"""
 
 
-def log_lines_sql(d: str) -> str:
+ABORTED = "'2024-01-05 11:00:00,000 - ERROR - 错误率过高，中断导入操作'"
+ENDED = "'2024-01-05 11:00:00,000 - INFO - 导入操作结束'"
+FAILED = "'2024-01-05 11:00:00,000 - ERROR - 数据库操作出错: (2013, lost connection)'"
+
+
+def log_lines_sql(d: str, once: bool = False) -> str:
     """Run-log lines ``(file_name, line_no, line)``: one log per customer.
 
     Line 1 starts the run, then one progress line per batch; the end depends on
     ``custkey % 4``: 0 done (for ``% 8 = 0`` after an abort line; for ``% 16 = 0``
     followed by 55 more lines so it falls out of the last 50), 1 abort, 2 database
     error, 3 nothing. Names follow ``import_<table>_<yyyymmdd_hhmmss>.log`` except
-    for ``custkey % 10 = 9``.
+    for ``custkey % 10 = 9``. ``once`` (Spark) gives the same rows from one pass: a run's first batch also yields the
+    lines of the run, so that no union reads the windows again and no join brings the runs' facts back.
     """
+    start = f"'2024-01-05 10:00:00,000 - INFO - 开始导入文件: cust' || {s('run_id', d)} || '.csv'"
+    cleaned = f"'2024-01-05 11:00:01,000 - INFO - 清理临时数据 ' || {s('i', d)}"
     nl_seq = ("sequence(1, 55)" if d == "spark" else "generate_series(1, 55)")
     explode = "explode" if d == "spark" else "unnest"
     prog = (f"'2024-01-05 10:00:00,000 - INFO - 已导入 ' || {s('done_rows', d)} || '/' || {s('total_rows', d)}"
@@ -207,7 +215,7 @@ def log_lines_sql(d: str) -> str:
             f"ELSE 'import_cust' || {s('run_id', d)} || '_' || {dfmt('first_day', '%Y%m%d', d)} || '_' || "
             f"lpad({s('run_id % 24', d)}, 2, '0') || lpad({s('run_id % 60', d)}, 2, '0') || "
             f"lpad({s('(run_id * 7) % 60', d)}, 2, '0') || '.log' END")
-    return f"""
+    ctes = """
 WITH b AS (
   SELECT o_custkey AS run_id, o_orderkey,
     row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS seq,
@@ -225,24 +233,38 @@ c AS (
     sum(batch_rows - bad_rows) OVER (PARTITION BY run_id) AS ok_total,
     sum(bad_rows) OVER (PARTITION BY run_id) AS bad_total,
     count(*) OVER (PARTITION BY run_id) AS n_batches
-  FROM b),
+  FROM b),"""
+    if once:
+        of_run = [
+            ("TRUE", "CAST(1 AS BIGINT)", start), ("run_id % 4 = 1 OR run_id % 8 = 0", "n_batches + 2", ABORTED),
+            ("run_id % 4 = 0", "n_batches + 3", done), ("run_id % 4 = 0", "n_batches + 4", ENDED),
+            ("run_id % 4 = 2", "n_batches + 3", FAILED)]
+        row = lambda no, line: f"struct(CAST({no} AS BIGINT) AS line_no, {line} AS line)"
+        lines = [f"CASE WHEN {when} THEN array({row(no, line)}) ELSE array() END" for when, no, line in of_run]
+        lines.append(f"CASE WHEN run_id % 16 = 0 THEN transform({nl_seq}, i -> {row('n_batches + 4 + i', cleaned)}) ELSE array() END")
+        return f"""{ctes[:-1]}
+SELECT {name} AS file_name, entry.line_no AS line_no, entry.line AS line, CAST(first_day AS TIMESTAMP_NTZ) AS mtime
+FROM c LATERAL VIEW explode(concat(array({row('seq + 1', prog)}),
+  CASE WHEN seq = 1 THEN concat({', '.join(lines)}) ELSE array() END)) e AS entry
+WHERE run_id IS NOT NULL"""
+    return f"""{ctes}
 runs AS (SELECT DISTINCT run_id, first_day, total_rows, ok_total, bad_total, n_batches FROM c),
 lines AS (
-  SELECT run_id, 1 AS line_no, '2024-01-05 10:00:00,000 - INFO - 开始导入文件: cust' || {s('run_id', d)} || '.csv' AS line FROM runs
+  SELECT run_id, 1 AS line_no, {start} AS line FROM runs
   UNION ALL
   SELECT run_id, seq + 1, {prog} FROM c
   UNION ALL
-  SELECT run_id, n_batches + 2, '2024-01-05 11:00:00,000 - ERROR - 错误率过高，中断导入操作' FROM runs
+  SELECT run_id, n_batches + 2, {ABORTED} FROM runs
    WHERE run_id % 4 = 1 OR run_id % 8 = 0
   UNION ALL
   SELECT run_id, n_batches + 3, {done} FROM runs WHERE run_id % 4 = 0
   UNION ALL
-  SELECT run_id, n_batches + 4, '2024-01-05 11:00:00,000 - INFO - 导入操作结束' FROM runs WHERE run_id % 4 = 0
+  SELECT run_id, n_batches + 4, {ENDED} FROM runs WHERE run_id % 4 = 0
   UNION ALL
-  SELECT run_id, n_batches + 3, '2024-01-05 11:00:00,000 - ERROR - 数据库操作出错: (2013, lost connection)' FROM runs
+  SELECT run_id, n_batches + 3, {FAILED} FROM runs
    WHERE run_id % 4 = 2
   UNION ALL
-  SELECT run_id, n_batches + 4 + i, '2024-01-05 11:00:01,000 - INFO - 清理临时数据 ' || {s('i', d)}
+  SELECT run_id, n_batches + 4 + i, {cleaned}
   FROM (SELECT run_id, n_batches, {explode}({nl_seq}) AS i FROM runs WHERE run_id % 16 = 0) x
 )
 SELECT {name} AS file_name, CAST(line_no AS BIGINT) AS line_no, line,

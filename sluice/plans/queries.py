@@ -401,8 +401,21 @@ def chunk_manifest(spark, sf_dir):
 
 # ---- step 7: run logs -------------------------------------------------------------------------
 
+#: bytes of orders that the windows over one run's orders take at once, by the planner's estimate
+RUN_BYTES = 4 << 20
+
+
+def _by_run(spark, sf_dir):
+    """The view ``orders``, dealt by customer into parts that grow in number with the table, not in size: the windows
+    over a customer's orders keep these parts."""
+    o = I.load(spark, sf_dir, "orders")
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(CH.MOST_PARTITIONS, -(-CH.estimated_bytes(o) // RUN_BYTES)))
+    o.repartition(parts, "o_custkey").createOrReplaceTempView("orders")
+
+
 def _log_lines(spark, sf_dir):
-    return _sql(spark, sf_dir, I.log_lines_sql, ["orders"])
+    _by_run(spark, sf_dir)
+    return spark.sql(I.log_lines_sql("spark", once=True))
 
 
 @register
