@@ -634,7 +634,7 @@ def log_files(spark, sf_dir):
     from sluice.sinks.chunked import write_text_files
     from sluice.sources.logs import read_log_tails
     out = _scratch(spark, "logs")
-    _run(write_text_files(_log_lines(spark, sf_dir), out))
+    _run(write_text_files(_log_lines(spark, sf_dir), out, folders=True))
     logs = read_log_tails(spark, out, L.TAIL_LINES)
     lst = L.log_list(logs.files, logs.lines)
     return lst.select("file_name", "table_name", "status", "total_rows", "inserted_rows", "error_rows",
@@ -647,7 +647,7 @@ def log_content(spark, sf_dir):
     from sluice.sinks.chunked import write_text_files
     from sluice.sources.logs import read_log_content, read_logs
     out = _scratch(spark, "logtext")
-    _run(write_text_files(_log_lines(spark, sf_dir), out))
+    _run(write_text_files(_log_lines(spark, sf_dir), out, folders=True))
     logs = read_logs(spark, out)
     first = logs.files.agg(F.min("file_name")).first()[0]
     return read_log_content(logs, first).select("file_name", "line_no", "line")

@@ -180,10 +180,11 @@ TEXT_MANIFEST_SCHEMA = "file_name string, n_lines long, n_bytes long"
 def write_text_files(df: DataFrame, out_dir: str, file_col: str = "file_name",
                      order_col: str = "line_no", text_col: str = "line", encoding: str = "utf-8",
                      errors: str = "strict", bom: bool = False, newline: str = "\n",
-                     partitions: int | None = None) -> DataFrame:
+                     partitions: int | None = None, folders: bool = False) -> DataFrame:
     """Lines ``(file, order, text)`` -> one text file per ``file`` value with that exact
     name (run logs K9, fixture files). Same streaming, temp-then-rename scheme as
-    ``write_chunks``; returns ``(file_name, n_lines, n_bytes)``."""
+    ``write_chunks``; returns ``(file_name, n_lines, n_bytes)``. ``folders`` gives each partition's files a folder of
+    their own, so that no folder holds them all."""
     spark = df.sparkSession
     n_parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     staged = (df.select(F.col(file_col).alias("_f"), F.col(order_col).alias("_o"),
@@ -193,9 +194,9 @@ def write_text_files(df: DataFrame, out_dir: str, file_col: str = "file_name",
 
     def writer(batches):
         from pyspark import TaskContext
-        fs, root = _fs_for(out_dir)
-        fs.create_dir(root, recursive=True)
         tc = TaskContext.get()
+        fs, root = _fs_for(f"{out_dir}/{tc.partitionId():06d}" if folders and tc else out_dir)
+        fs.create_dir(root, recursive=True)
         tag = f"{tc.partitionId()}-{tc.attemptNumber()}" if tc else "0-0"
         cur = {"name": None, "s": None, "tmp": None, "n": 0, "b": 0}
         done = []
