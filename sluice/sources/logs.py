@@ -58,7 +58,7 @@ def list_logs(spark: SparkSession, root: str, glob: str = "*.log", name: str = "
     ``[...]``), written: tasks list folders, level by level, so that neither the driver nor a later pass holds or
     lists the files. Empty files and names that begin with ``_`` or ``.`` are passed over, as Spark does; ``uri_name`` as ``name`` gives
     names as Spark's file metadata shows them."""
-    folders = spark.createDataFrame([(qualified(spark, root).rstrip("/"),)], "uri string")
+    folders = spark.range(0, 1, 1, 1).select(F.lit(qualified(spark, root).rstrip("/")).alias("uri"))
     levels = []
     while True:
         level = staged(folders.mapInArrow(_list_folders, _FOUND), "listing")
