@@ -145,3 +145,18 @@ def test_encodings_keep_own_headers_and_long_rows(spark, tmp_path):
     assert sorted((x.a, x.b, x.c) for x in r.rows.collect()) == [
         ("1", "é", None), ("3", "é", None), ("4", "中文", "5"), ("6", "中文", None)]
     assert sorted((x.record, x.n_fields) for x in r.rejects.collect()) == [("2,é,x", 3), ("中文,7,8", 3)]
+
+
+def test_import_cleans_and_profiles_once(spark, tmp_path, monkeypatch):
+    from sluice.operators import quality
+    from sluice.plans import import_file
+    calls, clean = [], quality.clean_columns
+    for module in (quality, import_file):
+        monkeypatch.setattr(module, "clean_columns", lambda *a, **k: (calls.append(1), clean(*a, **k))[1], raising=False)
+    land = _write(tmp_path / "in", "a.csv", "k,qty,none,d\n1,5,,2024-01-05\n2,x,,2024-01-06\n3,7,,\n4,8,,2024-01-07,EXTRA\n")
+    res = import_csv(spark, land, str(tmp_path / "out"), 1, overrides={"qty": "INT"}, enforce_gate=False, sep=",")
+    assert len(calls) == 1
+    assert res.mapping.inputFiles() and not any(f.endswith(".csv") for f in res.mapping.inputFiles())
+    rows = spark.read.parquet(res.accepted_path).orderBy("k").collect()
+    assert [(r["k"], r["qty"], str(r["d"])) for r in rows] == [(1, 5, "2024-01-05"), (3, 7, "None")]
+    assert sorted(e["reason"] for r in spark.read.parquet(res.rejected_path).collect() for e in r["errors"]) == ["fields", "kind"]
