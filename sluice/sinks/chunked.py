@@ -41,23 +41,20 @@ def _fs_for(uri: str):
 
 def _xlsx_bytes(header: list[str], rows: list[list]) -> bytes:
     """A minimal one-sheet workbook (inline strings) with the stdlib only."""
-    def cell_ref(ci: int, ri: int) -> str:
+    def letters(ci: int) -> str:
         s, n = "", ci + 1
         while n:
             n, r = divmod(n - 1, 26)
             s = chr(65 + r) + s
-        return f"{s}{ri}"
-
-    def row_xml(ri: int, vals: list) -> str:
-        cells = []
-        for ci, v in enumerate(vals):
-            if v is None or (isinstance(v, float) and pd.isna(v)):
-                continue
-            cells.append(f'<c r="{cell_ref(ci, ri)}" t="inlineStr"><is><t xml:space="preserve">'
-                         f'{_xml_escape(str(v))}</t></is></c>')
-        return f'<row r="{ri}">{"".join(cells)}</row>'
-
-    body = [row_xml(1, header)] + [row_xml(i + 2, r) for i, r in enumerate(rows)]
+        return s
+
+    opened = [f'<c r="{letters(ci)}' for ci in range(len(header))]
+    gone = lambda v: v is None or (isinstance(v, float) and pd.isna(v))
+    body = []
+    for ri, row in enumerate([header, *rows], 1):
+        start, end = f'{ri}" t="inlineStr"><is><t xml:space="preserve">', "</t></is></c>"
+        cells = "".join([f"{at}{start}{_xml_escape(v if type(v) is str else str(v))}{end}" for at, v in zip(opened, row) if not gone(v)])
+        body.append(f'<row r="{ri}">{cells}</row>')
     sheet = ('<?xml version="1.0" encoding="UTF-8" standalone="yes"?>'
              '<worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main">'
              f'<sheetData>{"".join(body)}</sheetData></worksheet>')

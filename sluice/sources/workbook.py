@@ -1,7 +1,7 @@
 """Workbook scan (S11, S12): a directory of ``.xlsx`` files, one task per workbook.
 
-``binaryFile`` hands each workbook to ``mapInPandas``, which reads the first sheet
-with the standard library (``zipfile`` + ``xml.etree.iterparse``) and streams rows out
+``binaryFile`` hands each workbook to ``mapInArrow``, which reads the first sheet
+with the standard library (``zipfile`` + ``xml.etree``) and streams rows out
 in batches, once; cells come out as text (no per-workbook type guessing, D11), date cells as dates. A workbook is
 a zip archive that needs random access, so one file is read whole by one task — an
 ``.xlsx`` sheet is capped at 1,048,576 rows, which bounds that task.
@@ -15,9 +15,11 @@ import re
 import zipfile
 from dataclasses import dataclass
 from datetime import datetime, time, timedelta
+from itertools import islice
 from xml.etree import ElementTree as ET
+from xml.sax.saxutils import unescape as _xml_unescape
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -28,6 +30,19 @@ CELLS_SCHEMA = "file_path string, row_no long, nth long, cells array<string>"
 _NS = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 _RNS = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
 _REF = re.compile(r"^([A-Z]+)(\d+)$")
+_ROW, _CELL, _V, _T = (f"{_NS}{n}" for n in ("row", "c", "v", "t"))
+# where the rows of a sheet begin, behind a prefix that its tags may have, and its outermost tag
+_SHEET_DATA = re.compile(rb"<([\w.-]+:)?sheetData(?:\s[^<>]*?)?(/)?>")
+_WORKSHEET = re.compile(rb"<((?:[\w.-]+:)?worksheet)[\s>]")
+# a plain sheet's first tags (no other encoding, the format's own namespace), row begins, row ends and cells, and what
+# a parser would read otherwise: line ends, characters it refuses, entities beyond the usual
+_PLAIN_HEAD = re.compile(rb"""\s*(?:<\?xml version="1.0"(?: encoding="(?:UTF|utf)-8")?(?: standalone="(?:yes|no)")?\s*\?>)?\s*<worksheet\s[^<>]*\bxmlns="%s"[^<>]*>"""
+                         % re.escape(_NS[1:-1].encode()))
+_PLAIN = re.compile(r"""(<row r="(\d+)"(?: (?:spans|ht|customHeight|s|customFormat)="[^"<>&]*")?>|</row>|<c r="([A-Z]+)\d+"(?: s="(\d+)")?(?: t="(\w+)")?>"""
+                    r"""(?:<v>([^<>]*)</v>|<is><t(?: xml:space="preserve")?>([^<>]*)</t></is>)</c>)""", re.A)
+_NOT_PLAIN = re.compile("[\\x00-\\x08\\x0b-\\x1f\ufffe\uffff]|&(?!(?:amp|lt|gt|quot|apos);)")
+#: bytes of a sheet that are parsed at once, and those that its rows must begin within
+_STRETCH, _HEAD_BYTES = 1 << 18, 1 << 22
 BATCH_ROWS = 5000
 
 # Number formats of the file format that show dates or times, and what in a format's
@@ -94,6 +109,79 @@ def date_text(serial: str, first_day: datetime) -> str:
     return at.strftime("%Y-%m-%d") if at.time() == time.min else at.isoformat(" ", "milliseconds" if at.microsecond else "seconds")
 
 
+def _rows_one_by_one(fh):
+    for _, el in ET.iterparse(fh):
+        if el.tag == _ROW:
+            yield el
+            el.clear()
+
+
+def _plain_rows(data: bytes):
+    """``[(row number, [(column letters, style, type, value)])]`` of a stretch of rows that holds plain cells and
+    nothing else; None if it holds anything more, or anything that a parser would refuse or change."""
+    try:
+        text = data.decode("utf-8")
+    except UnicodeDecodeError:
+        return None
+    if _NOT_PLAIN.search(text):
+        return None
+    tokens = _PLAIN.findall(text)
+    if sum([len(x[0]) for x in tokens]) != len(text):
+        return None
+    rows, cells = [], None
+    for _, number, letters, style, kind, value, inline in tokens:
+        if letters:
+            if cells is None or (value if kind == "inlineStr" else not value):
+                return None
+            value = value or inline
+            if "&" in value:
+                value = _xml_unescape(value, {"&quot;": '"', "&apos;": "'"})
+            cells.append((letters, style, kind, value))
+        elif number:
+            if cells is not None:
+                return None
+            cells = []
+            rows.append((int(number), cells))
+        elif cells is None:
+            return None
+        else:
+            cells = None
+    return rows if cells is None else None
+
+
+def _sheet_rows(z: zipfile.ZipFile, name: str):
+    """The rows of a sheet, as ``row`` elements or as :func:`_plain_rows` gives them. The sheet's text is cut after row
+    ends; a stretch that is not plain is parsed at once, below the tags that are open there. Where comments,
+    declarations or other forms could hide a row end, rows are parsed one by one."""
+    read = 0
+    with z.open(name) as fh:
+        data, m = b"", None
+        while m is None and len(data) < _HEAD_BYTES and (more := fh.read(_STRETCH)):
+            data += more
+            m = _SHEET_DATA.search(data)
+        root = _WORKSHEET.search(data) if m else None
+        if root and not m.group(2) and b"<!" not in data[:m.end()]:
+            head, prefix = data[:m.end()], m.group(1) or b""
+            end, tail = b"</%srow>" % prefix, b"</%ssheetData></%s>" % (prefix, root.group(1))
+            plain = not prefix and _PLAIN_HEAD.match(head) is not None
+            data, more = data[m.end():], b"-"
+            while b"<!" not in data:
+                more = more and fh.read(_STRETCH)
+                cut = data.rfind(end) + len(end)
+                if cut >= len(end):
+                    rows = _plain_rows(data[:cut]) if plain else None
+                    for row in rows if rows is not None else ET.fromstring(head + data[:cut] + tail).iter(_ROW):
+                        read += 1
+                        yield row
+                    data = data[cut:]
+                if not more:
+                    yield from ET.fromstring(head + data).iter(_ROW)
+                    return
+                data += more
+    with z.open(name) as fh:
+        yield from islice(_rows_one_by_one(fh), read, None)
+
+
 def iter_sheet_rows(content: bytes):
     """(row number, [cell text or None]) of the first sheet, blank rows skipped; date cells come as dates."""
     z = zipfile.ZipFile(io.BytesIO(content))
@@ -104,46 +192,50 @@ def iter_sheet_rows(content: bytes):
             if el.tag == f"{_NS}si":
                 shared.append(_text(el))
                 el.clear()
-    with z.open(_first_sheet(z)) as fh:
-        for _, el in ET.iterparse(fh):
-            if el.tag != f"{_NS}row":
-                continue
-            row_no = int(el.get("r", 0) or 0)
-            vals: dict[int, str | None] = {}
-            for c in el.iter(f"{_NS}c"):
+    places: dict[str, int] = {}     # of column letters
+
+    def place(letters: str) -> int:
+        return places[letters] if letters in places else places.setdefault(letters, _col_index(letters))
+
+    def value(kind: str | None, style, text: str | None) -> str | None:
+        if kind == "s" and text is not None:
+            return shared[int(text)]
+        if kind == "b" and text is not None:
+            return "True" if text == "1" else "False"
+        if text is not None and kind in (None, "", "n") and dates and int(style or 0) in dates:
+            return date_text(text, first_day)
+        return text
+
+    for row in _sheet_rows(z, _first_sheet(z)):
+        vals: dict[int, str | None] = {}
+        if isinstance(row, tuple):
+            row_no, cells = row
+            for letters, style, kind, text in cells:
+                vals[places[letters] if letters in places else place(letters)] = text if kind == "inlineStr" else value(kind, style, text)
+        else:
+            row_no = int(row.get("r", 0) or 0)
+            for c in row.iter(_CELL):
                 m = _REF.match(c.get("r", ""))
-                idx = _col_index(m.group(1)) if m else len(vals)
-                t = c.get("t")
-                v = c.find(f"{_NS}v")
-                if t == "inlineStr":
-                    val = _text(c)
-                elif t == "s" and v is not None:
-                    val = shared[int(v.text)]
-                elif t == "b" and v is not None:
-                    val = "True" if v.text == "1" else "False"
+                idx, kind = place(m.group(1)) if m else len(vals), c.get("t")
+                if kind == "inlineStr":
+                    vals[idx] = _text(c)
                 else:
-                    val = v.text if v is not None else None
-                    if val is not None and t in (None, "n") and int(c.get("s", 0)) in dates:
-                        val = date_text(val, first_day)
-                vals[idx] = val
-            el.clear()
-            if any(x not in (None, "") for x in vals.values()):
-                width = max(vals) + 1
-                yield row_no, [vals.get(i) for i in range(width)]
+                    v = c.find(_V)
+                    vals[idx] = None if v is None else value(kind, c.get("s", 0), v.text)
+        if any(vals.values()):
+            width = max(vals) + 1
+            yield row_no, list(vals.values()) if list(vals) == list(range(width)) else [vals.get(i) for i in range(width)]
 
 
 def _parse(batches):
-    columns = ["file_path", "row_no", "nth", "cells"]
-    for pdf in batches:
-        for path, content in zip(pdf["path"], pdf["content"]):
-            out = []
-            for nth, (r, cells) in enumerate(iter_sheet_rows(content)):
-                out.append((path, r, nth, cells))
-                if len(out) >= BATCH_ROWS:
-                    yield pd.DataFrame(out, columns=columns)
-                    out = []
-            if out:
-                yield pd.DataFrame(out, columns=columns)
+    schema = pa.schema([("file_path", pa.string()), ("row_no", pa.int64()), ("nth", pa.int64()), ("cells", pa.list_(pa.string()))])
+    for batch in batches:
+        for path, content in zip(batch.column("path").to_pylist(), batch.column("content")):
+            rows = enumerate(iter_sheet_rows(content.as_py()))
+            while out := list(islice(rows, BATCH_ROWS)):
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([path] * len(out), pa.string()), pa.array([r for _, (r, _) in out], pa.int64()),
+                    pa.array([n for n, _ in out], pa.int64()), pa.array([c for _, (_, c) in out], pa.list_(pa.string()))], schema=schema)
 
 
 @dataclass
@@ -161,7 +253,7 @@ def read_workbooks(spark: SparkSession, path: str, glob: str = "*.xlsx", with_so
     from sluice.sources.records import small
     files = (spark.read.format("binaryFile").option("pathGlobFilter", glob)
              .option("recursiveFileLookup", True).load(path))
-    cells = staged(files.select("path", "content").mapInPandas(_parse, CELLS_SCHEMA), "cells")
+    cells = staged(files.select("path", "content").mapInArrow(_parse, CELLS_SCHEMA), "cells")
     first = cells.groupBy("file_path").agg(F.min_by(F.struct("row_no", "cells"), "nth").alias("head"), F.count(F.lit(1)).alias("n"),
                                            F.max(F.size("cells")).alias("width"))
     # the listing decides which files there are: a workbook without a row has no cells

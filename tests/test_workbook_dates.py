@@ -67,3 +67,31 @@ def test_rows_keep_sheet_order_over_all_workbooks(spark, tmp_path):
     assert books.table.agg(F.min(F.col("day").cast("date"))).first()[0].isoformat() == "2024-01-05"
     status = {r["file_path"][-9:]: r["status"] for r in books.status.collect()}
     assert status[next(k for k in status if k.endswith("none.xlsx"))] == "empty" and sorted(status.values()) == ["empty", "empty", "ok", "ok"]
+
+
+@pytest.mark.parametrize("change", [lambda s: s, lambda s: s.replace("</row>", "</row><!-- </row> -->", 2), lambda s: s.replace("</row>", '</row><row r="7"/>', 2),
+                                    lambda s: s.replace("<t>t3", "<t><![CDATA[</row>]]>t3"), lambda s: s.replace("<t>t3", "<t>&#65;t3")])
+def test_stretches_of_a_sheet_hold_the_same_rows(monkeypatch, change):
+    from sluice.sources import workbook as W
+    rows = [(1, ["a", "b", "c"])] + [(2 * i, [f"t{i} &amp; ü", (45296 + i, 1), i]) for i in range(1, 60)]
+    data, out = workbook(rows, [0, 14]), io.BytesIO()
+    with zipfile.ZipFile(io.BytesIO(data)) as z, zipfile.ZipFile(out, "w") as w:
+        for n in z.namelist():
+            w.writestr(n, change(z.read(n).decode()) if "worksheets" in n else z.read(n))
+    want = None
+    for stretch in (1 << 18, 700, 90):
+        monkeypatch.setattr(W, "_STRETCH", stretch)
+        got = list(iter_sheet_rows(out.getvalue()))
+        want = want or got
+        assert got == want and len(got) == 60 and got[1][0] == 2 and got[1][1][0] == "t1 & ü" and got[1][1][2] == "1"
+        assert got[3][1][0].removeprefix("</row>").removeprefix("A") == "t3 & ü"
+
+
+def test_plain_rows_need_no_parser(monkeypatch):
+    from sluice.sinks.chunked import _xlsx_bytes
+    from sluice.sources import workbook as W
+    data = _xlsx_bytes(["k", "v"], [[str(i), None if i % 3 else "<&> \"x\""] for i in range(500)])
+    parsed, parse = [], W.ET.fromstring
+    monkeypatch.setattr(W.ET, "fromstring", lambda x: (parsed.append(len(x)), parse(x))[1])
+    assert [c for _, c in iter_sheet_rows(data)][1:3] == [["0", "<&> \"x\""], ["1"]]
+    assert max(parsed) < 5000
