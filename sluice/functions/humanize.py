@@ -37,7 +37,7 @@ def human_duration(seconds: Column, units: tuple[str, str, str] = DURATION_UNITS
 
 def base_name(path: Column) -> Column:
     """Last path element (``/`` or ``\\`` separated)."""
-    return F.regexp_extract(path, r"([^/\\]*)$", 1)
+    return F.substring_index(F.translate(path, "\\", "/"), "/", -1)
 
 
 def extension(path: Column) -> Column:

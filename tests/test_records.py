@@ -140,3 +140,21 @@ def test_encodings_that_cannot_be_cut():
     for name in ("utf-16", "utf-32", "iso2022_jp", "hz", "utf-7"):
         with pytest.raises(ValueError):
             check_encoding(name)
+
+
+def test_fields_of_a_batch_are_those_of_its_records():
+    from sluice.sources.records import Dialect, _parsed
+    sets = [['a,"b\nc",d', "", "x"], ['a,"open', "b,c"], ["a\rb,c", "d"], ["a\\", "b,c", '"q""r",s'], ['a,"open']]
+    for found in sets:
+        for escape in ("\\", '"'):
+            assert _parsed([","] * len(found), found, '"', escape) == [Dialect(",", '"', escape).parse(r) for r in found]
+    assert _parsed([",", ";"], ["a,b", "a;b"], '"', '"') == [["a", "b"], ["a", "b"]]
+
+
+def test_base_name_without_a_pattern(spark):
+    from pyspark.sql import functions as F
+    from sluice.functions.humanize import base_name
+    paths = ["/a/b.csv", "a\\b\\c", "", "x/", None, "é/中\nz", "plain"]
+    df = spark.createDataFrame([(p,) for p in paths], "p string").select("p", base_name(F.col("p")).alias("b"))
+    assert [r["b"] for r in df.collect()] == ["b.csv", "c", "", "", None, "中\nz", "plain"]
+    assert "regexp" not in df._jdf.queryExecution().analyzed().toString()
