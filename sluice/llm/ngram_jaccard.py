@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sluice.llm import words as W
-from sluice.llm.base import components, has_repeats, one_row_each, sized, stage, text_key
+from sluice.llm.base import components, give_back, has_repeats, one_row_each, sized, slices, stage, text_key
 
 #: words of a shingle
 K = 5
@@ -79,7 +79,7 @@ def _sets(col, k: int):
 
 def _prefix_batches(k: int):
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             n, s1, s2, pre = [], [], [], []
             for s in _sets(batch.column("text"), k):
                 size = len(s)
@@ -96,7 +96,7 @@ def _prefix_batches(k: int):
 
 def _set_batches(k: int):
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             sets = list(_sets(batch.column("text"), k))
             yield pa.RecordBatch.from_arrays([batch.column("node"), W.list_column(sets)], names=["node", "grams"])
     return run
@@ -222,7 +222,13 @@ def _hot_links(posts: DataFrame, sets: DataFrame, block: int = BLOCK) -> DataFra
     right = cut.where("at > 0").select(F.col("cluster").alias("cluster2"), F.explode(F.expr("sequence(0, at - 1)")).alias("i2"),
                                        F.col("at").alias("j2"), F.col("node").alias("node2"), F.col("grams").alias("grams2"))
     return (left.groupBy("cluster", "i", "j").cogroup(right.groupBy("cluster2", "i2", "j2"))
-            .applyInPandas(_block_links, "a long, b long"))
+            .applyInPandas(_forest, "a long, b long"))
+
+
+def _forest(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    found = _block_links(key, left, right)
+    give_back()
+    return found
 
 
 def _block_links(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:

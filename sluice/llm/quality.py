@@ -25,13 +25,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sluice.llm import words as W
-from sluice.llm.base import sized, stage
+from sluice.llm.base import SLICE, give_back, sized, slices, stage
 
 #: share of the pooled diagonal in each class covariance
 SHRINK = 0.05
 THRESHOLD = 0.7
-#: texts whose statistics are taken at a time
-SLICE = 1000
 #: folds of crc32(doc_id): rows with this remainder never train
 FOLDS, HELD_OUT = 4, 2
 
@@ -79,7 +77,7 @@ def document_statistics(col: pa.Array) -> np.ndarray:
 
 
 def _statistics_batches(batches):
-    for batch in (b.slice(a, SLICE) for b in batches for a in range(0, b.num_rows, SLICE)):
+    for batch in slices(batches):
         rows = document_statistics(batch.column("text"))
         values = pa.ListArray.from_arrays(
             pa.array(np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1]), pa.array(rows.ravel()))
@@ -219,5 +217,6 @@ def keep_good(documents: DataFrame, labels: DataFrame) -> DataFrame:
     def good(text: pa.Array) -> pa.Array:
         # texts stay in their buffer, a slice of them at a time has its statistics
         scores = [model.score(document_statistics(text.slice(a, SLICE))) for a in range(0, len(text), SLICE)]
+        give_back()
         return pa.array(np.concatenate(scores) if scores else np.zeros(0))
     return documents.where(good("text") >= THRESHOLD)
