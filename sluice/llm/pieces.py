@@ -6,9 +6,11 @@
    flags (dummy prefix, extra spaces, the visible space U+2581).
 2. *Merging.* No piece joins something else to a following U+2581, and characters that occur in
    no longer piece never merge, so the text falls into short segments that can be merged on
-   their own; every task keeps a bounded table of segments it has met. A new segment is cut
-   again between neighbours that stand together in no piece. Within what is left the best-scored neighbours merge first, the leftmost of equals. Characters outside the
-   vocabulary become byte pieces (a model without them is refused).
+   their own; every task keeps a bounded table of segments it has met. The new segments of a slice
+   of texts merge together, a step of all of them at a time; long ones are cut before, between
+   neighbours that stand together in no piece. Within a segment the best-scored neighbours merge
+   first, the leftmost of equals. Characters outside the vocabulary become byte pieces (a model
+   without them is refused).
 3. *Projection.* Normalised lengths of the pieces add up to normalised offsets, which the
    recorded alignment turns into original byte spans.
 
@@ -25,16 +27,22 @@ import heapq
 import re
 import struct
 from functools import lru_cache
+from itertools import chain
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from sluice.llm.base import give_back
+
 SPACE = "▁"
-#: segments a task remembers
-TABLE = 250_000
-NEVER = float("-inf")
+#: segments a task remembers, and their characters (mean)
+TABLE, LETTERS = 100_000, 24
+#: characters of a segment that merges together with others, and widths that share a table
+SHORT, WIDTHS = 48, (4, 8, 12, 16, 24, 48)
+#: a character that is no piece counts as this plus its code point; neighbours as one number, by a shift
+ODD, SHIFT = 1 << 20, np.int64(22)
 
 
 class CharMap:
@@ -111,11 +119,9 @@ class PieceModel:
         self.width = [1 if i in self.byte_of else len(n.encode()) for i, n in enumerate(self.names)]
         if not self.byte:
             raise ValueError("the model needs byte pieces")
-        #: segments met lately, and those met before them
-        self.table: dict[str, tuple[int, ...]] = {}
-        self.older: dict[str, tuple[int, ...]] = {}
-        self.cores: dict[str, tuple[int, ...]] = {}
+        self._tables()
         self.most = table
+        self.forget()
         #: ids whose text is their name
         self.plain = [i not in self.byte_of and i not in self.control and i != self.unknown
                       for i in range(len(self.names))]
@@ -124,6 +130,34 @@ class PieceModel:
         #: bytes of each id; those of control ids are in no text
         self.raw = [bytes([self.byte_of[i]]) if i in self.byte_of else b"\xff" if i in self.control
                     else self.unknown_text.encode() if i == self.unknown else t.encode() for i, t in enumerate(self.shown)]
+        #: original bytes of a piece, where every U+2581 was a space
+        self.bytes = np.array([1 if i in self.byte_of else len(t.encode()) for i, t in enumerate(self.shown)], np.int64)
+
+    def _tables(self) -> None:
+        """Symbols of characters, scores of symbols, and which two neighbours join to what."""
+        top = max((ord(c) for n in self.ids for c in n), default=0)
+        self.symbols = np.arange(top + 1, dtype=np.int64) + ODD
+        for n, i in self.ids.items():
+            if len(n) == 1:
+                self.symbols[ord(n)] = i
+        symbol = self.ids | {c: int(self.symbols[ord(c)]) for n in self.ids for c in n}
+        self.scores = np.full(len(self.names) + 1, -np.inf)
+        for n, i in self.ids.items():
+            self.scores[i] = self.score[n]
+        joins = {symbol[n[:k]] << int(SHIFT) | symbol[n[k:]]: i for n, i in self.ids.items()
+                 for k in range(1, len(n)) if n[:k] in symbol and n[k:] in symbol}
+        # open addressing: a key lies at its place or in the next free one after it
+        self.mask = (4 << max(1, len(joins)).bit_length()) - 1
+        self.pair = np.full(self.mask + 1, -1, np.int64)
+        self.joined = np.full(self.mask + 1, -1, np.int32)
+        for key, at in zip(joins, self._place(np.array(list(joins), np.int64)).tolist()):
+            while self.pair[at] >= 0:
+                at = at + 1 & self.mask
+            self.pair[at], self.joined[at] = key, joins[key]
+
+    def _place(self, keys: np.ndarray) -> np.ndarray:
+        spread = keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        return (spread >> np.uint64(40)).astype(np.int64) & self.mask
 
     # normalisation -----------------------------------------------------------------
 
@@ -171,25 +205,64 @@ class PieceModel:
 
     # encoding ----------------------------------------------------------------------
 
-    def _merge(self, segment: str) -> list[str]:
-        """Pieces of one segment: best-scored neighbours first, leftmost of equals."""
-        parts: list = list(segment)
-        if len(parts) > 48:
-            return self._merge_long(parts)
-        get = self.score.get
-        marks = [get(x + y, NEVER) for x, y in zip(parts, parts[1:])]
-        while marks:
-            best = max(marks)
-            if best == NEVER:
-                break
-            i = marks.index(best)
-            parts[i:i + 2] = [parts[i] + parts[i + 1]]
-            del marks[i]
-            if i:
-                marks[i - 1] = get(parts[i - 1] + parts[i], NEVER)
-            if i < len(marks):
-                marks[i] = get(parts[i] + parts[i + 1], NEVER)
-        return parts
+    def forget(self) -> None:
+        """Empty the table of segments: ``flat[start:start + size]`` are the ids of each."""
+        self.table: dict[str, int] = {}
+        self.flat = np.zeros(0, np.int32)
+        self.start, self.size, self.letters = np.zeros(0, np.int64), np.zeros(0, np.int64), 0
+
+    def _join(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The piece that neighbours join to, -1 where there is none."""
+        keys = left << SHIFT | right
+        at = self._place(keys)
+        met = self.pair[at]
+        out = np.where(met == keys, self.joined[at], -1)
+        open_ = np.nonzero((met != keys) & (met >= 0))
+        while len(open_[0]):
+            at[open_] = at[open_] + 1 & self.mask
+            met = self.pair[at[open_]]
+            hit = met == keys[open_]
+            out[tuple(x[hit] for x in open_)] = self.joined[at[tuple(x[hit] for x in open_)]]
+            open_ = tuple(x[~hit & (met >= 0)] for x in open_)
+        return out
+
+    def _merge(self, parts: np.ndarray, size: np.ndarray) -> None:
+        """Merge the symbols of each row (``size`` of them, then 0) in place: best-scored neighbours
+        first, leftmost of equals. A step merges one pair of every row that still has one."""
+        n, width = parts.shape
+        if width < 2:
+            return
+        cols = np.arange(width)
+        rows, now = np.arange(n), parts
+        marks = np.full((n, width), -1, np.int32)
+        marks[:, :-1] = np.where(cols[1:] < size[:, None], self._join(now[:, :-1], now[:, 1:]), -1)
+        while True:
+            best = self.scores[marks].argmax(axis=1)
+            made = marks[np.arange(len(rows)), best]
+            if (made < 0).any():
+                parts[rows] = now
+                go = made >= 0
+                rows, now, marks, best, made = rows[go], now[go], marks[go], best[go], made[go]
+            if not len(rows):
+                return
+            size[rows] -= 1
+            line = np.arange(len(rows))
+            after = cols >= best[:, None]
+            # what stands after the pair moves up by one; the last column, now free, is 0 and joins nothing
+            moved = np.zeros_like(now)
+            moved[:, :-1] = now[:, 1:]
+            now = np.where(after, moved, now)
+            now[line, best] = made
+            moved = np.full_like(marks, -1)
+            moved[:, :-1] = marks[:, 1:]
+            marks = np.where(after, moved, marks)
+            left = size[rows]
+            for side in (best - 1, best):
+                ok = np.flatnonzero((side >= 0) & (side + 1 < left))
+                a = side[ok]
+                marks[ok, a] = self._join(now[ok, a], now[ok, a + 1])
+            gone = np.flatnonzero(best + 1 >= left)
+            marks[gone, best[gone]] = -1
 
     def _merge_long(self, parts: list) -> list[str]:
         """The same with a queue, for long segments."""
@@ -214,59 +287,95 @@ class PieceModel:
                 heapq.heappush(queue, (-score[p], h, p))
         return [p for p in parts if p is not None]
 
-    def _core(self, part: str) -> tuple[int, ...]:
-        found = self.cores.get(part)
-        if found is None:
-            ids: list[int] = []
-            for p in self._merge(part):
-                i = self.ids.get(p)
-                ids += [i] if i is not None else [self.byte[b] for b in p.encode()]
-            found = tuple(ids)
-            if len(self.cores) >= self.most:
-                self.cores.clear()
-            if len(part) <= 64:
-                self.cores[part] = found
-        return found
-
-    def segment(self, segment: str) -> tuple[int, ...]:
-        """Ids of a segment."""
-        found = self.older.get(segment)
-        if found is None:
-            ids: tuple[int, ...] = ()
-            pairs, start = self.pairs, 0
-            for i in range(1, len(segment)):
-                if segment[i - 1:i + 1] not in pairs:
-                    ids += self._core(segment[start:i])
-                    start = i
-            ids += self._core(segment[start:])
-            found = ids
-        if len(segment) <= 64:
-            if len(self.table) >= self.most:
-                self.older = self.table
-                self.table = {}
-            self.table[segment] = found
-        return found
-
-    def parts(self, normal: str) -> list[tuple[int, ...]]:
-        """Segments of a normalised text."""
-        cut = self.cut(normal)
-        out = list(map(self.table.get, cut))
-        if None in out:
-            make = self.segment
-            out = [p or make(s) for p, s in zip(out, cut)]
-        return out
+    def _cores(self, segment: str) -> list[str]:
+        """A long segment cut between neighbours that stand together in no piece."""
+        cuts = [0, *(i for i in range(1, len(segment)) if segment[i - 1:i + 1] not in self.pairs), len(segment)]
+        return [segment[a:b] for a, b in zip(cuts, cuts[1:])]
+
+    def _learn(self, segments: list[str]) -> None:
+        """Merge segments that are not in the table and put them there."""
+        cores, many = segments, None
+        if max(map(len, segments)) > SHORT:
+            each = [[s] if len(s) <= SHORT else self._cores(s) for s in segments]
+            cores, many = [c for e in each for c in e], np.array([len(e) for e in each])
+        size = np.array([len(c) for c in cores])
+        begin = np.cumsum(size) - size
+        points = np.frombuffer("".join(cores).encode("utf-32-le"), np.uint32).astype(np.int64)
+        top = len(self.symbols) - 1
+        symbols = np.where(points <= top, self.symbols[np.minimum(points, top)], points + ODD)
+        # the merged symbols of a core lie from its beginning on
+        for low, width in zip((0, *WIDTHS), WIDTHS):
+            rows = np.flatnonzero((size > low) & (size <= width))
+            if len(rows):
+                at = begin[rows, None] + np.arange(width)
+                parts = np.where(np.arange(width) < size[rows, None], symbols[np.minimum(at, len(symbols) - 1)], 0)
+                left = size[rows]
+                self._merge(parts, left)
+                put = np.arange(width) < left[:, None]
+                symbols[at[put]] = parts[put]
+                size[rows] = left
+        for k in np.flatnonzero(size > SHORT).tolist():
+            made = [self.ids.get(p, ODD + ord(p[0])) for p in self._merge_long(list(cores[k]))]
+            symbols[begin[k]:begin[k] + len(made)] = made
+            size[k] = len(made)
+        if many is not None:
+            first = np.cumsum(many) - many
+            ids, count = symbols[_runs(begin, size)], np.add.reduceat(size, first)
+        else:
+            ids, count = symbols[_runs(begin, size)], size
+        odd = np.flatnonzero(ids >= ODD)
+        if len(odd):
+            raw = [chr(c - ODD).encode() for c in ids[odd].tolist()]
+            wide = np.ones(len(ids), np.int64)
+            wide[odd] = [len(b) for b in raw]
+            ids = np.repeat(ids, wide)
+            ids[ids >= ODD] = [self.byte[b] for r in raw for b in r]
+            count = np.add.reduceat(wide, np.cumsum(count) - count)
+        self.table.update(zip(segments, range(len(self.table), len(self.table) + len(segments))))
+        self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(count) - count])
+        self.size = np.concatenate([self.size, count])
+        self.flat = np.concatenate([self.flat, ids.astype(np.int32)])
+        self.letters += len(points)
+
+    def pieces(self, normal: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of normalised texts, one text after the other, and where each begins (and the last ends)."""
+        cuts = list(map(self.cut, normal))
+        if len(self.table) > self.most or self.letters > LETTERS * self.most:
+            self.forget()
+        new = list(set().union(*cuts).difference(self.table))
+        if new:
+            self._learn(new)
+        count = np.array([len(c) for c in cuts], np.int64)
+        seg = np.fromiter(map(self.table.__getitem__, chain.from_iterable(cuts)), np.int64, int(count.sum()))
+        size = self.size[seg]
+        ends = np.append(0, np.cumsum(size))
+        return self.flat[_runs(self.start[seg], size)], ends[np.append(0, np.cumsum(count))]
+
+    def traces(self, texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of some texts, one after the other: ids, where each text begins among them (and the last
+        ends), and the original byte spans ``[begin, end)`` of the pieces. No end ids."""
+        texts = [t or "" for t in texts]
+        plain = not self.map.units and not self.squeeze
+        # where each U+2581 was a space, the widths of the pieces add up to original offsets
+        known = {k: self.aligned(t) for k, t in enumerate(texts) if not plain or SPACE in t}
+        ids, at = self.pieces([known[k][0] if k in known else self.normalise(t) for k, t in enumerate(texts)])
+        total = np.append(0, np.cumsum(self.bytes[ids]))
+        begins, ends = (x - np.repeat(total[at[:-1]] + self.dummy, np.diff(at)) for x in (total[:-1], total[1:]))
+        begins[at[:-1][np.diff(at) > 0]] = 0
+        for k, (_, origin) in known.items():
+            a, b = at[k], at[k + 1]
+            stop = np.cumsum(self.widths[ids[a:b]])
+            begins[a:b], ends[a:b] = origin[np.append(0, stop[:-1])[:b - a]], origin[stop]
+        return ids, at, begins, ends
 
     def encode(self, text: str | None, end: bool = True) -> list[int]:
-        ids = [i for p in self.parts(self.normalise(text or "")) for i in p]
+        ids = self.pieces([self.normalise(text or "")])[0].tolist()
         return ids + [self.end] if end else ids
 
     def trace(self, text: str | None) -> tuple[list[int], np.ndarray, np.ndarray]:
         """Ids with the end id, and the original byte spans ``[begin, end)`` of the pieces before it."""
-        normal, origin = self.aligned(text or "")
-        ids = [i for p in self.parts(normal) for i in p]
-        ends = np.cumsum(self.widths[ids]) if ids else np.zeros(0, np.int64)
-        begins = np.append(0, ends[:-1])[:len(ends)]
-        return [*ids, self.end], origin[begins], origin[ends]
+        ids, _, begins, ends = self.traces([text])
+        return [*ids.tolist(), self.end], begins, ends
 
     def spans(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """Original byte spans ``[begin, end)`` of the pieces (without an end id)."""
@@ -333,34 +442,51 @@ def _model(blob: bytes) -> PieceModel:
     return PieceModel(blob)
 
 
+def _runs(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """``begin[k], begin[k] + 1, ...``, ``size[k]`` numbers, for each k."""
+    before = np.cumsum(size) - size
+    return np.repeat(begin - before, size) + np.arange(int(size.sum()))
+
+
+def _traced(blob: bytes, batches):
+    """A few hundred rows at a time, with what :meth:`PieceModel.traces` finds: ids and spans of long
+    texts do not pile up, and segments and freed memory go back when the rows end."""
+    model = _model(blob)
+    for batch in batches:
+        for part in _slices(batch):
+            texts = part.column("text").to_pylist()
+            yield model, part, texts, *model.traces(texts)
+    model.forget()
+    give_back()
+
+
+def _ended(model: PieceModel, ids: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ids with the end id after each text."""
+    return np.insert(ids, at[1:], model.end), at + np.arange(len(at))
+
+
 def _encode_batches(blob: bytes):
     def run(batches):
-        model = _model(blob)
-        for batch in batches:
-            for part in _slices(batch):
-                texts = part.column("text").to_pylist()
-                ids, begins, ends = zip(*map(model.trace, texts))
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), _ints(ids), _ints(begins), _ints(ends)],
-                    names=["doc_id", "ids", "begins", "ends"])
+        for model, part, _, ids, at, begins, ends in _traced(blob, batches):
+            yield pa.RecordBatch.from_arrays(
+                [part.column("doc_id"), _lists(*_ended(model, ids, at)), _lists(begins, at), _lists(ends, at)],
+                names=["doc_id", "ids", "begins", "ends"])
     return run
 
 
 def _digest_batches(blob: bytes):
     def run(batches):
-        model = _model(blob)
-        digits, sha = model.digits, hashlib.sha256
-        for batch in batches:
-            n, line, spans, back = [], [], [], []
-            for text in batch.column("text").to_pylist():
-                ids, begins, ends = model.trace(text)
-                n.append(len(ids))
-                line.append(sha(" ".join([digits[i] for i in ids]).encode()).hexdigest())
-                spans.append(sha(np.stack([begins, ends], axis=1).astype("<i8").tobytes()).hexdigest())
-                back.append(sha(model.decode(ids).encode()).hexdigest())
+        sha = hashlib.sha256
+        for model, part, _, ids, at, begins, ends in _traced(blob, batches):
+            spans = np.stack([begins, ends], axis=1).astype("<i8")
+            ids, to = _ended(model, ids, at)
+            ids, show = ids.tolist(), model.digits.__getitem__
+            own = [ids[a:b] for a, b in zip(to.tolist(), to[1:].tolist())]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(line, pa.string()), pa.array(back, pa.string()),
-                 pa.array(spans, pa.string())],
+                [part.column("doc_id"), pa.array(np.diff(to), pa.int64()),
+                 pa.array([sha(" ".join(map(show, i)).encode()).hexdigest() for i in own], pa.string()),
+                 pa.array([sha(model.decode(i).encode()).hexdigest() for i in own], pa.string()),
+                 pa.array([sha(spans[a:b]).hexdigest() for a, b in zip(at, at[1:])], pa.string())],
                 names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "spans_sha256"])
     return run
 
@@ -370,11 +496,8 @@ def _slices(batch: pa.RecordBatch, rows: int = 500):
     return [batch.slice(i, rows) for i in range(0, batch.num_rows, rows)]
 
 
-def _ints(parts: list[np.ndarray]) -> pa.Array:
-    off = np.zeros(len(parts) + 1, np.int32)
-    np.cumsum([len(p) for p in parts], out=off[1:])
-    flat = np.concatenate(parts) if parts else np.zeros(0)
-    return pa.ListArray.from_arrays(pa.array(off), pa.array(flat.astype(np.int32), pa.int32()))
+def _lists(flat: np.ndarray, at: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(flat.astype(np.int32), pa.int32()))
 
 
 def _kind(documents: DataFrame) -> str:
@@ -394,16 +517,14 @@ def encode_for_training(documents: DataFrame, model_path: str) -> DataFrame:
     blob = Path(model_path).read_bytes()
 
     def run(batches):
-        model = _model(blob)
-        for batch in batches:
-            for part in _slices(batch):
-                texts = part.column("text").to_pylist()
-                ids, begins, ends = zip(*map(model.trace, texts))
-                back = [model.decode(i) == (t or "") for i, t in zip(ids, texts)]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), part.column("source"), pa.array([len(i) for i in ids], pa.int64()),
-                     _ints(ids), _ints(begins), _ints(ends), pa.array(back, pa.bool_())],
-                    names=["doc_id", "source", "n_tokens", "ids", "begins", "ends", "round_trip"])
+        for model, part, texts, ids, at, begins, ends in _traced(blob, batches):
+            ids, to = _ended(model, ids, at)
+            own, cuts = ids.tolist(), to.tolist()
+            back = [model.decode(own[a:b]) == (t or "") for a, b, t in zip(cuts, cuts[1:], texts)]
+            yield pa.RecordBatch.from_arrays(
+                [part.column("doc_id"), part.column("source"), pa.array(np.diff(to), pa.int64()),
+                 _lists(ids, to), _lists(begins, at), _lists(ends, at), pa.array(back, pa.bool_())],
+                names=["doc_id", "source", "n_tokens", "ids", "begins", "ends", "round_trip"])
     return documents.select("doc_id", "source", "text").mapInArrow(
         run, f"doc_id {_kind(documents)}, source string, n_tokens long, ids array<int>, begins array<int>, "
              "ends array<int>, round_trip boolean")
