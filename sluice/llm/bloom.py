@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sluice.llm.base import give_back
 from sluice.session import scratch_path
 
 FILTER_BYTES = 32 << 20
@@ -87,7 +88,9 @@ def filter_of(hashes: DataFrame, name: str) -> tuple[str, int]:
 
     def run(key, rows: pd.DataFrame) -> pd.DataFrame:
         _, keys = split(rows["h"].to_numpy().view(np.uint64), parts)
-        return pd.DataFrame({"part": [key[0]], "bits": [segment(keys, parts)]})
+        bits = segment(keys, parts)
+        give_back()
+        return pd.DataFrame({"part": [key[0]], "bits": [bits]})
 
     path = scratch_path(hashes.sparkSession, f"llm-{name}")
     part = F.pmod(F.shiftrightunsigned(F.col(column), 32), F.lit(parts))

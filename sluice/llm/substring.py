@@ -34,6 +34,7 @@ from __future__ import annotations
 
 import hashlib
 from collections import Counter, defaultdict
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -42,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sluice.llm import words as W
-from sluice.llm.base import sized, stage, text_key
+from sluice.llm.base import SLICE, give_back, sized, slices, stage, text_key
 from sluice.llm.bloom import Filter, filter_of
 
 WINDOW = 35
@@ -63,7 +64,7 @@ def _minimizers(gram_hashes: np.ndarray, span: int) -> np.ndarray:
 
 def _class_batches(window: int, gram: int):
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             n, s1, s2, mins, times = [], [], [], [], []
             for c in W.chunks(batch.column("text")):
                 g = W.grams(c.hashes, gram)
@@ -91,7 +92,7 @@ def _segment_batches(window: int, gram: int, path: str, parts: int):
         repeated = Filter.at(path, parts)
         seen: set[bytes] = set()
         copies: Counter = Counter()
-        for batch in batches:
+        for batch in slices(batches):
             tk1, tk2 = batch.column("tk1").to_pylist(), batch.column("tk2").to_pylist()
             row = -1
             for c in W.chunks(batch.column("text")):
@@ -278,7 +279,12 @@ def _shards(least: int, gram: int):
                 for k, (f1, f2) in enumerate(zip(pdf["f1"], pdf["f2"])) if cut[k] is not None
                 for x, y in found[m[k], cut[k]]]
         return pd.DataFrame(rows, columns=["m", "f1", "f2", "a", "b"])
-    return run
+
+    def freed(pdf: pd.DataFrame) -> pd.DataFrame:
+        spans = run(pdf)
+        give_back()
+        return spans
+    return freed
 
 
 def _window_batches(window: int):
@@ -291,6 +297,7 @@ def _window_batches(window: int):
                     for j in range(len(words) // 8 - window + 1)
                     for h in (hashlib.blake2b(words[8 * j:8 * (j + window)], digest_size=16).digest(),)]
             yield pd.DataFrame(rows, columns=["m", "f1", "f2", "j", "w1", "w2", "seen"])
+        give_back()
     return run
 
 
@@ -350,7 +357,7 @@ def repeated_spans(documents: DataFrame, window: int = WINDOW, gram: int = GRAM,
 
 def _merge_batches(batches):
     """Overlapping and touching spans of a text as one: the segments of neighbouring minimizers overlap."""
-    for batch in batches:
+    for batch in slices(batches):
         out = []
         for spans in batch.column("spans").to_pylist():
             merged: list[dict] = []
@@ -378,7 +385,7 @@ def _kept(text: str | None, spans) -> tuple[int, int, bytes]:
 
 
 def _report_batches(batches):
-    for whole in batches:
+    for whole in slices(batches):
         # a few texts at a time: their words are objects here
         for at in range(0, max(whole.num_rows, 1), 500):
             batch = whole.slice(at, 500)
@@ -390,8 +397,15 @@ def _report_batches(batches):
                 names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
 
-def _kept_text(text: pd.Series, spans: pd.Series) -> pd.Series:
-    return pd.Series([t if s is None else _kept(t, s)[2].decode() for t, s in zip(text, spans)], dtype=object)
+def _kept_text(texts: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    for text, spans in texts:
+        parts = []
+        for a in range(0, len(text), SLICE):
+            # texts stay in their buffer, a slice of them at a time is cut
+            both = zip(text.slice(a, SLICE).to_pylist(), spans.slice(a, SLICE).to_pylist())
+            parts.append(pa.array([t if s is None else _kept(t, s)[2].decode() for t, s in both], pa.string()))
+        yield pa.concat_arrays(parts) if parts else pa.array([], pa.string())
+    give_back()
 
 
 def _with_spans(documents: DataFrame, spans: DataFrame) -> DataFrame:
@@ -417,5 +431,5 @@ def remove_repeats(documents: DataFrame, window: int = WINDOW) -> DataFrame:
     rows = documents.select("doc_id", "text", F.struct(*documents.columns).alias("row"))
     both = _with_spans(rows, repeated_spans(documents, window))
     text = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(
-        F.pandas_udf(_kept_text, "string")("text", "_spans"))
+        F.arrow_udf(_kept_text, "string")("text", "_spans"))
     return both.select(*[text.alias(c) if c == "text" else F.col("row")[c].alias(c) for c in documents.columns])
