@@ -7,9 +7,11 @@ words is one shingle; no words, no set). Two documents link when
 1. Documents of equal sets form a class; one row of each class goes on.
 2. Let t = ceil(0.8 n). Under any one order of shingles, linked documents share at least l
    shingles among the first n - t + l of each (l the smaller of their two levels). The first
-   screen takes hash order and l = n // 16: shingles found in one class only are discarded, and
-   so is a class left with fewer shared shingles than its lowest possible partner demands. This
-   is linear, and passages shared by thousands of documents end here.
+   screen takes hash order and l = n // 16: a class with fewer shingles in its prefix that another
+   prefix has too than its lowest possible partner demands goes. Of the others the whole sets are
+   screened alike: t shingles must be in another of them. Shingles travel in 32 bits, dealt by the
+   other 32 (a collision only keeps a class). This is linear, and passages shared by thousands of
+   documents end here.
 3. The survivors' shared shingles are ordered from rare to frequent. Each document then picks
    its own second level (1, 2, 4, ... 16): every step lengthens its prefix and raises the
    number of shared prefix shingles asked for, and the level with the least estimated cost
@@ -36,8 +38,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sluice.llm import bloom
 from sluice.llm import words as W
-from sluice.llm.base import components, give_back, has_repeats, one_row_each, sized, slices, stage, text_key
+from sluice.llm.base import BROADCAST_ROWS, components, give_back, has_repeats, one_row_each, sized, slices, stage, text_key
 
 #: words of a shingle
 K = 5
@@ -49,6 +52,10 @@ HOT = 24
 #: documents of a block, and shingles counted by one matrix product
 BLOCK = 512
 COLUMNS = 4096
+#: shingles for which one more part is dealt by a screen
+PART_GRAMS = 1_000_000
+#: rows whose shingles are dealt together; a number of one byte that none of them has
+DEALT = 255
 
 
 def need(n):
@@ -102,12 +109,98 @@ def _set_batches(k: int):
     return run
 
 
+def _dealt(parts: int):
+    """The shingles of ``DEALT`` rows together, a row for each part that has some of them: their low 32 bits, and
+    whose they are. Shingles that two of the rows have are counted here and sent once, for no row of these."""
+    def run(batches):
+        for whole in batches:
+            for at in range(0, whole.num_rows, DEALT):
+                batch = whole.slice(at, DEALT)
+                lists = batch.column("grams")
+                grams = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+                owner = np.repeat(np.arange(len(lists), dtype=np.uint8), np.diff(lists.offsets.to_numpy()))
+                order = np.argsort(grams)
+                grams, owner = grams[order], owner[order]
+                first = np.ones(len(grams), dtype=bool)
+                first[1:] = grams[1:] != grams[:-1]
+                many = ~first
+                many[:-1] |= ~first[1:]
+                counted = owner[many].tobytes()
+                grams, owner = grams[first], np.where(many, DEALT, owner)[first].astype(np.uint8)
+                part, keys = bloom.split(grams, parts)
+                order = np.argsort(part, kind="stable")
+                part, keys, owner = part[order], keys[order].astype(np.uint32), owner[order]
+                cuts = np.concatenate([[0], np.flatnonzero(part[1:] != part[:-1]) + 1, [len(part)]]) if len(part) else [0]
+                n = len(cuts) - 1
+                # the rows themselves ride with their first part
+                about = lambda x: pa.array([x, *[None] * (n - 1)][:n], pa.binary())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(part[cuts[:-1]], pa.int64()), pa.array([batch.column("node")[0].as_py()] * n, pa.int64()),
+                     about(batch.column("node").to_numpy().tobytes()),
+                     about(batch.column("least").cast(pa.int64()).to_numpy().tobytes()), about(counted),
+                     pa.array([owner[a:b].tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary()),
+                     pa.array([keys[a:b].tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary())],
+                    names=["part", "block", "nodes", "least", "counted", "owners", "keys"])
+        give_back()
+    return run
+
+
+def _met(key, rows: pd.DataFrame) -> pd.DataFrame:
+    """Whose the shingles of one part are that came more than once."""
+    keys = [np.frombuffer(k, np.uint32) for k in rows["keys"]]
+    ends = np.cumsum([len(k) for k in keys])
+    flat = np.concatenate(keys)
+    order = np.argsort(flat)
+    again = flat[order[1:]] == flat[order[:-1]]
+    many = np.zeros(len(flat), dtype=bool)
+    many[order[1:][again]] = many[order[:-1][again]] = True
+    owner = np.frombuffer(b"".join(rows["owners"]), np.uint8)
+    many &= owner != DEALT
+    owners = [owner[a:b][many[a:b]].tobytes() for a, b in zip([0, *ends], ends)]
+    found = rows[["block", "nodes", "least", "counted"]].assign(owners=owners)
+    del keys, flat, order, again, many, owner
+    give_back()
+    return found[(found["owners"].str.len() > 0) | found["nodes"].notna()]
+
+
+def _enough(key, rows: pd.DataFrame) -> pd.DataFrame:
+    about = rows[rows["nodes"].notna()].iloc[0]
+    nodes, least = (np.frombuffer(about[c], np.int64) for c in ("nodes", "least"))
+    count = np.bincount(np.frombuffer(about["counted"] + b"".join(rows["owners"]), np.uint8), minlength=len(nodes))
+    return pd.DataFrame({"node": nodes[count >= least]})
+
+
+def _screened(sets: DataFrame, n_grams: int, name: str) -> DataFrame:
+    """Nodes of ``sets(node, least, grams)`` that have ``least`` or more of their shingles, ``n_grams`` in all or
+    fewer, in common with others (written)."""
+    dealt = sets.select("node", "least", "grams").mapInArrow(
+        _dealt(n_grams // PART_GRAMS + 1),
+        "part long, block long, nodes binary, least binary, counted binary, owners binary, keys binary")
+    met = dealt.groupBy("part").applyInPandas(_met, "block long, nodes binary, least binary, counted binary, owners binary")
+    return stage(met.groupBy("block").applyInPandas(_enough, "node long"), name)
+
+
+def _texts(docs: DataFrame, keys: DataFrame, repeats: bool, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """The rows of ``docs`` that the staged ``keys`` name (:func:`one_row_each`). Where these are too many to be
+    broadcast, a Bloom filter of them keeps other texts out of the shuffle."""
+    if keys.count() > rows:
+        path, parts = bloom.filter_of(keys.select("tk1"), "alive-texts")
+
+        def here(batches):
+            for batch in batches:
+                found = bloom.Filter.at(path, parts).passes(batch.column("tk1").to_numpy().view(np.uint64))
+                yield batch.filter(pa.array(found))
+        docs = docs.mapInArrow(here, docs.schema)
+    return one_row_each(docs, keys, repeats, rows)
+
+
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs ``(a, b)`` whose whole sets link."""
     x = sets.select(F.col("node").alias("a"), F.col("grams").alias("ga"))
     y = sets.select(F.col("node").alias("b"), F.col("grams").alias("gb"))
     small = stage(pairs.select("a", "b"), "pairs")
     hit = F.size(F.array_intersect("ga", "gb"))
+    x = x.join(sized(stage(small.select("a").distinct(), "pair-ends")), "a", "left_semi")
     return (y.join(sized(small), "b").join(x, "a")
             .where(100 * hit >= 80 * (F.size("ga") + F.size("gb") - hit)).select("a", "b"))
 
@@ -136,10 +229,26 @@ def component_rows(documents: DataFrame, k: int = K, hot: int = HOT) -> DataFram
                   .where("node <> first").select("node"), "spare")
     single = full.select("node", "n", "prefix").join(sized(spare), "node", "left_anti")
 
-    # first screen: shingles of two classes or more; classes with enough of them
+    # first screen: classes with enough shingles of two classes or more, in their prefixes and then in their whole sets
+    floor = F.greatest(F.lit(1), F.expr("(4 * n + 4) div 5 div 16"))
+    n_grams = full.agg(F.sum(F.size("prefix").cast("long"))).first()[0] or 0
+    alive = _screened(single.select("node", floor.alias("least"), F.col("prefix").alias("grams")), n_grams, "alive")
+    repeats = has_repeats(base)
+
+    def sets_of(nodes: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+        """Keys and whole sets of nodes, found again by their text."""
+        keys = stage(base.join(sized(nodes), "node").select("node", "n", "doc_id", "tk1", "tk2"), name)
+        texts = _texts(docs, keys, repeats)
+        return keys, texts.select("node", "text").mapInArrow(_set_batches(k), "node long, grams array<long>")
+
+    keys, sets = sets_of(alive, "alive-keys")
+    n_grams = keys.agg(F.sum("n")).first()[0] or 0
+    least = F.expr("(4 * size(grams) + 4) div 5").alias("least")
+    alive = _screened(sets.select("node", least, "grams"), n_grams, "alive-whole")
+    sets = stage(sets_of(alive, "kept-keys")[1], "whole-sets")
+    single = full.select("node", "n", "prefix").join(sized(alive), "node")
     posts = single.select("node", "n", F.explode("prefix").alias("gram"))
     seen = posts.groupBy("gram").agg(F.count("*").alias("df")).where("df >= 2")
-    floor = F.greatest(F.lit(1), F.expr("(4 * n + 4) div 5 div 16"))
     kept = stage(posts.join(seen, "gram").groupBy("node", "n")
                  .agg(F.array_sort(F.collect_list(F.struct("df", "gram"))).alias("grams"))
                  .where(F.size("grams") >= floor), "screened")
@@ -156,13 +265,6 @@ def component_rows(documents: DataFrame, k: int = K, hot: int = HOT) -> DataFram
                       "slice(grams, 1, cast(size(grams) - floor + level as int))")).alias("g"))
                   .select("node", "n", "level", "g.gram"), "postings")
 
-    # whole sets of the documents still in play, found again by their text
-    alive = stage(base.join(sized(stage(posts.select("node").distinct(), "alive")), "node")
-                  .select("node", "doc_id", "tk1", "tk2"), "alive-keys")
-    texts = one_row_each(docs, alive, has_repeats(base))
-    sets = stage(texts.select("node", "text").mapInArrow(_set_batches(k), "node long, grams array<long>"),
-                 "whole-sets")
-
     # one pivot for each document, then whatever still lies in different components
     pivot = posts.groupBy("gram").agg(F.min("node").alias("p"))
     met = posts.join(pivot, "gram").where("node > p").groupBy("node", "p").agg(F.count("*").alias("c"))
